@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: whole texts are long, so batches stay small.
-BATCH_ROWS = 512
+BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 
 

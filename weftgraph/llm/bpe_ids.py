@@ -32,7 +32,7 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_chunks: int = 700_000, max_chars: int = 48):
+    def __init__(self, path: str, max_chunks: int = 1_200_000, max_chars: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

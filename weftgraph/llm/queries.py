@@ -7,13 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import arrowkit, packing, token_files
+from weftgraph.llm import arrowkit, lang_id, media, packing, quality, token_files, url_lm
 
 #: The public vocabulary of ids in token files and packs, and its size.
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_SIZE = 50_257
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(arrowkit.documents(spark, sf_dir))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.media_column(arrowkit.documents(spark, sf_dir)))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(arrowkit.documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = arrowkit.documents(spark, sf_dir)
     return token_files.token_files(docs, public_tokenizers.path(BYTE_BPE), BYTE_BPE_SIZE)
@@ -23,10 +35,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(arrowkit.documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.url_filter(arrowkit.pages(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op4_media_columns": op4_media_columns,
+        "op5_quality_rules": op5_quality_rules,
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_url_filters": op10_url_filters,
     }
 
 
