@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import arrowkit, lang_id, media, packing, quality, token_files, url_lm
+from weftgraph.llm import arrowkit, html_wrapper, lang_id, lpf_dedup, media, packing, quality, token_files, url_lm
 
 #: The public vocabulary of ids in token files and packs, and its size.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(arrowkit.documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.dedup_report(arrowkit.documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media_column(arrowkit.documents(spark, sf_dir)))
 
@@ -26,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(arrowkit.documents(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(arrowkit.pages(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = arrowkit.documents(spark, sf_dir)
     return token_files.token_files(docs, public_tokenizers.path(BYTE_BPE), BYTE_BPE_SIZE)
@@ -42,8 +50,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op4_media_columns": op4_media_columns,
         "op5_quality_rules": op5_quality_rules,
+        "op7_html_extraction": op7_html_extraction,
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filters": op10_url_filters,
