@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import arrowkit, html_wrapper, lang_id, lpf_dedup, media, packing, quality, token_files, url_lm
+from weftgraph.llm import (
+    arrowkit,
+    html_wrapper,
+    jaccard_join,
+    lang_id,
+    lpf_dedup,
+    media,
+    packing,
+    quality,
+    token_files,
+    url_lm,
+)
 
 #: The public vocabulary of ids in token files and packs, and its size.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(arrowkit.documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(arrowkit.documents(spark, sf_dir))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_texts(arrowkit.pages(spark, sf_dir))
 
@@ -53,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op4_media_columns": op4_media_columns,
         "op5_quality_rules": op5_quality_rules,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_html_extraction": op7_html_extraction,
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
