@@ -15,6 +15,7 @@ from weftgraph.llm import (
     lpf_dedup,
     media,
     packing,
+    piece_fst,
     quality,
     token_files,
     url_lm,
@@ -23,6 +24,8 @@ from weftgraph.llm import (
 #: The public vocabulary of ids in token files and packs, and its size.
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_SIZE = 50_257
+#: The public model of pieces.
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +36,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.dedup_report(arrowkit.documents(spark, sf_dir))
 
 
+def op3_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.round_trips(arrowkit.documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media_column(arrowkit.documents(spark, sf_dir)))
 
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_sentencepiece_wfst": op3_sentencepiece_wfst,
         "op4_media_columns": op4_media_columns,
         "op5_quality_rules": op5_quality_rules,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
