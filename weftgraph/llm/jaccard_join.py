@@ -410,17 +410,17 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = materialize(labelled_rows(docs.select("doc_id", "text"), percent), "jaccard-rows")
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    again = materialize(ids.filter("rows > 1").select(F.col("doc_id").alias("_id")), "jaccard-again")
+    again = materialize(ids.filter("rows > 1").select(F.col("doc_id").alias("_jaccard_id")), "jaccard-again")
     stay = rows.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    single = stay.select(F.col("doc_id").alias("_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    single = stay.select(F.col("doc_id").alias("_jaccard_id")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_jaccard_id"))
     if again.limit(1).count() == 0:
         return docs.join(single, same, "left_semi")
-    once = single.join(again, single["_id"].eqNullSafe(again["_id"]), "left_anti")
+    once = single.join(again, single["_jaccard_id"].eqNullSafe(again["_jaccard_id"]), "left_anti")
     out = docs.join(once, same, "left_semi")
     # rows that share an id are told apart by their sets
-    kinds = stay.select(F.col("doc_id").alias("_id"), F.col("class").alias("_kind"), F.col("n").alias("_n")).distinct()
-    versions = docs.join(again, same, "left_semi").withColumn("_class", _class_of_text("text"))
-    found = versions.join(kinds, same & (F.col("_class") == F.col("_kind")))
-    several = found.filter("_n > 0").dropDuplicates(["doc_id", "_class"]).union(found.filter("_n = 0"))
+    kinds = stay.select(F.col("doc_id").alias("_jaccard_id"), F.col("class").alias("_jaccard_kind"), F.col("n").alias("_jaccard_n")).distinct()
+    versions = docs.join(again, same, "left_semi").withColumn("_jaccard_class", _class_of_text("text"))
+    found = versions.join(kinds, same & (F.col("_jaccard_class") == F.col("_jaccard_kind")))
+    several = found.filter("_jaccard_n > 0").dropDuplicates(["doc_id", "_jaccard_class"]).union(found.filter("_jaccard_n = 0"))
     return out.unionByName(several.select(docs.columns))

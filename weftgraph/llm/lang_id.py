@@ -24,8 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -163,32 +164,29 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % FOLDS == 0
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; the model is some bytes for each bucket and language."""
-    spark = docs.sparkSession
+def prediction(spark: SparkSession, model: Model):
+    """A function of a text column: struct of ``lang_pred`` and ``score``.
+
+    The model is some bytes for each bucket and language.
+    """
     arrowkit.small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.weights))
-    out = docs.schema.add("lang_pred", "string").add("score", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value)
-        for batch in batches:
-            names, scores = known.predict(arrowkit.strings(batch, _TEXT))
-            kept = [(batch.column(i), f.name) for i, f in enumerate(batch.schema) if f.name != _TEXT]
-            arrays = [*(a for a, _ in kept), pa.array(names, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(n for _, n in kept), "lang_pred", "score"])
-
-    return docs.withColumn(_TEXT, F.col("text")).mapInArrow(run, out)
 
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(text: pd.Series) -> pd.DataFrame:
+        names, scores = Model(*shared.value).predict([x if isinstance(x, str) else None for x in text])
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
-_TEXT = "_lang_id_text"
+    return predicted
 
 
 def identify(docs: DataFrame, **limits: int) -> DataFrame:
     """Predict the language of every document by a model fitted on the labelled ones."""
-    model = fit(docs, **limits)
-    slim = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return predict(slim, model).select("doc_id", "held_out", "lang_pred", "score")
+    predicted = prediction(docs.sparkSession, fit(docs, **limits))
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return docs.select("doc_id", out.alias("held_out"), predicted("text").alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score"
+    )
 
 
 def spoken_documents(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
@@ -197,7 +195,6 @@ def spoken_documents(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     A document goes where it has no letter or where the likeliest language stays
     below ``min_score``.
     """
-    model = fit(docs)
-    found = predict(docs.select(*docs.columns), model)
-    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
+    found = docs.withColumn("_lang_id", prediction(docs.sparkSession, fit(docs))("text"))
+    known = (F.col("_lang_id.lang_pred") != UNDETERMINED) & (F.col("_lang_id.score") >= min_score)
     return found.filter(known).select(docs.columns)
