@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.llm import arrowkit
+from weftgraph.session import materialize
 
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS)
         "text", "lang", order.alias("order"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     ).filter("lang is not null and text is not null and not held_out and text rlike '\\\\p{L}'")
     # lengths and letters aside, counting needs the labels alone
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     kinds = counts.count()
     if not kinds:
         return solve(np.zeros((0, BUCKETS // 8), np.uint8), [])
