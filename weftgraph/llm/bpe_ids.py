@@ -29,32 +29,46 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class ChunkMemory(dict):
+    """Ids of chunks; ``make`` gives those of a new one."""
+
+    def __init__(self, make, max_chars: int):
+        self.make, self.max_chars = make, max_chars
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
+        if len(chunk) <= self.max_chars:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned ids: of 32 bits, or 16 with ``code`` H."""
 
-    def __init__(self, path: str, max_chunks: int = 1_200_000, max_chars: int = 48):
+    def __init__(self, path: str, code: str = "I", max_chunks: int = 1_000_000, max_chars: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.space = self.alphabet[ord(" ")]
+        self.code = code
+        self.marks = {x: self._whole(x) for x in ".,"}
         self.max_chunks = max_chunks
-        self.max_chars = max_chars
+        self.known = ChunkMemory(self._make, max_chars)
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _ids(self, plain: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _whole(self, plain: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(plain, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, space: str) -> bytes:
         """The ids of letters alone: one pre-token, so the model takes it as it is."""
-        byte_level = word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [x.id for x in self.model.tokenize(byte_level)]).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [x.id for x in self.model.tokenize(space + word)]).tobytes()
 
     @staticmethod
     def _plain(chunk: str) -> str:
@@ -73,48 +87,28 @@ class ChunkEncoder:
         first, *rest = _BREAK.split(text)
         return [_BARE + first, *rest]
 
-    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        known, word = self.known, self._word
-        now: dict[str, bytes] = {}
-        other = []
-        for x in chunks:
-            if x.isalpha():
-                now[x] = word(" " + x)
-            elif x[-1:] in (".", ",") and (y := x[:-1]).isalpha():
-                # letters and one mark are two pre-tokens
-                if (ids := known.get(y) or now.get(y)) is None:
-                    ids = now[y] = word(" " + y)
-                now[x] = ids + self.marks[x[-1]]
-            elif x[:1] == _BARE and x[1:].isalpha():
-                now[x] = word(x[1:])
-            else:
-                other.append(x)
-        now.update(zip(other, self._ids([self._plain(x) for x in other]), strict=True))
-        return now
+    def _make(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk, self.space)
+        if chunk[-1:] in (".", ",") and (stem := chunk[:-1]).isalpha():
+            # letters and one mark are two pre-tokens
+            return self.known[stem] + self.marks[chunk[-1]]
+        if chunk[:1] == _BARE and chunk[1:].isalpha():
+            return self._word(chunk[1:], "")
+        return self._whole(self._plain(chunk))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes. An empty text has none."""
-        parts = [self._chunks(x) for x in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        known = self.known
-        if len(known) > self.max_chunks:
-            known.clear()
-        new.difference_update(known)
-        now = self._encode_new(list(new))
-        known.update(now)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for x in now:
-            if len(x) > self.max_chars:
-                del known[x]
-        return out
+        if len(self.known) > self.max_chunks:
+            self.known.clear()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self._chunks(x))) for x in texts]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, code: str = "I") -> ChunkEncoder:
     """One encoder for each tokenizer file and Python worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, code)

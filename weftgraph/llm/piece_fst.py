@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftgraph.llm import arrowkit
-from weftgraph.llm.bpe_ids import _BARE, ChunkEncoder
+from weftgraph.llm.bpe_ids import _BARE, ChunkEncoder, ChunkMemory
 
 MARK = "▁"
 #: Cost of a byte piece: above any path without one.
@@ -70,9 +70,9 @@ class PieceTransducer(ChunkEncoder):
                 if any(x.isalpha() and y == c for x, y in zip(p, p[1:], strict=False)):
                     del self.stops[c]
         self.byte_of = {i: b for b, i in self.bytes_.items()}
-        self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.max_chunks, self.max_chars, self.max_pairs = max_chunks, max_chars, max_pairs
+        self.max_chunks, self.max_pairs = max_chunks, max_pairs
+        self.known = ChunkMemory(self._make, max_chars)
 
     def vocabulary(self) -> int:
         return len(self.pieces)
@@ -159,17 +159,10 @@ class PieceTransducer(ChunkEncoder):
             j = i
         return out[::-1]
 
-    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        path, plain, known = self.path, self._plain, self.known
-        now: dict[str, bytes] = {}
-        for x in chunks:
-            if x[-1:] in self.stops and (y := x[:-1])[-1:].isalpha():
-                if (ids := known.get(y) or now.get(y)) is None:
-                    ids = now[y] = array("I", path(plain(y))).tobytes()
-                now[x] = ids + self.stops[x[-1]]
-            elif x not in now:
-                now[x] = array("I", path(plain(x))).tobytes()
-        return now
+    def _make(self, chunk: str) -> bytes:
+        if chunk[-1:] in self.stops and (stem := chunk[:-1])[-1:].isalpha():
+            return self.known[stem] + self.stops[chunk[-1]]
+        return array("I", self.path(self._plain(chunk))).tobytes()
 
     # decoding
 

@@ -96,13 +96,14 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 def _packer(tokenizer: str, bits: int, end_id: int, segment_ids: int):
-    end = np.uint32(end_id).tobytes()
+    short = bits == 16  # then ids come packed
+    end = (np.uint16 if short else np.uint32)(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, "H" if short else "I").encode
         segment, first = 0, 0
         docs: list = []
         lens: list[int] = []
@@ -110,7 +111,7 @@ def _packer(tokenizer: str, bits: int, end_id: int, segment_ids: int):
         size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = b"".join(held)
             row = {
                 "shard": [shard],
                 "segment": [segment],
@@ -119,14 +120,14 @@ def _packer(tokenizer: str, bits: int, end_id: int, segment_ids: int):
                 "bits": [bits],
                 "doc_ids": [list(docs)],
                 "doc_lens": [list(lens)],
-                "payload": [pack(ids, bits)],
+                "payload": [ids if short else pack(np.frombuffer(ids, "<u4"), bits)],
             }
             return arrowkit.emit(row, _SEGMENTS)
 
         for batch in batches:
             found = encode(arrowkit.strings(batch, "text"))
             for doc, ids in zip(arrowkit.strings(batch, "doc_id"), found, strict=True):
-                n = len(ids) // 4 + 1
+                n = len(ids) // len(end) + 1
                 if size and size + n > segment_ids:
                     yield close()
                     segment, first = segment + 1, first + size
