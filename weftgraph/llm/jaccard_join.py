@@ -4,16 +4,16 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word shingl
 all its words if it has fewer). Two documents link where 100 times the shared shingles
 are at least ``PERCENT`` times all of theirs.
 
-1. Documents with equal sets are one class. Shingles are ordered by the rarest of their
-   words, counted over all documents in a table of fixed size, then by hash. Linked sets
-   share one of the first ``n - ceil(0.9 n) + 1`` shingles in that order, the prefix.
-2. Classes with the same prefix and size are one group. Groups that share a prefix
-   shingle meet: first each with the least group of the shingle, so the pairs are as
-   many as the prefix entries; members of a group meet its least member.
-3. Pairs are verified on the whole sets, and links give components.
-4. Where a shingle still joins different components, all pairs of its groups from
-   different components that pass the size and position filters are expanded and
-   verified too. A pair within one component can't change the result, so none is lost.
+1. Documents with equal sets are one class. Shingles are ordered by how rare they and
+   their words are, counted over all documents in tables of fixed size, then by hash.
+   Linked sets share one of the first ``n - ceil(0.9 n) + 1`` shingles, the prefix.
+2. Classes with the same prefix and size are one group. The groups of a shingle are put
+   in order of size; where sizes jump too far for any pair across to link, the row is
+   cut. Each group of a part is tied to the part's first: as many ties as prefix entries.
+3. What ties connect is a bag; linked classes are always in one. A bag is expanded to the
+   whole sets of its members and verified by products of membership matrices. A bag of
+   more than ``BLOCK`` shingles is dealt in blocks, and each pair of blocks is a task.
+4. A task returns a forest of its links, and the forests give the components.
 
 Rows: one result for each input row; the result of a row depends on its set alone, so
 equal rows get equal results. A null or wordless text has an empty set and is its own
@@ -41,6 +41,8 @@ PERCENT = 90
 #: Counters of words: 8 MB at any size.
 COUNTER_BITS = 21
 FILTER_BITS = 25
+#: Shingles of one block of a bag.
+BLOCK = 200_000
 _CHUNK = 1 << 15
 _PIECE = 1 << 20
 
@@ -131,20 +133,25 @@ _COUNTS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    """Counters of words, then those of shingles, in one row of numbers."""
+    counts = np.zeros(2 << COUNTER_BITS, np.int64)
     held: list[np.ndarray] = []
     size = 0
     for _, words in _documents(batches):
-        held.append(np.unique(words) >> np.uint64(64 - COUNTER_BITS))
-        size += len(held[-1])
+        held += (_counter(np.unique(words)), _counter(np.unique(shingles(words))) + (1 << COUNTER_BITS))
+        size += 2 * len(words)
         if size > _PIECE:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
             held, size = [], 0
     if held:
-        counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
     yield from _chunks(counts)
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     import zlib
 
@@ -166,12 +173,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrowkit.emit({"chunk": [k], "counts": [zlib.compress(part.tobytes(), 1)]}, _COUNTS)
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How many documents have a word of each counter, over all documents."""
+def rarities(texts: DataFrame) -> np.ndarray:
+    """How many documents have a word, or a shingle, of each counter, over all documents."""
     import zlib
 
     parts = texts.mapInArrow(_count, "chunk int, counts binary")
-    out = np.zeros(1 << COUNTER_BITS, np.uint32)
+    out = np.zeros(2 << COUNTER_BITS, np.uint32)
     for r in parts.repartition("chunk").mapInArrow(_sum, "chunk int, counts binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
         out[r["chunk"] * _CHUNK :][: len(part)] = np.minimum(part, (1 << 32) - 1)
@@ -205,9 +212,9 @@ def _prefixer(shared, percent: int):
         for doc, words in _documents(batches):
             all_ = shingles(words)
             found, first = np.unique(all_, return_index=True)
-            df = counts[words >> np.uint64(64 - COUNTER_BITS)]
-            rare = df[first]
-            for i in range(1, min(SHINGLE, len(words))):
+            df = counts[_counter(words)]
+            rare = counts[_counter(found) + (1 << COUNTER_BITS)]
+            for i in range(min(SHINGLE, len(words))):
                 rare = np.minimum(rare, df[first + i])
             p = prefix_length(len(found), percent)
             prefix = found[np.lexsort((found, rare))[:p]]
@@ -272,19 +279,70 @@ def class_filter(classes: DataFrame) -> np.ndarray:
 # --- candidates, links and components --------------------------------------------
 
 
-def _sizes_fit(percent: int):
-    a, b = F.col("a_n"), F.col("b_n")
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
+def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least member that each of ``n`` reaches by pairs."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for left, right in pairs:
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            if (x := root(a)) != (y := root(b)):
+                parent[max(x, y)] = min(x, y)
+    return np.array([root(x) for x in range(n)])
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that link, from products of membership matrices, a strip of rows at a time."""
+    sizes = np.array([len(x) for x in sets])
+    all_, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    several = count[where] > 1  # a shingle of one set is shared by no pair
+    column = np.cumsum(count > 1) - 1
+    rows, columns = owner[several], column[where[several]]
+    starts = np.searchsorted(rows, np.arange(len(sets) + 1))
+    order = np.argsort(columns, kind="stable")
+    by_column, column_rows = columns[order], rows[order]
+    for i in range(0, len(sets), step):
+        j = min(i + step, len(sets))
+        shared = np.zeros((j - i, len(sets)), np.float32)
+        own = columns[starts[i] : starts[j]]
+        used, local = np.unique(own, return_inverse=True)
+        left = rows[starts[i] : starts[j]] - i
+        for k in range(0, len(used), 4096):
+            part = (local >= k) & (local < k + 4096)
+            wide = min(4096, len(used) - k)
+            a = np.zeros((j - i, wide), np.float32)
+            a[left[part], local[part] - k] = 1
+            low = np.searchsorted(by_column, used[k])
+            high = np.searchsorted(by_column, used[k + wide - 1], "right")
+            at = np.searchsorted(used, by_column[low:high])
+            at = np.minimum(at, len(used) - 1)
+            hit = used[at] == by_column[low:high]
+            b = np.zeros((len(sets), wide), np.float32)
+            b[column_rows[low:high][hit], at[hit] - k] = 1
+            shared += a @ b.T
+        shared = shared.astype(np.int64)
+        total = sizes[i:j, None] + sizes[None, :] - shared
+        x, y = np.nonzero(100 * shared >= percent * total)
+        later = y > x + i
+        yield x[later] + i, y[later]
+
+
+def _forest(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("class")
+        classes = table.column("class").to_numpy()
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in table.column("shingles")]
+        root = _roots(len(sets), linked_pairs(sets, percent)) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": classes[root[other]], "b": classes[other]})
 
-def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` that link, by the whole sets."""
-    a = members.select(F.col("class").alias("a"), F.col("shingles").alias("a_set"))
-    b = members.select(F.col("class").alias("b"), F.col("shingles").alias("b_set"))
-    both = pairs.join(b, "b").join(a, "a")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    total = F.size("a_set") + F.size("b_set") - shared
-    return both.filter(100 * shared >= percent * total).select("a", "b")
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,6 +367,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def bags(grouped: DataFrame, percent: int) -> DataFrame:
+    """``bag``, ``class``, ``n`` of the classes that may link with another."""
+    groups = grouped.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = groups.select("group", "n", F.explode("prefix").alias("shingle"))
+    w = Window.partitionBy("shingle").orderBy("n", "group")
+    jump = F.coalesce(100 * F.lag("n").over(w) < percent * F.col("n"), F.lit(False)).cast("int")
+    parts = entries.withColumn("jump", jump).withColumn("part", F.sum("jump").over(w))
+    head = F.first("group").over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
+    ties = parts.withColumn("head", head).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b")).distinct()
+    tied = components(materialize(ties, "jaccard-ties")).select(F.col("class").alias("group"), F.col("component").alias("bag"))
+    members = grouped.select("group", "class", "n").join(tied, "group", "left").withColumn("bag", F.coalesce("bag", "group"))
+    several = members.groupBy("bag").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+    return members.join(several, "bag").select("bag", "class", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
+
+
 def linked_classes(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``class``, ``component`` of the classes that link with another."""
     spark: SparkSession = sets.sparkSession
@@ -316,60 +389,18 @@ def linked_classes(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     grouped = materialize(
         classes.select("class", "n", F.xxhash64("prefix", "n").alias("group"), "prefix"), "jaccard-classes"
     )
-    members = grouped.select("group", "class", "n")
-    groups = grouped.groupBy("group").agg(
-        F.min(F.struct("class", "n", "prefix")).alias("least"), F.count("*").alias("size")
-    )
-    entries = groups.select(
-        "group", F.col("least.class").alias("class"), F.col("least.n").alias("n"), "size",
-        F.posexplode("least.prefix").alias("at", "shingle"),
-    )
-    # entries of shingles that two groups share, with the least group of each
-    meet = Window.partitionBy("shingle")
-    index = entries.withColumns(
-        {"pivot": F.min(F.struct("class", "n", "group")).over(meet), "groups": F.count("*").over(meet)}
-    )
-    index = materialize(
-        index.filter("groups > 1").select("shingle", "group", "class", "n", "at", "pivot"), "jaccard-index"
-    )
-    first = index.filter("group != pivot.group").select(
-        F.col("pivot.class").alias("a"), F.col("pivot.n").alias("a_n"), "group"
-    )
-    inner = groups.filter("size > 1").select(F.col("least.class").alias("a"), F.col("least.n").alias("a_n"), "group")
-    pairs = first.distinct().union(inner).join(
-        members.select("group", F.col("class").alias("b"), F.col("n").alias("b_n")), "group"
+    found = materialize(bags(grouped, percent), "jaccard-bags")
+    shared = spark.sparkContext.broadcast(class_filter(found.select("class")))
+    whole = texts.mapInArrow(_setter(shared), "class long, shingles array<long>")
+    # each class once, by the least of its rows' addresses; then to its block with every block of its bag
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    pairs = F.explode(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
     )
-    pairs = materialize(pairs.filter(_sizes_fit(percent) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "jaccard-pairs")
-    # whole sets of the classes that any pair can need
-    wanted = index.select("group").union(groups.filter("size > 1").select("group")).distinct().join(members, "group")
-    shared = spark.sparkContext.broadcast(class_filter(wanted.select("class")))
-    kept = texts.mapInArrow(_setter(shared), "class long, shingles array<long>")
-    kept = materialize(kept.dropDuplicates(["class"]), "jaccard-sets")
-    links = materialize(verified(pairs, kept, percent), "jaccard-links")
-    labels = components(links)
-
-    # shingles that still join different components
-    labelled = members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    inside = labelled.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    spans = index.select("shingle", "group", "n", "at").join(inside, "group")
-    spans = spans.withColumns({"least": F.min("low").over(meet), "most": F.max("high").over(meet)})
-    spans = materialize(spans.filter("least != most").drop("least", "most"), "jaccard-spans")
-    a, b = (spans.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("group", "n", "at", "low", "high"))) for s in "ab")
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(percent) / F.lit(100 + percent) - 1e-6)
-    near = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need
-    differ = ~((F.col("a_low") == F.col("a_high")) & (F.col("a_low") == F.col("b_low")) & (F.col("b_low") == F.col("b_high")))
-    met = a.join(b, "shingle").filter((F.col("a_group") < F.col("b_group")) & _sizes_fit(percent) & near & differ)
-    met = met.select("a_group", "b_group").distinct()
-    alone = inside.filter("low != high").select(F.col("group").alias("a_group"), F.col("group").alias("b_group"))
-    ma = labelled.select(F.col("group").alias("a_group"), F.col("class").alias("a"), F.col("component").alias("a_component"))
-    mb = labelled.select(F.col("group").alias("b_group"), F.col("class").alias("b"), F.col("component").alias("b_component"))
-    more = met.union(alone).join(ma, "a_group").join(mb, "b_group").filter("a_component != b_component")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-    further = materialize(verified(more, kept, percent), "jaccard-links")
-    if further.limit(1).count() == 0:
-        return labels
-    return components(links.union(further))
+    wanted = whole.join(found, "class").dropDuplicates(["class"])
+    dealt = wanted.select("bag", pairs.alias("p"), "class", "shingles").select("bag", "p.i", "p.j", "class", "shingles")
+    forest = dealt.groupBy("bag", "i", "j").applyInArrow(_forest(percent), "a long, b long")
+    return components(materialize(forest, "jaccard-links"))
 
 
 def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -377,7 +408,7 @@ def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     arrowkit.small_batches(spark)
     texts = arrowkit.texts_of(docs, "doc_id")
-    shared = spark.sparkContext.broadcast(word_counts(texts))
+    shared = spark.sparkContext.broadcast(rarities(texts))
     sets = materialize(texts.mapInArrow(_prefixer(shared, percent), SETS), "jaccard-prefixes")
     labels = linked_classes(sets, texts, percent)
     least = sets.groupBy("class").agg(F.min("doc_id").alias("least"))
