@@ -38,8 +38,9 @@ from weftgraph.session import materialize
 
 SHINGLE = 3
 PERCENT = 90
-#: Counters of words: 8 MB at any size.
-COUNTER_BITS = 21
+#: Counters of words and of shingles: 20 MB at any size, since a count stops at 65535.
+WORD_BITS, SHINGLE_BITS = 21, 23
+COUNTERS = (1 << WORD_BITS) + (1 << SHINGLE_BITS)
 FILTER_BITS = 25
 #: Shingles of one block of a bag.
 BLOCK = 200_000
@@ -134,22 +135,26 @@ _COUNTS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters of words, then those of shingles, in one row of numbers."""
-    counts = np.zeros(2 << COUNTER_BITS, np.int64)
+    counts = np.zeros(COUNTERS, np.int32)
     held: list[np.ndarray] = []
     size = 0
     for _, words in _documents(batches):
-        held += (_counter(np.unique(words)), _counter(np.unique(shingles(words))) + (1 << COUNTER_BITS))
+        held += (_word_counter(np.unique(words)), _shingle_counter(np.unique(shingles(words))))
         size += 2 * len(words)
-        if size > _PIECE:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+        if size > 4 * _PIECE:
+            counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
             held, size = [], 0
     if held:
-        counts += np.bincount(np.concatenate(held), minlength=len(counts))
-    yield from _chunks(counts)
+        counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
+    yield from _chunks(counts.astype(np.int64))
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _word_counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def _shingle_counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64) + (1 << WORD_BITS)
 
 
 def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -178,10 +183,10 @@ def rarities(texts: DataFrame) -> np.ndarray:
     import zlib
 
     parts = texts.mapInArrow(_count, "chunk int, counts binary")
-    out = np.zeros(2 << COUNTER_BITS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint16)
     for r in parts.repartition("chunk").mapInArrow(_sum, "chunk int, counts binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        out[r["chunk"] * _CHUNK :][: len(part)] = np.minimum(part, (1 << 32) - 1)
+        out[r["chunk"] * _CHUNK :][: len(part)] = np.minimum(part, (1 << 16) - 1)
     return out
 
 
@@ -212,8 +217,8 @@ def _prefixer(shared, percent: int):
         for doc, words in _documents(batches):
             all_ = shingles(words)
             found, first = np.unique(all_, return_index=True)
-            df = counts[_counter(words)]
-            rare = counts[_counter(found) + (1 << COUNTER_BITS)]
+            df = counts[_word_counter(words)]
+            rare = counts[_shingle_counter(found)]
             for i in range(min(SHINGLE, len(words))):
                 rare = np.minimum(rare, df[first + i])
             p = prefix_length(len(found), percent)
@@ -348,23 +353,30 @@ def _forest(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """``class``, ``component``: the least class reachable, for classes with a link.
 
-    Labels spread along links and jump to their own labels until none changes.
+    Each round hooks a class to its least neighbour and that one's least neighbour, then
+    contracts: links go between what their ends became, and those within one go.
     """
-    both = materialize(links.union(links.select("b", "a")).toDF("class", "other").distinct(), "links")
-    labels = both.groupBy("class").agg(F.least(F.col("class"), F.min("other")).alias("component"))
-    labels = materialize(labels, "labels")
+    links = links.toDF("a", "b")
+    known = None
     while True:
-        there = labels.select(F.col("class").alias("other"), F.col("component").alias("near"))
-        spread = both.join(there, "other").groupBy("class").agg(F.min("near").alias("near"))
-        next_ = labels.join(spread, "class").select(
-            "class", F.least("component", "near").alias("to"), F.col("component").alias("was")
+        both = links.union(links.select("b", "a")).toDF("class", "other")
+        near = materialize(both.groupBy("class").agg(F.least(F.col("class"), F.min("other")).alias("near")), "near")
+        next_ = near.select(F.col("class").alias("near"), F.col("near").alias("far"))
+        to = materialize(
+            near.join(next_, "near", "left").select("class", F.least("near", F.coalesce("far", "near")).alias("component")), "hooks"
         )
-        jump = labels.select(F.col("class").alias("to"), F.col("component").alias("far"))
-        next_ = next_.join(jump, "to", "left").select("class", F.coalesce(F.least("to", "far"), "to").alias("component"), "was")
-        next_ = materialize(next_, "labels")
-        labels = next_.select("class", "component")
-        if next_.filter("component != was").limit(1).count() == 0:
-            return labels
+        if known is None:
+            known = to
+        else:
+            step = to.select(F.col("class").alias("component"), F.col("component").alias("further"))
+            known = known.join(step, "component", "left").select("class", F.coalesce("further", "component").alias("component"))
+            known = materialize(known, "components")
+        a = to.select(F.col("class").alias("a"), F.col("component").alias("x"))
+        b = to.select(F.col("class").alias("b"), F.col("component").alias("y"))
+        links = links.join(a, "a").join(b, "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = materialize(links.distinct(), "contracted")
+        if links.limit(1).count() == 0:
+            return known
 
 
 def bags(grouped: DataFrame, percent: int) -> DataFrame:
