@@ -1,15 +1,969 @@
-"""The named queries of the library and their SQL counterparts."""
+"""The named queries of the library and their SQL counterparts.
+
+Each query is a pair: a Spark function of (spark, sf_dir), and the same rows in SQL over
+the tables. Lists come back as joined text and scores rounded, so that both sides hash
+alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions import registry
+from weftgraph.functions import text as txt
+from weftgraph.operators import graph, metrics, reports, resolve, traverse, validate
+from weftgraph.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Asked of searches and walks.
+KEYWORD, SEGMENT, TYPED = "an", "build", "1"
+ROOTS = ("R:0", "R:1")
+STRIDE = tables.STRIDE
+
+# --- the views of ``sources.tables`` in SQL -------------------------------------
+
+_NODES = f"""nodes AS (
+ SELECT 0 + r_regionkey AS ord, 'R:' || r_regionkey AS id, 'Region' AS type, r_name AS name, 'Region ' || r_name AS description,
+   CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS nation, CAST(NULL AS VARCHAR) AS segment, CAST(NULL AS VARCHAR) AS brand,
+   CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS priority FROM region
+ UNION ALL SELECT {STRIDE} + n_nationkey, 'N:' || n_nationkey, 'Nation', n_name, 'Nation ' || n_name, CAST(n_regionkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nation
+ UNION ALL SELECT {2 * STRIDE} + s_suppkey, 'S:' || s_suppkey, 'Supplier', s_name, 'Supplier ' || s_name, NULL, CAST(s_nationkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
+ UNION ALL SELECT {3 * STRIDE} + c_custkey, 'C:' || c_custkey, 'Customer', c_name, 'Customer ' || c_name, NULL, CAST(c_nationkey AS VARCHAR), c_mktsegment, NULL, NULL, NULL, NULL, NULL FROM customer
+ UNION ALL SELECT {4 * STRIDE} + p_partkey, 'P:' || p_partkey, 'Part', p_name, 'Part ' || p_name, NULL, NULL, NULL, p_brand, p_type, CAST(p_size AS VARCHAR), NULL, NULL FROM part
+ UNION ALL SELECT {5 * STRIDE} + o_orderkey, 'O:' || o_orderkey, 'Order', o_orderpriority, 'Order ' || o_orderpriority, NULL, NULL, NULL, NULL, NULL, NULL, o_orderstatus, o_orderpriority FROM orders)"""
+_EDGES = f"""edges AS (
+ SELECT 0 + n_nationkey AS ord, 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst, 'PART_OF' AS type, '' AS description FROM nation
+ UNION ALL SELECT {STRIDE} + s_suppkey, 'S:' || s_suppkey, 'N:' || s_nationkey, 'LOCATED_IN', '' FROM supplier
+ UNION ALL SELECT {2 * STRIDE} + c_custkey, 'C:' || c_custkey, 'N:' || c_nationkey, 'LOCATED_IN', '' FROM customer
+ UNION ALL SELECT {3 * STRIDE} + o_orderkey, 'O:' || o_orderkey, 'C:' || o_custkey, 'PLACED_BY', o_orderstatus FROM orders
+ UNION ALL SELECT {4 * STRIDE} + l_orderkey * 10 + l_linenumber, 'O:' || l_orderkey, 'P:' || l_partkey, 'CONTAINS', l_returnflag FROM lineitem
+ UNION ALL SELECT {5 * STRIDE} + l_orderkey * 10 + l_linenumber, 'O:' || l_orderkey, 'S:' || l_suppkey, 'FULFILLED_BY', l_linestatus FROM lineitem)"""
+_GRAPH = f"WITH RECURSIVE {_NODES}, {_EDGES}"
+_PLACE = f"""{_GRAPH}, pn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')),
+ pe AS (SELECT * FROM edges WHERE type = 'PART_OF' OR src LIKE 'S:%'),
+ tn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier', 'Customer')),
+ te AS (SELECT * FROM edges WHERE type IN ('PART_OF', 'LOCATED_IN'))"""
+_MENTIONS = """WITH m AS (SELECT event_id AS ord, 'U:' || user_id AS id, event_type AS type, 'user ' || user_id AS name, props AS description,
+  strftime(ts, '%Y-%m-%d') AS section, json_extract_string(props, '$.k') AS k,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events)"""
+_MENTION_EDGES = f"""{_MENTIONS}, me AS (SELECT * FROM (SELECT ord, id AS src, lag(id) OVER (PARTITION BY section ORDER BY ord) AS dst,
+  upper(type) AS type, section, name AS description FROM m) WHERE dst IS NOT NULL)"""
+_RANKED = f"{_MENTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY id, type ORDER BY length(description) DESC, ord) AS rank FROM m)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def _ids(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+# --- lookups and counts -----------------------------------------------------------
+
+
+@query("type_counts", f"{_GRAPH} SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def type_counts(spark, d):
+    return graph.type_counts(tables.nodes(spark, d))
+
+
+@query(
+    "graph_summary",
+    f"{_GRAPH} SELECT 'entity' AS what, type, count(*) AS n FROM nodes GROUP BY ROLLUP (type) "
+    "UNION ALL SELECT 'relationship', type, count(*) FROM edges GROUP BY ROLLUP (type)",
+)
+def graph_summary(spark, d):
+    return graph.summary(tables.nodes(spark, d), tables.edges(spark, d))
+
+
+@query("nodes_of_type", f"{_GRAPH} SELECT id FROM nodes WHERE type = 'Supplier'")
+def nodes_of_type(spark, d):
+    return graph.of_type(tables.nodes(spark, d), "Supplier")
+
+
+@query("find_entities", f"{_GRAPH} SELECT id, name, description FROM nodes WHERE lower(type) = 'nation'")
+def find_entities(spark, d):
+    return graph.find_entities(tables.nodes(spark, d), "NATION")
+
+
+_HAY = "lower(concat_ws(' ', id, name, description, type, region, nation, segment, brand, kind, size, status, priority))"
+
+
+@query("search_entities", f"{_GRAPH} SELECT id, type, name, description FROM nodes WHERE contains({_HAY}, '{KEYWORD}')")
+def search_entities(spark, d):
+    return graph.search(tables.nodes(spark, d), KEYWORD.upper())
+
+
+@query("search_first", f"{_GRAPH} SELECT id, type, name, description FROM nodes WHERE contains({_HAY}, 'customer') ORDER BY ord LIMIT 12")
+def search_first(spark, d):
+    return graph.search(tables.nodes(spark, d), "customer", 12)
+
+
+@query("find_by_attribute", f"{_GRAPH} SELECT id, name, type, segment AS value FROM nodes WHERE contains(lower(segment), '{SEGMENT}')")
+def find_by_attribute(spark, d):
+    return graph.find_by_attribute(tables.nodes(spark, d), "segment", SEGMENT)
+
+
+@query("autocomplete", f"{_GRAPH} SELECT id, name FROM nodes WHERE contains(lower(name), '{TYPED}') ORDER BY ord LIMIT 8")
+def autocomplete(spark, d):
+    return graph.autocomplete(tables.nodes(spark, d), TYPED)
+
+
+@query(
+    "entity_detail",
+    f"""{_GRAPH}, x AS (SELECT src AS id, 'out' AS direction, type AS relation, dst AS other FROM edges WHERE src IN ('N:3', 'S:5')
+      UNION ALL SELECT dst, 'in', type, src FROM edges WHERE dst IN ('N:3', 'S:5'))
+    SELECT x.id, direction, relation, other, coalesce(n.name, other) AS other_name, n.type AS other_type FROM x LEFT JOIN nodes n ON n.id = other""",
+)
+def entity_detail(spark, d):
+    return graph.relations(tables.nodes(spark, d), tables.edges(spark, d), _ids(spark, "N:3", "S:5"))
+
+
+_UNPIVOT = " UNION ALL ".join(
+    f"SELECT id, '{k}' AS key, {k} AS value FROM nodes WHERE {k} IS NOT NULL"
+    for k in ("region", "nation", "segment", "brand", "kind", "size", "status", "priority")
+)
+
+
+@query("entity_attributes", f"{_GRAPH} {_UNPIVOT}")
+def entity_attributes(spark, d):
+    return graph.attributes(tables.nodes(spark, d))
+
+
+@query("grouped_members", f"{_GRAPH} SELECT type, count(*) AS n, string_agg(id, ',' ORDER BY id) AS members FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier') GROUP BY type")
+def grouped_members(spark, d):
+    return graph.grouped(tables.place_nodes(spark, d))
+
+
+@query(
+    "graph_colours",
+    f"""{_GRAPH} SELECT id, type, CASE type WHEN 'Region' THEN '#123456' WHEN 'Nation' THEN '#654321' ELSE '#999999' END AS colour,
+    CASE type WHEN 'Region' THEN 1 WHEN 'Nation' THEN 2 ELSE 5 END AS level, CASE WHEN type IN ('Region', 'Nation') THEN 'places' ELSE '' END AS "group" FROM nodes""",
+)
+def graph_colours(spark, d):
+    colours = spark.createDataFrame([("Region", "#123456", 1, "places"), ("Nation", "#654321", 2, "places")], "type string, colour string, level int, group string")
+    return graph.coloured(tables.nodes(spark, d), colours)
+
+
+@query(
+    "legend",
+    f"""{_GRAPH} SELECT CASE WHEN type IN ('Region', 'Nation') THEN 'places' ELSE '' END AS "group", type, count(*) AS n FROM nodes GROUP BY type""",
+)
+def legend(spark, d):
+    groups = spark.createDataFrame([("Region", "places"), ("Nation", "places")], "type string, group string")
+    return graph.legend(graph.type_counts(tables.nodes(spark, d)), groups)
+
+
+@query(
+    "edge_numbers",
+    f"{_GRAPH} SELECT 'r' || (row_number() OVER (ORDER BY ord, src, dst, type, description) - 1) AS edge_id, ord, src, dst, type, description FROM edges",
+)
+def edge_numbers(spark, d):
+    return graph.numbered(tables.edges(spark, d))
+
+
+@query(
+    "graph_lines",
+    f"""{_PLACE} SELECT 0 AS part, ord, '[' || type || '] ' || name || ' (' || id || '): ' || description AS line FROM pn
+    UNION ALL SELECT 1, ord, src || ' -[' || type || ']-> ' || dst FROM pe""",
+)
+def graph_lines(spark, d):
+    return graph.text_lines(tables.place_nodes(spark, d), tables.place_edges(spark, d))
+
+
+# --- building ----------------------------------------------------------------------
+
+
+@query(
+    "edges_collapsed",
+    f"""{_GRAPH} SELECT min(ord) AS ord, src, dst, max(struct_pack(o := ord, t := type, d := description)).t AS type, max(struct_pack(o := ord, t := type, d := description)).d AS description, count(*) AS parallel
+    FROM edges GROUP BY src, dst""",
+)
+def edges_collapsed(spark, d):
+    return graph.collapse_edges(tables.edges(spark, d))
+
+
+@query(
+    "dangling_edges",
+    f"""{_GRAPH}, kept AS (SELECT id FROM nodes WHERE type <> 'Part') SELECT ord, src, dst, type, description, dst AS missing FROM edges
+    WHERE dst NOT IN (SELECT id FROM kept) AND src IN (SELECT id FROM kept)""",
+)
+def dangling_edges(spark, d):
+    kept = tables.nodes(spark, d).filter("type != 'Part'")
+    return graph.dangling_edges(tables.edges(spark, d), kept).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(
+    "graph_built",
+    f"""{_GRAPH}, kept AS (SELECT id FROM nodes WHERE type <> 'Part'), e AS (SELECT * FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept))
+    SELECT src, dst, arg_max(type, ord) AS type, count(*) AS parallel FROM e GROUP BY src, dst""",
+)
+def graph_built(spark, d):
+    _, e = graph.build(tables.nodes(spark, d).filter("type != 'Part'"), tables.edges(spark, d))
+    return e.select("src", "dst", "type", "parallel")
+
+
+@query(
+    "merged_node_attrs",
+    f"""{_MENTIONS} SELECT id, min(ord) AS ord, arg_max(type, ord) AS type, arg_max(description, ord) AS description, arg_max(k, ord) AS k FROM m GROUP BY id""",
+)
+def merged_node_attrs(spark, d):
+    n = graph.first_nodes(tables.mentions(spark, d))
+    return n.select("id", "ord", "type", "description", F.col("attrs")["k"].alias("k"))
+
+
+# --- resolution --------------------------------------------------------------------
+
+
+@query(
+    "exact_id_dedup",
+    f"""{_RANKED} SELECT id, type, min(ord) AS ord, count(*) AS size, arg_min(name, rank) AS name, arg_min(description, rank) AS description,
+    string_agg(DISTINCT section, ',' ORDER BY section) AS appears_in FROM r GROUP BY id, type""",
+)
+def exact_id_dedup(spark, d):
+    m = resolve.exact_dedup(tables.mentions(spark, d))
+    return _long(m, "size").select("id", "type", "ord", "size", "name", "description", F.array_join("appears_in", ",").alias("appears_in"))
+
+
+_FIRSTS = """f AS (SELECT id, type, description, min(rank) AS rank FROM r GROUP BY id, type, description),
+ fk AS (SELECT id, type, k, min(rank) AS rank FROM r WHERE k IS NOT NULL GROUP BY id, type, k),
+ fp AS (SELECT id, type, parity, min(rank) AS rank FROM r GROUP BY id, type, parity)"""
+
+
+@query(
+    "group_merge_attrs",
+    f"""{_RANKED}, {_FIRSTS},
+    a AS (SELECT id, type, string_agg(description, '|' ORDER BY rank) AS anchors FROM f GROUP BY id, type),
+    b AS (SELECT id, type, string_agg(k, '; ' ORDER BY rank) AS k FROM fk GROUP BY id, type),
+    c AS (SELECT id, type, string_agg(parity, '; ' ORDER BY rank) AS parity FROM fp GROUP BY id, type)
+    SELECT * FROM a JOIN b USING (id, type) JOIN c USING (id, type)""",
+)
+def group_merge_attrs(spark, d):
+    m = resolve.exact_dedup(tables.mentions(spark, d))
+    return m.select("id", "type", F.array_join("anchors", "|").alias("anchors"), F.col("attrs")["k"].alias("k"), F.col("attrs")["parity"].alias("parity"))
+
+
+@query(
+    "group_merge_fallback",
+    f"""{_RANKED}, t AS (SELECT id, type, arg_min(k, rank) AS k0, arg_min(parity, rank) AS p0, count(DISTINCT k) AS ks FROM r GROUP BY id, type), {_FIRSTS},
+    c AS (SELECT id, type, string_agg(parity, '; ' ORDER BY rank) AS parity FROM fp GROUP BY id, type)
+    SELECT id, type, k0 AS k, CASE WHEN ks > 1 THEN p0 ELSE parity END AS parity, ks > 1 AS fallback FROM t JOIN c USING (id, type)""",
+)
+def group_merge_fallback(spark, d):
+    m = resolve.exact_dedup(tables.mentions(spark, d), typed=("k",))
+    return m.select("id", "type", F.col("attrs")["k"].alias("k"), F.col("attrs")["parity"].alias("parity"), "fallback")
+
+
+@query("merge_counts", f"{_MENTIONS} SELECT count(*) AS entities, CAST(sum(n - 1) AS BIGINT) AS merges FROM (SELECT count(*) AS n FROM m GROUP BY id, type)")
+def merge_counts(spark, d):
+    return resolve.merges(resolve.exact_dedup(tables.mentions(spark, d)))
+
+
+# users 10k+1 become users 10k, and every third user becomes one that doesn't exist
+_REMAPS = """remaps AS (SELECT row_number() OVER (ORDER BY u) AS ord, 'U:' || u AS old_id, CASE WHEN u % 10 = 1 THEN 'U:' || (u - 1) ELSE 'U:x' || (u // 9) END AS new_id
+  FROM (SELECT DISTINCT user_id AS u FROM events) WHERE u % 10 = 1 OR u % 3 = 0 AND u % 10 <> 0)"""
+
+
+def _remaps(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    u = tables.table(spark, d, "events").select(F.col("user_id").alias("u")).distinct().filter("u % 10 = 1 or (u % 3 = 0 and u % 10 != 0)")
+    new = F.when(F.col("u") % 10 == 1, F.concat(F.lit("U:"), (F.col("u") - 1).cast("string"))).otherwise(F.concat(F.lit("U:x"), F.floor(F.col("u") / 9).cast("string")))
+    return u.select(F.row_number().over(Window.orderBy("u")).cast("long").alias("ord"), F.concat(F.lit("U:"), F.col("u").cast("string")).alias("old_id"), new.alias("new_id"))
+
+
+@query(
+    "remap_merge",
+    f"""{_MENTIONS}, {_REMAPS}, x AS (SELECT m.* EXCLUDE id, m.id AS was, coalesce(new_id, m.id) AS id FROM m LEFT JOIN remaps ON old_id = m.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(description) DESC, ord) AS rank FROM x),
+    p AS (SELECT id, parity, min(rank) AS rank FROM r GROUP BY id, parity), pa AS (SELECT id, string_agg(parity, '; ' ORDER BY rank) AS parity FROM p GROUP BY id)
+    SELECT id, count(*) AS size, arg_min(type, rank) AS type, arg_min(name, rank) AS name, any_value(pa.parity) AS parity FROM r JOIN pa USING (id) GROUP BY id""",
+)
+def remap_merge(spark, d):
+    m = resolve.apply_remaps(tables.mentions(spark, d), _remaps(spark, d))
+    return _long(m, "size").select("id", "size", "type", "name", F.col("attrs")["parity"].alias("parity"))
+
+
+@query(
+    "remap_problems",
+    f"""{_MENTIONS}, {_REMAPS}, more AS (SELECT * FROM remaps UNION ALL VALUES (9001, 'U:nobody', 'U:1'), (9002, 'U:2', 'U:2'), (9003, 'U:4', 'U:5'), (9004, 'U:5', 'U:4'))
+    SELECT a.ord, a.old_id, a.new_id, CASE WHEN a.old_id NOT IN (SELECT id FROM m) THEN 'unknown old id' WHEN a.old_id = a.new_id THEN 'onto itself'
+      WHEN EXISTS (SELECT 1 FROM more b WHERE b.old_id = a.new_id AND b.new_id = a.old_id) THEN 'cycle' END AS problem FROM more a""",
+)
+def remap_problems(spark, d):
+    extra = spark.createDataFrame([(9001, "U:nobody", "U:1"), (9002, "U:2", "U:2"), (9003, "U:4", "U:5"), (9004, "U:5", "U:4")], "ord long, old_id string, new_id string")
+    return resolve.checked_remaps(_remaps(spark, d).unionByName(extra), tables.mentions(spark, d))
+
+
+@query(
+    "remapped_edges",
+    f"""{_MENTION_EDGES}, {_REMAPS} SELECT me.ord, coalesce(a.new_id, src) AS src, coalesce(b.new_id, dst) AS dst, me.type, section, description
+    FROM me LEFT JOIN remaps a ON a.old_id = src LEFT JOIN remaps b ON b.old_id = dst""",
+)
+def remapped_edges(spark, d):
+    return resolve.remap_edges(tables.mention_edges(spark, d), _remaps(spark, d))
+
+
+@query(
+    "dedup_edges",
+    f"""{_MENTION_EDGES} SELECT src, dst, type, min(ord) AS ord, arg_min(section, ord) AS section, arg_min(description, ord) AS description, count(*) AS copies
+    FROM me GROUP BY src, dst, type""",
+)
+def dedup_edges(spark, d):
+    return resolve.dedup_edges(tables.mention_edges(spark, d))
+
+
+@query(
+    "new_edges",
+    f"""{_MENTION_EDGES}, old AS (SELECT * FROM me WHERE ord % 3 = 0), new AS (SELECT * FROM me WHERE ord % 3 <> 0)
+    SELECT src, dst, type, min(ord) AS ord, count(*) AS copies FROM new WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.src = new.src AND o.dst = new.dst AND o.type = new.type)
+    GROUP BY src, dst, type""",
+)
+def new_edges(spark, d):
+    e = tables.mention_edges(spark, d)
+    return resolve.new_edges(e.filter("ord % 3 = 0"), e.filter("ord % 3 != 0")).select("src", "dst", "type", "ord", "copies")
+
+
+@query(
+    "orphans",
+    f"""{_MENTION_EDGES}, kept AS (SELECT id FROM m WHERE CAST(substr(id, 3) AS INT) % 7 <> 0),
+    lost AS (SELECT * FROM me WHERE src NOT IN (SELECT id FROM kept) OR dst NOT IN (SELECT id FROM kept)),
+    ids AS (SELECT DISTINCT id FROM (SELECT src AS id FROM lost UNION ALL SELECT dst FROM lost) WHERE id NOT IN (SELECT id FROM kept) ORDER BY id LIMIT 10)
+    SELECT (SELECT count(*) FROM lost) AS orphans, (SELECT string_agg(id, ',' ORDER BY id) FROM ids) AS sample""",
+)
+def orphans(spark, d):
+    kept = tables.mentions(spark, d).filter(F.substring("id", 3, 20).cast("int") % 7 != 0)
+    return resolve.orphan_sample(tables.mention_edges(spark, d), kept)
+
+
+@query(
+    "foreign_dedup",
+    """WITH x AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS id, lang AS type, source AS name,
+      CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'v' || (doc_id % 11) END AS a FROM documents)
+    SELECT min(ord) AS ord, arg_min(id, ord) AS id, type, arg_min(name, ord) AS name, count(*) AS size, arg_min(a, ord) FILTER (a IS NOT NULL) AS a FROM x GROUP BY lower(id), type""",
+)
+def foreign_dedup(spark, d):
+    x = tables.table(spark, d, "documents")
+    a = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("v"), (F.col("doc_id") % 11).cast("string")))
+    rows = x.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("id"), F.col("lang").alias("type"), F.col("source").alias("name"), F.create_map(F.lit("a"), a).alias("attrs"))
+    return resolve.foreign_dedup(rows).select("ord", "id", "type", "name", "size", F.col("attrs")["a"].alias("a"))
+
+
+@query("reconstruction_problems", f"{_MENTIONS} SELECT DISTINCT id, type, CASE WHEN type = 'click' THEN 'lost parity' ELSE '' END AS problems FROM m")
+def reconstruction_problems(spark, d):
+    m = tables.mentions(spark, d)
+    merged = resolve.exact_dedup(m)
+    cut = merged.withColumn("attrs", F.when(F.col("type") == "click", F.map_filter("attrs", lambda k, _: k != "parity")).otherwise(F.col("attrs")))
+    return resolve.reconstruction_problems(cut, m)
+
+
+# --- validation --------------------------------------------------------------------
+
+_KINDS = "kinds AS (SELECT id, type AS kind FROM nodes)"
+#: Every fourth edge is turned, and customers get one that no rule allows.
+_TURNED = """cand AS (SELECT ord, CASE WHEN ord % 4 = 0 THEN dst ELSE src END AS src, CASE WHEN ord % 4 = 0 THEN src ELSE dst END AS dst,
+  CASE WHEN ord % 13 = 0 THEN 'PART_OF' WHEN ord % 17 = 0 THEN 'ODD' ELSE type END AS type FROM te)"""
+_ALLOW = "(({t} = 'PART_OF' AND {s} = 'Nation' AND {d} = 'Region') OR ({t} = 'LOCATED_IN' AND {s} IN ('Supplier', 'Customer') AND {d} = 'Nation'))"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.trade_edges(spark, d)
+    turn = F.col("ord") % 4 == 0
+    kind = F.when(F.col("ord") % 13 == 0, "PART_OF").when(F.col("ord") % 17 == 0, "ODD").otherwise(F.col("type"))
+    return e.select("ord", F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst"), kind.alias("type"))
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return registry.relation_table(spark, registry.TABLE_RELATIONS)
+
+
+@query(
+    "validate_edges",
+    f"""{_PLACE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, coalesce(a.kind, 'Unknown') AS src_type, coalesce(b.kind, 'Unknown') AS dst_type FROM cand LEFT JOIN kinds a ON a.id = src LEFT JOIN kinds b ON b.id = dst),
+    v AS (SELECT *, CASE WHEN type = 'ODD' THEN 'invalid' WHEN {_ALLOW.format(t='type', s='src_type', d='dst_type')} THEN 'valid' WHEN {_ALLOW.format(t='type', s='dst_type', d='src_type')} THEN 'flipped' ELSE 'invalid' END AS verdict FROM x)
+    SELECT ord, src, dst, type, src_type, dst_type, verdict, CASE WHEN verdict <> 'invalid' THEN '' WHEN type = 'ODD' THEN 'unknown relationship type ODD'
+      ELSE concat_ws('; ', CASE WHEN (type = 'PART_OF' AND src_type <> 'Nation') OR (type = 'LOCATED_IN' AND src_type NOT IN ('Supplier', 'Customer')) THEN 'source type ' || src_type END,
+        CASE WHEN (type = 'PART_OF' AND dst_type <> 'Region') OR (type = 'LOCATED_IN' AND dst_type <> 'Nation') THEN 'target type ' || dst_type END) END AS warnings FROM v""",
+)
+def validate_edges(spark, d):
+    return validate.validate_edges(_candidates(spark, d), tables.trade_nodes(spark, d), _rules(spark))
+
+
+@query(
+    "flipped_edges",
+    f"""{_PLACE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, a.kind AS s, b.kind AS t FROM cand JOIN kinds a ON a.id = src JOIN kinds b ON b.id = dst)
+    SELECT ord, src, dst, type FROM x WHERE {_ALLOW.format(t='type', s='s', d='t')} UNION ALL SELECT ord, dst, src, type FROM x WHERE {_ALLOW.format(t='type', s='t', d='s')}""",
+)
+def flipped_edges(spark, d):
+    return validate.flipped(validate.validate_edges(_candidates(spark, d), tables.trade_nodes(spark, d), _rules(spark))).select("ord", "src", "dst", "type")
+
+
+@query(
+    "stage_filter",
+    f"""{_PLACE}, {_KINDS}, {_TURNED}, two AS (SELECT * FROM cand UNION ALL SELECT ord + 100000000000000, src, dst, type FROM cand WHERE ord % 5 = 0),
+    old AS (SELECT DISTINCT src, dst, type FROM te WHERE ord % 6 = 0),
+    x AS (SELECT two.*, a.kind AS s, b.kind AS t, min(ord) OVER (PARTITION BY src, dst, type) AS first, EXISTS (SELECT 1 FROM old o WHERE o.src = two.src AND o.dst = two.dst AND o.type = two.type) AS met
+      FROM two LEFT JOIN kinds a ON a.id = src AND a.id NOT LIKE 'C:%7' LEFT JOIN kinds b ON b.id = dst AND b.id NOT LIKE 'C:%7')
+    SELECT ord, src, dst, type, CASE WHEN s IS NULL OR t IS NULL THEN 'orphan' WHEN met OR ord > first THEN 'duplicate'
+      WHEN {_ALLOW.format(t='type', s='s', d='t')} OR {_ALLOW.format(t='type', s='t', d='s')} THEN 'valid' ELSE 'invalid' END AS outcome FROM x""",
+)
+def stage_filter(spark, d):
+    c = _candidates(spark, d)
+    two = c.unionByName(c.filter("ord % 5 = 0").withColumn("ord", F.col("ord") + 100000000000000))
+    known = tables.trade_nodes(spark, d).filter("id not like 'C:%7'")
+    old = tables.trade_edges(spark, d).filter("ord % 6 = 0")
+    return validate.stage_filter(two, old, known, _rules(spark)).drop("verdict")
+
+
+@query(
+    "section_integrity",
+    f"""{_MENTION_EDGES}, own AS (SELECT DISTINCT section, id FROM m WHERE ord % 2 = 0)
+    SELECT section, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS kept, count(*) FILTER (a.id IS NULL OR b.id IS NULL) AS lost
+    FROM me LEFT JOIN own a ON a.section = me.section AND a.id = src LEFT JOIN own b ON b.section = me.section AND b.id = dst GROUP BY me.section""".replace("SELECT section, count", "SELECT me.section, count"),
+)
+def section_integrity(spark, d):
+    return validate.section_integrity(tables.mention_edges(spark, d), tables.mentions(spark, d).filter("ord % 2 = 0"))
+
+
+@query(
+    "cross_section_edges",
+    f"""{_MENTION_EDGES}, k AS (SELECT id, arg_max(type, ord) AS kind, arg_min(section, ord) AS s FROM m WHERE CAST(substr(id, 3) AS INT) % 9 <> 0 GROUP BY id)
+    SELECT ord, src, dst, me.type, CASE WHEN a.s IS NULL THEN 'missing source' WHEN b.s IS NULL THEN 'missing target' WHEN a.s = b.s THEN 'same section'
+      WHEN NOT ((me.type = 'CLICK' AND (a.kind = 'view' OR b.kind = 'view')) OR (me.type = 'VIEW')) THEN 'type constraint' END AS reason
+    FROM me LEFT JOIN k a ON a.id = src LEFT JOIN k b ON b.id = dst""",
+)
+def cross_section_edges(spark, d):
+    rules = registry.relation_table(spark, {"CLICK": (["view"], []), "VIEW": ([], [])})
+    known = tables.mentions(spark, d).filter(F.substring("id", 3, 20).cast("int") % 9 != 0)
+    first = known.groupBy("id").agg(F.min_by("section", "ord").alias("section"))
+    return validate.cross_section(tables.mention_edges(spark, d), known, rules, first).select("ord", "src", "dst", "type", "reason")
+
+
+_BAD = """CASE WHEN doc_id % 7 = 0 THEN 'Nothing' WHEN doc_id % 2 = 0 THEN 'Service' ELSE 'SeverityLevel' END"""
+
+
+@query(
+    "validate_entities",
+    f"""WITH x AS (SELECT doc_id AS ord, {_BAD} AS type, CASE WHEN doc_id % 11 <> 0 THEN source END AS name,
+      CASE WHEN doc_id % 5 = 0 THEN '"many"' WHEN doc_id % 5 = 1 THEN '"3"' WHEN doc_id % 5 = 2 THEN 'null' ELSE '4' END AS n FROM documents)
+    SELECT ord, type, CASE WHEN type = 'Nothing' THEN 'unknown type: Nothing' ELSE concat_ws('; ', CASE WHEN n = '"many"' THEN 'bad value: ' || CASE type WHEN 'Service' THEN 'activation_severity_threshold' ELSE 'level' END END,
+      CASE WHEN name IS NULL THEN 'missing: name' END) END AS errors, CASE WHEN type <> 'Nothing' AND n <> '"many"' AND name IS NOT NULL THEN 'extra field: colour' ELSE '' END AS warnings FROM x""",
+)
+def validate_entities(spark, d):
+    c = F.col("doc_id")
+    kind = F.when(c % 7 == 0, "Nothing").when(c % 2 == 0, "Service").otherwise("SeverityLevel")
+    n = F.when(c % 5 == 0, '"many"').when(c % 5 == 1, '"3"').when(c % 5 == 2, "null").otherwise("4")
+    attr = F.when(c % 2 == 0, "activation_severity_threshold").otherwise("level")
+    raw = tables.table(spark, d, "documents").select(
+        c.alias("ord"), c.cast("string").alias("id"), kind.alias("type"), F.when(c % 11 != 0, F.col("source")).alias("name"), F.lit("").alias("description"),
+        F.create_map(attr, n, F.lit("colour"), F.lit('"red"')).alias("attrs"),
+    )
+    v = validate.validate_entities(raw, registry.attribute_table(spark))
+    return v.select("ord", "type", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(
+    "allowed_triples",
+    """WITH t(type) AS (VALUES ('Customer'), ('Nation'), ('Order'), ('Part'), ('Region'), ('Supplier'))
+    SELECT 'Nation' AS src_type, 'PART_OF' AS type, 'Region' AS dst_type UNION ALL SELECT 'Supplier', 'LOCATED_IN', 'Nation' UNION ALL SELECT 'Customer', 'LOCATED_IN', 'Nation'
+    UNION ALL SELECT 'Order', 'PLACED_BY', 'Customer' UNION ALL SELECT 'Order', 'CONTAINS', 'Part' UNION ALL SELECT 'Order', 'FULFILLED_BY', type FROM t""",
+)
+def allowed_triples(spark, d):
+    return registry.allowed_triples(_rules(spark), spark.createDataFrame([(t,) for t in registry.TABLE_TYPES], "type string"))
+
+
+@query(
+    "constraint_rollup",
+    """SELECT * FROM (VALUES ('PART_OF', 'Nation', 'Region'), ('LOCATED_IN', 'Customer, Supplier', 'Nation'), ('PLACED_BY', 'Order', 'Customer'),
+    ('CONTAINS', 'Order', 'Part'), ('FULFILLED_BY', 'Order', 'any')) AS t(type, sources, targets)""",
+)
+def constraint_rollup(spark, d):
+    return registry.constraint_rollup(_rules(spark))
+
+
+@query("registry_types")
+def registry_types(spark, d):
+    return registry.type_prompt(registry.attribute_table(spark))
+
+
+@query(
+    "stamped_entities",
+    """SELECT doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 4 = 0 THEN CAST(doc_id % 10 AS VARCHAR) ELSE 'SEC-' || (doc_id % 10) END AS source_section,
+    CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'SEC-' || (doc_id % 10) END AS appears_in FROM documents""",
+)
+def stamped_entities(spark, d):
+    c = F.col("doc_id")
+    rows = tables.table(spark, d, "documents").select(
+        c.alias("ord"), F.when(c % 3 == 0, F.col("source")).otherwise("").alias("source_section"),
+        F.when(c % 4 == 0, "").otherwise(F.concat(F.lit("SEC-"), (c % 10).cast("string"))).alias("section_id"), (c % 10).cast("string").alias("section_number"),
+    )
+    return validate.stamp(rows).select("ord", "source_section", F.array_join("appears_in", ",").alias("appears_in"))
+
+
+# --- traversal ---------------------------------------------------------------------
+
+_BOTH = "both_ways AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM te UNION ALL SELECT dst, src FROM te))"
+_DOWN = "down AS (SELECT row_number() OVER (ORDER BY ord) AS ord, dst AS src, src AS dst, type FROM te)"
+
+
+@query(
+    "khop_neighbors",
+    f"""{_PLACE}, {_BOTH}, w AS (SELECT id AS start, id, 0 AS hops FROM (VALUES ('R:0'), ('S:5')) AS t(id)
+      UNION SELECT start, b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 2) SELECT start, id, min(hops) AS hops FROM w GROUP BY start, id""",
+)
+def khop_neighbors(spark, d):
+    return traverse.k_hop(tables.trade_edges(spark, d), _ids(spark, "R:0", "S:5"), 2)
+
+
+@query(
+    "khop_edges",
+    f"""{_PLACE}, {_BOTH}, w AS (SELECT 'R:0' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 1)
+    SELECT 'R:0' AS start, src, dst, type FROM te WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)""",
+)
+def khop_edges(spark, d):
+    e = tables.trade_edges(spark, d)
+    return traverse.induced(e, traverse.k_hop(e, _ids(spark, "R:0"), 1))
+
+
+@query(
+    "cascade_bfs",
+    f"""{_PLACE}, w AS (SELECT id AS start, id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS type FROM (VALUES {', '.join(f"('{r}')" for r in ROOTS)}) AS t(id)
+      UNION ALL SELECT start, src, depth + 1, id, te.type FROM w JOIN te ON dst = id WHERE depth < 10) SELECT * FROM w""",
+)
+def cascade_bfs(spark, d):
+    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return traverse.cascade(down, _ids(spark, *ROOTS)).drop("rank")
+
+
+@query(
+    "cascade_summary",
+    f"""{_PLACE}, w AS (SELECT id AS start, id, 0 AS depth FROM (VALUES {', '.join(f"('{r}')" for r in ROOTS)}) AS t(id) UNION ALL SELECT start, src, depth + 1 FROM w JOIN te ON dst = id WHERE depth < 10)
+    SELECT start, count(*) AS nodes, count(*) - 1 AS edges, max(depth) AS depth FROM w GROUP BY start""",
+)
+def cascade_summary(spark, d):
+    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return traverse.cascade_summary(traverse.cascade(down, _ids(spark, *ROOTS)))
+
+
+@query(
+    "workflow_chain",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn FROM conversations), w AS (SELECT conv_id, 0 AS turn, 0 AS step FROM (SELECT DISTINCT conv_id FROM t WHERE turn = 0)
+      UNION ALL SELECT w.conv_id, w.turn + 1, step + 1 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn + 1)
+    SELECT conv_id || '/0' AS start, step, conv_id || '/' || turn AS id, 0 AS branches FROM w""",
+)
+def workflow_chain(spark, d):
+    n, e = tables.turns(spark, d)
+    known = graph.known_edges(e, n)
+    return traverse.workflow_chains(known, n.filter(F.endswith("id", F.lit("/0"))).select("id"))
+
+
+_PAIRS = "pairs(source, target) AS (VALUES ('S:1', 'S:2'), ('R:0', 'S:3'), ('S:4', 'C:10'))"
+_PATHS = f"""{_PLACE}, {_BOTH}, {_PAIRS}, w AS (SELECT source, target, source AS here, [source] AS path FROM pairs
+  UNION ALL SELECT source, target, b, list_append(path, b) FROM w JOIN both_ways ON a = here WHERE here <> target AND len(path) <= 5 AND NOT list_contains(path, b)),
+  paths AS (SELECT source, target, path FROM w WHERE here = target AND len(path) > 1)"""
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([("S:1", "S:2"), ("R:0", "S:3"), ("S:4", "C:10")], "source string, target string")
+    return traverse.simple_paths(tables.trade_edges(spark, d), pairs)
+
+
+@query("simple_paths", f"{_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM paths")
+def simple_paths(spark, d):
+    return _paths(spark, d).withColumn("path", F.array_join("path", ">"))
+
+
+_STEPS = f"""{_PATHS}, n AS (SELECT *, count(*) OVER (PARTITION BY source, target) AS found, row_number() OVER (PARTITION BY source, target ORDER BY len(path), array_to_string(path, '>')) AS nth FROM paths),
+  s AS (SELECT source, target, found, nth, unnest(range(len(path) - 1)) AS step, path FROM n WHERE nth <= 5),
+  h AS (SELECT source, target, found, nth, step, path[step + 1] AS a, path[step + 2] AS b FROM s),
+  k AS (SELECT src, dst, arg_max(type, ord) AS type FROM te GROUP BY src, dst),
+  st AS (SELECT h.*, coalesce(f.type, r.type) AS type, CASE WHEN f.type IS NOT NULL THEN 'forward' ELSE 'backward' END AS direction
+   FROM h LEFT JOIN k f ON f.src = a AND f.dst = b LEFT JOIN k r ON r.src = b AND r.dst = a)"""
+
+
+@query("path_steps", f"{_STEPS} SELECT source, target, found, nth, CAST(step AS INT) AS step, a, b, type, direction FROM st")
+def path_steps(spark, d):
+    return traverse.path_steps(_paths(spark, d), tables.trade_edges(spark, d))
+
+
+@query(
+    "path_highlight",
+    f"""{_STEPS} SELECT DISTINCT source, target, 'edge' AS kind, CASE direction WHEN 'forward' THEN a || '->' || b ELSE b || '->' || a END AS key FROM st
+    UNION SELECT source, target, 'node', unnest([a, b]) FROM st""",
+)
+def path_highlight(spark, d):
+    e = tables.trade_edges(spark, d)
+    return traverse.path_highlight(traverse.path_steps(_paths(spark, d), e))
+
+
+_HIDDEN = f"""{_PLACE}, w AS (SELECT id AS root, id FROM (VALUES ('R:1'), ('N:3')) AS t(id) UNION SELECT root, src FROM w JOIN te ON dst = id)"""
+
+
+@query("subtree_hidden", f"{_HIDDEN} SELECT root, id FROM w WHERE id <> root")
+def subtree_hidden(spark, d):
+    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return traverse.hidden(down, _ids(spark, "R:1", "N:3"))
+
+
+@query("visible_edges", f"{_HIDDEN}, g AS (SELECT id FROM w WHERE id <> root) SELECT ord, dst AS src, src AS dst, type FROM te WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)")
+def visible_edges(spark, d):
+    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return traverse.visible_edges(down, traverse.hidden(down, _ids(spark, "R:1", "N:3")))
+
+
+@query(
+    "neighbor_highlight",
+    f"""{_PLACE}, x AS (SELECT 'N:3' AS focus, src, dst FROM te WHERE src = 'N:3' OR dst = 'N:3')
+    SELECT DISTINCT focus, 'edge' AS kind, src || '->' || dst AS key FROM x UNION SELECT focus, 'node', unnest([src, dst]) FROM x""",
+)
+def neighbor_highlight(spark, d):
+    return traverse.neighbour_highlight(tables.trade_edges(spark, d), _ids(spark, "N:3"))
+
+
+# --- metrics -----------------------------------------------------------------------
+
+_DEGREE = "deg AS (SELECT n.id, count(e.x) AS degree FROM {n} n LEFT JOIN (SELECT src AS x FROM {e} UNION ALL SELECT dst FROM {e}) e ON e.x = n.id GROUP BY n.id)"
+
+
+@query("degree", f"{_GRAPH}, {_DEGREE.format(n='nodes', e='edges')} SELECT * FROM deg")
+def degree(spark, d):
+    return metrics.degrees(tables.nodes(spark, d), tables.edges(spark, d))
+
+
+@query("degree_centrality", f"{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT id, degree, round(degree / ((SELECT count(*) FROM tn) - 1)::DOUBLE, 8) AS centrality FROM deg")
+def degree_centrality(spark, d):
+    return metrics.degree_centrality(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)).withColumn("centrality", F.round("centrality", 8))
+
+
+_COMPONENTS = """links AS (SELECT src AS a, dst AS b FROM te WHERE type <> 'PART_OF'), root AS (SELECT tn.id, coalesce(l.b, tn.id) AS hub FROM tn LEFT JOIN links l ON l.a = tn.id),
+ comp AS (SELECT id, min(id) OVER (PARTITION BY hub) AS component FROM root)"""
+
+
+@query("components", f"{_PLACE}, {_COMPONENTS} SELECT id, component FROM comp")
+def components(spark, d):
+    return metrics.components(tables.trade_nodes(spark, d), tables.trade_edges(spark, d).filter("type != 'PART_OF'"))
+
+
+@query(
+    "clusters",
+    f"""{_PLACE}, {_COMPONENTS}, r AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY ord) AS nth FROM comp JOIN tn USING (id))
+    SELECT component, count(*) AS size, string_agg(name, ', ' ORDER BY nth) FILTER (nth <= 5) AS names FROM r GROUP BY component""",
+)
+def clusters(spark, d):
+    n = tables.trade_nodes(spark, d)
+    return metrics.clusters(n, metrics.components(n, tables.trade_edges(spark, d).filter("type != 'PART_OF'")))
+
+
+@query(
+    "density_report",
+    f"""{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT count(*) AS nodes, (SELECT count(*) FROM te) AS edges, round((SELECT count(*) FROM te) / (count(*) * (count(*) - 1))::DOUBLE, 6) AS density,
+    count(*) FILTER (degree = 0) AS isolated, round(avg(degree), 4) AS mean_degree, max(degree) AS max_degree,
+    (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1) AS top_node, (SELECT count(*) FROM region) AS components FROM deg""",
+)
+def density_report(spark, d):
+    return metrics.structure(tables.trade_nodes(spark, d), tables.trade_edges(spark, d))
+
+
+def _rank_sql(k: int) -> str:
+    steps = []
+    for i in range(1, k + 1):
+        p = f"p{i - 1}"
+        steps.append(
+            f"""p{i} AS (SELECT n.id, (1 - 0.85::DOUBLE) / (SELECT c FROM cnt) + 0.85::DOUBLE * (SELECT sum(rank) FROM {p} WHERE id NOT IN (SELECT src FROM fan)) / (SELECT c FROM cnt)
+            + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM tn n LEFT JOIN (SELECT l.dst AS id, sum({p}.rank / fan.fan) AS given FROM l JOIN {p} ON {p}.id = l.src JOIN fan ON fan.src = l.src GROUP BY l.dst) g ON g.id = n.id)"""
+        )
+    return (
+        f"{_PLACE}, cnt AS (SELECT count(*)::DOUBLE AS c FROM tn), l AS (SELECT DISTINCT src, dst FROM te), fan AS (SELECT src, count(*) AS fan FROM l GROUP BY src), "
+        f"p0 AS (SELECT id, 1.0::DOUBLE / (SELECT c FROM cnt) AS rank FROM tn), {', '.join(steps)}"
+    )
+
+
+@query("pagerank_k", f"{_rank_sql(5)} SELECT id, round(rank, 9) AS rank FROM p5")
+def pagerank_k(spark, d):
+    return metrics.pagerank(tables.trade_nodes(spark, d), tables.trade_edges(spark, d), 5, None).withColumn("rank", F.round("rank", 9))
+
+
+# links only go up to nations and regions, so ranks stand still after two rounds and the spread of sinks settles
+@query("pagerank")
+def pagerank(spark, d):
+    return metrics.pagerank(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)).withColumn("rank", F.round("rank", 6))
+
+
+# in a forest every pair of nodes of a tree has one path: a node lies between the pairs of its branches
+_BETWEEN = f"""{_PLACE}, nat AS (SELECT n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation),
+  reg AS (SELECT r, sum(s + 1) AS below, sum((s + 1) * (s + 1)) AS squares FROM nat GROUP BY r), c AS (SELECT count(*)::DOUBLE AS n FROM pn),
+  raw AS (SELECT 'R:' || r AS id, (below * below - squares)::DOUBLE AS b FROM reg
+    UNION ALL SELECT 'N:' || k, (s * (s - 1) + 2 * s * (below - s))::DOUBLE FROM nat JOIN reg USING (r)),
+  btw AS (SELECT pn.id, coalesce(b, 0) / (((SELECT n FROM c) - 1) * ((SELECT n FROM c) - 2)) AS betweenness FROM pn LEFT JOIN raw ON raw.id = pn.id)"""
+
+
+@query("betweenness", f"{_BETWEEN} SELECT id, round(betweenness, 8) AS betweenness FROM btw")
+def betweenness(spark, d):
+    return metrics.betweenness(tables.place_nodes(spark, d), tables.place_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
+
+
+@query("importance")
+def importance(spark, d):
+    return metrics.importance(tables.place_nodes(spark, d), tables.place_edges(spark, d))
+
+
+@query(
+    "minmax_degree",
+    f"""{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT id, round((degree - (SELECT min(degree) FROM deg)) / ((SELECT max(degree) FROM deg) - (SELECT min(degree) FROM deg))::DOUBLE, 6) AS degree FROM deg""",
+)
+def minmax_degree(spark, d):
+    return metrics.min_max(metrics.degrees(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)), "degree").withColumn("degree", F.round("degree", 6))
+
+
+@query(
+    "edge_weights",
+    f"""{_PLACE}, {_DEGREE.format(n='pn', e='pe')} SELECT src, dst, type, (a.degree + b.degree) / 2.0::DOUBLE AS weight FROM pe JOIN deg a ON a.id = src JOIN deg b ON b.id = dst""",
+)
+def edge_weights(spark, d):
+    e = tables.place_edges(spark, d)
+    scores = metrics.degrees(tables.place_nodes(spark, d), e).withColumnRenamed("degree", "importance")
+    return metrics.edge_weights(e, scores)
+
+
+@query(
+    "graph_view",
+    f"""{_PLACE}, {_DEGREE.format(n='pn', e='pe')} SELECT id, type, name, degree FROM pn JOIN deg USING (id)""",
+)
+def graph_view(spark, d):
+    n = tables.place_nodes(spark, d)
+    return n.join(metrics.degrees(n, tables.place_edges(spark, d)), "id").select("id", "type", "name", "degree")
+
+
+# --- reports -----------------------------------------------------------------------
+
+
+@query(
+    "eval_rollup",
+    """WITH j AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, 3 * quality + doc_id % 4 AS total FROM labels)
+    SELECT difficulty, count(*) AS n, count(*) FILTER (total >= 4) AS passed, round(avg(total), 4) AS mean_score, round(100.0::DOUBLE * count(*) FILTER (total >= 4) / count(*), 1) AS pass_rate FROM j GROUP BY ROLLUP (difficulty)""",
+)
+def eval_rollup(spark, d):
+    c = F.col("doc_id") % 3
+    j = tables.table(spark, d, "labels").select(F.when(c == 0, "easy").when(c == 1, "medium").otherwise("hard").alias("difficulty"), (3 * F.col("quality") + F.col("doc_id") % 4).alias("total"))
+    return reports.evaluation(j)
+
+
+@query(
+    "usage_rollup",
+    """SELECT role AS stage, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens, count(*) AS calls FROM conversations GROUP BY ROLLUP (role)""",
+)
+def usage_rollup(spark, d):
+    t = tables.table(spark, d, "conversations")
+    return reports.usage(t.select(F.col("role").alias("stage"), F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens")))
+
+
+@query(
+    "jaccard_pairs",
+    """WITH t AS (SELECT DISTINCT lang AS e, source AS t FROM documents WHERE doc_id % 3 <> 1 OR lang = 'en'), s AS (SELECT e, list(DISTINCT t) AS l FROM t GROUP BY e)
+    SELECT a.e AS a, b.e AS b, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))::DOUBLE, 3) AS jaccard FROM s a JOIN s b ON a.e < b.e""",
+)
+def jaccard_pairs(spark, d):
+    t = tables.table(spark, d, "documents").filter("doc_id % 3 != 1 or lang = 'en'").select(F.col("lang").alias("experiment"), F.col("source").alias("type"))
+    return reports.type_jaccard(t)
+
+
+@query(
+    "coverage_pct",
+    """WITH r AS (SELECT DISTINCT source AS type FROM documents WHERE lang = 'en')
+    SELECT lang AS experiment, count(DISTINCT source) FILTER (source IN (SELECT type FROM r)) AS matched, round(100.0::DOUBLE * count(DISTINCT source) FILTER (source IN (SELECT type FROM r)) / (SELECT count(*) FROM r), 1) AS coverage_pct
+    FROM documents GROUP BY lang""",
+)
+def coverage_pct(spark, d):
+    t = tables.table(spark, d, "documents").select(F.col("lang").alias("experiment"), F.col("source").alias("type"))
+    return reports.schema_coverage(t, t.filter("experiment = 'en'"))
+
+
+@query(
+    "experiment_stats",
+    f"""{_MENTION_EDGES}, n AS (SELECT type AS experiment, count(*) AS nodes FROM m GROUP BY type), e AS (SELECT lower(type) AS experiment, count(*) AS edges FROM me GROUP BY type)
+    SELECT experiment, nodes, 2.0::DOUBLE AS mean_properties, edges, round(edges / (nodes * (nodes - 1))::DOUBLE, 4) AS density FROM n JOIN e USING (experiment)""",
+)
+def experiment_stats(spark, d):
+    n = tables.mentions(spark, d).select(F.col("type").alias("experiment"), "attrs")
+    e = tables.mention_edges(spark, d).select(F.lower("type").alias("experiment"))
+    return reports.experiment_stats(n, e).select("experiment", "nodes", "mean_properties", "edges", "density")
+
+
+_STEPSQL = "s AS (SELECT conv_id AS scenario, turn AS step, list_distinct(string_split(lower(substr(text, 1, 40)), ' ')) AS items FROM conversations)"
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.array_distinct(F.split(F.lower(F.substring("text", 1, 40)), " ")).alias("items"))
+
+
+@query(
+    "progressive_reveal",
+    f"""WITH {_STEPSQL} SELECT a.scenario, a.step, (SELECT count(DISTINCT i) FROM (SELECT unnest(b.items) AS i FROM s b WHERE b.scenario = a.scenario AND b.step <= a.step)) AS revealed,
+    (SELECT string_agg(i, ' ' ORDER BY i) FROM (SELECT unnest(a.items) AS i) WHERE i NOT IN (SELECT unnest(b.items) FROM s b WHERE b.scenario = a.scenario AND b.step < a.step)) AS fresh FROM s a""",
+)
+def progressive_reveal(spark, d):
+    r = reports.reveal(_steps(spark, d))
+    fresh = F.when(F.size("fresh") > 0, F.array_join(F.array_sort("fresh"), " "))
+    return r.select("scenario", "step", F.size("revealed").cast("long").alias("revealed"), fresh.alias("fresh"))
+
+
+@query("log_history", """SELECT conv_id AS scenario, turn AS step, coalesce(sum(1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lines FROM conversations""")
+def log_history(spark, d):
+    t = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.array("role").alias("log"))
+    return reports.history(t).select("scenario", "step", F.size("history").cast("long").alias("lines"))
+
+
+# --- text --------------------------------------------------------------------------
+
+_SPACES = r"'[ \t\n\r\f\v]+'"
+
+
+@query("normalized_text", f"SELECT item_id, trim(regexp_replace(nfc_normalize(text), {_SPACES}, ' ', 'g')) AS text FROM benchmark")
+def normalized_text(spark, d):
+    t = tables.table(spark, d, "benchmark")
+    return txt.normalize(t, "text", "n").select("item_id", F.col("n").alias("text"))
+
+
+@query("strip_markdown", "SELECT item_id, text FROM benchmark")
+def strip_markdown(spark, d):
+    marked = F.concat(F.lit("**"), F.regexp_replace("text", " ", " __"), F.lit("**"))
+    return tables.table(spark, d, "benchmark").select("item_id", txt.strip_markdown(marked).alias("text"))
+
+
+@query(
+    "anchor_offsets",
+    """SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS "offset", 'exact' AS kind FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
+)
+def anchor_offsets(spark, d):
+    # texts are matched by a word of their own first, so no pair of all rows is made
+    b = tables.table(spark, d, "benchmark").select("item_id", F.col("text").alias("anchor"))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
+    own = F.split("anchor", "[ \\n]")
+    key = F.array_max(F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 2, F.lit(1))), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("doc", "[ \\n]"))).alias("w"))
+    near = b.withColumn("w", key).join(words, "w").select("item_id", "anchor", "doc_id").join(docs, "doc_id")
+    found = txt.locate(near, "anchor", "doc", fuzzy=False).filter("kind = 'exact'")
+    return found.select("item_id", "doc_id", F.col("offset").cast("long").alias("offset"), "kind")
+
+
+@query(
+    "fixed_chunks",
+    """SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(i * 800 AS INT) AS start, substr(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS chunk
+    FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 800.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)""",
+)
+def fixed_chunks(spark, d):
+    return txt.fixed_chunks(tables.table(spark, d, "documents").select("doc_id", "text"), "text", 1000, 200)
+
+
+@query(
+    "split_sections",
+    """WITH x AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(1)), chr(10) || chr(1)) AS p FROM documents)
+    SELECT doc_id, CAST(i AS INT) AS chunk_index, chunk FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line, trim(unnest(p), ' ') AS chunk FROM x) WHERE chunk <> ''""",
+)
+def split_sections(spark, d):
+    t = tables.table(spark, d, "documents").select("doc_id", F.concat(F.lit("## "), F.regexp_replace("text", "\\n", "\n## ")).alias("text"))
+    out = txt.split_sections(t, "text")
+    return out.select("doc_id", "chunk_index", F.trim(F.regexp_replace("chunk", "^##\\s*", "")).alias("chunk")).filter("chunk != ''")
+
+
+@query(
+    "section_numbers",
+    """WITH x AS (SELECT doc_id, 'SEC-0' || (1 + doc_id % 9) || CASE WHEN doc_id % 3 > 0 THEN chr(CAST(97 + doc_id % 5 AS INT)) ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id % 4 AS VARCHAR) ELSE '' END AS section_id FROM documents)
+    SELECT doc_id, section_id, (1 + doc_id % 9) || CASE WHEN doc_id % 3 > 0 THEN '.' || (1 + doc_id % 5) ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN '.' || (doc_id % 4) ELSE '' END AS section_number FROM x""",
+)
+def section_numbers(spark, d):
+    c = F.col("doc_id")
+    letter = F.when(c % 3 > 0, F.char(97 + c % 5)).otherwise("")
+    sub = F.when(c % 3 == 2, (c % 4).cast("string")).otherwise("")
+    rows = tables.table(spark, d, "documents").select(c, F.concat(F.lit("SEC-0"), (1 + c % 9).cast("string"), letter, sub).alias("section_id"))
+    return rows.withColumn("section_number", txt.section_number(F.col("section_id")))
+
+
+@query(
+    "json_repair",
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, event_id % 4 < 3 AS parsed FROM (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS props FROM events)""",
+)
+def json_repair(spark, d):
+    c = F.col("event_id") % 4
+    broken = F.when(c == 0, F.col("props")).when(c == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(c == 2, F.concat(F.lit("\x01"), "props")).otherwise(F.concat("props", F.lit("}")))
+    rows = tables.table(spark, d, "events").select("event_id", txt.repaired_json(broken).alias("j"))
+    return rows.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.col("j").isNotNull().alias("parsed"))
+
+
+@query("canonical_types", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN upper(substr(event_type, 1, 1)) || substr(event_type, 2) ELSE upper(event_type) END AS canonical FROM events")
+def canonical_types(spark, d):
+    names = spark.createDataFrame([("Click",), ("View",)], "type string")
+    rows = tables.table(spark, d, "events").select("event_id", F.upper("event_type").alias("t"))
+    return txt.canonical_type(rows, "t", names).select("event_id", "canonical")
+
+
+@query(
+    "mojibake_census",
+    """WITH c AS (SELECT unnest(regexp_extract_all(text, '[' || chr(128) || '-' || chr(255) || ']')) AS c FROM documents)
+    SELECT c AS char, upper(printf('%04x', unicode(c))) AS code, count(*) AS n FROM c GROUP BY c""",
+)
+def mojibake_census(spark, d):
+    return txt.mojibake_census(tables.table(spark, d, "documents"), "text")
+
+
+@query("mojibake_fixed", "SELECT doc_id, text FROM documents")
+def mojibake_fixed(spark, d):
+    # read as Latin-1, then repaired
+    docs = tables.table(spark, d, "documents").select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("bad"))
+    return txt.fix_mojibake(docs, "bad", "text").select("doc_id", "text")
+
+
+@query(
+    "link_graph",
+    """WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM x GROUP BY page_id, href""",
+)
+def link_graph(spark, d):
+    links = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    return tables.table(spark, d, "pages").select("page_id", links.alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(
+    "anchoring_report",
+    """WITH a AS (SELECT b.text, d.text AS doc, CASE WHEN b.item_id % 3 = 0 THEN -1 ELSE strpos(d.text, b.text) - 1 END AS off FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+    SELECT count(*) AS total, count(*) FILTER (text <> '') AS anchored, count(*) FILTER (contains(doc, text)) AS verbatim, count(*) FILTER (off >= 0) AS located, round(100.0::DOUBLE * count(*) FILTER (contains(doc, text)) / count(*), 1) AS verbatim_pct FROM a""",
+)
+def anchoring_report(spark, d):
+    b = tables.table(spark, d, "benchmark")
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
+    rows = b.join(docs, b.item_id == docs.doc_id)
+    off = F.when(F.col("item_id") % 3 == 0, -1).otherwise(F.position(F.col("text"), F.col("doc")) - 1)
+    return reports.anchoring(rows.withColumn("offset", off))
+
+
+@query(
+    "section_coverage",
+    """WITH s AS (SELECT doc_id, sum(length(substr(text, 1, 900))) AS chars FROM documents WHERE doc_id % 5 <> 0 GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(chars, 0) / greatest(length(text), 1)::DOUBLE, 4) AS coverage, coalesce(chars, 0) / greatest(length(text), 1)::DOUBLE < 0.85 AS warning FROM documents LEFT JOIN s USING (doc_id)""",
+)
+def section_coverage(spark, d):
+    docs = tables.table(spark, d, "documents").select("doc_id", "text")
+    return reports.coverage(docs.filter("doc_id % 5 != 0").withColumn("text", F.substring("text", 1, 900)), docs)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
