@@ -108,9 +108,9 @@ def apply_remaps(entities: DataFrame, remaps: DataFrame, typed: tuple[str, ...]
 
 def canonical_member(entities: DataFrame, remaps: DataFrame) -> DataFrame:
     """For each new id that no entity has: the member that takes it."""
-    known = entities.select("id").distinct()
-    lone = remaps.join(known, remaps.new_id == known.id, "left_anti")
-    rows = lone.join(entities, lone.old_id == entities.id).select("new_id", "old_id", "appears_in", "description", entities.ord)
+    known = entities.select(F.col("id").alias("new_id")).distinct()
+    lone = remaps.select("old_id", "new_id").join(known, "new_id", "left_anti")
+    rows = lone.join(entities.withColumnRenamed("id", "old_id"), "old_id")
     w = Window.partitionBy("new_id").orderBy(F.size("appears_in").desc(), F.length("description").desc(), "ord")
     return rows.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("new_id", F.col("old_id").alias("canonical"))
 

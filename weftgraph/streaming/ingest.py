@@ -11,7 +11,8 @@ LATENESS = "2 hours"
 
 def events(spark: SparkSession, path: str, schema: str, files_each: int = 16) -> DataFrame:
     """Events as they arrive in a folder of Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def new_mentions(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
