@@ -83,6 +83,8 @@ class PieceTransducer(ChunkEncoder):
     def _chunks(text: str) -> list[str]:
         if not text:
             return []
+        if _BARE in text:
+            return [f"{_BARE} {text}"]
         first, *rest = ChunkEncoder._chunks(text)
         # alone, a line feed is a chunk without a mark
         return [first[1:] if first != _BARE + "\n" else _BARE + " \n", *rest]
