@@ -1,0 +1,46 @@
+"""Whole plans: from answers to an ontology, and requests over a stored graph."""
+
+import json
+
+import pytest
+
+from weftgraph.functions import registry
+from weftgraph.plans import ontology, service
+
+
+def test_ontology_from_answers(spark):
+    e1 = {"entities": [{"id": "o", "type": "Organization", "name": "Org", "description": "an org", "source_text": "Org runs"},
+                       {"id": "s", "type": "Service", "name": "S", "description": "x", "attributes": {"k": "1"}}, {"id": "bad", "type": "Nope", "name": "N", "description": ""}]}
+    e2 = {"entities": [{"id": "s", "type": "Service", "name": "S", "description": "longer text", "attributes": {"k": "2"}}, {"id": "s2", "type": "Service", "name": "S2", "description": "y"}]}
+    answers = spark.createDataFrame([("1", json.dumps(e1)), ("2", "```json\n" + json.dumps(e2) + "\n```"), ("3", "sorry")], "key string, response string")
+    r = {"relationships": [{"source_id": "o", "target_id": "s", "type": "PROVIDES"}, {"source_id": "o", "target_id": "s2", "type": "PROVIDES"}, {"source_id": "o", "target_id": "gone", "type": "PROVIDES"}]}
+    rel = spark.createDataFrame([("1", json.dumps(r))], "key string, response string")
+    remaps = spark.createDataFrame([(0, "s2", "s")], "ord long, old_id string, new_id string")
+    found = ontology.read_entities(answers)
+    done = ontology.merge(found, ontology.read_relations(rel), remaps, registry.attribute_table(spark))
+    assert done.counters.first().asDict() == {"mentions": 4, "after_exact": 3, "entities": 2, "edges_before": 3, "edges": 1}
+    s = done.entities.filter("id = 's'").first()
+    assert s["description"] == "longer text" and s["attrs"]["k"] == "2; 1" and s["appears_in"] == ["1", "2"]
+    more = spark.createDataFrame([(1, "s", "o", "PROVIDES"), (2, "s", "o", "PROVIDES"), (3, "o", "o", "ENGAGES"), (4, "x", "o", "ENGAGES"), (5, "s", "s", "ENGAGES")], "ord long, src string, dst string, type string")
+    all_, outcome = ontology.combine(done, more, registry.relation_table(spark))
+    assert [r["outcome"] for r in outcome.orderBy("ord").collect()] == ["valid", "duplicate", "valid", "orphan", "invalid"]
+    assert all_.count() == 2  # the turned edge equals one of the sections
+    doc = spark.createDataFrame([("Here Org runs things.",)], "text string")
+    assert ontology.anchored(found.filter("id = 'o'"), doc).first()["offset"] == 5
+
+
+def test_service(spark, tmp_path):
+    doc = {"graph_title": "G", "entities": [{"id": x, "type": "Service", "name": x.upper(), "description": ""} for x in "abc"],
+           "relationships": [{"source_id": "a", "target_id": "b", "type": "FOLLOWED_BY", "description": ""}, {"source_id": "b", "target_id": "c", "type": "FOLLOWED_BY", "description": ""}]}
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    (tmp_path / "g.scenarios.json").write_text(json.dumps({"scenarios": [{"id": "1", "name": "n", "steps": [{"title": "t", "highlight_nodes": ["a"]}]}]}))
+    s = service.GraphService(spark, str(tmp_path))
+    with pytest.raises(service.NotFound):
+        s.load("other")
+    s.load("g")
+    assert s.graph().count() == 3 and s.stats().count() == 4 and s.entity("b").count() == 2 and s.search("A").count() >= 1
+    assert s.paths("a", "c").count() == 2 and s.cascade("a").count() == 3 and s.scenarios("g").count() == 1
+    with pytest.raises(service.NotFound):
+        s.entity("zz")
+    model = lambda q, t: {"answer": "x"} if t else {"calls": [("get_entity", {"entity_id": "a"})]}
+    assert s.ask("?", model)["referenced_entities"] == ["a"] and len(s.walkthrough("?", model)) == 1
