@@ -117,13 +117,17 @@ class PieceTransducer(ChunkEncoder):
         if (known := pairs.get((left, right))) is None:
             if len(pairs) > self.max_pairs:
                 pairs.clear()
-            known = pairs[left, right] = self.merged([*left, *right]) == [left, right]
+            known = pairs[left, right] = self.merged([*left, *right]) == ([left, right] if left else [right])
         return known
 
+    def _alone(self, piece: str) -> bool:
+        """Do the merges make the piece of its own characters?"""
+        return self._stands("", piece)
+
     def path(self, text: str) -> list[int]:
         """The shortest path's ids for a normalised text."""
         n = len(text)
-        trie, stands = self.trie, self._stands
+        trie, stands, alone, scores = self.trie, self._stands, self._alone, self.scores
         # best cost, last piece (None after a fallback) and its start, for each position
         cost: list[float | None] = [0.0] + [None] * n
         last: list[str | None] = [None] * (n + 1)
@@ -139,14 +143,11 @@ class PieceTransducer(ChunkEncoder):
                     cost[j], last[j], back[j] = c, None, i
             while node is not None:
                 if _END in node:
-                    piece = text[i:j]
-                    c = before - self.scores[piece]
-                    if (cost[j] is None or c < cost[j]) and (
-                        stands(piece_before, piece)
-                        if piece_before is not None
-                        else j == i + 1 or self.merged([*piece]) == [piece]
-                    ):
-                        cost[j], last[j], back[j] = c, piece, i
+                    # the third part accepts one last piece at most, so a piece that is there stays
+                    if last[j] is None:
+                        piece = text[i:j]
+                        if stands(piece_before, piece) if piece_before is not None else j == i + 1 or alone(piece):
+                            cost[j], last[j], back[j] = before - scores[piece], piece, i
                 if j == n:
                     break
                 node, j = node.get(text[j]), j + 1
