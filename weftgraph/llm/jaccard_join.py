@@ -379,9 +379,10 @@ def components(links: DataFrame) -> DataFrame:
             return known
 
 
-def bags(grouped: DataFrame, percent: int) -> DataFrame:
-    """``bag``, ``class``, ``n`` of the classes that may link with another."""
-    groups = grouped.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def bags(sets: DataFrame, percent: int) -> DataFrame:
+    """``bag``, ``class``, ``blocks`` of the classes that may link with another."""
+    rows = sets.filter("n > 0").withColumn("group", F.xxhash64("prefix", "n"))
+    groups = rows.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.explode("prefix").alias("shingle"))
     w = Window.partitionBy("shingle").orderBy("n", "group")
     jump = F.coalesce(100 * F.lag("n").over(w) < percent * F.col("n"), F.lit(False)).cast("int")
@@ -389,7 +390,7 @@ def bags(grouped: DataFrame, percent: int) -> DataFrame:
     head = F.first("group").over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
     ties = parts.withColumn("head", head).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b")).distinct()
     tied = components(materialize(ties, "jaccard-ties")).select(F.col("class").alias("group"), F.col("component").alias("bag"))
-    members = grouped.select("group", "class", "n").join(tied, "group", "left").withColumn("bag", F.coalesce("bag", "group"))
+    members = rows.select("group", "class", "n").distinct().join(tied, "group", "left").withColumn("bag", F.coalesce("bag", "group"))
     several = members.groupBy("bag").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
     return members.join(several, "bag").select("bag", "class", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
 
@@ -397,11 +398,7 @@ def bags(grouped: DataFrame, percent: int) -> DataFrame:
 def linked_classes(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``class``, ``component`` of the classes that link with another."""
     spark: SparkSession = sets.sparkSession
-    classes = sets.filter("n > 0").groupBy("class", "n").agg(F.first("prefix").alias("prefix"))
-    grouped = materialize(
-        classes.select("class", "n", F.xxhash64("prefix", "n").alias("group"), "prefix"), "jaccard-classes"
-    )
-    found = materialize(bags(grouped, percent), "jaccard-bags")
+    found = materialize(bags(sets, percent), "jaccard-bags")
     shared = spark.sparkContext.broadcast(class_filter(found.select("class")))
     whole = texts.mapInArrow(_setter(shared), "class long, shingles array<long>")
     # each class once, by the least of its rows' addresses; then to its block with every block of its bag
