@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions import registry
 from weftgraph.functions import text as txt
 from weftgraph.operators import graph, metrics, reports, resolve, traverse, validate
-from weftgraph.sources import tables
+from weftgraph.plans import prompts
+from weftgraph.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -961,6 +962,127 @@ def section_coverage(spark, d):
     return reports.coverage(docs.filter("doc_id % 5 != 0").withColumn("text", F.substring("text", 1, 900)), docs)
 
 
+# --- files, prompts and views -------------------------------------------------------
+
+_SECTIONS = """sections AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS section_id, CAST(doc_id % 7 AS VARCHAR) AS section_number, source AS header, substr(text, 1, 60) AS text FROM documents)"""
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("doc_id")
+    return tables.table(spark, d, "documents").select(
+        c.alias("ord"), c.cast("string").alias("section_id"), (c % 7).cast("string").alias("section_number"), F.col("source").alias("header"), F.substring("text", 1, 60).alias("text")
+    )
+
+
+@query("section_by_number", f"WITH {_SECTIONS} SELECT section_number, arg_min(text, ord) AS text FROM sections GROUP BY section_number")
+def section_by_number(spark, d):
+    return graph.section_text(_sections(spark, d))
+
+
+@query(
+    "extractions_attached",
+    f"""WITH {_SECTIONS}, x AS (SELECT label.doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'none' END AS section_id, CASE WHEN doc_id % 5 = 0 THEN 'n' ELSE CAST(doc_id % 7 AS VARCHAR) END AS section_number FROM labels label),
+    f AS (SELECT section_number, arg_min(text, ord) AS text FROM sections GROUP BY section_number)
+    SELECT x.ord, x.section_id, x.section_number, CASE WHEN s.text IS NOT NULL THEN 'id' WHEN f.text IS NOT NULL THEN 'number' ELSE 'none' END AS attached_by, coalesce(s.text, f.text, '') AS text
+    FROM x LEFT JOIN sections s ON s.section_id = x.section_id LEFT JOIN f ON f.section_number = x.section_number""",
+)
+def extractions_attached(spark, d):
+    c = F.col("doc_id")
+    raw = tables.table(spark, d, "labels").select(
+        c.alias("ord"), F.when(c % 3 == 0, c.cast("string")).otherwise("none").alias("section_id"), F.when(c % 5 == 0, "n").otherwise((c % 7).cast("string")).alias("section_number")
+    )
+    return files.extractions(raw, _sections(spark, d))
+
+
+@query(
+    "serialized_extractions",
+    f"""{_MENTIONS} SELECT section, count(*) AS entity_count, string_agg(id || ':' || type, ',' ORDER BY ord) AS entities FROM m GROUP BY section""",
+)
+def serialized_extractions(spark, d):
+    return files.serialized(tables.mentions(spark, d))
+
+
+@query("referenced_entities", f"{_PLACE} SELECT id, type, name FROM pn WHERE id IN ('N:1', 'S:2', 'R:0')")
+def referenced_entities(spark, d):
+    return graph.referenced(tables.place_nodes(spark, d), _ids(spark, "N:1", "S:2", "R:0", "gone"))
+
+
+_REGISTERED = """registered AS (SELECT source AS entity_name, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY source)"""
+
+
+@query(
+    "registered_relevant",
+    f"""WITH {_REGISTERED}, x AS (SELECT entity_name, unnest([a, b]) AS s FROM registered) SELECT CAST(s AS VARCHAR) AS section_id, entity_name, entity_name AS brief_description FROM x""",
+)
+def registered_relevant(spark, d):
+    docs = tables.table(spark, d, "documents")
+    reg = docs.groupBy(F.col("source").alias("entity_name")).agg(F.array(F.min("doc_id").cast("string"), F.max("doc_id").cast("string")).alias("mentioned_in_sections"))
+    return prompts.relevant(reg.withColumn("brief_description", F.col("entity_name")), _sections(spark, d)).select("section_id", "entity_name", "brief_description")
+
+
+@query(
+    "dependency_sections",
+    f"""WITH {_SECTIONS}, dep AS (SELECT CAST(doc_id AS VARCHAR) AS p, CAST(doc_id + quality AS VARCHAR) AS q FROM labels), x AS (SELECT DISTINCT p, q, unnest([p, q]) AS section_id FROM dep)
+    SELECT section_id, header, p AS primary_section_id, q AS dependent_section_id FROM x JOIN sections USING (section_id)""",
+)
+def dependency_sections(spark, d):
+    dep = tables.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("primary_section_id"), (F.col("doc_id") + F.col("quality")).cast("string").alias("dependent_section_id"))
+    return prompts.dependency_sections(dep, _sections(spark, d)).distinct()
+
+
+@query(
+    "foreign_graph_stats",
+    f"""{_MENTION_EDGES} SELECT (SELECT count(DISTINCT id) FROM m) AS nodes, count(*) AS edges, (SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM m) AS node_types, string_agg(DISTINCT type, ',' ORDER BY type) AS edge_types FROM me""",
+)
+def foreign_graph_stats(spark, d):
+    return reports.schema_stats(tables.mentions(spark, d), tables.mention_edges(spark, d))
+
+
+@query(
+    "json_types",
+    """SELECT * FROM (VALUES ('ContactRole', 'escalation_severity_levels', 'array of integer'), ('ContactRole', 'escalation_condition', 'string'), ('ContactRole', 'roster_position', 'string'),
+    ('Workflow', 'trigger_condition', 'string'), ('Workflow', 'step_count', 'integer (optional)'), ('Workflow', 'time_constraint', 'string')) AS t(type, attr, json_type)""",
+)
+def json_types(spark, d):
+    return registry.json_types(registry.attribute_table(spark)).filter(F.col("type").isin("ContactRole", "Workflow"))
+
+
+@query("first_text_blocks", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE text END AS text FROM conversations")
+def first_text_blocks(spark, d):
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    rows = tables.table(spark, d, "conversations")
+    thought = block("thinking", F.lit("hm"))
+    blocks = F.when(F.col("turn") % 3 == 2, F.array(thought)).otherwise(F.array(thought, block("text", F.col("text")), block("text", F.lit("late"))))
+    return rows.select("conv_id", "turn", txt.first_text_block(blocks).alias("text"))
+
+
+@query(
+    "static_export",
+    f"""{_PLACE} SELECT 'r' || (row_number() OVER (ORDER BY ord, src, dst, type, description) - 1) AS edge_id, src, dst, type, substr(description, 1, 200) AS description FROM pe""",
+)
+def static_export(spark, d):
+    return files.export(tables.place_nodes(spark, d), tables.place_edges(spark, d))[1]
+
+
+@query(
+    "directions_split",
+    f"""{_PLACE} SELECT 'N:3' AS id, count(*) FILTER (src = 'N:3') AS outgoing, count(*) FILTER (dst = 'N:3') AS incoming FROM te WHERE src = 'N:3' OR dst = 'N:3'""",
+)
+def directions_split(spark, d):
+    rows = graph.relations(tables.trade_nodes(spark, d), tables.trade_edges(spark, d), _ids(spark, "N:3"))
+    return rows.groupBy("id").agg(F.count_if(F.col("direction") == "out").alias("outgoing"), F.count_if(F.col("direction") == "in").alias("incoming"))
+
+
+@query("compact_entities", f"{_PLACE} SELECT ord, id, type, name, substr(description, 1, 12) AS description FROM pn")
+def compact_entities(spark, d):
+    return prompts.compact(tables.place_nodes(spark, d), 12).drop("attrs")
+
+
+@query("latest_mentions", f"{_MENTIONS} SELECT id, max(ord) AS ord, arg_max(type, ord) AS type FROM m GROUP BY id")
+def latest_mentions(spark, d):
+    return files.latest_in_order(tables.mentions(spark, d), "id").select("id", "ord", "type")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

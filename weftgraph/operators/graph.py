@@ -126,6 +126,16 @@ def source_text(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select("id", said.alias("source_text"))
 
 
+def section_text(sections: DataFrame) -> DataFrame:
+    """The text of the first section of each number."""
+    return sections.groupBy("section_number").agg(F.min_by("text", "ord").alias("text"))
+
+
+def referenced(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Summaries of the ids that are entities; others go."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "type", "name")
+
+
 def coloured(nodes: DataFrame, colours: DataFrame, colour: str = "#999999", level: int = 5, group: str = "") -> DataFrame:
     """Colour, level and group of each node by its type, with defaults."""
     return nodes.join(F.broadcast(colours), "type", "left").select(

@@ -76,6 +76,13 @@ def experiment_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("density", F.round(density, 4))
 
 
+def schema_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges, and the types of both as sorted text."""
+    kinds = lambda: F.array_join(F.array_sort(F.collect_set("type")), ",")
+    n = nodes.agg(F.count_distinct("id").alias("nodes"), kinds().alias("node_types"))
+    return n.join(edges.agg(F.count("*").alias("edges"), kinds().alias("edge_types")))
+
+
 def reveal(steps: DataFrame, key: str = "scenario") -> DataFrame:
     """``steps``: scenario, step, items (array). Adds ``revealed``: all items up to the step, and ``fresh``: the new ones."""
     so_far = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)

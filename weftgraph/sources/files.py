@@ -118,6 +118,14 @@ def extractions(raw: DataFrame, sections: DataFrame) -> DataFrame:
     return out.select("ord", "section_id", "section_number", how.alias("attached_by"), F.coalesce("id_text", "number_text", F.lit("")).alias("text"))
 
 
+def serialized(entities: DataFrame) -> DataFrame:
+    """Entities of each section in input order as one text, with their number."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(":", "id", "type").alias("e"))))
+    return entities.groupBy("section").agg(
+        F.count("*").alias("entity_count"), F.array_join(F.transform(rows, lambda x: x["e"]), ",").alias("entities")
+    )
+
+
 # --- runs and versions ------------------------------------------------------------
 
 
