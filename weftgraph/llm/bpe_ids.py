@@ -45,7 +45,7 @@ class ChunkMemory(dict):
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned ids: of 32 bits, or 16 with ``code`` H."""
 
-    def __init__(self, path: str, code: str = "I", max_chunks: int = 1_000_000, max_chars: int = 48):
+    def __init__(self, path: str, code: str = "I", max_chunks: int = 300_000, max_chars: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

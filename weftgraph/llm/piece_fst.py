@@ -42,7 +42,7 @@ _END = ""
 class PieceTransducer(ChunkEncoder):
     """Encodes texts to ids of pieces, and back."""
 
-    def __init__(self, path: str, max_chunks: int = 700_000, max_pairs: int = 2_000_000, max_chars: int = 48):
+    def __init__(self, path: str, max_chunks: int = 400_000, max_pairs: int = 1_000_000, max_chars: int = 48):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
