@@ -147,8 +147,67 @@ _WINDOW_SCHEMA = pa.schema(
 )
 
 
+class _HotStrings:
+    """Strings of hot grams in one task: of equal ones only the first is sent on.
+
+    The others are covered by it, whatever other tasks hold, so their spans are final.
+    """
+
+    def __init__(self) -> None:
+        self.first: dict[bytes, tuple[int, int, int]] = {}
+        self.out: dict[str, list] = {k: [] for k in _WINDOW_SCHEMA.names}
+
+    def _row(self, gram: int, doc: int, tie: int, at: int, gap: int, count: int, window: bytes) -> None:
+        for k, v in zip(_WINDOW_SCHEMA.names, (gram, doc, tie, at, gap, count, window), strict=True):
+            self.out[k].append(v)
+
+    def _send(self, digest: bytes, doc: int, at: int, tie: int) -> None:
+        self._row(int.from_bytes(digest[:8], "little", signed=True), doc, tie, at, _STRING, 1, digest)
+
+    def _covered(self, doc: int, tie: int, start: int, stop: int) -> None:
+        spread = (doc * 0x9E3779B1 + start) & 0x7FFFFFFF
+        self._row(spread, doc, tie, start, _COVERED, stop - start, b"")
+
+    def add(self, data: np.ndarray, doc: int, tie: int, at: int, count: int) -> None:
+        """The ``count`` strings of ``data`` from ``at`` on."""
+        start = stop = -1
+        for i in range(at, at + count):
+            digest = hashlib.blake2b(data[i : i + LENGTH].tobytes(), digest_size=16).digest()
+            old = self.first.get(digest)
+            if old is None:
+                self.first[digest] = (doc, i, tie)
+            elif (doc, i) > old[:2]:
+                if stop < 0:
+                    start = i
+                elif i > stop:
+                    self._covered(doc, tie, start, stop)
+                    start = i
+                stop = i + LENGTH
+            elif (doc, i) < old[:2]:
+                self._covered(old[0], old[2], old[1], old[1] + LENGTH)
+                self.first[digest] = (doc, i, tie)
+            else:  # another version of the document
+                self._send(digest, doc, i, tie)
+        if stop >= 0:
+            self._covered(doc, tie, start, stop)
+
+    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if last or len(self.first) > 10 * _WINDOWS:
+            for digest, (doc, at, tie) in self.first.items():
+                self._send(digest, doc, at, tie)
+            self.first.clear()
+        if self.out["gram"] and (last or len(self.out["gram"]) > _WINDOWS):
+            yield arrowkit.emit(self.out, _WINDOW_SCHEMA)
+            self.out = {k: [] for k in _WINDOW_SCHEMA.names}
+
+
+#: ``gap`` of a row that is one string, by its digest, or a span that is covered already.
+_STRING, _COVERED = -1, -2
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows around repeated grams; strings one by one where a gram is hot."""
+    hots = _HotStrings()
     for batch in arrowkit.sliced(batches, 64):
         raw, offsets = _text_buffer(batch.column("text"))
         marks = batch.column("marks")
@@ -159,9 +218,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (place >> 14) - gap
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows]
         ties = batch.column("tie").to_numpy(zero_copy_only=False)[rows]
-        cold = ~hot.astype(bool)
-        for k in range(0, int(cold.sum()), _WINDOWS):
-            s = np.flatnonzero(cold)[k : k + _WINDOWS]
+        cold = np.flatnonzero(~hot.astype(bool))
+        for k in range(0, len(cold), _WINDOWS):
+            s = cold[k : k + _WINDOWS]
             size = count[s] + LENGTH - 1
             ends = np.cumsum(size)
             take = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(offsets[rows[s]] + at[s], size)
@@ -169,26 +228,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             window = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), buffers)
             plain = [gram[s], docs[s], ties[s], at[s], gap[s].astype(np.int32), count[s].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, plain), window], schema=_WINDOW_SCHEMA)
-        out: dict[str, list] = {k: [] for k in _WINDOW_SCHEMA.names}
-        for m in np.flatnonzero(~cold):
-            base = int(offsets[rows[m]])
-            for i in range(int(at[m]), int(at[m] + count[m])):
-                digest = hashlib.blake2b(raw[base + i : base + i + LENGTH].tobytes(), digest_size=16).digest()
-                out["gram"].append(int.from_bytes(digest[:8], "little", signed=True))
-                out["at"].append(i)
-                out["window"].append(digest)
-            out["doc_id"] += [docs[m]] * int(count[m])
-            out["tie"] += [ties[m]] * int(count[m])
-            if len(out["gram"]) > _WINDOWS:
-                yield _singles(out)
-                out = {k: [] for k in _WINDOW_SCHEMA.names}
-        if out["gram"]:
-            yield _singles(out)
-
-
-def _singles(out: dict[str, list]) -> pa.RecordBatch:
-    n = len(out["gram"])
-    return arrowkit.emit(out | {"gap": [-1] * n, "count": [1] * n}, _WINDOW_SCHEMA)
+        for m in np.flatnonzero(hot.astype(bool)):
+            own = raw[offsets[rows[m]] : offsets[rows[m] + 1]]
+            hots.add(own, int(docs[m]), int(ties[m]), int(at[m]), int(count[m]))
+        yield from hots.rows(last=False)
+    yield from hots.rows(last=True)
 
 
 def _matrix(parts: list[bytes], width: int) -> np.ndarray:
@@ -262,7 +306,15 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        single = table.column("gap").to_numpy() < 0
+        kind = table.column("gap").to_numpy()
+        if (done := kind == _COVERED).any():
+            rows = table.filter(pa.array(done))
+            start = rows.column("at").to_numpy()
+            stop = start + rows.column("count").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks() for k in ("doc_id", "tie")), pa.array(start), pa.array(stop)], schema=_SPANS)
+            table = table.filter(pa.array(~done))
+            kind = kind[~done]
+        single = kind == _STRING
         if single.any():
             rows = table.filter(pa.array(single)).select(["window", "doc_id", "tie", "at"]).to_pydict()
             out: dict[str, list] = {k: [] for k in _SPANS.names}
