@@ -245,6 +245,7 @@ def _setter(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        sent: set[int] = set()  # copies within a task go once
         rows: dict[str, list] = {k: [] for k in _MEMBERS.names}
         size = 0
         for _, words in _documents(batches):
@@ -253,8 +254,11 @@ def _setter(shared):
                 continue
             kind = _class_of(found)
             bit = _bit(np.array([kind]))[0]
-            if not bits[bit >> 5] >> np.uint32(bit & 31) & 1:
+            if kind in sent or not bits[bit >> 5] >> np.uint32(bit & 31) & 1:
                 continue
+            if len(sent) > _PIECE:
+                sent.clear()
+            sent.add(kind)
             rows["class"].append(kind)
             rows["shingles"].append(found.view(np.int64))
             size += len(found)
