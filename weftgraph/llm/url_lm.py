@@ -95,8 +95,9 @@ def url_scores(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = pages.select(url.alias("url")).distinct()
     host, path = parse(F.col("url"))
     _, says = ruled(host, path, rules)
+    checksum = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long")
     urls = urls.select(
-        F.xxhash64("url").alias("key"), "url", says.alias("says"), (F.crc32("url") % HOLD_OUT == 0).alias("held_out")
+        F.xxhash64("url").alias("key"), "url", says.alias("says"), (checksum % HOLD_OUT == 0).alias("held_out")
     )
     urls = materialize(urls, "urls")
     grams = _grams(urls)
