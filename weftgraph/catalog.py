@@ -277,16 +277,14 @@ def merge_counts(spark, d):
 
 
 # users 10k+1 become users 10k, and every third user becomes one that doesn't exist
-_REMAPS = """remaps AS (SELECT row_number() OVER (ORDER BY u) AS ord, 'U:' || u AS old_id, CASE WHEN u % 10 = 1 THEN 'U:' || (u - 1) ELSE 'U:x' || (u // 9) END AS new_id
+_REMAPS = """remaps AS (SELECT u AS ord, 'U:' || u AS old_id, CASE WHEN u % 10 = 1 THEN 'U:' || (u - 1) ELSE 'U:x' || (u // 9) END AS new_id
   FROM (SELECT DISTINCT user_id AS u FROM events) WHERE u % 10 = 1 OR u % 3 = 0 AND u % 10 <> 0)"""
 
 
 def _remaps(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     u = tables.table(spark, d, "events").select(F.col("user_id").alias("u")).distinct().filter("u % 10 = 1 or (u % 3 = 0 and u % 10 != 0)")
     new = F.when(F.col("u") % 10 == 1, F.concat(F.lit("U:"), (F.col("u") - 1).cast("string"))).otherwise(F.concat(F.lit("U:x"), F.floor(F.col("u") / 9).cast("string")))
-    return u.select(F.row_number().over(Window.orderBy("u")).cast("long").alias("ord"), F.concat(F.lit("U:"), F.col("u").cast("string")).alias("old_id"), new.alias("new_id"))
+    return u.select(F.col("u").cast("long").alias("ord"), F.concat(F.lit("U:"), F.col("u").cast("string")).alias("old_id"), new.alias("new_id"))
 
 
 @query(
@@ -303,12 +301,12 @@ def remap_merge(spark, d):
 
 @query(
     "remap_problems",
-    f"""{_MENTIONS}, {_REMAPS}, more AS (SELECT * FROM remaps UNION ALL VALUES (9001, 'U:nobody', 'U:1'), (9002, 'U:2', 'U:2'), (9003, 'U:4', 'U:5'), (9004, 'U:5', 'U:4'))
+    f"""{_MENTIONS}, {_REMAPS}, more AS (SELECT * FROM remaps UNION ALL VALUES (9000001, 'U:nobody', 'U:1'), (9000002, 'U:2', 'U:2'), (9000003, 'U:4', 'U:5'), (9000004, 'U:5', 'U:4'))
     SELECT a.ord, a.old_id, a.new_id, CASE WHEN a.old_id NOT IN (SELECT id FROM m) THEN 'unknown old id' WHEN a.old_id = a.new_id THEN 'onto itself'
       WHEN EXISTS (SELECT 1 FROM more b WHERE b.old_id = a.new_id AND b.new_id = a.old_id) THEN 'cycle' END AS problem FROM more a""",
 )
 def remap_problems(spark, d):
-    extra = spark.createDataFrame([(9001, "U:nobody", "U:1"), (9002, "U:2", "U:2"), (9003, "U:4", "U:5"), (9004, "U:5", "U:4")], "ord long, old_id string, new_id string")
+    extra = spark.createDataFrame([(9000001, "U:nobody", "U:1"), (9000002, "U:2", "U:2"), (9000003, "U:4", "U:5"), (9000004, "U:5", "U:4")], "ord long, old_id string, new_id string")
     return resolve.checked_remaps(_remaps(spark, d).unionByName(extra), tables.mentions(spark, d))
 
 
