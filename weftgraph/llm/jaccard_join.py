@@ -7,9 +7,11 @@ are at least ``PERCENT`` times all of theirs.
 1. Documents with equal sets are one class. Shingles are ordered by how rare they and
    their words are, counted over all documents in tables of fixed size, then by hash.
    Linked sets share one of the first ``n - ceil(0.9 n) + 1`` shingles, the prefix.
-2. Classes with the same prefix and size are one group. The groups of a shingle are put
-   in order of size; where sizes jump too far for any pair across to link, the row is
-   cut. Each group of a part is tied to the part's first: as many ties as prefix entries.
+2. Classes with the same prefix and size are one group. Groups that share a shingle of
+   ``FEW`` groups at most are tied if they can share enough of their prefixes. The groups
+   of any other shingle are put in order of size; where sizes jump too far for any pair
+   across to link, the row is cut, and each group of a part is tied to the part's first.
+   There are no more than a few ties for each prefix entry.
 3. What ties connect is a bag; linked classes are always in one. A bag is expanded to the
    whole sets of its members and verified by products of membership matrices. A bag of
    more than ``BLOCK`` shingles is dealt in blocks, and each pair of blocks is a task.
@@ -42,6 +44,8 @@ PERCENT = 90
 WORD_BITS, SHINGLE_BITS = 21, 23
 COUNTERS = (1 << WORD_BITS) + (1 << SHINGLE_BITS)
 FILTER_BITS = 25
+#: Groups of a shingle up to which pairs are counted.
+FEW = 6
 #: Shingles of one block of a bag.
 BLOCK = 200_000
 _CHUNK = 1 << 15
@@ -383,16 +387,45 @@ def components(links: DataFrame) -> DataFrame:
             return known
 
 
+def _counted_ties(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups that share enough prefix shingles.
+
+    Of two linked sets, the one whose prefix ends first has all but ``n - need`` of its
+    prefix in the other's, where ``need`` is the least overlap of linked sets of their
+    sizes. Shingles of few groups are counted pair by pair; of the others, two groups
+    share no more than the fewer of either.
+    """
+    held = small.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "group"))).alias("g"))  # FEW at most
+    i, j = "sequence(0, size(g) - 2)", "sequence(i + 1, size(g) - 1)"
+    pairs = held.select(F.explode(F.expr(f"flatten(transform({i}, i -> transform({j}, j -> struct(g[i] as a, g[j] as b))))")).alias("p"))
+    pairs = pairs.select(F.col("p.a.group").alias("a"), F.col("p.b.group").alias("b"), F.col("p.a.n").alias("a_n"), F.col("p.b.n").alias("b_n"))
+    pairs = pairs.filter(100 * F.col("a_n") >= percent * F.col("b_n")).groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"))
+    more = large.groupBy("group").agg(F.count("*").alias("more"))
+    for x in "ab":
+        pairs = pairs.join(more.select(F.col("group").alias(x), F.col("more").alias(f"{x}_more")), x, "left")
+    need = F.ceil(F.col("a_n") * percent / (100 + percent) + F.col("b_n") * percent / (100 + percent) - 1e-6)
+
+    def least(n: str) -> F.Column:
+        return F.floor(F.col(n) * (100 - percent) / 100 + 1e-6) + 1 - F.col(n) + need
+
+    most = F.col("shared") + F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0)))
+    return pairs.filter(most >= F.least(least("a_n"), least("b_n"))).select("a", "b")
+
+
 def bags(sets: DataFrame, percent: int) -> DataFrame:
     """``bag``, ``class``, ``blocks`` of the classes that may link with another."""
     rows = sets.filter("n > 0").withColumn("group", F.xxhash64("prefix", "n"))
     groups = rows.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.explode("prefix").alias("shingle"))
+    entries = entries.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).filter("held > 1")
+    entries = materialize(entries, "jaccard-index")
+    large = entries.filter(F.col("held") > FEW)
     w = Window.partitionBy("shingle").orderBy("n", "group")
     jump = F.coalesce(100 * F.lag("n").over(w) < percent * F.col("n"), F.lit(False)).cast("int")
-    parts = entries.withColumn("jump", jump).withColumn("part", F.sum("jump").over(w))
+    parts = large.withColumn("jump", jump).withColumn("part", F.sum("jump").over(w))
     head = F.first("group").over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
-    ties = parts.withColumn("head", head).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b")).distinct()
+    ties = parts.withColumn("head", head).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b"))
+    ties = ties.union(_counted_ties(entries.filter(F.col("held") <= FEW), large, percent)).distinct()
     tied = components(materialize(ties, "jaccard-ties")).select(F.col("class").alias("group"), F.col("component").alias("bag"))
     members = rows.select("group", "class", "n").distinct().join(tied, "group", "left").withColumn("bag", F.coalesce("bag", "group"))
     several = members.groupBy("bag").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
