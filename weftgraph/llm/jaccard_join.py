@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftgraph.llm import arrowkit
+from weftgraph.llm.lpf_dedup import _filter as doc_filter
+from weftgraph.llm.lpf_dedup import _maybe as may_hold
 from weftgraph.session import materialize
 
 SHINGLE = 3
@@ -486,15 +488,20 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows with the same id and set one stays. Documents without a set all stay.
     """
     rows = materialize(labelled_rows(docs.select("doc_id", "text"), percent), "jaccard-rows")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    again = materialize(ids.filter("rows > 1").select(F.col("doc_id").alias("_jaccard_id")), "jaccard-again")
-    stay = rows.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    single = stay.select(F.col("doc_id").alias("_jaccard_id")).distinct()
+    named = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(named).alias("stays"))
+    ids = materialize(ids.filter("rows > 1 or not stays"), "jaccard-ids")
+    # texts that a filter of fixed size clears stay where they are; only the others are dealt
+    maybe = may_hold(docs, doc_filter(ids))
+    marked = docs.withColumn("_jaccard_maybe", maybe)
+    away = ids.select(F.col("doc_id").alias("_jaccard_id"))
     same = F.col("doc_id").eqNullSafe(F.col("_jaccard_id"))
+    doubt = marked.filter("_jaccard_maybe").join(away, same, "left_anti")
+    out = marked.filter("not _jaccard_maybe").unionByName(doubt).select(docs.columns)
+    again = ids.filter("rows > 1").select(F.col("doc_id").alias("_jaccard_id"))
     if again.limit(1).count() == 0:
-        return docs.join(single, same, "left_semi")
-    once = single.join(again, single["_jaccard_id"].eqNullSafe(again["_jaccard_id"]), "left_anti")
-    out = docs.join(once, same, "left_semi")
+        return out
+    stay = rows.filter(named)
     # rows that share an id are told apart by their sets
     kinds = stay.select(F.col("doc_id").alias("_jaccard_id"), F.col("class").alias("_jaccard_kind"), F.col("n").alias("_jaccard_n")).distinct()
     versions = docs.join(again, same, "left_semi").withColumn("_jaccard_class", _class_of_text("text"))
