@@ -13,6 +13,9 @@ from weftgraph.llm import arrowkit, jaccard_join, lang_id, lpf_dedup, packing, q
 from weftgraph.llm.queries import BYTE_BPE
 from weftgraph.session import materialize
 
+#: Near copies: shingles of so many words, and the per cent of all shingles that must be shared.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their fitted accuracies reject go."""
@@ -26,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,6 +300,33 @@ def test_jaccard_join(docs, rows, monkeypatch, block):
     assert stay[4] == 1 and stay[5] == 0 and stay[0] == 1 and stay[1] == 1
 
 
+def test_pipeline_links_near_copies(spark):
+    """The stage against all pairs of five-word sets, on the table and on pairs at the border of 80 %."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    table = [tuple(r) for r in docs.collect()]
+    w, v = [f"w{i}" for i in range(200)], [f"v{i}" for i in range(200)]
+    near = w[:180] + ["changed"] + w[181:]  # 191 of 201 five-word shingles shared
+    # 157 of 196 shared: 80.1 %; 156 of 196: 79.6 %
+    added = [" ".join(x) for x in (w, near, w[:161], v, v[:160])] + ["one two three four", "ONE two three four"]
+    table += [(10_001 + i, t, "en", "s", len(t)) for i, t in enumerate(added)]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t, *_ in sorted(table):
+        w = WORD.findall((t or "").translate(lower))
+        sets.append((i, frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 4 else frozenset([tuple(w)] if w else [])))
+    root = {i: i for i, _ in sets}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    want = {i for i, v in root.items() if i == v}
+    stay = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(table, docs.schema), SF)
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(want)
+
+
 def test_linked_pairs_products():
     r = np.random.default_rng(3)
     base = r.integers(0, 10**6, 200)

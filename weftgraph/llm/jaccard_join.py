@@ -1,12 +1,13 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word shingles (of
+A document's set holds the 64-bit hashes of its distinct shingles of ``size`` words (of
 all its words if it has fewer). Two documents link where 100 times the shared shingles
-are at least ``PERCENT`` times all of theirs.
+are at least ``percent`` times all of theirs. Both are the caller's; ``SHINGLE`` and
+``PERCENT`` are those of the query op6.
 
 1. Documents with equal sets are one class. Shingles are ordered by how rare they and
    their words are, counted over all documents in tables of fixed size, then by hash.
-   Linked sets share one of the first ``n - ceil(0.9 n) + 1`` shingles, the prefix.
+   Linked sets share one of the first ``n - ceil(percent n / 100) + 1`` shingles, the prefix.
 2. Classes with the same prefix and size are one group. Groups that share a shingle of
    ``FEW`` groups at most are tied if they can share enough of their prefixes. The groups
    of any other shingle are put in order of size; where sizes jump too far for any pair
@@ -57,6 +58,7 @@ _RNG = np.random.default_rng(714)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z as a-z
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+_MIX += list(_RNG.integers(1, 1 << 63, 13, dtype=np.uint64) | np.uint64(1))  # shingles of up to 16 words
 _PRIME = 0x100000001B3
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _IS_WHITE = np.zeros(256, bool)
@@ -97,11 +99,11 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _finish(np.add.reduceat(value, starts) * down[starts]), starts
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of each shingle of a document's words, in text order."""
     n = len(words)
-    if n >= SHINGLE:
-        parts = [words[i : n - SHINGLE + 1 + i] * _MIX[i] for i in range(SHINGLE)]
+    if n >= size:
+        parts = [words[i : n - size + 1 + i] * _MIX[i] for i in range(size)]
     elif n:
         parts = [words[i : i + 1] * _MIX[i] for i in range(n)] + [np.array([n], np.uint64)]
     else:
@@ -139,20 +141,24 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.n
 _COUNTS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(size: int):
     """Counters of words, then those of shingles, in one row of numbers."""
-    counts = np.zeros(COUNTERS, np.int32)
-    held: list[np.ndarray] = []
-    size = 0
-    for _, words in _documents(batches):
-        held += (_word_counter(np.unique(words)), _shingle_counter(np.unique(shingles(words))))
-        size += 2 * len(words)
-        if size > 4 * _PIECE:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int32)
+        held: list[np.ndarray] = []
+        n = 0
+        for _, words in _documents(batches):
+            held += (_word_counter(np.unique(words)), _shingle_counter(np.unique(shingles(words, size))))
+            n += 2 * len(words)
+            if n > 4 * _PIECE:
+                counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
+                held, n = [], 0
+        if held:
             counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
-            held, size = [], 0
-    if held:
-        counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
-    yield from _chunks(counts.astype(np.int64))
+        yield from _chunks(counts.astype(np.int64))
+
+    return run
 
 
 def _word_counter(hashes: np.ndarray) -> np.ndarray:
@@ -184,11 +190,11 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrowkit.emit({"chunk": [k], "counts": [zlib.compress(part.tobytes(), 1)]}, _COUNTS)
 
 
-def rarities(texts: DataFrame) -> np.ndarray:
+def rarities(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """How many documents have a word, or a shingle, of each counter, over all documents."""
     import zlib
 
-    parts = texts.mapInArrow(_count, "chunk int, counts binary")
+    parts = texts.mapInArrow(_counter(size), "chunk int, counts binary")
     out = np.zeros(COUNTERS, np.uint16)
     for r in parts.repartition("chunk").mapInArrow(_sum, "chunk int, counts binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
@@ -215,17 +221,17 @@ def _class_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _prefixer(shared, percent: int):
+def _prefixer(shared, percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         rows: dict[str, list] = {k: [] for k in _SETS.names}
-        size = 0
+        held = 0
         for doc, words in _documents(batches):
-            all_ = shingles(words)
+            all_ = shingles(words, size)
             found, first = np.unique(all_, return_index=True)
             df = counts[_word_counter(words)]
             rare = counts[_shingle_counter(found)]
-            for i in range(min(SHINGLE, len(words))):
+            for i in range(min(size, len(words))):
                 rare = np.minimum(rare, df[first + i])
             p = prefix_length(len(found), percent)
             prefix = found[np.lexsort((found, rare))[:p]]
@@ -233,10 +239,10 @@ def _prefixer(shared, percent: int):
             rows["n"].append(len(found))
             rows["class"].append(_class_of(found))
             rows["prefix"].append(prefix.view(np.int64))
-            size += p + 8
-            if size > _PIECE // 4:
+            held += p + 8
+            if held > _PIECE // 4:
                 yield arrowkit.emit(rows, _SETS)
-                rows, size = {k: [] for k in _SETS.names}, 0
+                rows, held = {k: [] for k in _SETS.names}, 0
         if rows["doc_id"]:
             yield arrowkit.emit(rows, _SETS)
 
@@ -246,16 +252,16 @@ def _prefixer(shared, percent: int):
 _MEMBERS = pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _setter(shared):
+def _setter(shared, size: int):
     """Sets of the documents whose class may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         sent: set[int] = set()  # copies within a task go once
         rows: dict[str, list] = {k: [] for k in _MEMBERS.names}
-        size = 0
+        held = 0
         for _, words in _documents(batches):
-            found = np.unique(shingles(words))
+            found = np.unique(shingles(words, size))
             if not len(found):
                 continue
             kind = _class_of(found)
@@ -267,10 +273,10 @@ def _setter(shared):
             sent.add(kind)
             rows["class"].append(kind)
             rows["shingles"].append(found.view(np.int64))
-            size += len(found)
-            if size > _PIECE // 4:
+            held += len(found)
+            if held > _PIECE // 4:
                 yield arrowkit.emit(rows, _MEMBERS)
-                rows, size = {k: [] for k in _MEMBERS.names}, 0
+                rows, held = {k: [] for k in _MEMBERS.names}, 0
         if rows["class"]:
             yield arrowkit.emit(rows, _MEMBERS)
 
@@ -434,12 +440,12 @@ def bags(sets: DataFrame, percent: int) -> DataFrame:
     return members.join(several, "bag").select("bag", "class", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
 
 
-def linked_classes(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def linked_classes(sets: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """``class``, ``component`` of the classes that link with another."""
     spark: SparkSession = sets.sparkSession
     found = materialize(bags(sets, percent), "jaccard-bags")
     shared = spark.sparkContext.broadcast(class_filter(found.select("class")))
-    whole = texts.mapInArrow(_setter(shared), "class long, shingles array<long>")
+    whole = texts.mapInArrow(_setter(shared, size), "class long, shingles array<long>")
     # each class once, by the least of its rows' addresses; then to its block with every block of its bag
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     pairs = F.explode(
@@ -451,14 +457,14 @@ def linked_classes(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return components(materialize(forest, "jaccard-links"))
 
 
-def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def labelled_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n``, ``class`` and ``component_id`` of each row."""
     spark = docs.sparkSession
     arrowkit.small_batches(spark)
     texts = arrowkit.texts_of(docs, "doc_id")
-    shared = spark.sparkContext.broadcast(rarities(texts))
-    sets = materialize(texts.mapInArrow(_prefixer(shared, percent), SETS), "jaccard-prefixes")
-    labels = linked_classes(sets, texts, percent)
+    shared = spark.sparkContext.broadcast(rarities(texts, size))
+    sets = materialize(texts.mapInArrow(_prefixer(shared, percent, size), SETS), "jaccard-prefixes")
+    labels = linked_classes(sets, texts, percent, size)
     least = sets.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     of = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -468,26 +474,29 @@ def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n", "class", own.alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each document."""
-    return labelled_rows(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return labelled_rows(docs, percent, size).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
 
+def _class_of_text(text: F.Column, size: int) -> F.Column:
+    @F.pandas_udf(T.LongType())
+    def found(text: pd.Series) -> pd.Series:
+        out = []
+        for x in text:
+            words, _ = word_hashes(np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8))
+            out.append(_class_of(np.unique(shingles(words, size))))
+        return pd.Series(out, dtype="int64")
 
-@F.pandas_udf(T.LongType())
-def _class_of_text(text: pd.Series) -> pd.Series:
-    out = []
-    for x in text:
-        words, _ = word_hashes(np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8))
-        out.append(_class_of(np.unique(shingles(words))))
-    return pd.Series(out, dtype="int64")
+    return found(text)
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document whose id names it.
 
     Of rows with the same id and set one stays. Documents without a set all stay.
     """
-    rows = materialize(labelled_rows(docs.select("doc_id", "text"), percent), "jaccard-rows")
+    rows = materialize(labelled_rows(docs.select("doc_id", "text"), percent, size), "jaccard-rows")
     named = F.col("component_id").eqNullSafe(F.col("doc_id"))
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(named).alias("stays"))
     ids = materialize(ids.filter("rows > 1 or not stays"), "jaccard-ids")
@@ -504,7 +513,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stay = rows.filter(named)
     # rows that share an id are told apart by their sets
     kinds = stay.select(F.col("doc_id").alias("_jaccard_id"), F.col("class").alias("_jaccard_kind"), F.col("n").alias("_jaccard_n")).distinct()
-    versions = docs.join(again, same, "left_semi").withColumn("_jaccard_class", _class_of_text("text"))
+    versions = docs.join(again, same, "left_semi").withColumn("_jaccard_class", _class_of_text(F.col("text"), size))
     found = versions.join(kinds, same & (F.col("_jaccard_class") == F.col("_jaccard_kind")))
     several = found.filter("_jaccard_n > 0").dropDuplicates(["doc_id", "_jaccard_class"]).union(found.filter("_jaccard_n = 0"))
     return out.unionByName(several.select(docs.columns))
