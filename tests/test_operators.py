@@ -69,6 +69,17 @@ def test_workflow_branches_and_cycles(spark):
     assert got == [(0, "a", 1), (1, "b", 0)]
 
 
+def test_deep_subtrees_hide_whole(spark):
+    e = edges(spark, *((f"n{i}", f"n{i + 1}", "T") for i in range(52))).coalesce(1).cache()
+    assert {r["id"] for r in traverse.hidden(e, ids(spark, "n0").coalesce(1)).collect()} == {f"n{i}" for i in range(1, 53)}
+
+
+def test_long_chains_are_whole(spark):
+    e = edges(spark, *((f"n{i}", f"n{i + 1}", "FOLLOWED_BY") for i in range(101))).coalesce(1).cache()
+    got = [(r["step"], r["id"]) for r in traverse.workflow_chains(e, ids(spark, "n0").coalesce(1)).orderBy("step").collect()]
+    assert got == [(i, f"n{i}") for i in range(102)]
+
+
 def test_paths_of_a_square(spark):
     e = edges(spark, ("a", "b", "T"), ("b", "d", "T"), ("a", "c", "T"), ("d", "c", "U"))
     p = spark.createDataFrame([("a", "d"), ("a", "a")], "source string, target string")

@@ -7,12 +7,17 @@ executor costs one level. No walk pairs all nodes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.session import materialize
 
+#: After so many levels what was found is written as one table, so that plans of deep walks stay small.
+LEVELS = 16
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, once for each pair."""
@@ -20,12 +25,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return ab.union(ab.select("b", "a")).toDF("a", "b").filter("a != b").distinct()
 
 
-def k_hop(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = False) -> DataFrame:
-    """``start``, ``id``, ``hops``: nodes within ``depth`` of each start, each at its least distance."""
+def k_hop(edges: DataFrame, starts: DataFrame, depth: int | None, directed: bool = False) -> DataFrame:
+    """``start``, ``id``, ``hops``: nodes within ``depth`` of each start (None: all), each at its least distance."""
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else both_ways(edges)
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct()
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(step, frontier.id == step.a).select("start", F.col("b").alias("id")).distinct()
         frontier = materialize(
             reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(d)), "k-hop"
@@ -33,6 +38,8 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = Fals
         if frontier.limit(1).count() == 0:
             break
         seen = seen.union(frontier)
+        if d % LEVELS == 0:
+            seen = materialize(seen, "k-hop")
     return seen
 
 
@@ -124,32 +131,32 @@ def cascade_summary(walk: DataFrame) -> DataFrame:
     )
 
 
-def workflow_chains(edges: DataFrame, starts: DataFrame, relation: str = "FOLLOWED_BY", max_steps: int = 100) -> DataFrame:
+def workflow_chains(edges: DataFrame, starts: DataFrame, relation: str = "FOLLOWED_BY") -> DataFrame:
     """``start``, ``step``, ``id``, ``branches``: follow the first unvisited successor until there is none.
 
     ``branches`` counts the successors that were not taken.
     """
     nexts = edges.filter(F.col("type") == relation).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst"))).alias("nexts"))
     at = starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id", F.array("id").alias("been"))
-    done = []
-    for _ in range(max_steps):
+    out = None
+    for n in count(1):
         here = at.join(nexts, at.id == nexts.src, "left")
         open_ = F.filter(F.coalesce("nexts", F.expr("cast(array() as array<struct<ord: bigint, dst: string>>)")), lambda x: ~F.array_contains("been", x["dst"]))
         here = materialize(here.select("start", "step", "id", "been", open_.alias("open")), "chains")
-        done.append(here.select("start", "step", "id", F.greatest(F.size("open") - 1, F.lit(0)).alias("branches")))
+        steps = here.select("start", "step", "id", F.greatest(F.size("open") - 1, F.lit(0)).alias("branches"))
+        out = steps if out is None else out.union(steps)
+        if n % LEVELS == 0:
+            out = materialize(out, "chains")
         at = here.filter(F.size("open") > 0).select("start", (F.col("step") + 1).alias("step"), F.get("open", F.lit(0))["dst"].alias("id"), "been")
         at = at.withColumn("been", F.array_append("been", F.col("id")))
         if at.limit(1).count() == 0:
             break
-    out = done[0]
-    for x in done[1:]:
-        out = out.union(x)
     return out
 
 
-def hidden(edges: DataFrame, collapsed: DataFrame, max_depth: int = 50) -> DataFrame:
-    """``root``, ``id``: descendants of collapsed nodes, themselves left out."""
-    reach = k_hop(edges, collapsed, max_depth, directed=True)
+def hidden(edges: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """``root``, ``id``: all descendants of collapsed nodes, themselves left out."""
+    reach = k_hop(edges, collapsed, None, directed=True)
     return reach.filter("start != id").select(F.col("start").alias("root"), "id")
 
 
