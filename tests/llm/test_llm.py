@@ -327,13 +327,27 @@ def test_pipeline_links_near_copies(spark):
     assert sorted(r["doc_id"] for r in stay.collect()) == sorted(want)
 
 
-def test_linked_pairs_products():
+@pytest.mark.parametrize("sides", [False, True])
+def test_group_join_equals_all_pairs(sides):
+    """The forest of links against all pairs: near copies, subsets, sets without a partner, a hot shingle."""
     r = np.random.default_rng(3)
-    base = r.integers(0, 10**6, 200)
-    sets = [np.unique(np.r_[base[r.random(200) > x / 400], r.integers(0, 10**6, x % 7)]) for x in range(60)]
-    got = {(int(a), int(b)) for x, y in jaccard_join.linked_pairs(sets, 90, 16) for a, b in zip(x, y, strict=True)}
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
-    assert got == want
+    for percent in (80, 90):
+        base = r.permutation(10**6)[:400]
+        sets = [np.unique(np.r_[base[:200][r.random(200) > x / 400], 10**6 + r.integers(0, 10**6, x % 7)]) for x in range(60)]
+        sets += [np.unique(np.r_[7, r.integers(0, 10**6, 5 + x)]) for x in range(40)]
+        sets += [np.unique(base[200 : 200 + 30 + x]) for x in range(30)] + [np.array([7]), np.array([8])]
+        sets = [np.array(x) for x in {tuple(x.tolist()) for x in sets}]
+        side = r.integers(0, 2, len(sets))
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if (not sides or side[i] != side[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if x == high else x for x in root]
+        join = jaccard_join.GroupJoin(sets, percent, side if sides else None)
+        got = join._roots(np.arange(len(sets))).tolist()
+        assert len(set(zip(got, root, strict=True))) == len(set(got)) == len(set(root))
+        assert len(set(root)) < len(sets) - 20
 
 
 PAGES = [

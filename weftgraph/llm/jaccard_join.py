@@ -5,18 +5,22 @@ all its words if it has fewer). Two documents link where 100 times the shared sh
 are at least ``percent`` times all of theirs. Both are the caller's; ``SHINGLE`` and
 ``PERCENT`` are those of the query op6.
 
-1. Documents with equal sets are one class. Shingles are ordered by how rare they and
-   their words are, counted over all documents in tables of fixed size, then by hash.
-   Linked sets share one of the first ``n - ceil(percent n / 100) + 1`` shingles, the prefix.
-2. Classes with the same prefix and size are one group. Groups that share a shingle of
-   ``FEW`` groups at most are tied if they can share enough of their prefixes. The groups
-   of any other shingle are put in order of size; where sizes jump too far for any pair
-   across to link, the row is cut, and each group of a part is tied to the part's first.
-   There are no more than a few ties for each prefix entry.
-3. What ties connect is a bag; linked classes are always in one. A bag is expanded to the
-   whole sets of its members and verified by products of membership matrices. A bag of
-   more than ``BLOCK`` shingles is dealt in blocks, and each pair of blocks is a task.
-4. A task returns a forest of its links, and the forests give the components.
+1. Documents with equal sets are one class, named by a 128-bit digest. Shingles are
+   ordered by how rare they and their words are, counted over all documents in tables of
+   fixed size, then by hash. Linked sets share one of the first
+   ``n - ceil(percent n / 100) + 1`` shingles, the prefix.
+2. Classes with the same prefix and size are one group. Groups that share a prefix shingle
+   are tied: pair by pair where at most ``FEW`` hold it, and only if they can share enough
+   of their prefixes; else each to the least group of its shingle and band of sizes, and
+   the bands to their neighbours if a pair across can link. There are no more than a few
+   ties for each prefix entry, and all come from aggregates that combine before they shuffle.
+3. What ties connect is a bag; linked classes are always in one. A bag is one task; a bag
+   of more than ``BLOCK`` shingles is dealt in blocks by band of sizes, and only blocks of
+   equal or neighbouring bands meet.
+4. A task joins its groups by an inverted index of their prefixes, filters group pairs by
+   size and by the places of the shingles they share, expands those that are left and
+   verifies members on whole sets, but for members that links have already connected. It
+   returns a forest of its links, and the forests give the components.
 
 Rows: one result for each input row; the result of a row depends on its set alone, so
 equal rows get equal results. A null or wordless text has an empty set and is its own
@@ -43,14 +47,14 @@ from weftgraph.session import materialize
 
 SHINGLE = 3
 PERCENT = 90
-#: Counters of words and of shingles: 20 MB at any size, since a count stops at 65535.
+#: Counters of words and of shingles: a byte each, in steps of an eighth of a power of two.
 WORD_BITS, SHINGLE_BITS = 21, 23
 COUNTERS = (1 << WORD_BITS) + (1 << SHINGLE_BITS)
 FILTER_BITS = 25
 #: Groups of a shingle up to which pairs are counted.
 FEW = 6
 #: Shingles of one block of a bag.
-BLOCK = 200_000
+BLOCK = 500_000
 _CHUNK = 1 << 15
 _PIECE = 1 << 20
 
@@ -145,18 +149,16 @@ def _counter(size: int):
     """Counters of words, then those of shingles, in one row of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         counts = np.zeros(COUNTERS, np.int32)
-        held: list[np.ndarray] = []
-        n = 0
         for _, words in _documents(batches):
-            held += (_word_counter(np.unique(words)), _shingle_counter(np.unique(shingles(words, size))))
-            n += 2 * len(words)
-            if n > 4 * _PIECE:
-                counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
-                held, n = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.int32)
-        yield from _chunks(counts.astype(np.int64))
+            np.add.at(counts, _word_counter(np.unique(words)), 1)
+            np.add.at(counts, _shingle_counter(np.unique(shingles(words, size))), 1)
+        for k in range(0, COUNTERS, _CHUNK):
+            part = counts[k : k + _CHUNK]
+            if part.any():
+                yield arrowkit.emit({"chunk": [k // _CHUNK], "counts": [zlib.compress(part.tobytes(), 1)]}, _COUNTS)
 
     return run
 
@@ -169,56 +171,63 @@ def _shingle_counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64) + (1 << WORD_BITS)
 
 
-def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    import zlib
-
-    for k in range(0, len(counts), _CHUNK):
-        part = counts[k : k + _CHUNK]
-        if part.any():
-            yield arrowkit.emit({"chunk": [k // _CHUNK], "counts": [zlib.compress(part.tobytes(), 1)]}, _COUNTS)
+_STEPS = pa.schema([("chunk", pa.int32()), ("steps", pa.binary())])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all tasks, on a scale of eighths of powers of two."""
     import zlib
 
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, data in zip(arrowkit.strings(batch, "chunk"), arrowkit.strings(batch, "counts"), strict=True):
-            part = np.frombuffer(zlib.decompress(data), np.int64)
-            sums[k] = sums[k] + part if k in sums else part
+            part = np.frombuffer(zlib.decompress(data), np.int32)
+            if k not in sums:
+                sums[k] = part.astype(np.int64)
+            else:
+                sums[k] += part
     for k, part in sums.items():
-        yield arrowkit.emit({"chunk": [k], "counts": [zlib.compress(part.tobytes(), 1)]}, _COUNTS)
+        steps = np.minimum(np.rint(8 * np.log2(1.0 + part)), 255).astype(np.uint8)
+        yield arrowkit.emit({"chunk": [k], "steps": [steps.tobytes()]}, _STEPS)
 
 
 def rarities(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """How many documents have a word, or a shingle, of each counter, over all documents."""
-    import zlib
-
+    """How many documents have a word, or a shingle, of each counter, over all documents: 10 MB."""
     parts = texts.mapInArrow(_counter(size), "chunk int, counts binary")
-    out = np.zeros(COUNTERS, np.uint16)
-    for r in parts.repartition("chunk").mapInArrow(_sum, "chunk int, counts binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        out[r["chunk"] * _CHUNK :][: len(part)] = np.minimum(part, (1 << 16) - 1)
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in parts.repartition("chunk").mapInArrow(_sum, "chunk int, steps binary").collect():
+        part = np.frombuffer(bytes(r["steps"]), np.uint8)
+        out[r["chunk"] * _CHUNK :][: len(part)] = part
     return out
 
 
 # --- sets and prefixes ----------------------------------------------------------
 
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64()))]
 )
-SETS = "doc_id long, n long, class long, prefix array<long>"
+SETS = "doc_id long, n long, class binary, group binary, prefix array<long>"
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _class_of(found: np.ndarray) -> int:
-    """A 64-bit digest of a sorted set."""
+def _digest(found: np.ndarray, salt: bytes = b"") -> bytes:
+    """A 128-bit digest of an ordered set."""
     import hashlib
 
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return hashlib.blake2b(found.tobytes(), digest_size=16, salt=salt).digest()
+
+
+def _ordered(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles by hash, and their order from the rarest on."""
+    found, first = np.unique(shingles(words, size), return_index=True)
+    df = counts[_word_counter(words)]
+    rare = counts[_shingle_counter(found)]
+    for i in range(min(size, len(words))):
+        rare = np.minimum(rare, df[first + i])
+    return found, np.lexsort((found, rare))
 
 
 def _prefixer(shared, percent: int, size: int):
@@ -227,19 +236,12 @@ def _prefixer(shared, percent: int, size: int):
         rows: dict[str, list] = {k: [] for k in _SETS.names}
         held = 0
         for doc, words in _documents(batches):
-            all_ = shingles(words, size)
-            found, first = np.unique(all_, return_index=True)
-            df = counts[_word_counter(words)]
-            rare = counts[_shingle_counter(found)]
-            for i in range(min(size, len(words))):
-                rare = np.minimum(rare, df[first + i])
-            p = prefix_length(len(found), percent)
-            prefix = found[np.lexsort((found, rare))[:p]]
-            rows["doc_id"].append(doc)
-            rows["n"].append(len(found))
-            rows["class"].append(_class_of(found))
-            rows["prefix"].append(prefix.view(np.int64))
-            held += p + 8
+            found, order = _ordered(words, counts, size)
+            prefix = found[order[: prefix_length(len(found), percent)]].view(np.int64)
+            group = _digest(prefix, len(found).to_bytes(8, "little"))
+            for k, v in zip(_SETS.names, (doc, len(found), _digest(found), group, prefix), strict=True):
+                rows[k].append(v)
+            held += len(prefix) + 8
             if held > _PIECE // 4:
                 yield arrowkit.emit(rows, _SETS)
                 rows, held = {k: [] for k in _SETS.names}, 0
@@ -249,30 +251,31 @@ def _prefixer(shared, percent: int, size: int):
     return run
 
 
-_MEMBERS = pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_MEMBERS = pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _setter(shared, size: int):
-    """Sets of the documents whose class may be wanted."""
+def _setter(shared_counts, shared_bits, size: int):
+    """Whole sets, the rarest shingle first, of the documents whose class may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        sent: set[int] = set()  # copies within a task go once
+        counts, bits = shared_counts.value, shared_bits.value
+        sent: set[bytes] = set()  # copies within a task go once
         rows: dict[str, list] = {k: [] for k in _MEMBERS.names}
         held = 0
         for _, words in _documents(batches):
             found = np.unique(shingles(words, size))
             if not len(found):
                 continue
-            kind = _class_of(found)
-            bit = _bit(np.array([kind]))[0]
+            kind = _digest(found)
+            bit = int.from_bytes(kind[:4], "big") >> (32 - FILTER_BITS)
             if kind in sent or not bits[bit >> 5] >> np.uint32(bit & 31) & 1:
                 continue
-            if len(sent) > _PIECE:
+            if len(sent) > _PIECE // 4:
                 sent.clear()
             sent.add(kind)
+            found, order = _ordered(words, counts, size)
             rows["class"].append(kind)
-            rows["shingles"].append(found.view(np.int64))
+            rows["shingles"].append(found[order].view(np.int64))
             held += len(found)
             if held > _PIECE // 4:
                 yield arrowkit.emit(rows, _MEMBERS)
@@ -283,13 +286,10 @@ def _setter(shared, size: int):
     return run
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (ids.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def class_filter(classes: DataFrame) -> np.ndarray:
     """A bit for each class by its leading bits: 4 MB at any size."""
-    bit = F.shiftrightunsigned("class", 64 - FILTER_BITS)
+    lead = F.conv(F.hex(F.substring("class", 1, 4)), 16, 10).cast("long")
+    bit = F.shiftrightunsigned(lead, 32 - FILTER_BITS)
     words = classes.select((bit / 32).cast("int").alias("word"), (bit % 32).cast("int").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -300,68 +300,135 @@ def class_filter(classes: DataFrame) -> np.ndarray:
 # --- candidates, links and components --------------------------------------------
 
 
-def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least member that each of ``n`` reaches by pairs."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            if (x := root(a)) != (y := root(b)):
-                parent[max(x, y)] = min(x, y)
-    return np.array([root(x) for x in range(n)])
-
-
-def linked_pairs(sets: list[np.ndarray], percent: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets that link, from products of membership matrices, a strip of rows at a time."""
-    sizes = np.array([len(x) for x in sets])
-    all_, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    several = count[where] > 1  # a shingle of one set is shared by no pair
-    column = np.cumsum(count > 1) - 1
-    rows, columns = owner[several], column[where[several]]
-    starts = np.searchsorted(rows, np.arange(len(sets) + 1))
-    order = np.argsort(columns, kind="stable")
-    by_column, column_rows = columns[order], rows[order]
-    for i in range(0, len(sets), step):
-        j = min(i + step, len(sets))
-        shared = np.zeros((j - i, len(sets)), np.float32)
-        own = columns[starts[i] : starts[j]]
-        used, local = np.unique(own, return_inverse=True)
-        left = rows[starts[i] : starts[j]] - i
-        for k in range(0, len(used), 4096):
-            part = (local >= k) & (local < k + 4096)
-            wide = min(4096, len(used) - k)
-            a = np.zeros((j - i, wide), np.float32)
-            a[left[part], local[part] - k] = 1
-            low = np.searchsorted(by_column, used[k])
-            high = np.searchsorted(by_column, used[k + wide - 1], "right")
-            at = np.searchsorted(used, by_column[low:high])
-            at = np.minimum(at, len(used) - 1)
-            hit = used[at] == by_column[low:high]
-            b = np.zeros((len(sets), wide), np.float32)
-            b[column_rows[low:high][hit], at[hit] - k] = 1
-            shared += a @ b.T
-        shared = shared.astype(np.int64)
-        total = sizes[i:j, None] + sizes[None, :] - shared
-        x, y = np.nonzero(100 * shared >= percent * total)
-        later = y > x + i
-        yield x[later] + i, y[later]
+class GroupJoin:
+    """Links among the sets of one task, by group pairs from an index of prefixes.
+
+    ``sets``: distinct sets in one order of shingles, the rarest first. ``side``: only
+    sets of different sides are compared; None compares all. ``parent`` becomes a forest
+    whose trees are what the links connect.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None):
+        self.percent, self.side = percent, side
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.end = np.cumsum(self.size)
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+        self.parent = np.arange(len(sets))
+        self.cut = np.array([prefix_length(n, percent) for n in self.size.tolist()], np.int64)
+        self._group()
+        for g in range(len(self.start)):
+            self._probe(g)
+
+    def _group(self) -> None:
+        """Groups in order of size, their members, and the index: entries by shingle, then group."""
+        begin = self.end - self.size
+        kinds: dict[tuple, list[int]] = {}
+        for m in np.argsort(self.size, kind="stable").tolist():
+            own = self.flat[begin[m] : begin[m] + self.cut[m]].tobytes()
+            kinds.setdefault((self.size[m], own, 0 if self.side is None else self.side[m]), []).append(m)
+        self.members = [np.array(x) for x in kinds.values()]
+        first = np.array([x[0] for x in self.members])
+        self.n, cut = self.size[first], self.cut[first]
+        owner = np.repeat(np.arange(len(first)), cut)
+        self.start = np.cumsum(cut) - cut
+        place = np.arange(len(owner)) - np.repeat(self.start, cut)
+        shingle = self.flat[begin[first][owner] + place]
+        by = np.lexsort((owner, shingle))
+        self.owner, self.place = owner[by], place[by]
+        self.at = np.empty(len(by), np.int64)  # where in the index an entry is
+        self.at[by] = np.arange(len(by))
+        ordered = shingle[by]
+        self.low = np.searchsorted(ordered, ordered)  # where its shingle begins
+        self.cuts = cut
+
+    def _roots(self, of: np.ndarray) -> np.ndarray:
+        root = self.parent[of]
+        while (up := self.parent[root] != root).any():
+            root = np.where(up, self.parent[root], root)
+        self.parent[of] = root
+        return root
+
+    def _probe(self, g: int) -> None:
+        """Compare a group with the groups before it that share a shingle of its prefix, and with itself."""
+        members = self.members[g]
+        if self.side is None:
+            for k in range(1, len(members)):
+                self._verify(int(members[k]), members[:k])
+        own = self.at[self.start[g] : self.start[g] + self.cuts[g]]
+        low = self.low[own]
+        count = own - low
+        if not count.sum():
+            return
+        take = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        other, there, here = self.owner[take], self.place[take], np.repeat(np.arange(len(own)), count)
+        fits = 100 * self.n[other] >= self.percent * self.n[g]
+        if self.side is not None:
+            fits &= self.side[self._first(other)] != self.side[members[0]]
+        other, there, here = other[fits], there[fits], here[fits]
+        if len(other) > 4 * len(members):  # most often it links with the component that shares most
+            roots = self._roots(self._first(other))
+            best = int(np.bincount(roots).argmax())
+            with_ = other[np.flatnonzero(roots == best)[-1]]
+            for m in members.tolist():
+                self._verify(m, self.members[with_])
+            if len(members) == 1:
+                stay = self._roots(self._first(other)) != self._roots(members)[0]
+                other, there, here = other[stay], there[stay], here[stay]
+        if not len(other):
+            return
+        pairs, which, shared = np.unique(other, return_inverse=True, return_counts=True)
+        last_here, last_there = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        np.maximum.at(last_here, which, here)
+        np.maximum.at(last_there, which, there)
+        # beyond the last shingle that both prefixes hold, no more than the shorter rest is shared
+        most = shared + np.minimum(self.n[g] - last_here - 1, self.n[pairs] - last_there - 1)
+        need = -(-self.percent * (self.n[g] + self.n[pairs]) // (100 + self.percent))
+        pairs = pairs[most >= need]
+        if len(pairs):
+            targets = np.concatenate([self.members[h] for h in pairs.tolist()])
+            for m in members.tolist():
+                self._verify(m, targets)
+
+    def _first(self, groups: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "_firsts"):
+            self._firsts = np.array([x[0] for x in self.members])
+        return self._firsts[groups]
+
+    def _verify(self, m: int, targets: np.ndarray) -> None:
+        """Link a set with the targets that share enough of the whole sets."""
+        own = self._roots(np.array([m]))[0]
+        targets = targets[self._roots(targets) != own]
+        if not len(targets):
+            return
+        self.mark[self.flat[self.end[m] - self.size[m] : self.end[m]]] = True
+        size = self.size[targets]
+        for part in np.split(np.arange(len(targets)), np.flatnonzero(np.diff(np.cumsum(size) // _PIECE)) + 1):
+            n, ends = size[part], np.cumsum(size[part])
+            take = np.arange(int(ends[-1])) + np.repeat(self.end[targets[part]] - ends, n)
+            shared = np.add.reduceat(self.mark[self.flat[take]].astype(np.int64), ends - n)
+            linked = targets[part][100 * shared >= self.percent * (n + self.size[m] - shared)]
+            if len(linked):
+                roots = np.unique(np.r_[self._roots(linked), self._roots(np.array([m]))])
+                self.parent[roots] = roots[0]
+        self.mark[self.flat[self.end[m] - self.size[m] : self.end[m]]] = False
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _forest(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("class")
-        classes = table.column("class").to_numpy()
+        if table.num_rows < 2:
+            return _LINKS.empty_table()
+        table = table.combine_chunks()
         sets = [x.values.to_numpy(zero_copy_only=False) for x in table.column("shingles")]
-        root = _roots(len(sets), linked_pairs(sets, percent)) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        alone = all(table.column(x)[0] == table.column(y)[0] for x, y in (("band", "next"), ("i", "j")))
+        join = GroupJoin(sets, percent, None if alone else table.column("side").to_numpy())
+        root = join._roots(np.arange(len(sets)))
         other = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": classes[root[other]], "b": classes[other]})
+        classes = table.column("class")
+        return pa.table([classes.take(pa.array(root[other])), classes.take(pa.array(other))], schema=_LINKS)
 
     return run
 
@@ -420,41 +487,87 @@ def _counted_ties(small: DataFrame, large: DataFrame, percent: int) -> DataFrame
     return pairs.filter(most >= F.least(least("a_n"), least("b_n"))).select("a", "b")
 
 
+def _band(n: str, percent: int) -> F.Column:
+    """Sizes of a band may link with sizes of the same band and of its neighbours, with no others."""
+    if percent >= 100:
+        return F.col(n).cast("int")
+    wide = float(np.log(100 / percent)) * (1 + 1e-6)  # rounding can't part what may link
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(wide)).cast("int")
+
+
+def _band_ties(entries: DataFrame, percent: int) -> DataFrame:
+    """Each group with the least of its shingle and band, and those of neighbouring bands that may link."""
+    banded = entries.withColumn("band", _band("n", percent))
+    heads = banded.groupBy("shingle", "band").agg(F.min("group").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
+    heads = materialize(heads, "jaccard-heads")
+    own = banded.join(heads, ["shingle", "band"]).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b"))
+    above = heads.select("shingle", (F.col("band") - 1).alias("band"), F.col("head").alias("next"), F.col("low").alias("next_low"))
+    across = heads.join(above, ["shingle", "band"]).filter(100 * F.col("high") >= percent * F.col("next_low"))
+    return own.union(across.select(F.col("head").alias("a"), F.col("next").alias("b")))
+
+
 def bags(sets: DataFrame, percent: int) -> DataFrame:
-    """``bag``, ``class``, ``blocks`` of the classes that may link with another."""
-    rows = sets.filter("n > 0").withColumn("group", F.xxhash64("prefix", "n"))
+    """``bag``, ``class`` and ``n`` of the classes that may link with another."""
+    rows = sets.filter("n > 0")
     groups = rows.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = groups.select("group", "n", F.explode("prefix").alias("shingle"))
-    entries = entries.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).filter("held > 1")
-    entries = materialize(entries, "jaccard-index")
+    counts = entries.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    entries = materialize(entries.join(counts, "shingle"), "jaccard-index")
     large = entries.filter(F.col("held") > FEW)
-    w = Window.partitionBy("shingle").orderBy("n", "group")
-    jump = F.coalesce(100 * F.lag("n").over(w) < percent * F.col("n"), F.lit(False)).cast("int")
-    parts = large.withColumn("jump", jump).withColumn("part", F.sum("jump").over(w))
-    head = F.first("group").over(Window.partitionBy("shingle", "part").orderBy("n", "group"))
-    ties = parts.withColumn("head", head).filter("group != head").select(F.col("head").alias("a"), F.col("group").alias("b"))
-    ties = ties.union(_counted_ties(entries.filter(F.col("held") <= FEW), large, percent)).distinct()
+    ties = _band_ties(large, percent).union(_counted_ties(entries.filter(F.col("held") <= FEW), large, percent)).distinct()
     tied = components(materialize(ties, "jaccard-ties")).select(F.col("class").alias("group"), F.col("component").alias("bag"))
     members = rows.select("group", "class", "n").distinct().join(tied, "group", "left").withColumn("bag", F.coalesce("bag", "group"))
-    several = members.groupBy("bag").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
-    return members.join(several, "bag").select("bag", "class", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
+    several = members.groupBy("bag").agg(F.count("*").alias("members")).filter("members > 1")
+    return members.join(several, "bag").select("bag", "class", "n")
 
 
-def linked_classes(sets: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def dealt(members: DataFrame, percent: int) -> DataFrame:
+    """``class`` and the tasks it takes part in: ``bag``, ``band``, ``i``, ``next``, ``j`` and its ``side``.
+
+    A bag of up to ``BLOCK`` shingles is one task. Of a larger one, each band of sizes has
+    a block for every ``BLOCK`` shingles, and blocks of a band or of two neighbours meet.
+    """
+    banded = members.withColumn("band", _band("n", percent))
+    sums = banded.groupBy("bag", "band").agg(F.sum("n").alias("shingles"))
+    whole = F.sum("shingles").over(Window.partitionBy("bag"))  # one row for each band
+    w = Window.partitionBy("bag").orderBy("band")
+
+    def blocks(step: int) -> F.Column:
+        near = F.lead("band").over(w) if step > 0 else F.lag("band").over(w)
+        n = F.lead("shingles").over(w) if step > 0 else F.lag("shingles").over(w)
+        return F.when(near == F.col("band") + step, F.ceil(n / BLOCK).cast("int")).otherwise(F.lit(0))
+
+    plan = sums.select(
+        "bag", "band", (whole > BLOCK).alias("large"), F.ceil(F.col("shingles") / BLOCK).cast("int").alias("own"),
+        blocks(1).alias("above"), blocks(-1).alias("below"),
+    )
+    at = F.pmod(F.xxhash64("class"), F.col("own")).cast("int")
+    band = F.col("band")
+
+    def task(b: F.Column, i: F.Column, c: F.Column, j: F.Column, side: F.Column) -> F.Column:
+        return F.struct(b.alias("band"), i.alias("i"), c.alias("next"), j.alias("j"), side.cast("int").alias("side"))
+
+    def each(n: str, f) -> F.Column:
+        return F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), f)
+
+    within = each("own", lambda k: task(band, F.least(k, at), band, F.greatest(k, at), at > k))
+    up = each("above", lambda k: task(band, at, band + 1, k, F.lit(0)))
+    down = each("below", lambda k: task(band - 1, k, band, at, F.lit(1)))
+    zero = F.lit(0)
+    tasks = F.when(F.col("large"), F.concat(within, up, down)).otherwise(F.array(task(zero, zero, zero, zero, zero)))
+    return banded.join(plan, ["bag", "band"]).select("class", "bag", F.explode(tasks).alias("t")).select("class", "bag", "t.*")
+
+
+def linked_classes(sets: DataFrame, texts: DataFrame, counts, percent: int, size: int) -> DataFrame:
     """``class``, ``component`` of the classes that link with another."""
     spark: SparkSession = sets.sparkSession
     found = materialize(bags(sets, percent), "jaccard-bags")
     shared = spark.sparkContext.broadcast(class_filter(found.select("class")))
-    whole = texts.mapInArrow(_setter(shared, size), "class long, shingles array<long>")
-    # each class once, by the least of its rows' addresses; then to its block with every block of its bag
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    pairs = F.explode(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    )
-    wanted = whole.join(found, "class").dropDuplicates(["class"])
-    dealt = wanted.select("bag", pairs.alias("p"), "class", "shingles").select("bag", "p.i", "p.j", "class", "shingles")
-    forest = dealt.groupBy("bag", "i", "j").applyInArrow(_forest(percent), "a long, b long")
-    return components(materialize(forest, "jaccard-links"))
+    whole = texts.mapInArrow(_setter(counts, shared, size), "class binary, shingles array<long>")
+    # each class once; then to its tasks
+    wanted = whole.join(found.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    tasks = wanted.join(dealt(found, percent), "class").groupBy("bag", "band", "i", "next", "j")
+    return components(materialize(tasks.applyInArrow(_forest(percent), "a binary, b binary"), "jaccard-links"))
 
 
 def labelled_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -464,7 +577,7 @@ def labelled_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     texts = arrowkit.texts_of(docs, "doc_id")
     shared = spark.sparkContext.broadcast(rarities(texts, size))
     sets = materialize(texts.mapInArrow(_prefixer(shared, percent, size), SETS), "jaccard-prefixes")
-    labels = linked_classes(sets, texts, percent, size)
+    labels = linked_classes(sets, texts, shared, percent, size)
     least = sets.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     of = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -480,13 +593,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
 
 def _class_of_text(text: F.Column, size: int) -> F.Column:
-    @F.pandas_udf(T.LongType())
+    @F.pandas_udf(T.BinaryType())
     def found(text: pd.Series) -> pd.Series:
         out = []
         for x in text:
             words, _ = word_hashes(np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8))
-            out.append(_class_of(np.unique(shingles(words, size))))
-        return pd.Series(out, dtype="int64")
+            out.append(_digest(np.unique(shingles(words, size))))
+        return pd.Series(out, dtype=object)
 
     return found(text)
 
