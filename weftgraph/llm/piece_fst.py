@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer of a byte-pair model is composed of three parts. The normaliser writes a
-mark for each space and one before the text. The piece transducer is a trie: reading a
-piece's characters emits its id at the cost of its negative score, and a character that
-no piece holds goes through the byte fallback, emitting a byte piece for each of its
-UTF-8 bytes. The third part accepts a piece after another only if the model's merges
-leave the two standing when they are run on both alone. Merges on either side of a
-boundary don't depend on each other until one crosses it, so exactly the model's own
-segmentation passes at every boundary.
-
-Composed with an input, this is a lattice over its positions. Its tropical shortest
-path is found left to right: every prefix has one segmentation that the third part
-accepts, so each position keeps one best last piece. No piece joins a character to a
-mark behind it, so a text falls into chunks at spaces, and chunks recur.
+The transducer of a byte-pair model is compiled from the model's own file and composed of
+four parts. The normaliser rewrites the strings of the model's character map, the longest
+first, squeezes spaces if the model says so, writes a mark for each space and, if the
+model says so, one before the text. The piece transducer is a trie: reading a piece's
+characters emits its id at the cost of its negative score. The byte fallback reads a
+character that no piece holds and emits a byte piece for each of its UTF-8 bytes, at a
+cost above any path without one. The last part accepts a piece after another only if the
+model's merges leave the two standing when they are run on both alone; merges on either
+side of a boundary don't depend on each other until one crosses it, so exactly the model's
+own segmentation passes at every boundary.
+
+Composed with an input, this is a lattice over its positions. Its tropical shortest path is
+found left to right: an arc relaxes the cost of the position where it ends, and of the arcs
+that the last part accepts the cheapest stays. No piece joins a character to a mark behind
+it, so a text falls into chunks at spaces, and chunks recur.
 
 Rows: one result for each input row. A null or empty text has no ids. A mark that
 stands in a text itself reads as a space, as in the library. An empty table gives no
@@ -22,6 +24,8 @@ row. Extra columns are left behind.
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,53 +43,134 @@ FALLBACK = 1e10
 _END = ""
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rewritings of a compiled map: a double-array trie of keys, then the strings they become."""
+    if not blob:
+        return {}
+    (size,) = struct.unpack_from("<I", blob)
+    units = array("I", blob[4 : 4 + size])
+    strings = blob[4 + size :]
+    out = {}
+    todo = [(b"", 0)]
+    while todo:
+        key, node = todo.pop()
+        unit = units[node]
+        base = node ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if key and unit & 256:  # a key ends here
+            start = units[base] & 0x7FFFFFFF
+            out[key.decode("utf-8", "replace")] = strings[start : strings.index(b"\0", start)].decode("utf-8", "replace")
+        for b in range(1, 256):
+            if (at := base ^ b) < len(units) and units[at] & 0x800000FF == b:
+                todo.append((key + bytes([b]), at))
+    return out
+
+
+#: Kinds of pieces in a model file.
+_NORMAL, _USER, _BYTE = 1, 4, 6
+
+
 class PieceTransducer(ChunkEncoder):
     """Encodes texts to ids of pieces, and back."""
 
     def __init__(self, path: str, max_chunks: int = 400_000, max_pairs: int = 1_000_000, max_chars: int = 48):
-        import sentencepiece
+        with open(path, "rb") as f:
+            self._compile(f.read())
+        #: Marks before which no piece holds a letter: they end a chunk's word.
+        self.stops = {c: array("I", [self.ids[c]]).tobytes() for c in ".," if c in self.ids}
+        for p in self.ids:
+            for c in set(p[1:]) & self.stops.keys():
+                if any(x.isalpha() and y == c for x, y in zip(p, p[1:], strict=False)):
+                    del self.stops[c]
+        self.byte_of = {i: b for b, i in self.bytes_.items()}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.max_chunks, self.max_pairs = max_chunks, max_pairs
+        self.known = ChunkMemory(self._make, max_chars)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    def _compile(self, model: bytes) -> None:
+        """The parts of the transducer from the model's file."""
+        self.pieces: list[str] = []
         self.bytes_: dict[int, int] = {}
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.trie: dict = {}
-        for i, piece in enumerate(self.pieces):
-            if model.is_byte(i):
+        spec: dict[int, int | bytes] = {}
+        for field, value in _fields(model):
+            if field == 3:
+                spec = dict(_fields(value))
+            if field != 1:
+                continue
+            own = dict(_fields(value))
+            i, piece, kind = len(self.pieces), own.get(1, b"").decode(), own.get(3, _NORMAL)
+            self.pieces.append(piece)
+            if kind == _BYTE:
                 self.bytes_[int(piece[3:-1], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.scores[piece] = model.get_score(i)
+            elif kind == _NORMAL:
+                self.scores[piece] = struct.unpack("<f", own.get(2, bytes(4)))[0]
                 self.ids[piece] = i
                 node = self.trie
                 for c in piece:
                     node = node.setdefault(c, {})
-                node[_END] = i
+                node[_END] = (piece, -self.scores[piece])
+            elif kind == _USER:
+                raise ValueError("pieces that a user defined aren't supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind another character: texts don't fall into chunks")
-        #: Marks before which no piece holds a letter: they end a chunk's word.
-        self.stops = {c: array("I", [self.ids[c]]).tobytes() for c in ".," if c in self.ids}
-        for p in self.ids:
-            for c in set(p[1:]) & self.stops.keys():
-                if any(x.isalpha() and y == c for x, y in zip(p, p[1:], strict=False)):
-                    del self.stops[c]
-        self.byte_of = {i: b for b, i in self.bytes_.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.max_chunks, self.max_pairs = max_chunks, max_pairs
-        self.known = ChunkMemory(self._make, max_chars)
+        self.rewrites = character_map(spec.get(2, b""))
+        self.keys = re.compile("|".join(map(re.escape, sorted(self.rewrites, key=len, reverse=True)))) if self.rewrites else None
+        self.dummy, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        if not spec.get(5, 1):
+            raise ValueError("the model doesn't write marks for spaces")
 
     def vocabulary(self) -> int:
         return len(self.pieces)
 
-    # the normaliser, chunk by chunk
+    # the normaliser; marks are written chunk by chunk
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
+    def normalise(self, text: str) -> str:
+        """The text as pieces see it, with spaces where marks will stand."""
+        if self.keys is not None:
+            text = self.keys.sub(lambda m: self.rewrites[m[0]], text)
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        return text
+
+    def _chunks(self, text: str) -> list[str]:
+        text = self.normalise(text)
         if not text:
             return []
         if _BARE in text:
-            return [f"{_BARE} {text}"]
+            return [f"{_BARE}{' ' if self.dummy else ''}{text}"]
         first, *rest = ChunkEncoder._chunks(text)
+        if not self.dummy:
+            return [first, *rest]
         # alone, a line feed is a chunk without a mark
         return [first[1:] if first != _BARE + "\n" else _BARE + " \n", *rest]
 
@@ -111,8 +196,8 @@ class PieceTransducer(ChunkEncoder):
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def _stands(self, left: str, right: str) -> bool:
-        """Do the merges leave both pieces standing?"""
+    def _accepts(self, left: str, right: str) -> bool:
+        """Do the merges leave both pieces standing? ``left`` may be empty."""
         pairs = self.pairs
         if (known := pairs.get((left, right))) is None:
             if len(pairs) > self.max_pairs:
@@ -120,34 +205,26 @@ class PieceTransducer(ChunkEncoder):
             known = pairs[left, right] = self.merged([*left, *right]) == ([left, right] if left else [right])
         return known
 
-    def _alone(self, piece: str) -> bool:
-        """Do the merges make the piece of its own characters?"""
-        return self._stands("", piece)
-
     def path(self, text: str) -> list[int]:
         """The shortest path's ids for a normalised text."""
         n = len(text)
-        trie, stands, alone, scores = self.trie, self._stands, self._alone, self.scores
-        # best cost, last piece (None after a fallback) and its start, for each position
-        cost: list[float | None] = [0.0] + [None] * n
-        last: list[str | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
+        trie, accepts, known = self.trie, self._accepts, self.pairs.get
+        far = float("inf")
+        # best cost, last piece ("" after a fallback) and its start, for each position
+        cost, last, back = [0.0] + [far] * n, [""] * (n + 1), [0] * (n + 1)
         for i in range(n):
             before = cost[i]
-            if before is None:
+            if before == far:
                 continue
-            node, j, piece_before = trie.get(text[i]), i + 1, last[i]
-            if node is None or _END not in node:  # no piece for the character
-                c = before + FALLBACK
-                if cost[j] is None or c < cost[j]:
-                    cost[j], last[j], back[j] = c, None, i
+            node, j, left = trie.get(text[i]), i + 1, last[i]
+            if (node is None or _END not in node) and before + FALLBACK < cost[j]:  # no piece for the character
+                cost[j], last[j], back[j] = before + FALLBACK, "", i
             while node is not None:
-                if _END in node:
-                    # the third part accepts one last piece at most, so a piece that is there stays
-                    if last[j] is None:
-                        piece = text[i:j]
-                        if stands(piece_before, piece) if piece_before is not None else j == i + 1 or alone(piece):
-                            cost[j], last[j], back[j] = before - scores[piece], piece, i
+                if (arc := node.get(_END)) is not None:
+                    piece, own = arc
+                    # relax: only an arc that is cheaper and accepted
+                    if before + own < cost[j] and (ok if (ok := known((left, piece))) is not None else accepts(left, piece)):
+                        cost[j], last[j], back[j] = before + own, piece, i
                 if j == n:
                     break
                 node, j = node.get(text[j]), j + 1
@@ -155,10 +232,10 @@ class PieceTransducer(ChunkEncoder):
         j = n
         while j:
             i = back[j]
-            if last[j] is None:
-                out += [self.bytes_[b] for b in reversed(text[i:j].encode("utf-8", "surrogatepass"))]
-            else:
+            if last[j]:
                 out.append(self.ids[last[j]])
+            else:
+                out += [self.bytes_[b] for b in reversed(text[i:j].encode("utf-8", "surrogatepass"))]
             j = i
         return out[::-1]
 
@@ -171,21 +248,26 @@ class PieceTransducer(ChunkEncoder):
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces in a row, byte pieces as the bytes they stand for."""
-        out: list[str] = []
-        held = bytearray()
         pieces, byte_of = self.pieces, self.byte_of
-        for i in array("I", ids):
-            if (b := byte_of.get(i)) is not None:
-                held.append(b)
-                continue
+        row = array("I", ids)
+        if not byte_of.keys().isdisjoint(row):
+            out: list[str] = []
+            held = bytearray()
+            for i in row:
+                if (b := byte_of.get(i)) is not None:
+                    held.append(b)
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(pieces[i])
             if held:
                 out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text[:1] == " " else text
+            text = "".join(out)
+        else:
+            text = "".join(map(pieces.__getitem__, row))
+        text = text.replace(MARK, " ")
+        return text[1:] if self.dummy and text[:1] == " " else text
 
 
 @lru_cache(maxsize=2)
