@@ -457,7 +457,7 @@ def deduped_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with what is removed gone from ``text`` (and ``n_chars`` counted anew).
 
     A character that loses some of its bytes goes whole. A document that loses all
-    stays, with an empty text.
+    stays, with an empty text, and so does one whose text is null.
     """
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "text", F.struct("doc_id", *own).alias("_row"))
@@ -470,7 +470,6 @@ def deduped_documents(docs: DataFrame) -> DataFrame:
 
     both = some.select("_row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans")).alias("text"))
     both = both.unionByName(none.select("_row", "text"))
-    # only a null text stays null
     out = [F.col("text") if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns]
     if "n_chars" in own:
         out = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, out, strict=True)]
