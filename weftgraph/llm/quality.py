@@ -41,26 +41,28 @@ PRIOR_WEIGHT = 50.0
 PRIOR_GOOD = 0.8
 #: Chance that a vote is right on good and on bad texts: beliefs to start with, and bounds,
 #: which only say that a rule's good votes aren't perverse. Fixed beforehand, not fitted to labels.
-ACCURACY_GOOD, BOUNDS_GOOD = 0.9, (0.5, 0.999)
-ACCURACY_BAD, BOUNDS_BAD = 0.5, (0.05, 0.999)
+ACCURACY_GOOD, BOUNDS_GOOD = 0.97, (0.5, 0.999)
+ACCURACY_BAD, BOUNDS_BAD = 0.3, (0.05, 0.999)
 
 #: name, family, vote good where, vote bad where; over the columns of ``metrics``.
 #: Limits of bad votes are those of published filters for web text (50 words; mean word
-#: length 3 to 10; a symbol for ten words; 30 % of lines or 18 % of words in repetitions;
-#: lines of five words; terminal marks); good votes ask for half of that or less.
+#: length 3 to 10; a symbol for ten words; 80 % letters; 30 % of lines or 18 % of words in
+#: repetitions; lines of five words; terminal marks); good votes ask for half of that or less.
 RULES = (
     ("length", "shape", "n_words >= 100", "n_words < 50"),
     ("sentences", "shape", "40 * n_ends >= n_words", "200 * n_ends < n_words"),
     ("line_size", "shape", "n_words >= 10 * n_lines", "n_words < 5 * n_lines"),
-    ("word_size", "characters", "word_chars between 4 * n_words and 9 * n_words", "word_chars not between 3 * n_words and 10 * n_words"),
+    ("word_size", "words", "word_chars between 4 * n_words and 9 * n_words", "word_chars not between 3 * n_words and 10 * n_words"),
+    ("digits", "words", "20 * n_digits <= word_chars", "20 * n_digits > 3 * word_chars"),
+    ("capitals", "words", "8 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
     ("symbols", "characters", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    ("digits", "characters", "20 * n_digits <= word_chars", "20 * n_digits > 3 * word_chars"),
-    ("capitals", "characters", "8 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
+    ("letters", "characters", "10 * n_other <= word_chars", "5 * n_other > word_chars"),
+    ("density", "characters", "50 * n_symbols <= word_chars", "10 * n_symbols > word_chars"),
     ("lines", "repetition", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("repeats", "repetition", "100 * n_repeat_words <= 6 * n_words", "100 * n_repeat_words > 18 * n_words"),
 )
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_lines", "n_digits", "n_upper", "n_ends")
+_MORE = ("n_lines", "n_digits", "n_upper", "n_ends", "n_other")
 _OWN = "_quality_"
 
 
@@ -93,6 +95,7 @@ def with_metrics(docs: DataFrame) -> DataFrame:
             n["n_digits"]: lacking("0123456789"),
             n["n_upper"]: lacking("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
             n["n_ends"]: lacking(".!?"),
+            n["n_other"]: lacking("!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"),
         }
     )
     out = out.withColumns(
