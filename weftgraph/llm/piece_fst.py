@@ -40,7 +40,6 @@ from weftgraph.llm.bpe_ids import _BARE, ChunkEncoder, ChunkMemory
 MARK = "▁"
 #: Cost of a byte piece: above any path without one.
 FALLBACK = 1e10
-_END = ""
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,7 +107,9 @@ class PieceTransducer(ChunkEncoder):
                 if any(x.isalpha() and y == c for x, y in zip(p, p[1:], strict=False)):
                     del self.stops[c]
         self.byte_of = {i: b for b, i in self.bytes_.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: For each left piece what the last part says of right pieces; ``asked`` counts them all.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.asked = 0
         self.max_chunks, self.max_pairs = max_chunks, max_pairs
         self.known = ChunkMemory(self._make, max_chars)
 
@@ -118,7 +119,8 @@ class PieceTransducer(ChunkEncoder):
         self.bytes_: dict[int, int] = {}
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
-        self.trie: dict = {}
+        #: A state of the trie: what it emits (piece, cost, id; None if no piece ends there), and its arcs.
+        self.trie: list = [None, {}]
         spec: dict[int, int | bytes] = {}
         for field, value in _fields(model):
             if field == 3:
@@ -135,8 +137,8 @@ class PieceTransducer(ChunkEncoder):
                 self.ids[piece] = i
                 node = self.trie
                 for c in piece:
-                    node = node.setdefault(c, {})
-                node[_END] = (piece, -self.scores[piece])
+                    node = node[1].setdefault(c, [None, {}])
+                node[0] = (piece, -self.scores[piece], i)
             elif kind == _USER:
                 raise ValueError("pieces that a user defined aren't supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -198,42 +200,51 @@ class PieceTransducer(ChunkEncoder):
 
     def _accepts(self, left: str, right: str) -> bool:
         """Do the merges leave both pieces standing? ``left`` may be empty."""
-        pairs = self.pairs
-        if (known := pairs.get((left, right))) is None:
-            if len(pairs) > self.max_pairs:
-                pairs.clear()
-            known = pairs[left, right] = self.merged([*left, *right]) == ([left, right] if left else [right])
-        return known
+        if self.asked > self.max_pairs:
+            for row in self.pairs.values():
+                row.clear()
+            self.asked = 0
+        self.asked += 1
+        says = self.merged([*left, *right]) == ([left, right] if left else [right])
+        self.pairs.setdefault(left, {})[right] = says
+        return says
 
     def path(self, text: str) -> list[int]:
         """The shortest path's ids for a normalised text."""
         n = len(text)
-        trie, accepts, known = self.trie, self._accepts, self.pairs.get
+        starts, pairs = self.trie[1], self.pairs
         far = float("inf")
-        # best cost, last piece ("" after a fallback) and its start, for each position
-        cost, last, back = [0.0] + [far] * n, [""] * (n + 1), [0] * (n + 1)
+        # for each position the best cost, the last piece with its id ("" after a fallback), and where it starts
+        cost, last, back = [0.0] + [far] * n, [("", 0.0, -1)] * (n + 1), [0] * (n + 1)
         for i in range(n):
             before = cost[i]
             if before == far:
                 continue
-            node, j, left = trie.get(text[i]), i + 1, last[i]
-            if (node is None or _END not in node) and before + FALLBACK < cost[j]:  # no piece for the character
-                cost[j], last[j], back[j] = before + FALLBACK, "", i
+            node = starts.get(text[i])
+            if (node is None or node[0] is None) and before + FALLBACK < cost[i + 1]:  # no piece for the character
+                cost[i + 1], last[i + 1], back[i + 1] = before + FALLBACK, ("", 0.0, -1), i
+            left = last[i][0]
+            if (row := pairs.get(left)) is None:
+                row = pairs[left] = {}
+            j = i
             while node is not None:
-                if (arc := node.get(_END)) is not None:
-                    piece, own = arc
-                    # relax: only an arc that is cheaper and accepted
-                    if before + own < cost[j] and (ok if (ok := known((left, piece))) is not None else accepts(left, piece)):
-                        cost[j], last[j], back[j] = before + own, piece, i
+                arc, arcs = node
+                j += 1
+                # relax: only an arc that is cheaper and accepted
+                if arc is not None and (total := before + arc[1]) < cost[j]:
+                    if (says := row.get(arc[0])) is None:
+                        says = self._accepts(left, arc[0])
+                    if says:
+                        cost[j], last[j], back[j] = total, arc, i
                 if j == n:
                     break
-                node, j = node.get(text[j]), j + 1
+                node = arcs.get(text[j])
         out: list[int] = []
         j = n
         while j:
             i = back[j]
-            if last[j]:
-                out.append(self.ids[last[j]])
+            if last[j][2] >= 0:
+                out.append(last[j][2])
             else:
                 out += [self.bytes_[b] for b in reversed(text[i:j].encode("utf-8", "surrogatepass"))]
             j = i
