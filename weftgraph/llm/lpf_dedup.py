@@ -7,7 +7,9 @@ How a corpus is cut so that no suffix array ever holds it all:
 
 1. Each string of ``LENGTH`` bytes has an anchor: the leftmost of its ``GRAM``-grams with
    the least hash. Equal strings have equal anchors at equal distances, so a string can
-   only be found again where the gram of its anchor is. Grams met once are dropped.
+   only be found again where the gram of its anchor is. Grams met once are dropped. A task
+   that meets a gram often sends two of its anchors to be counted and the others past the
+   count, so no gram brings all its anchors to one task.
 2. The strings of one anchor are one window of text around it. Windows with the same gram
    come together, and the suffixes that start at their anchors are put in suffix order,
    with the longest common prefixes of neighbours; so are the reversed texts before them.
@@ -15,8 +17,9 @@ How a corpus is cut so that no suffix array ever holds it all:
    ``LENGTH - d`` bytes after it and ``d`` before: runs in both orders. Within a run
    ordered by position, the previous smaller position is an earlier match of the longest
    previous factor, LENGTH at least; only the first of a run has none.
-3. A gram of more than ``HOT`` windows is split: its strings travel one by one, by the
-   digest of the whole string, so that no group outgrows a task.
+3. A gram of more than ``HOT`` windows is split, as one group would outgrow a task: its
+   strings travel one by one, by the digest of the whole string. Which grams are split is a
+   bit filter of fixed size; a gram that it takes by mistake is split as well, by all tasks.
 
 Rows: one result for each input row. A null text is empty; a null doc_id is smallest.
 Rows that share a doc_id are versions of one document: positions are compared by doc_id
@@ -101,12 +104,34 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-_ANCHORS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("place", pa.int64())])
-ANCHORS = "gram long, doc_id long, tie int, place long"
+_ANCHORS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("place", pa.int64()), ("salt", pa.int32())])
+ANCHORS = "gram long, doc_id long, tie int, place long, salt int"
+#: Anchors of a gram that a task sends to be counted, and the grams whose others it remembers.
+_COUNTED, _REMEMBERED = 2, 200_000
+
+
+class _Often:
+    """Grams that a task has met more than ``_COUNTED`` times: they are repeated whatever other tasks hold."""
+
+    def __init__(self) -> None:
+        self.grams = np.zeros(0, np.uint64)
+
+    def salts(self, grams: np.ndarray) -> np.ndarray:
+        """0 for anchors to be counted, else a number that spreads them."""
+        order = np.argsort(grams, kind="stable")
+        ordered = grams[order]
+        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        nth = np.empty(len(grams), np.int64)
+        nth[order] = np.arange(len(grams)) - np.repeat(new, np.diff(np.r_[new, len(grams)]))
+        past = (nth >= _COUNTED) | np.isin(grams, self.grams)
+        if past.any():
+            self.grams = np.union1d(self.grams, grams[past])[:_REMEMBERED]
+        return np.where(past, 1 + np.arange(len(grams)) % 4093, 0).astype(np.int32)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """place: the anchor's offset, the bytes before it and the strings after the first, packed."""
+    often = _Often()
     for batch in batches:
         raw, offsets = _text_buffer(batch.column("text"))
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -129,7 +154,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, own = anchor[new], doc[new]
             offset = a + low - offsets[own]
             place = offset << 14 | (a - pos[new]) << 7 | (count - 1)
-            arrays = [h[a].view(np.int64), docs[own], ties[own], place]
+            arrays = [h[a].view(np.int64), docs[own], ties[own], place, often.salts(h[a])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=_ANCHORS)
 
 
@@ -205,34 +230,40 @@ class _HotStrings:
 _STRING, _COVERED = -1, -2
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around repeated grams; strings one by one where a gram is hot."""
-    hots = _HotStrings()
-    for batch in arrowkit.sliced(batches, 64):
-        raw, offsets = _text_buffer(batch.column("text"))
-        marks = batch.column("marks")
-        rows = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
-        flat = marks.flatten()
-        place, gram, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "gram", "hot"))
-        gap, count = (place >> 7) & 127, (place & 127) + 1
-        at = (place >> 14) - gap
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows]
-        ties = batch.column("tie").to_numpy(zero_copy_only=False)[rows]
-        cold = np.flatnonzero(~hot.astype(bool))
-        for k in range(0, len(cold), _WINDOWS):
-            s = cold[k : k + _WINDOWS]
-            size = count[s] + LENGTH - 1
-            ends = np.cumsum(size)
-            take = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(offsets[rows[s]] + at[s], size)
-            buffers = [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(raw[take].tobytes())]
-            window = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), buffers)
-            plain = [gram[s], docs[s], ties[s], at[s], gap[s].astype(np.int32), count[s].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, plain), window], schema=_WINDOW_SCHEMA)
-        for m in np.flatnonzero(hot.astype(bool)):
-            own = raw[offsets[rows[m]] : offsets[rows[m] + 1]]
-            hots.add(own, int(docs[m]), int(ties[m]), int(at[m]), int(count[m]))
-        yield from hots.rows(last=False)
-    yield from hots.rows(last=True)
+def _cut(shared):
+    """The windows around repeated grams; strings one by one where a gram is hot (``shared``: a filter of those)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hots, bits = _HotStrings(), shared.value
+        for batch in arrowkit.sliced(batches, 64):
+            raw, offsets = _text_buffer(batch.column("text"))
+            marks = batch.column("marks")
+            rows = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
+            flat = marks.flatten()
+            place, gram = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "gram"))
+            bit = (gram.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            hot = (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+            gap, count = (place >> 7) & 127, (place & 127) + 1
+            at = (place >> 14) - gap
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows]
+            ties = batch.column("tie").to_numpy(zero_copy_only=False)[rows]
+            cold = np.flatnonzero(~hot)
+            for k in range(0, len(cold), _WINDOWS):
+                s = cold[k : k + _WINDOWS]
+                size = count[s] + LENGTH - 1
+                ends = np.cumsum(size)
+                take = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(offsets[rows[s]] + at[s], size)
+                buffers = [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(raw[take].tobytes())]
+                window = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), buffers)
+                plain = [gram[s], docs[s], ties[s], at[s], gap[s].astype(np.int32), count[s].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, plain), window], schema=_WINDOW_SCHEMA)
+            for m in np.flatnonzero(hot):
+                own = raw[offsets[rows[m]] : offsets[rows[m] + 1]]
+                hots.add(own, int(docs[m]), int(ties[m]), int(at[m]), int(count[m]))
+            yield from hots.rows(last=False)
+        yield from hots.rows(last=True)
+
+    return run
 
 
 def _matrix(parts: list[bytes], width: int) -> np.ndarray:
@@ -337,16 +368,20 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from spans(held)
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed doc_id: 2 ** FILTER_BITS bits, whatever the number of ids."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select((bit / 32).cast("int").alias("word"), (bit % 32).cast("int").alias("bit"))
+def _bits(numbers: DataFrame) -> np.ndarray:
+    """A bit for each number ``bit`` below 2 ** FILTER_BITS: 4 MB, whatever the number of rows."""
+    words = numbers.select((F.col("bit") / 32).cast("int").alias("word"), (F.col("bit") % 32).cast("int").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hashed doc_id."""
+    return _bits(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit")))
+
+
 def _maybe(docs: DataFrame, bits: np.ndarray):
     """A column: may this doc_id be among those of the filter?"""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -372,12 +407,15 @@ def later_spans(keyed: DataFrame) -> DataFrame:
     """``doc_id``, ``tie``, ``start`` and ``stop`` of bytes that are covered; spans overlap."""
     arrowkit.small_batches(keyed.sparkSession)
     anchors = keyed.mapInArrow(_anchors, ANCHORS)
-    n = F.count("*").over(Window.partitionBy("gram"))
-    again = anchors.withColumn("n", n).filter("n > 1")
-    mark = F.struct("place", "gram", (F.col("n") > HOT).alias("hot"))
-    marks = materialize(again.groupBy("doc_id", "tie").agg(F.collect_set(mark).alias("marks")), "lpf-marks")
+    n = F.count("*").over(Window.partitionBy("gram", "salt"))
+    again = anchors.withColumn("n", n).filter("n > 1 or salt > 0")
+    marks = again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("place", "gram")).alias("marks"))
+    marks = materialize(marks, "lpf-marks")
+    sizes = marks.select(F.explode("marks.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    hot = sizes.filter(F.col("n") > HOT).select(F.shiftrightunsigned("gram", 64 - FILTER_BITS).alias("bit"))
+    shared = keyed.sparkSession.sparkContext.broadcast(_bits(hot))
     texts = keyed.filter(_maybe(keyed, _filter(marks)))
-    windows = texts.join(marks, ["doc_id", "tie"]).mapInArrow(_cut, WINDOWS)
+    windows = texts.join(marks, ["doc_id", "tie"]).mapInArrow(_cut(shared), WINDOWS)
     dealt = windows.repartition("gram").sortWithinPartitions("gram", "window", "doc_id", "at")
     return dealt.mapInArrow(_match, SPANS)
 
