@@ -9,7 +9,7 @@ from weftgraph.functions import registry
 from weftgraph.functions import text as txt
 from weftgraph.operators import graph, layout, metrics, reports, resolve, traverse, validate
 from weftgraph.plans import prompts, provider, segment, tools
-from weftgraph.sources import files
+from weftgraph.sources import files, pdf
 from weftgraph.streaming import ingest
 
 EDGES = "ord long, src string, dst string, type string, description string"
@@ -44,17 +44,50 @@ def test_search_is_plain_text(spark):
     assert [r["id"] for r in graph.search(n, "50%_").collect()] == ["a"]
 
 
+def members(spark, *rows):
+    """id, sections and description, one mention for each section."""
+    out = [(i, "T", "n", text, s, {}) for i, sections, text in rows for s in sections]
+    return spark.createDataFrame([(n, *x) for n, x in enumerate(out)], "ord long, id string, type string, name string, description string, section string, attrs map<string, string>")
+
+
+def remaps(spark, *pairs):
+    return spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "ord long, old_id string, new_id string")
+
+
 def test_remaps_one_hop_and_chains(spark):
-    r = spark.createDataFrame([(0, "a", "b"), (1, "b", "c")], "ord long, old_id string, new_id string")
+    n, r = members(spark, ("a", "1", "x"), ("b", "2", "xx"), ("c", "3", "xxx")), remaps(spark, ("a", "b"), ("b", "c"))
     e = edges(spark, ("a", "x", "T"))
-    assert resolve.remap_edges(e, r).first()["src"] == "b"
+    assert resolve.remap_edges(e, resolve.resolved_remaps(n, r)).first()["src"] == "b"
     assert resolve.remap_edges(e, resolve.resolve_chains(r)).first()["src"] == "c"
+    got = resolve.apply_remaps(n, r).collect()
+    assert [(x["id"], x["size"], x["appears_in"]) for x in got] == [("c", 3, ["1", "2", "3"])]
+
 
+def test_new_ids_that_no_entity_has(spark):
+    n = members(spark, ("a", "1", "long text"), ("b", "12", "t"), ("c", "1", "z"), ("d", "1", "same"), ("e", "1", "size"))
+    r = remaps(spark, ("a", "new"), ("b", "new"), ("c", "solo"), ("e", "tie"), ("d", "tie"), ("gone", "a"), ("d", "tie"))
+    got = {tuple(x) for x in resolve.resolved_remaps(n, r).collect()}
+    assert got == {("a", "b"), ("d", "e")}  # most sections; of equals the first remap
+    assert {x["id"] for x in resolve.apply_remaps(n, r).collect()} == {"b", "c", "e"}
+    e = edges(spark, ("a", "c", "T"), ("x", "d", "T"))
+    assert {(x["src"], x["dst"]) for x in resolve.remap_edges(e, resolve.resolved_remaps(n, r)).collect()} == {("b", "c"), ("x", "e")}
 
-def test_synthetic_canonical(spark):
-    n = spark.createDataFrame([(0, "a", ["s1"], "long text"), (1, "b", ["s1", "s2"], "t")], "ord long, id string, appears_in array<string>, description string")
-    r = spark.createDataFrame([(0, "a", "new"), (1, "b", "new")], "ord long, old_id string, new_id string")
-    assert resolve.canonical_member(n, r).first()["canonical"] == "b"
+
+def test_remaps_that_would_delete_entities(spark):
+    n, r = members(spark, ("a", "1", "x"), ("b", "2", "y")), remaps(spark, ("a", "b"), ("b", "a"), ("nobody", "a"), ("b", "b"))
+    assert resolve.resolved_remaps(n, r).count() == 0
+    assert {x["problem"] for x in resolve.checked_remaps(r, n).collect()} == {"cycle", "unknown old id", "onto itself"}
+
+
+def test_importance_is_scaled(spark):
+    n = spark.createDataFrame([(i, x, "T", x, "", {}) for i, x in enumerate("abcde")], NODES)
+    e = edges(spark, *((x, y, "T") for x, y in zip("abcd", "bcde")))
+    got = {r["id"]: r for r in metrics.importance(n, e).collect()}
+    for k in ("betweenness", "pagerank", "degree"):
+        assert {0.0, 1.0} <= {r[k] for r in got.values()} <= {x for x in (r[k] for r in got.values()) if 0 <= x <= 1}
+    assert got["a"]["degree"] == 0 and got["c"]["betweenness"] == 1
+    for r in got.values():
+        assert abs(r["importance"] - (0.4 * r["betweenness"] + 0.35 * r["pagerank"] + 0.25 * r["degree"])) < 2e-4
 
 
 def test_cascade_parents_by_discovery(spark):
@@ -96,13 +129,23 @@ def test_metrics_against_plain_python(spark):
     for s, d in rows:
         adj.setdefault(s, set()).add(d)
         adj.setdefault(d, set()).add(s)
-    want = metrics._brandes({k: sorted(v) for k, v in adj.items()}, list("abcdefg"))
-    got = {r["id"]: r["betweenness"] for r in metrics.betweenness(n, e).collect()}
+    want = {k: 0.0 for k in "abcdefg"}  # all shortest paths of all ordered pairs, listed
+
+    def shortest(s, t):
+        paths = [[s]]
+        while paths and not any(p[-1] == t for p in paths):
+            paths = [[*p, x] for p in paths for x in adj.get(p[-1], ()) if x not in p]
+        return [p for p in paths if p[-1] == t]
+
+    for s in "abcdefg":
+        for t in "abcdefg":
+            if s != t and (paths := shortest(s, t)):
+                for p in paths:
+                    for x in p[1:-1]:
+                        want[x] += 1 / len(paths)
+    got = {r["id"]: r["betweenness"] for r in metrics.betweenness(n, e, block_rows=30).collect()}
     for k in "abcdefg":
         assert got[k] == pytest.approx(want.get(k, 0.0) / 30)
-    links = traverse.both_ways(e)
-    parts = {r["id"]: r["p"] for r in metrics._dependencies(n, links).groupBy("id").agg(F.sum("part").alias("p")).collect()}
-    assert {k: pytest.approx(v) for k, v in parts.items() if v} == {k: v for k, v in want.items() if v}
     rank = dict.fromkeys("abcdefg", 1 / 7)
     for _ in range(100):
         sunk = sum(rank[k] for k in "fg")
@@ -246,3 +289,57 @@ def test_stream_into_graph(spark, tmp_path):
     stream = ingest.events(spark, src, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
     ingest.append_graph(stream, out, str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 50
+
+
+def test_relationships_of_a_file(spark, tmp_path):
+    old = edges(spark, ("a", "b", "R"))
+    for name, body in (("x", {"relationships": [{"source_id": "a", "target_id": "b", "type": "R"}, {"source_id": "b", "target_id": "a", "type": "R"}]}), ("y", [{"source_id": "b", "target_id": "a", "type": "R"}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+        got = files.merge_relationships(old, spark, str(tmp_path / f"{name}.json"))
+        assert sorted((r["src"], r["dst"], r["added"]) for r in got.collect()) == [("a", "b", False), ("b", "a", True)]
+
+
+def test_lenient_graph(spark):
+    e = spark.createDataFrame([(0, "a", "Service", "A", "", {}), (1, "b", "Nope", "B", "", {})], NODES)
+    r = spark.createDataFrame([("a", "a", "R"), ("a", "b", "R")], "source_id string, target_id string, type string")
+    s = spark.createDataFrame([("1",)], "section_id string")
+    kept, rel, sections = files.lenient_graph(e, r, s, registry.attribute_table(spark))
+    assert ([x["id"] for x in kept.collect()], rel.count(), sections.count()) == (["a"], 1, 0)
+    assert files.lenient_graph(e.filter("id = 'a'"), r, s, registry.attribute_table(spark))[2].count() == 1
+
+
+def test_runs_by_type_and_latest(spark, tmp_path):
+    root = str(tmp_path)
+    n = nodes(spark, "a", "b")
+    files.save_run({"entities": n, "run_meta": n.limit(1)}, root, "r1")
+    files.save_run({"entities": n.limit(1), "run_meta": n.limit(1)}, root, "r0")
+    assert files.latest_run(spark, root) == "r0" and files.load_run(spark, root, "entities").count() == 1
+    assert (tmp_path / "entities/run_id=r1/type=T").is_dir()
+
+
+def pdf_bytes(*pages):
+    """A small file: each page a list of (font, size, x, y, text)."""
+    import zlib
+
+    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(pages)))
+    out = ["1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", f"2 0 obj <</Type /Pages /Kids [{kids}] /Count {len(pages)} /MediaBox [0 0 600 800] /Resources <</Font <</F1 3 0 R /F2 4 0 R>>>>>> endobj",
+           "3 0 obj <</Type /Font /Subtype /Type1 /BaseFont /Helvetica>> endobj", "4 0 obj <</Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold>> endobj"]
+    data = "%PDF-1.4\n".encode() + "\n".join(out).encode()
+    for i, page in enumerate(pages):
+        body = zlib.compress(b"BT " + b" ".join(f"/{f} {s} Tf 1 0 0 1 {x} {y} Tm ({t}) Tj".encode("cp1252") for f, s, x, y, t in page) + b" ET")
+        data += f"\n{10 + 2 * i} 0 obj <</Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R>> endobj\n{11 + 2 * i} 0 obj <</Length {len(body)} /Filter /FlateDecode>> stream\n".encode() + body + b"\nendstream endobj"
+    return data + b"\ntrailer <</Root 1 0 R>>\n%%EOF"
+
+
+def test_pdf_to_markdown(spark, tmp_path):
+    (tmp_path / "one.pdf").write_bytes(pdf_bytes([("F2", 20, 50, 750, "Title \\(one\\)"), ("F1", 10, 50, 700, "Some body text of the page that is long, café."), ("F1", 10, 50, 688, "It goes on.")], [("F1", 10, 50, 700, "Second page.")]))
+    (tmp_path / "bad.pdf").write_bytes(b"nothing")
+    spans = pdf.spans(files.binaries(spark, str(tmp_path)))
+    bad = spans.filter("error is not null").collect()
+    assert [(r["doc_id"], r["error"]) for r in bad] == [("bad", "ValueError: not a PDF file")]
+    assert pdf.plain_text(spans).first()["text"].startswith("Title (one)\nSome body text")
+    md = layout.markdown(spans.filter("error is null"))
+    assert md.first()["markdown"].startswith("# Title (one)\n\nSome body text of the page that is long, café. It goes on.")
+    files.write_markdown(md, str(tmp_path / "out"))
+    assert layout.markdown_stats(md.withColumn("markdown", F.concat(F.lit("\n"), "markdown"))).first()["headings"] == 1
+    assert (tmp_path / "out/doc_id=one").is_dir()

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from weftgraph.functions import registry
-from weftgraph.plans import ontology, service
+from weftgraph.plans import answers, ontology, prompts, service
 
 
 def test_ontology_from_answers(spark):
@@ -44,3 +44,42 @@ def test_service(spark, tmp_path):
         s.entity("zz")
     model = lambda q, t: {"answer": "x"} if t else {"calls": [("get_entity", {"entity_id": "a"})]}
     assert s.ask("?", model)["referenced_entities"] == ["a"] and len(s.walkthrough("?", model)) == 1
+
+
+def test_equal_ids_of_two_documents_stay_apart(spark):
+    e = json.dumps({"entities": [{"id": "s", "type": "Service", "name": "S", "description": "x"}]})
+    r = json.dumps({"relationships": [{"source_id": "s", "target_id": "s", "type": "FOLLOWED_BY"}]})
+    said = spark.createDataFrame([("d1", "1", e), ("d1", "2", e), ("d2", "1", e)], "doc_id string, key string, response string")
+    rel = spark.createDataFrame([("d1", "1", r), ("d2", "1", r)], "doc_id string, key string, response string")
+    none = spark.createDataFrame([], "ord long, old_id string, new_id string")
+    done = ontology.merge(ontology.read_entities(said), ontology.read_relations(rel), none, registry.attribute_table(spark))
+    assert sorted((x["id"], x["size"]) for x in done.entities.collect()) == [("d1/s", 2), ("d2/s", 1)]
+    assert sorted((x["src"], x["dst"]) for x in done.relationships.collect()) == [("d1/s", "d1/s"), ("d2/s", "d2/s")]
+
+
+def test_known_offsets_stay(spark):
+    rows = spark.createDataFrame([("d1", "a", "Org", 7), ("d1", "b", "Org", -1), ("d2", "c", "Org", -1)], "doc_id string, id string, source_text string, offset int")
+    docs = spark.createDataFrame([("d1", "The Org"), ("d2", "Org")], "doc_id string, text string")
+    assert {r["id"]: (r["offset"], r["kind"]) for r in ontology.anchored(rows, docs).collect()} == {"a": (7, "known"), "b": (4, "exact"), "c": (0, "exact")}
+
+
+def test_answers_into_rows(spark):
+    said = lambda *xs: spark.createDataFrame([(str(i), x) for i, x in enumerate(xs)], "key string, response string")
+    m = {"sections": [{"section_id": "SEC-01", "section_name": "One", "section_order": 1, "beginning_text": "Once"}]}
+    assert [r["section_name"] for r in answers.sections(said(json.dumps(m), "no")).collect()] == ["One"]
+    r = answers.scores(said('{"accuracy": 9, "completeness": 1, "no_hallucination": 1}', "{}")).orderBy("key").collect()
+    assert [(x["total"], x["passed"]) for x in r] == [(5, True), (0, False)]
+    e = spark.createDataFrame([(0, "a", "T", "A", "long", "1", {}), (1, "b", "T", "B", "x", "2", {})], "ord long, id string, type string, name string, description string, section string, attrs map<string,string>")
+    merged, held = answers.semantic_dedup(e, said('{"remappings": [{"old_id": "b", "new_id": "a", "reason": "same"}]}'))
+    assert [x["id"] for x in merged.collect()] == ["a"] and held.count() == 1
+    assert answers.semantic_dedup(e, said("broken"))[0].count() == 2
+
+
+def test_prompts_of_whole_documents(spark):
+    docs = spark.createDataFrame([("d", "The text.")], "doc_id string, text string")
+    e = spark.createDataFrame([("d", "1", 0, "a", "Service", "A", "what", {"k": "v"})], "doc_id string, section string, ord long, id string, type string, name string, description string, attrs map<string,string>")
+    rules = registry.constraint_rollup(registry.relation_table(spark))
+    for p in (prompts.document_prompts(docs, e, rules), prompts.cross_section_prompts(e, rules), prompts.dedup_prompts(e), prompts.coverage_prompts(docs, e)):
+        assert [r["key"] for r in p.collect()] == ["d"] and '"id":"a"' in p.first()["prompt"]
+    shown = json.loads(registry.answer_example(registry.attribute_table(spark), registry.relation_table(spark)).first()["example"])
+    assert shown["entities"][0]["type"] == "Agreement" and shown["relationships"][0]["type"] == "ACTIVATED_AT"

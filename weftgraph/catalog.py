@@ -46,10 +46,11 @@ _EDGES = f"""edges AS (
  UNION ALL SELECT {4 * STRIDE} + l_orderkey * 10 + l_linenumber, 'O:' || l_orderkey, 'P:' || l_partkey, 'CONTAINS', l_returnflag FROM lineitem
  UNION ALL SELECT {5 * STRIDE} + l_orderkey * 10 + l_linenumber, 'O:' || l_orderkey, 'S:' || l_suppkey, 'FULFILLED_BY', l_linestatus FROM lineitem)"""
 _GRAPH = f"WITH RECURSIVE {_NODES}, {_EDGES}"
-_PLACE = f"""{_GRAPH}, pn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')),
- pe AS (SELECT * FROM edges WHERE type = 'PART_OF' OR src LIKE 'S:%'),
- tn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier', 'Customer')),
- te AS (SELECT * FROM edges WHERE type IN ('PART_OF', 'LOCATED_IN'))"""
+_WHOLE = f"{_GRAPH}, tn AS (SELECT * FROM nodes), te AS (SELECT * FROM edges)"
+#: The part of the graph for all simple paths and betweenness, which no large graph can have.
+_PLACE = f"""{_GRAPH}, tn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier', 'Customer')),
+ te AS (SELECT * FROM edges WHERE type IN ('PART_OF', 'LOCATED_IN')),
+ pn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')), pe AS (SELECT * FROM edges WHERE type = 'PART_OF' OR src LIKE 'S:%')"""
 _MENTIONS = """WITH m AS (SELECT event_id AS ord, 'U:' || user_id AS id, event_type AS type, 'user ' || user_id AS name, props AS description,
   strftime(ts, '%Y-%m-%d') AS section, json_extract_string(props, '$.k') AS k,
   CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events)"""
@@ -147,9 +148,9 @@ def entity_attributes(spark, d):
     return graph.attributes(tables.nodes(spark, d))
 
 
-@query("grouped_members", f"{_GRAPH} SELECT type, count(*) AS n, string_agg(id, ',' ORDER BY id) AS members FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier') GROUP BY type")
+@query("grouped_members", f"{_GRAPH} SELECT type, count(*) OVER (PARTITION BY type) AS n, id FROM nodes")
 def grouped_members(spark, d):
-    return graph.grouped(tables.place_nodes(spark, d))
+    return graph.grouped(tables.nodes(spark, d))
 
 
 @query(
@@ -181,11 +182,11 @@ def edge_numbers(spark, d):
 
 @query(
     "graph_lines",
-    f"""{_PLACE} SELECT 0 AS part, ord, '[' || type || '] ' || name || ' (' || id || '): ' || description AS line FROM pn
-    UNION ALL SELECT 1, ord, src || ' -[' || type || ']-> ' || dst FROM pe""",
+    f"""{_WHOLE} SELECT 0 AS part, ord, '[' || type || '] ' || name || ' (' || id || '): ' || description AS line FROM tn
+    UNION ALL SELECT 1, ord, src || ' -[' || type || ']-> ' || dst FROM te""",
 )
 def graph_lines(spark, d):
-    return graph.text_lines(tables.place_nodes(spark, d), tables.place_edges(spark, d))
+    return graph.text_lines(tables.nodes(spark, d), tables.edges(spark, d))
 
 
 # --- building ----------------------------------------------------------------------
@@ -287,9 +288,24 @@ def _remaps(spark: SparkSession, d: str) -> DataFrame:
     return u.select(F.col("u").cast("long").alias("ord"), F.concat(F.lit("U:"), F.col("u").cast("string")).alias("old_id"), new.alias("new_id"))
 
 
+# a new id that no user has goes to its member with the most sections, the longest description, the first remap
+_RESOLVED = f"""{_REMAPS}, merit AS (SELECT id, count(DISTINCT section) AS sections, max(length(description)) AS longest FROM m GROUP BY id),
+  good AS (SELECT remaps.*, sections, longest, new_id IN (SELECT id FROM m) AS known FROM remaps JOIN merit ON merit.id = old_id),
+  best AS (SELECT new_id, old_id AS canonical FROM good WHERE NOT known QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sections DESC, longest DESC, ord) = 1),
+  resolved AS (SELECT old_id, coalesce(canonical, good.new_id) AS new_id FROM good LEFT JOIN best ON best.new_id = good.new_id WHERE known OR old_id <> canonical)"""
+
+
+@query(
+    "resolved_remaps",
+    f"{_MENTIONS}, {_RESOLVED} SELECT old_id, new_id FROM resolved",
+)
+def resolved_remaps(spark, d):
+    return resolve.resolved_remaps(tables.mentions(spark, d), _remaps(spark, d))
+
+
 @query(
     "remap_merge",
-    f"""{_MENTIONS}, {_REMAPS}, x AS (SELECT m.* EXCLUDE id, m.id AS was, coalesce(new_id, m.id) AS id FROM m LEFT JOIN remaps ON old_id = m.id),
+    f"""{_MENTIONS}, {_RESOLVED}, x AS (SELECT m.* EXCLUDE id, m.id AS was, coalesce(new_id, m.id) AS id FROM m LEFT JOIN resolved ON old_id = m.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(description) DESC, ord) AS rank FROM x),
     p AS (SELECT id, parity, min(rank) AS rank FROM r GROUP BY id, parity), pa AS (SELECT id, string_agg(parity, '; ' ORDER BY rank) AS parity FROM p GROUP BY id)
     SELECT id, count(*) AS size, arg_min(type, rank) AS type, arg_min(name, rank) AS name, any_value(pa.parity) AS parity FROM r JOIN pa USING (id) GROUP BY id""",
@@ -312,11 +328,11 @@ def remap_problems(spark, d):
 
 @query(
     "remapped_edges",
-    f"""{_MENTION_EDGES}, {_REMAPS} SELECT me.ord, coalesce(a.new_id, src) AS src, coalesce(b.new_id, dst) AS dst, me.type, section, description
-    FROM me LEFT JOIN remaps a ON a.old_id = src LEFT JOIN remaps b ON b.old_id = dst""",
+    f"""{_MENTION_EDGES}, {_RESOLVED} SELECT me.ord, coalesce(a.new_id, src) AS src, coalesce(b.new_id, dst) AS dst, me.type, section, description
+    FROM me LEFT JOIN resolved a ON a.old_id = src LEFT JOIN resolved b ON b.old_id = dst""",
 )
 def remapped_edges(spark, d):
-    return resolve.remap_edges(tables.mention_edges(spark, d), _remaps(spark, d))
+    return resolve.remap_edges(tables.mention_edges(spark, d), resolve.resolved_remaps(tables.mentions(spark, d), _remaps(spark, d)))
 
 
 @query(
@@ -375,14 +391,16 @@ def reconstruction_problems(spark, d):
 # --- validation --------------------------------------------------------------------
 
 _KINDS = "kinds AS (SELECT id, type AS kind FROM nodes)"
-#: Every fourth edge is turned, and customers get one that no rule allows.
+#: Every fourth edge is turned, and some get a type that no rule allows them.
 _TURNED = """cand AS (SELECT ord, CASE WHEN ord % 4 = 0 THEN dst ELSE src END AS src, CASE WHEN ord % 4 = 0 THEN src ELSE dst END AS dst,
   CASE WHEN ord % 13 = 0 THEN 'PART_OF' WHEN ord % 17 = 0 THEN 'ODD' ELSE type END AS type FROM te)"""
-_ALLOW = "(({t} = 'PART_OF' AND {s} = 'Nation' AND {d} = 'Region') OR ({t} = 'LOCATED_IN' AND {s} IN ('Supplier', 'Customer') AND {d} = 'Nation'))"
+_FROM = "(({t} = 'PART_OF' AND {s} = 'Nation') OR ({t} = 'LOCATED_IN' AND {s} IN ('Supplier', 'Customer')) OR ({t} IN ('PLACED_BY', 'CONTAINS', 'FULFILLED_BY') AND {s} = 'Order'))"
+_ONTO = "(({t} = 'PART_OF' AND {d} = 'Region') OR ({t} = 'LOCATED_IN' AND {d} = 'Nation') OR ({t} = 'PLACED_BY' AND {d} = 'Customer') OR ({t} = 'CONTAINS' AND {d} = 'Part') OR {t} = 'FULFILLED_BY')"
+_ALLOW = f"({_FROM} AND {_ONTO})"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.trade_edges(spark, d)
+    e = tables.edges(spark, d)
     turn = F.col("ord") % 4 == 0
     kind = F.when(F.col("ord") % 13 == 0, "PART_OF").when(F.col("ord") % 17 == 0, "ODD").otherwise(F.col("type"))
     return e.select("ord", F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst"), kind.alias("type"))
@@ -394,28 +412,28 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 @query(
     "validate_edges",
-    f"""{_PLACE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, coalesce(a.kind, 'Unknown') AS src_type, coalesce(b.kind, 'Unknown') AS dst_type FROM cand LEFT JOIN kinds a ON a.id = src LEFT JOIN kinds b ON b.id = dst),
+    f"""{_WHOLE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, coalesce(a.kind, 'Unknown') AS src_type, coalesce(b.kind, 'Unknown') AS dst_type FROM cand LEFT JOIN kinds a ON a.id = src LEFT JOIN kinds b ON b.id = dst),
     v AS (SELECT *, CASE WHEN type = 'ODD' THEN 'invalid' WHEN {_ALLOW.format(t='type', s='src_type', d='dst_type')} THEN 'valid' WHEN {_ALLOW.format(t='type', s='dst_type', d='src_type')} THEN 'flipped' ELSE 'invalid' END AS verdict FROM x)
     SELECT ord, src, dst, type, src_type, dst_type, verdict, CASE WHEN verdict <> 'invalid' THEN '' WHEN type = 'ODD' THEN 'unknown relationship type ODD'
-      ELSE concat_ws('; ', CASE WHEN (type = 'PART_OF' AND src_type <> 'Nation') OR (type = 'LOCATED_IN' AND src_type NOT IN ('Supplier', 'Customer')) THEN 'source type ' || src_type END,
-        CASE WHEN (type = 'PART_OF' AND dst_type <> 'Region') OR (type = 'LOCATED_IN' AND dst_type <> 'Nation') THEN 'target type ' || dst_type END) END AS warnings FROM v""",
+      ELSE concat_ws('; ', CASE WHEN NOT {_FROM.format(t='type', s='src_type')} THEN 'source type ' || src_type END,
+        CASE WHEN NOT {_ONTO.format(t='type', d='dst_type')} THEN 'target type ' || dst_type END) END AS warnings FROM v""",
 )
 def validate_edges(spark, d):
-    return validate.validate_edges(_candidates(spark, d), tables.trade_nodes(spark, d), _rules(spark))
+    return validate.validate_edges(_candidates(spark, d), tables.nodes(spark, d), _rules(spark))
 
 
 @query(
     "flipped_edges",
-    f"""{_PLACE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, a.kind AS s, b.kind AS t FROM cand JOIN kinds a ON a.id = src JOIN kinds b ON b.id = dst)
+    f"""{_WHOLE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, a.kind AS s, b.kind AS t FROM cand JOIN kinds a ON a.id = src JOIN kinds b ON b.id = dst)
     SELECT ord, src, dst, type FROM x WHERE {_ALLOW.format(t='type', s='s', d='t')} UNION ALL SELECT ord, dst, src, type FROM x WHERE {_ALLOW.format(t='type', s='t', d='s')}""",
 )
 def flipped_edges(spark, d):
-    return validate.flipped(validate.validate_edges(_candidates(spark, d), tables.trade_nodes(spark, d), _rules(spark))).select("ord", "src", "dst", "type")
+    return validate.flipped(validate.validate_edges(_candidates(spark, d), tables.nodes(spark, d), _rules(spark))).select("ord", "src", "dst", "type")
 
 
 @query(
     "stage_filter",
-    f"""{_PLACE}, {_KINDS}, {_TURNED}, two AS (SELECT * FROM cand UNION ALL SELECT ord + 100000000000000, src, dst, type FROM cand WHERE ord % 5 = 0),
+    f"""{_WHOLE}, {_KINDS}, {_TURNED}, two AS (SELECT * FROM cand UNION ALL SELECT ord + 100000000000000, src, dst, type FROM cand WHERE ord % 5 = 0),
     old AS (SELECT DISTINCT src, dst, type FROM te WHERE ord % 6 = 0),
     x AS (SELECT two.*, a.kind AS s, b.kind AS t, min(ord) OVER (PARTITION BY src, dst, type) AS first, EXISTS (SELECT 1 FROM old o WHERE o.src = two.src AND o.dst = two.dst AND o.type = two.type) AS met
       FROM two LEFT JOIN kinds a ON a.id = src AND a.id NOT LIKE 'C:%7' LEFT JOIN kinds b ON b.id = dst AND b.id NOT LIKE 'C:%7')
@@ -425,8 +443,8 @@ def flipped_edges(spark, d):
 def stage_filter(spark, d):
     c = _candidates(spark, d)
     two = c.unionByName(c.filter("ord % 5 = 0").withColumn("ord", F.col("ord") + 100000000000000))
-    known = tables.trade_nodes(spark, d).filter("id not like 'C:%7'")
-    old = tables.trade_edges(spark, d).filter("ord % 6 = 0")
+    known = tables.nodes(spark, d).filter("id not like 'C:%7'")
+    old = tables.edges(spark, d).filter("ord % 6 = 0")
     return validate.stage_filter(two, old, known, _rules(spark)).drop("verdict")
 
 
@@ -496,11 +514,6 @@ def constraint_rollup(spark, d):
     return registry.constraint_rollup(_rules(spark))
 
 
-@query("registry_types")
-def registry_types(spark, d):
-    return registry.type_prompt(registry.attribute_table(spark))
-
-
 @query(
     "stamped_entities",
     """SELECT doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 4 = 0 THEN CAST(doc_id % 10 AS VARCHAR) ELSE 'SEC-' || (doc_id % 10) END AS source_section,
@@ -523,40 +536,49 @@ _DOWN = "down AS (SELECT row_number() OVER (ORDER BY ord) AS ord, dst AS src, sr
 
 @query(
     "khop_neighbors",
-    f"""{_PLACE}, {_BOTH}, w AS (SELECT id AS start, id, 0 AS hops FROM (VALUES ('R:0'), ('S:5')) AS t(id)
+    f"""{_WHOLE}, {_BOTH}, w AS (SELECT id AS start, id, 0 AS hops FROM (VALUES ('R:0'), ('S:5')) AS t(id)
       UNION SELECT start, b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 2) SELECT start, id, min(hops) AS hops FROM w GROUP BY start, id""",
 )
 def khop_neighbors(spark, d):
-    return traverse.k_hop(tables.trade_edges(spark, d), _ids(spark, "R:0", "S:5"), 2)
+    return traverse.k_hop(tables.edges(spark, d), _ids(spark, "R:0", "S:5"), 2)
 
 
 @query(
     "khop_edges",
-    f"""{_PLACE}, {_BOTH}, w AS (SELECT 'R:0' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 1)
+    f"""{_WHOLE}, {_BOTH}, w AS (SELECT 'R:0' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 1)
     SELECT 'R:0' AS start, src, dst, type FROM te WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)""",
 )
 def khop_edges(spark, d):
-    e = tables.trade_edges(spark, d)
+    e = tables.edges(spark, d)
     return traverse.induced(e, traverse.k_hop(e, _ids(spark, "R:0"), 1))
 
 
-@query(
-    "cascade_bfs",
-    f"""{_PLACE}, w AS (SELECT id AS start, id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS type FROM (VALUES {', '.join(f"('{r}')" for r in ROOTS)}) AS t(id)
-      UNION ALL SELECT start, src, depth + 1, id, te.type FROM w JOIN te ON dst = id WHERE depth < 10) SELECT * FROM w""",
-)
+def _cascade_sql(levels: int) -> str:
+    """Levels of a walk against the edges; a node's parent is the first found, by the first edge."""
+    roots = ", ".join(f"('{r}')" for r in ROOTS)
+    ctes = [f"l0 AS (SELECT id AS start, id, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS type, 0::BIGINT AS rank FROM (VALUES {roots}) AS t(id))"]
+    for k in range(1, levels + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} o WHERE o.start = m.start AND o.id = m.id)" for j in range(k))
+        ctes += [
+            f"m{k} AS (SELECT start, te.src AS id, arg_min(struct_pack(r := rank, o := te.ord, p := w.id, t := te.type), struct_pack(r := rank, o := te.ord)) AS m FROM l{k - 1} w JOIN te ON te.dst = w.id GROUP BY start, te.src)",
+            f"l{k} AS (SELECT start, id, {k} AS depth, m.m.p AS parent, m.m.t AS type, row_number() OVER (PARTITION BY start ORDER BY m.m.r, m.m.o) AS rank FROM m{k} m WHERE {seen})",
+        ]
+    every = " UNION ALL ".join(f"SELECT start, id, depth, parent, type FROM l{k}" for k in range(levels + 1))
+    return f"{_WHOLE}, {', '.join(ctes)}, walk AS ({every})"
+
+
+@query("cascade_bfs", f"{_cascade_sql(10)} SELECT * FROM walk")
 def cascade_bfs(spark, d):
-    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    down = tables.edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     return traverse.cascade(down, _ids(spark, *ROOTS)).drop("rank")
 
 
 @query(
     "cascade_summary",
-    f"""{_PLACE}, w AS (SELECT id AS start, id, 0 AS depth FROM (VALUES {', '.join(f"('{r}')" for r in ROOTS)}) AS t(id) UNION ALL SELECT start, src, depth + 1 FROM w JOIN te ON dst = id WHERE depth < 10)
-    SELECT start, count(*) AS nodes, count(*) - 1 AS edges, max(depth) AS depth FROM w GROUP BY start""",
+    f"{_cascade_sql(10)} SELECT start, count(*) AS nodes, count(parent) AS edges, max(depth) AS depth FROM walk GROUP BY start",
 )
 def cascade_summary(spark, d):
-    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    down = tables.edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     return traverse.cascade_summary(traverse.cascade(down, _ids(spark, *ROOTS)))
 
 
@@ -611,28 +633,28 @@ def path_highlight(spark, d):
     return traverse.path_highlight(traverse.path_steps(_paths(spark, d), e))
 
 
-_HIDDEN = f"""{_PLACE}, w AS (SELECT id AS root, id FROM (VALUES ('R:1'), ('N:3')) AS t(id) UNION SELECT root, src FROM w JOIN te ON dst = id)"""
+_HIDDEN = f"""{_WHOLE}, w AS (SELECT id AS root, id FROM (VALUES ('R:1'), ('N:3')) AS t(id) UNION SELECT root, src FROM w JOIN te ON dst = id)"""
 
 
 @query("subtree_hidden", f"{_HIDDEN} SELECT root, id FROM w WHERE id <> root")
 def subtree_hidden(spark, d):
-    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    down = tables.edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     return traverse.hidden(down, _ids(spark, "R:1", "N:3"))
 
 
 @query("visible_edges", f"{_HIDDEN}, g AS (SELECT id FROM w WHERE id <> root) SELECT ord, dst AS src, src AS dst, type FROM te WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)")
 def visible_edges(spark, d):
-    down = tables.trade_edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    down = tables.edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
     return traverse.visible_edges(down, traverse.hidden(down, _ids(spark, "R:1", "N:3")))
 
 
 @query(
     "neighbor_highlight",
-    f"""{_PLACE}, x AS (SELECT 'N:3' AS focus, src, dst FROM te WHERE src = 'N:3' OR dst = 'N:3')
+    f"""{_WHOLE}, x AS (SELECT 'N:3' AS focus, src, dst FROM te WHERE src = 'N:3' OR dst = 'N:3')
     SELECT DISTINCT focus, 'edge' AS kind, src || '->' || dst AS key FROM x UNION SELECT focus, 'node', unnest([src, dst]) FROM x""",
 )
 def neighbor_highlight(spark, d):
-    return traverse.neighbour_highlight(tables.trade_edges(spark, d), _ids(spark, "N:3"))
+    return traverse.neighbour_highlight(tables.edges(spark, d), _ids(spark, "N:3"))
 
 
 # --- metrics -----------------------------------------------------------------------
@@ -645,63 +667,71 @@ def degree(spark, d):
     return metrics.degrees(tables.nodes(spark, d), tables.edges(spark, d))
 
 
-@query("degree_centrality", f"{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT id, degree, round(degree / ((SELECT count(*) FROM tn) - 1)::DOUBLE, 8) AS centrality FROM deg")
+@query("degree_centrality", f"{_WHOLE}, {_DEGREE.format(n='tn', e='te')} SELECT id, degree, round(degree / ((SELECT count(*) FROM tn) - 1)::DOUBLE, 8) AS centrality FROM deg")
 def degree_centrality(spark, d):
-    return metrics.degree_centrality(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)).withColumn("centrality", F.round("centrality", 8))
+    return metrics.degree_centrality(tables.nodes(spark, d), tables.edges(spark, d)).withColumn("centrality", F.round("centrality", 8))
 
 
-_COMPONENTS = """links AS (SELECT src AS a, dst AS b FROM te WHERE type <> 'PART_OF'), root AS (SELECT tn.id, coalesce(l.b, tn.id) AS hub FROM tn LEFT JOIN links l ON l.a = tn.id),
- comp AS (SELECT id, min(id) OVER (PARTITION BY hub) AS component FROM root)"""
+# regions are joined by orders; what the first node doesn't reach stands alone, or the counts would differ
+_COMPONENTS = f"""{_BOTH}, top AS (SELECT min(src) AS id FROM te), reach AS (SELECT id FROM top UNION SELECT b FROM reach JOIN both_ways ON a = id),
+ least AS (SELECT min(id) AS id FROM reach), comp AS (SELECT tn.id, CASE WHEN tn.id IN (SELECT id FROM reach) THEN (SELECT id FROM least) ELSE tn.id END AS component FROM tn)"""
 
 
-@query("components", f"{_PLACE}, {_COMPONENTS} SELECT id, component FROM comp")
+@query("components", f"{_WHOLE}, {_COMPONENTS} SELECT id, component FROM comp")
 def components(spark, d):
-    return metrics.components(tables.trade_nodes(spark, d), tables.trade_edges(spark, d).filter("type != 'PART_OF'"))
+    return metrics.components(tables.nodes(spark, d), tables.edges(spark, d))
 
 
 @query(
     "clusters",
-    f"""{_PLACE}, {_COMPONENTS}, r AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY ord) AS nth FROM comp JOIN tn USING (id))
+    f"""{_WHOLE}, {_COMPONENTS}, r AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY ord) AS nth FROM comp JOIN tn USING (id))
     SELECT component, count(*) AS size, string_agg(name, ', ' ORDER BY nth) FILTER (nth <= 5) AS names FROM r GROUP BY component""",
 )
 def clusters(spark, d):
-    n = tables.trade_nodes(spark, d)
-    return metrics.clusters(n, metrics.components(n, tables.trade_edges(spark, d).filter("type != 'PART_OF'")))
+    n = tables.nodes(spark, d)
+    return metrics.clusters(n, metrics.components(n, tables.edges(spark, d)))
 
 
 @query(
     "density_report",
-    f"""{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT count(*) AS nodes, (SELECT count(*) FROM te) AS edges, round((SELECT count(*) FROM te) / (count(*) * (count(*) - 1))::DOUBLE, 6) AS density,
+    f"""{_WHOLE}, {_COMPONENTS}, {_DEGREE.format(n='tn', e='te')} SELECT count(*) AS nodes, (SELECT count(*) FROM te) AS edges, round((SELECT count(*) FROM te) / (count(*) * (count(*) - 1))::DOUBLE, 6) AS density,
     count(*) FILTER (degree = 0) AS isolated, round(avg(degree), 4) AS mean_degree, max(degree) AS max_degree,
-    (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1) AS top_node, (SELECT count(*) FROM region) AS components FROM deg""",
+    (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1) AS top_node, (SELECT count(DISTINCT component) FROM comp) AS components FROM deg""",
 )
 def density_report(spark, d):
-    return metrics.structure(tables.trade_nodes(spark, d), tables.trade_edges(spark, d))
+    return metrics.structure(tables.nodes(spark, d), tables.edges(spark, d))
 
 
-def _rank_sql(k: int) -> str:
+def _rank_sql(k: int, n: str = "tn", e: str = "te") -> str:
+    """``p0`` to ``pk``: ranks after each round."""
     steps = []
     for i in range(1, k + 1):
         p = f"p{i - 1}"
         steps.append(
-            f"""p{i} AS (SELECT n.id, (1 - 0.85::DOUBLE) / (SELECT c FROM cnt) + 0.85::DOUBLE * (SELECT sum(rank) FROM {p} WHERE id NOT IN (SELECT src FROM fan)) / (SELECT c FROM cnt)
-            + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM tn n LEFT JOIN (SELECT l.dst AS id, sum({p}.rank / fan.fan) AS given FROM l JOIN {p} ON {p}.id = l.src JOIN fan ON fan.src = l.src GROUP BY l.dst) g ON g.id = n.id)"""
+            f"""p{i} AS MATERIALIZED (SELECT n.id, (1 - 0.85::DOUBLE) / (SELECT c FROM cnt) + 0.85::DOUBLE * (SELECT sum(rank) FROM {p} WHERE id NOT IN (SELECT src FROM fan)) / (SELECT c FROM cnt)
+            + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM {n} n LEFT JOIN (SELECT l.dst AS id, sum({p}.rank / fan.fan) AS given FROM l JOIN {p} ON {p}.id = l.src JOIN fan ON fan.src = l.src GROUP BY l.dst) g ON g.id = n.id)"""
         )
     return (
-        f"{_PLACE}, cnt AS (SELECT count(*)::DOUBLE AS c FROM tn), l AS (SELECT DISTINCT src, dst FROM te), fan AS (SELECT src, count(*) AS fan FROM l GROUP BY src), "
-        f"p0 AS (SELECT id, 1.0::DOUBLE / (SELECT c FROM cnt) AS rank FROM tn), {', '.join(steps)}"
+        f"cnt AS (SELECT count(*)::DOUBLE AS c FROM {n}), l AS (SELECT DISTINCT src, dst FROM {e}), fan AS (SELECT src, count(*) AS fan FROM l GROUP BY src), "
+        f"p0 AS (SELECT id, 1.0::DOUBLE / (SELECT c FROM cnt) AS rank FROM {n}), {', '.join(steps)}"
     )
 
 
-@query("pagerank_k", f"{_rank_sql(5)} SELECT id, round(rank, 9) AS rank FROM p5")
+@query("pagerank_k", f"{_WHOLE}, {_rank_sql(5)} SELECT id, round(rank, 9) AS rank FROM p5")
 def pagerank_k(spark, d):
-    return metrics.pagerank(tables.trade_nodes(spark, d), tables.trade_edges(spark, d), 5, None).withColumn("rank", F.round("rank", 9))
+    return metrics.pagerank(tables.nodes(spark, d), tables.edges(spark, d), 5, None).withColumn("rank", F.round("rank", 9))
+
 
+def _settled_sql(k: int) -> str:
+    """The ranks of the first round that moves less than a millionth a node; ``k`` rounds are enough."""
+    moves = " UNION ALL ".join(f"SELECT {i} AS step, sum(abs(b.rank - a.rank)) AS moved FROM p{i} b JOIN p{i - 1} a USING (id)" for i in range(1, k + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS step, id, rank FROM p{i}" for i in range(1, k + 1))
+    return f"{_WHOLE}, {_rank_sql(k)}, stop AS (SELECT min(step) AS step FROM ({moves}) WHERE moved < 1e-6 * (SELECT c FROM cnt)) SELECT id, round(rank, 9) AS rank FROM ({every}) JOIN stop USING (step)"
 
-# links only go up to nations and regions, so ranks stand still after two rounds and the spread of sinks settles
-@query("pagerank")
+
+@query("pagerank", _settled_sql(45))
 def pagerank(spark, d):
-    return metrics.pagerank(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)).withColumn("rank", F.round("rank", 6))
+    return metrics.pagerank(tables.nodes(spark, d), tables.edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
 # in a forest every pair of nodes of a tree has one path: a node lies between the pairs of its branches
@@ -717,36 +747,48 @@ def betweenness(spark, d):
     return metrics.betweenness(tables.place_nodes(spark, d), tables.place_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
 
 
-@query("importance")
+def _scaled(of: str, table: str) -> str:
+    low, high = f"(SELECT min({of}) FROM {table})", f"(SELECT max({of}) FROM {table})"
+    return f"({of} - {low}) / ({high} - {low})"
+
+
+_IMPORTANCE = f"""{_BETWEEN}, {_rank_sql(12, "pn", "pe")}, {_DEGREE.format(n='pn', e='pe')},
+  three AS (SELECT id, betweenness AS b, rank AS p, degree::DOUBLE AS d FROM btw JOIN p12 USING (id) JOIN deg USING (id)),
+  imp AS (SELECT id, {_scaled('b', 'three')} AS b, {_scaled('p', 'three')} AS p, {_scaled('d', 'three')} AS d FROM three)"""
+
+
+@query("importance", f"{_IMPORTANCE} SELECT id, round(b, 4) AS betweenness, round(p, 4) AS pagerank, round(d, 4) AS degree, round(0.40::DOUBLE * b + 0.35::DOUBLE * p + 0.25::DOUBLE * d, 4) AS importance FROM imp")
 def importance(spark, d):
-    return metrics.importance(tables.place_nodes(spark, d), tables.place_edges(spark, d))
+    return metrics.importance(tables.place_nodes(spark, d), tables.place_edges(spark, d), 12, None)
 
 
 @query(
     "minmax_degree",
-    f"""{_PLACE}, {_DEGREE.format(n='tn', e='te')} SELECT id, round((degree - (SELECT min(degree) FROM deg)) / ((SELECT max(degree) FROM deg) - (SELECT min(degree) FROM deg))::DOUBLE, 6) AS degree FROM deg""",
+    f"""{_WHOLE}, {_DEGREE.format(n='tn', e='te')} SELECT id, round((degree - (SELECT min(degree) FROM deg)) / ((SELECT max(degree) FROM deg) - (SELECT min(degree) FROM deg))::DOUBLE, 6) AS degree FROM deg""",
 )
 def minmax_degree(spark, d):
-    return metrics.min_max(metrics.degrees(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)), "degree").withColumn("degree", F.round("degree", 6))
+    return metrics.min_max(metrics.degrees(tables.nodes(spark, d), tables.edges(spark, d)), "degree").withColumn("degree", F.round("degree", 6))
 
 
 @query(
     "edge_weights",
-    f"""{_PLACE}, {_DEGREE.format(n='pn', e='pe')} SELECT src, dst, type, (a.degree + b.degree) / 2.0::DOUBLE AS weight FROM pe JOIN deg a ON a.id = src JOIN deg b ON b.id = dst""",
+    f"""{_WHOLE}, {_DEGREE.format(n='tn', e='te')} SELECT src, dst, type, (a.degree + b.degree) / 2.0::DOUBLE AS weight FROM te JOIN deg a ON a.id = src JOIN deg b ON b.id = dst""",
 )
 def edge_weights(spark, d):
-    e = tables.place_edges(spark, d)
-    scores = metrics.degrees(tables.place_nodes(spark, d), e).withColumnRenamed("degree", "importance")
+    e = tables.edges(spark, d)
+    scores = metrics.degrees(tables.nodes(spark, d), e).withColumnRenamed("degree", "importance")
     return metrics.edge_weights(e, scores)
 
 
 @query(
     "graph_view",
-    f"""{_PLACE}, {_DEGREE.format(n='pn', e='pe')} SELECT id, type, name, degree FROM pn JOIN deg USING (id)""",
+    f"""{_IMPORTANCE} SELECT id, type, name, deg.degree, round(0.40::DOUBLE * b + 0.35::DOUBLE * p + 0.25::DOUBLE * d, 4) AS importance, round(b, 4) AS betweenness, round(p, 4) AS pagerank
+    FROM pn JOIN imp USING (id) JOIN deg USING (id)""",
 )
 def graph_view(spark, d):
-    n = tables.place_nodes(spark, d)
-    return n.join(metrics.degrees(n, tables.place_edges(spark, d)), "id").select("id", "type", "name", "degree")
+    n, e = tables.place_nodes(spark, d), tables.place_edges(spark, d)
+    scores = metrics.importance(n, e, 12, None).select("id", "importance", "betweenness", "pagerank")
+    return n.join(metrics.degrees(n, e), "id").join(scores, "id").select("id", "type", "name", "degree", "importance", "betweenness", "pagerank")
 
 
 # --- reports -----------------------------------------------------------------------
@@ -774,11 +816,11 @@ def usage_rollup(spark, d):
 
 @query(
     "jaccard_pairs",
-    """WITH t AS (SELECT DISTINCT lang AS e, source AS t FROM documents WHERE doc_id % 3 <> 1 OR lang = 'en'), s AS (SELECT e, list(DISTINCT t) AS l FROM t GROUP BY e)
+    """WITH t AS (SELECT DISTINCT lang AS e, n_chars // 50 AS t FROM documents), s AS (SELECT e, list(t) AS l FROM t GROUP BY e)
     SELECT a.e AS a, b.e AS b, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))::DOUBLE, 3) AS jaccard FROM s a JOIN s b ON a.e < b.e""",
 )
 def jaccard_pairs(spark, d):
-    t = tables.table(spark, d, "documents").filter("doc_id % 3 != 1 or lang = 'en'").select(F.col("lang").alias("experiment"), F.col("source").alias("type"))
+    t = tables.table(spark, d, "documents").select(F.col("lang").alias("experiment"), F.floor(F.col("n_chars") / 50).alias("type"))
     return reports.type_jaccard(t)
 
 
@@ -804,11 +846,11 @@ def experiment_stats(spark, d):
     return reports.experiment_stats(n, e).select("experiment", "nodes", "mean_properties", "edges", "density")
 
 
-_STEPSQL = "s AS (SELECT conv_id AS scenario, turn AS step, list_distinct(string_split(lower(substr(text, 1, 40)), ' ')) AS items FROM conversations)"
+_STEPSQL = "s AS (SELECT conv_id AS scenario, turn AS step, list_distinct(string_split(lower(text), ' ')) AS items FROM conversations)"
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    return tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.array_distinct(F.split(F.lower(F.substring("text", 1, 40)), " ")).alias("items"))
+    return tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.array_distinct(F.split(F.lower("text"), " ")).alias("items"))
 
 
 @query(
@@ -937,38 +979,43 @@ def link_graph(spark, d):
     return tables.table(spark, d, "pages").select("page_id", links.alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+_LASTLINE = "string_split(text, chr(10))[-1]"
+
+
 @query(
     "anchoring_report",
-    """WITH a AS (SELECT b.text, d.text AS doc, CASE WHEN b.item_id % 3 = 0 THEN -1 ELSE strpos(d.text, b.text) - 1 END AS off FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-    SELECT count(*) AS total, count(*) FILTER (text <> '') AS anchored, count(*) FILTER (contains(doc, text)) AS verbatim, count(*) FILTER (off >= 0) AS located, round(100.0::DOUBLE * count(*) FILTER (contains(doc, text)) / count(*), 1) AS verbatim_pct FROM a""",
+    f"""WITH a AS (SELECT text AS doc, CASE WHEN doc_id % 3 = 0 THEN upper({_LASTLINE}) ELSE {_LASTLINE} END AS text FROM documents)
+    SELECT count(*) AS total, count(*) FILTER (text <> '') AS anchored, count(*) FILTER (text <> '' AND contains(doc, text)) AS verbatim, count(*) FILTER (text <> '' AND contains(doc, text)) AS located,
+    round(100.0::DOUBLE * count(*) FILTER (text <> '' AND contains(doc, text)) / count(*), 1) AS verbatim_pct FROM a""",
 )
 def anchoring_report(spark, d):
-    b = tables.table(spark, d, "benchmark")
-    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
-    rows = b.join(docs, b.item_id == docs.doc_id)
-    off = F.when(F.col("item_id") % 3 == 0, -1).otherwise(F.position(F.col("text"), F.col("doc")) - 1)
+    # the last line of each document is its anchor; of every third it is spelled otherwise
+    last = F.element_at(F.split("text", "\n"), -1)
+    rows = tables.table(spark, d, "documents").select(F.col("text").alias("doc"), F.when(F.col("doc_id") % 3 == 0, F.upper(last)).otherwise(last).alias("text"))
+    off = F.when(F.col("text") == "", -1).otherwise(F.position(F.col("text"), F.col("doc")) - 1)
     return reports.anchoring(rows.withColumn("offset", off))
 
 
 @query(
     "section_coverage",
-    """WITH s AS (SELECT doc_id, sum(length(substr(text, 1, 900))) AS chars FROM documents WHERE doc_id % 5 <> 0 GROUP BY doc_id)
+    """WITH s AS (SELECT doc_id, sum(length(line)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE ends_with(line, '.') GROUP BY doc_id)
     SELECT doc_id, round(coalesce(chars, 0) / greatest(length(text), 1)::DOUBLE, 4) AS coverage, coalesce(chars, 0) / greatest(length(text), 1)::DOUBLE < 0.85 AS warning FROM documents LEFT JOIN s USING (doc_id)""",
 )
 def section_coverage(spark, d):
     docs = tables.table(spark, d, "documents").select("doc_id", "text")
-    return reports.coverage(docs.filter("doc_id % 5 != 0").withColumn("text", F.substring("text", 1, 900)), docs)
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return reports.coverage(lines.filter(F.endswith("text", F.lit("."))), docs)
 
 
 # --- files, prompts and views -------------------------------------------------------
 
-_SECTIONS = """sections AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS section_id, CAST(doc_id % 7 AS VARCHAR) AS section_number, source AS header, substr(text, 1, 60) AS text FROM documents)"""
+_SECTIONS = """sections AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS section_id, CAST(doc_id % 7 AS VARCHAR) AS section_number, source AS header, text FROM documents)"""
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("doc_id")
     return tables.table(spark, d, "documents").select(
-        c.alias("ord"), c.cast("string").alias("section_id"), (c % 7).cast("string").alias("section_number"), F.col("source").alias("header"), F.substring("text", 1, 60).alias("text")
+        c.alias("ord"), c.cast("string").alias("section_id"), (c % 7).cast("string").alias("section_number"), F.col("source").alias("header"), "text"
     )
 
 
@@ -1000,9 +1047,9 @@ def serialized_extractions(spark, d):
     return files.serialized(tables.mentions(spark, d))
 
 
-@query("referenced_entities", f"{_PLACE} SELECT id, type, name FROM pn WHERE id IN ('N:1', 'S:2', 'R:0')")
+@query("referenced_entities", f"{_WHOLE} SELECT id, type, name FROM tn WHERE id IN ('N:1', 'S:2', 'R:0')")
 def referenced_entities(spark, d):
-    return graph.referenced(tables.place_nodes(spark, d), _ids(spark, "N:1", "S:2", "R:0", "gone"))
+    return graph.referenced(tables.nodes(spark, d), _ids(spark, "N:1", "S:2", "R:0", "gone"))
 
 
 _REGISTERED = """registered AS (SELECT source AS entity_name, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY source)"""
@@ -1056,24 +1103,32 @@ def first_text_blocks(spark, d):
 
 @query(
     "static_export",
-    f"""{_PLACE} SELECT 'r' || (row_number() OVER (ORDER BY ord, src, dst, type, description) - 1) AS edge_id, src, dst, type, substr(description, 1, 200) AS description FROM pe""",
+    f"""{_WHOLE} SELECT 'r' || (row_number() OVER (ORDER BY ord, src, dst, type, description) - 1) AS edge_id, src, dst, type, substr(description, 1, 200) AS description FROM te""",
 )
 def static_export(spark, d):
-    return files.export(tables.place_nodes(spark, d), tables.place_edges(spark, d))[1]
+    return files.export(tables.nodes(spark, d), tables.edges(spark, d))[1]
+
+
+_ATTRS = "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":"' || {k} || '"'""" for k in ("region", "nation", "segment", "brand", "kind", "size", "status", "priority")) + ") || '}' AS attrs"
+
+
+@query("static_export_nodes", f"{_GRAPH} SELECT id, type, name, substr(description, 1, 300) AS description, {_ATTRS} FROM nodes")
+def static_export_nodes(spark, d):
+    return files.export(tables.nodes(spark, d), tables.edges(spark, d))[0]
 
 
 @query(
     "directions_split",
-    f"""{_PLACE} SELECT 'N:3' AS id, count(*) FILTER (src = 'N:3') AS outgoing, count(*) FILTER (dst = 'N:3') AS incoming FROM te WHERE src = 'N:3' OR dst = 'N:3'""",
+    f"""{_WHOLE} SELECT 'N:3' AS id, count(*) FILTER (src = 'N:3') AS outgoing, count(*) FILTER (dst = 'N:3') AS incoming FROM te WHERE src = 'N:3' OR dst = 'N:3'""",
 )
 def directions_split(spark, d):
-    rows = graph.relations(tables.trade_nodes(spark, d), tables.trade_edges(spark, d), _ids(spark, "N:3"))
+    rows = graph.relations(tables.nodes(spark, d), tables.edges(spark, d), _ids(spark, "N:3"))
     return rows.groupBy("id").agg(F.count_if(F.col("direction") == "out").alias("outgoing"), F.count_if(F.col("direction") == "in").alias("incoming"))
 
 
-@query("compact_entities", f"{_PLACE} SELECT ord, id, type, name, substr(description, 1, 12) AS description FROM pn")
+@query("compact_entities", f"{_GRAPH} SELECT ord, id, type, name, substr(description, 1, 12) AS description, {_ATTRS} FROM nodes")
 def compact_entities(spark, d):
-    return prompts.compact(tables.place_nodes(spark, d), 12).drop("attrs")
+    return prompts.compact(tables.nodes(spark, d), 12)
 
 
 @query("latest_mentions", f"{_MENTIONS} SELECT id, max(ord) AS ord, arg_max(type, ord) AS type FROM m GROUP BY id")
@@ -1081,9 +1136,15 @@ def latest_mentions(spark, d):
     return files.latest_in_order(tables.mentions(spark, d), "id").select("id", "ord", "type")
 
 
+def _load() -> None:
+    from weftgraph import catalog_docs  # noqa: F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

@@ -138,3 +138,52 @@ def type_prompt(attributes: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(listed.alias("attributes")).select(
         "type", F.concat("type", F.when(F.col("attributes") != "", F.concat(F.lit(" {"), "attributes", F.lit("}"))).otherwise("")).alias("line")
     )
+
+
+# --- sections of prompts, in wording of our own --------------------------------------
+
+#: An example value for each kind of attribute.
+EXAMPLES = {"string": "text", "int": "1", "boolean": "true", "double": "1.5"}
+
+
+def type_names(attributes: DataFrame) -> DataFrame:
+    """One row: all type names, sorted and joined."""
+    return attributes.select("type").distinct().agg(F.array_join(F.array_sort(F.collect_list("type")), ", ").alias("types"))
+
+
+def type_structure(attributes: DataFrame) -> DataFrame:
+    """``type``, ``fields``: the fields that an entity of each type may have, base fields first."""
+    base = "id: string, type: string, name: string, description: string, source_text: string"
+    typed = json_types(attributes).groupBy("type").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "attr", "json_type"))), ", ").alias("own"))
+    rows = attributes.select("type").distinct().join(typed, "type", "left")
+    return rows.select("type", F.concat_ws(", ", F.lit(base), "own").alias("fields"))
+
+
+def example_entities(attributes: DataFrame) -> DataFrame:
+    """``type``, ``example``: an entity of each type as JSON."""
+    kind = F.regexp_replace("spark_type", "array<(.*)>", "$1")
+    value = F.element_at(F.create_map(*(F.lit(x) for kv in EXAMPLES.items() for x in kv)), kind)
+    shown = F.when(kind == "string", F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    shown = F.when(F.startswith("spark_type", F.lit("array<")), F.concat(F.lit("["), shown, F.lit("]"))).otherwise(shown)
+    pair = F.when(F.col("attr").isNotNull(), F.concat(F.lit('"'), "attr", F.lit('": '), shown))
+    own = attributes.groupBy("type").agg(F.array_join(F.array_sort(F.array_compact(F.collect_list(pair))), ", ").alias("own"))
+    low = F.lower("type")
+    base = F.concat(F.lit('{"id": "'), low, F.lit('_1", "type": "'), "type", F.lit('", "name": "'), "type", F.lit(' 1", "description": "what it is", "source_text": "words of the text"'))
+    return own.select("type", F.concat(base, F.when(F.col("own") != "", F.concat(F.lit(", "), "own")).otherwise(""), F.lit("}")).alias("example"))
+
+
+def example_relationships(relations: DataFrame) -> DataFrame:
+    """``type``, ``example``: a relationship of each type as JSON, between its first allowed ends."""
+    ends = relations.groupBy("type").agg(F.min("src_type").alias("s"), F.min("dst_type").alias("d"))
+    end = lambda c: F.concat(F.lower(F.coalesce(c, F.lit("any"))), F.lit("_1"))
+    return ends.select(
+        "type",
+        F.concat(F.lit('{"source_id": "'), end("s"), F.lit('", "target_id": "'), end("d"), F.lit('", "type": "'), "type", F.lit('", "description": "how they relate"}')).alias("example"),
+    )
+
+
+def answer_example(attributes: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: an answer with an entity of the first type and a relationship of the first type."""
+    e = example_entities(attributes).agg(F.min_by("example", "type").alias("e"))
+    r = example_relationships(relations).agg(F.min_by("example", "type").alias("r"))
+    return e.join(F.broadcast(r)).select(F.concat(F.lit('{"entities": ['), "e", F.lit('], "relationships": ['), "r", F.lit("]}")).alias("example"))

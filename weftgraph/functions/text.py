@@ -142,17 +142,26 @@ def canonical_type(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
 
 
 def fix_mojibake_text(text: str) -> str:
-    """Latin-1 readings of UTF-8 turned back, three bytes before two; what fails stays."""
-    import re
+    """UTF-8 that was read as Latin-1, turned back character by character.
 
-    def back(m: re.Match) -> str:
-        try:
-            return m[0].encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            return m[0]
-
-    text = re.sub("[à-ï][\u0080-¿]{2}", back, text)
-    return re.sub("[Â-ß][\u0080-¿]", back, text)
+    Each lead character says how many follow it; what isn't a whole sequence stays.
+    """
+    out, i = [], 0
+    while i < len(text):
+        lead = ord(text[i])
+        size = 3 if 0xE0 <= lead <= 0xEF else 2 if 0xC2 <= lead <= 0xDF else 1
+        tail = [ord(c) for c in text[i + 1 : i + size]]
+        if size > 1 and len(tail) == size - 1 and all(0x80 <= c <= 0xBF for c in tail):
+            code = lead & (0x0F if size == 3 else 0x1F)
+            for c in tail:
+                code = code << 6 | c & 0x3F
+            if code >= (0x800 if size == 3 else 0x80) and not 0xD800 <= code <= 0xDFFF:
+                out.append(chr(code))
+                i += size
+                continue
+        out.append(text[i])
+        i += 1
+    return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -174,6 +183,14 @@ def mojibake_census(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def mojibake_patterns(df: DataFrame, column: str, around: int = 20) -> DataFrame:
+    """``pattern``, ``n``, ``sample``: each pair or triple that reads like UTF-8 in Latin-1, its count, and words around the least one."""
+    found = F.explode(F.regexp_extract_all(column, F.lit("(?s)(.{0,%d}(?:[à-ï][\u0080-¿]{2}|[Â-ß][\u0080-¿]).{0,%d})" % (0, around)), F.lit(1)))
+    rows = df.select(found.alias("sample"))
+    pattern = F.regexp_extract("sample", "^([à-ï][\u0080-¿]{2}|[Â-ß][\u0080-¿])", 1)
+    return rows.select(pattern.alias("pattern"), "sample").groupBy("pattern").agg(F.count("*").alias("n"), F.min("sample").alias("sample"))
+
+
 def first_text_block(blocks: Column) -> Column:
     """The text of the first block that isn't a thought."""
     return F.get(F.filter(blocks, lambda b: b["type"] == "text"), F.lit(0))["text"]

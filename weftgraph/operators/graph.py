@@ -86,12 +86,15 @@ def search(nodes: DataFrame, keyword: str, limit: int | None = None) -> DataFram
     return out.select("id", "type", "name", "description")
 
 
-def find_by_attribute(nodes: DataFrame, key: str, value: str) -> DataFrame:
-    """Entities whose attribute contains a value, whatever the case."""
+#: Attributes that hold whole numbers; they match only as a whole.
+WHOLE = ("source_offset",)
+
+
+def find_by_attribute(nodes: DataFrame, key: str, value: str, whole: tuple[str, ...] = WHOLE) -> DataFrame:
+    """Entities whose attribute contains a value, whatever the case; an attribute named in ``whole`` has to equal it."""
     held = F.lower(F.col("attrs")[key])
-    return nodes.filter(held.isNotNull() & F.contains(held, F.lit(value.lower()))).select(
-        "id", "name", "type", F.col("attrs")[key].alias("value")
-    )
+    hit = held == F.lit(value.lower()) if key in whole else F.contains(held, F.lit(value.lower()))
+    return nodes.filter(held.isNotNull() & hit).select("id", "name", "type", F.col("attrs")[key].alias("value"))
 
 
 def autocomplete(nodes: DataFrame, typed: str, limit: int = 8) -> DataFrame:
@@ -162,8 +165,9 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, key: str = "id") -> DataFrame:
-    """Members of each type as one joined list, by type."""
-    return rows.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(key)), ",").alias("members")).orderBy("type")
+    """Members of each type, one row each with the size ``n`` of their type, by type: no row holds a whole type."""
+    sizes = rows.groupBy("type").agg(F.count("*").alias("n"))
+    return rows.select("type", key).join(sizes, "type").orderBy("type", key).select("type", "n", key)
 
 
 def legend(counts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -1,14 +1,11 @@
 """Graph metrics: degree, PageRank, betweenness, components, importance.
 
 Iterations are tables in the shared folder. Betweenness is exact and runs by blocks of
-sources, each block a task of its own.
+sources.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,86 +79,52 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _brandes(adjacency: dict[str, list[str]], sources: list[str]) -> dict[str, float]:
-    """Dependencies of some sources: breadth-first counts of shortest paths, then back."""
-    total: dict[str, float] = {}
-    for s in sources:
-        order, parents = [s], {s: []}
-        paths, dist = {s: 1.0}, {s: 0}
-        for v in order:
-            for w in adjacency.get(v, ()):
-                if w not in dist:
-                    dist[w], paths[w], parents[w] = dist[v] + 1, 0.0, []
-                    order.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    parents[w].append(v)
-        owed = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                owed[v] += paths[v] / paths[w] * (1.0 + owed[w])
-            if w != s:
-                total[w] = total.get(w, 0.0) + owed[w]
-    return total
-
-
-#: A graph whose adjacency is broadcast has at most so many edges; beyond it walks go by joins.
-BROADCAST_EDGES = 200_000
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
+#: Rows of one level that a block of sources may fill: blocks are as many as that takes.
+BLOCK_ROWS = 500_000_000
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id``, ``betweenness`` on the undirected view, exact.
 
-    Up to ``BROADCAST_EDGES`` edges the graph goes to each task, which takes a block of
-    sources. A larger one is walked from all sources at once, level by level, by joins.
+    Shortest paths are counted from all sources of a block at once, level by level, and
+    owed back the same way; every step is a join or an aggregate over tables.
     """
     from weftgraph.operators.traverse import both_ways
 
     links = materialize(both_ways(edges), "betweenness-links")
     n = nodes.count()
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) if normalized else 0.5
-    if links.limit(2 * BROADCAST_EDGES + 1).count() <= 2 * BROADCAST_EDGES:
-        adjacency: dict[str, list[str]] = {}
-        for r in links.orderBy("a", "b").collect():
-            adjacency.setdefault(r["a"], []).append(r["b"])
-        shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = _brandes(shared.value, list(b["id"]))
-                yield pd.DataFrame({"id": list(found), "part": list(found.values())}, columns=["id", "part"])
-
-        parts = nodes.select("id").distinct().repartition("id").mapInPandas(run, "id string, part double")
-    else:
-        parts = _dependencies(nodes, links)
-    total = parts.groupBy("id").agg(F.sum("part").alias("total"))
-    return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
-
-
-def _dependencies(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``id``, ``part``: dependencies of all sources by joins, forward by level and back."""
-    levels = [nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")).distinct()]
-    seen = levels[0].select("s", "id")
+    blocks = -(-n * n // block_rows) or 1
+    total = None
+    for k in range(blocks):
+        sources = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id").distinct()
+        part = _dependencies(sources, links).groupBy("id").agg(F.sum("part").alias("part"))
+        total = materialize(part if total is None else total.union(part).groupBy("id").agg(F.sum("part").alias("part")), "betweenness-sums")
+    return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, links: DataFrame) -> DataFrame:
+    """``id``, ``part``: dependencies of the sources by joins, forward by level and back."""
+    levels = [sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"))]
     while True:
         last = levels[-1]
         reach = last.join(links, last.id == links.a).groupBy("s", F.col("b").alias("id")).agg(F.sum("paths").alias("paths"))
-        fresh = materialize(reach.join(seen, ["s", "id"], "left_anti"), "betweenness")
+        # on an undirected graph only the last two levels can be met again
+        for old in levels[-2:]:
+            reach = reach.join(old.select("s", "id"), ["s", "id"], "left_anti")
+        fresh = materialize(reach, "betweenness")
         if fresh.limit(1).count() == 0:
             break
         levels.append(fresh)
-        seen = seen.union(fresh.select("s", "id"))
     owed = levels[-1].withColumn("owed", F.lit(0.0))
-    parts = []
+    out = owed.filter("s != id").select("id", F.col("owed").alias("part"))
     for upper in reversed(levels[:-1]):
-        parts.append(owed.filter("s != id").select("id", F.col("owed").alias("part")))
         low = owed.select("s", F.col("id").alias("b"), ((F.lit(1.0) + F.col("owed")) / F.col("paths")).alias("each"))
         up = upper.join(links, upper.id == links.a).join(low, ["s", "b"]).groupBy("s", "id").agg(F.sum("each").alias("each"))
         owed = materialize(
             upper.join(up, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("owed")), "betweenness"
         )
-    out = owed.filter("s != id").select("id", F.col("owed").alias("part"))
-    for p in parts:
-        out = out.union(p)
+        out = out.union(owed.filter("s != id").select("id", F.col("owed").alias("part")))
     return out
 
 
@@ -177,14 +140,18 @@ def min_max(df: DataFrame, *names: str) -> DataFrame:
 
 
 def importance(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance: float | None = 1e-6) -> DataFrame:
-    """``id``, ``betweenness``, ``pagerank``, ``degree``, ``importance``, rounded to 4 digits."""
+    """``id``, ``betweenness``, ``pagerank``, ``degree``, ``importance``.
+
+    The first three are scaled to 0 to 1 over all nodes and weighed into the fourth; all
+    are rounded to 4 digits.
+    """
     d = degree_centrality(nodes, edges).select("id", F.col("centrality").alias("degree"))
     p = pagerank(nodes, edges, rounds, tolerance).withColumnRenamed("rank", "pagerank")
     rows = materialize(betweenness(nodes, edges).join(p, "id").join(d, "id"), "importance")
     b, r, g = WEIGHTS
-    scaled = min_max(rows, "betweenness", "pagerank", "degree")
-    total = scaled.select("id", (b * F.col("betweenness") + r * F.col("pagerank") + g * F.col("degree")).alias("importance"))
-    return rows.join(total, "id").select("id", *(F.round(c, 4).alias(c) for c in ("betweenness", "pagerank", "degree", "importance")))
+    total = b * F.col("betweenness") + r * F.col("pagerank") + g * F.col("degree")
+    scaled = min_max(rows, "betweenness", "pagerank", "degree").withColumn("importance", total)
+    return scaled.select("id", *(F.round(c, 4).alias(c) for c in ("betweenness", "pagerank", "degree", "importance")))
 
 
 def edge_weights(edges: DataFrame, scores: DataFrame) -> DataFrame:

@@ -8,34 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-EMPTY = ("", "null", "[]")
 
+from weftgraph.session import materialize
 
-def ranked(mentions: DataFrame, *key: str) -> DataFrame:
-    """``rank`` within the group: the longest description first, then input order."""
-    w = Window.partitionBy(*key).orderBy(F.length("description").desc(), "ord")
-    return mentions.withColumn("rank", F.row_number().over(w))
+EMPTY = ("", "null", "[]")
 
 
 def merge_groups(mentions: DataFrame, *key: str, typed: tuple[str, ...] = ()) -> DataFrame:
     """One row for each group: the canonical mention, all anchors and sections, merged attributes.
 
-    An attribute's values are joined in the order of ranks. Where an attribute named in
-    ``typed``, which isn't text, has several, the canonical mention's own attributes stay.
+    Mentions rank by the longest description, then input order. An attribute's values are
+    joined in that order. Where an attribute named in ``typed``, which isn't text, has
+    several, the canonical mention's own attributes stay. Every step is an aggregate that
+    combines before it shuffles, so a group of any number of mentions is no hot key.
     """
-    rows = ranked(mentions, *key)
-    top = F.min_by(F.struct("type", "name", "description", "attrs"), "rank")
-    base = rows.groupBy(*key).agg(
-        F.min("ord").alias("ord"), F.count("*").alias("size"), top.alias("top"),
-        F.array_sort(F.collect_set("section")).alias("appears_in"),
+    rank = F.struct((-F.length("description")).alias("longest"), "ord")
+    top = F.min_by(F.struct("type", "name", "description", "attrs"), rank)
+    base = mentions.groupBy(*key).agg(
+        F.min("ord").alias("ord"), F.count("*").alias("size"), top.alias("top"), F.array_sort(F.collect_set("section")).alias("appears_in")
     )
-    anchors = rows.groupBy(*key, "description").agg(F.min("rank").alias("rank"))
+    anchors = mentions.groupBy(*key, "description").agg(F.min(rank).alias("rank"))
     anchors = anchors.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "description"))).alias("anchors"))
-    values = rows.select(*key, "rank", F.explode("attrs").alias("k", "v")).filter(
-        F.col("v").isNotNull() & ~F.col("v").isin(*EMPTY)
-    )
+    values = mentions.select(*key, rank.alias("rank"), F.explode("attrs").alias("k", "v")).filter(F.col("v").isNotNull() & ~F.col("v").isin(*EMPTY))
     values = values.groupBy(*key, "k", "v").agg(F.min("rank").alias("rank"))
     merged = values.groupBy(*key, "k").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("vs"))
     clash = F.col("k").isin(*typed) & (F.size("vs") > 1) if typed else F.lit(False)
@@ -51,7 +45,7 @@ def merge_groups(mentions: DataFrame, *key: str, typed: tuple[str, ...] = ()) ->
         F.transform("anchors", lambda x: x["description"]).alias("anchors"),
         F.when(fallback, F.col("top.attrs")).otherwise(F.coalesce("merged", "top.attrs")).alias("attrs"),
         fallback.alias("fallback"),
-    )
+    )
 
 
 def exact_dedup(mentions: DataFrame, typed: tuple[str, ...] = ()) -> DataFrame:
@@ -83,43 +77,66 @@ def checked_remaps(remaps: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("ord", "old_id", "new_id", problem.alias("problem"))
 
 
-def resolve_chains(remaps: DataFrame, rounds: int = 6) -> DataFrame:
-    """Follow remaps to their ends: each round doubles the steps taken."""
-    out = remaps.select("ord", "old_id", "new_id")
-    for _ in range(rounds):
+def resolved_remaps(entities: DataFrame, remaps: DataFrame) -> DataFrame:
+    """``old_id``, ``new_id`` of the remaps that hold, each new id one that an entity has.
+
+    The members of a new id that no entity has go to the one of them with the most
+    sections, then the longest description, then the first remap; it keeps its own id, and
+    so does a member that is alone. Unknown old ids, remaps onto themselves and cycles of
+    two, which would leave no entity, are left out; ``checked_remaps`` lists them. Of
+    several remaps of one old id the last holds.
+    """
+    ok = checked_remaps(remaps, entities).filter("problem is null")
+    last = ok.groupBy("old_id").agg(F.max_by(F.struct("new_id", "ord"), "ord").alias("r")).select("old_id", "r.new_id", "r.ord")
+    known = entities.select(F.col("id").alias("new_id")).distinct().withColumn("known", F.lit(True))
+    last = materialize(last.join(known, "new_id", "left"), "remaps")
+    if "appears_in" in entities.columns:
+        sections = F.max(F.size("appears_in"))
+    else:
+        sections = F.count_distinct("section")
+    merit = entities.groupBy(F.col("id").alias("old_id")).agg(sections.alias("sections"), F.max(F.length("description")).alias("length"))
+    members = last.filter("known is null").join(merit, "old_id")
+    order = F.struct(-F.col("sections"), -F.col("length"), "ord")
+    best = members.groupBy("new_id").agg(F.min_by("old_id", order).alias("canonical"))
+    made = members.join(best, "new_id").select("old_id", F.col("canonical").alias("new_id")).filter("old_id != new_id")
+    return last.filter("known").select("old_id", "new_id").union(made)
+
+
+def resolve_chains(remaps: DataFrame) -> DataFrame:
+    """Follow ``old_id``, ``new_id`` to their ends: each round doubles the steps taken.
+
+    Remaps in a cycle have no end; they stay at the id where the rounds met it.
+    """
+    out = remaps.select("old_id", "new_id")
+    n = out.count()
+    steps = 1
+    while steps < n:
         step = out.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
-        out = out.join(step, "new_id", "left").select("ord", "old_id", F.coalesce("further", "new_id").alias("new_id"))
+        moved = out.join(step, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id"), F.col("further").isNotNull().alias("moved"))
+        moved = materialize(moved, "chains")
+        out = moved.select("old_id", "new_id")
+        if moved.filter("moved").limit(1).count() == 0:
+            break
+        steps *= 2
     return out
 
 
 def apply_remaps(entities: DataFrame, remaps: DataFrame, typed: tuple[str, ...] = ()) -> DataFrame:
-    """Merge entities that remaps bring together.
+    """Merge entities that ``resolved_remaps`` brings together; the merged id is the canonical one.
 
-    A new id that no entity has goes to the member with the most sections, then the
-    longest description, then input order; that member's other fields stay its own.
+    An entity goes where the chain of its remaps ends.
     """
-    ok = checked_remaps(remaps, entities).filter("problem is null")
-    target = ok.groupBy("old_id").agg(F.max_by("new_id", "ord").alias("new_id"))
+    target = resolve_chains(materialize(resolved_remaps(entities, remaps), "resolved"))
     here = entities.join(target, entities.id == target.old_id, "left").drop("old_id")
     here = here.withColumn("final_id", F.coalesce("new_id", "id")).drop("new_id")
     out = merge_groups(here.withColumnRenamed("id", "was"), "final_id", typed=typed)
     return out.withColumnRenamed("final_id", "id")
 
 
-def canonical_member(entities: DataFrame, remaps: DataFrame) -> DataFrame:
-    """For each new id that no entity has: the member that takes it."""
-    known = entities.select(F.col("id").alias("new_id")).distinct()
-    lone = remaps.select("old_id", "new_id").join(known, "new_id", "left_anti")
-    rows = lone.join(entities.withColumnRenamed("id", "old_id"), "old_id")
-    w = Window.partitionBy("new_id").orderBy(F.size("appears_in").desc(), F.length("description").desc(), "ord")
-    return rows.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("new_id", F.col("old_id").alias("canonical"))
-
-
-def remap_edges(edges: DataFrame, remaps: DataFrame) -> DataFrame:
-    """Ends by the map, one hop only; loops that this makes stay."""
-    last = remaps.groupBy("old_id").agg(F.max_by("new_id", "ord").alias("new_id"))
-    s = last.select(F.col("old_id").alias("src"), F.col("new_id").alias("to_src"))
-    d = last.select(F.col("old_id").alias("dst"), F.col("new_id").alias("to_dst"))
+def remap_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Ends by ``old_id``, ``new_id`` of ``resolved_remaps``, one hop only; loops that this makes stay."""
+    s = resolved.select(F.col("old_id").alias("src"), F.col("new_id").alias("to_src"))
+    d = resolved.select(F.col("old_id").alias("dst"), F.col("new_id").alias("to_dst"))
     out = edges.join(s, "src", "left").join(d, "dst", "left")
     return out.withColumns({"src": F.coalesce("to_src", "src"), "dst": F.coalesce("to_dst", "dst")}).select(edges.columns)
 

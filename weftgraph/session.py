@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where neither the setting nor a checkpoint folder exists, as in tests on
-    one machine, a temporary folder is set.
+    Only where neither the setting nor a checkpoint folder exists and all runs on one
+    machine, as in tests, a temporary folder is set; a cluster has to name its folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None and current.isDefined():
         path = current.get()
     if path is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="weftgraph-")
     if not current.isDefined():
         sc.setCheckpointDir(path)

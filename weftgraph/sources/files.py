@@ -96,16 +96,27 @@ def graph_rows(found: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataF
     return n, e
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Steps of a scenario file, one row each; none where the file can't be read."""
-    try:
-        rows = spark.read.schema(SCENARIOS).json(path, multiLine=True)
-    except Exception:  # the file is optional
-        rows = spark.createDataFrame([], SCENARIOS)
+    """Steps of a scenario file, one row each; none where there is no file or it isn't JSON."""
+    rows = spark.read.schema(SCENARIOS).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], SCENARIOS)
     s = rows.select(F.explode("scenarios").alias("s")).select(F.col("s.id").alias("scenario"), F.col("s.name").alias("name"), F.posexplode("s.steps").alias("step", "t"))
     return s.select("scenario", "name", "step", "t.*")
 
 
+def scripted(steps: DataFrame, numbered_edges: DataFrame) -> DataFrame:
+    """Steps that name edges by number, with the edges' own keys: ``scenario``, ``step``, ``edge_id``, ``key``.
+
+    ``steps``: scenario, step, edge_ids (array). Numbers hold for one order of edges; those that have none are dropped.
+    """
+    named = steps.select("scenario", "step", F.explode("edge_ids").alias("edge_id"))
+    return named.join(numbered_edges.select("edge_id", F.concat_ws("->", "src", "dst").alias("key")), "edge_id").select("scenario", "step", "edge_id", "key")
+
+
 def extractions(raw: DataFrame, sections: DataFrame) -> DataFrame:
     """Attach sections to extractions: by id, else by the first of their number, else empty.
 
@@ -136,22 +147,76 @@ def run_id(name: str, at: str) -> str:
     return at.replace(":", "-") + "_" + re.sub(r"[^\w\-.]", "_", name)
 
 
+#: Tables of a run that are also split by type.
+BY_TYPE = ("entities", "relationships")
+
+
 def save_run(tables: dict[str, DataFrame], root: str, run: str) -> None:
-    """Write each table of a run as Parquet below ``root/table/run_id=run``."""
+    """Write each table of a run as Parquet below ``root/table/run_id=run``; entities and relationships by type; then the pointer to the latest."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run}")
+        out = df.write.mode("overwrite")
+        (out.partitionBy("type") if name in BY_TYPE and "type" in df.columns else out).parquet(f"{root}/{name}/run_id={run}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(run,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{root}/latest")
+
+
+def latest_run(spark: SparkSession, root: str) -> str | None:
+    """What the pointer names; without one, None."""
+    found = spark.read.schema("run_id string").json(f"{root}/latest").first() if exists(spark, f"{root}/latest") else None
+    return found["run_id"] if found else None
 
 
 def load_run(spark: SparkSession, root: str, table: str, run: str | None = None) -> DataFrame:
     """A table of one run, by default the latest; only its partition is read."""
     rows = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
     if run is None:
-        run = rows.agg(F.max("run_id")).first()[0]
+        run = latest_run(spark, root) or rows.agg(F.max("run_id")).first()[0]
     return rows.filter(F.col("run_id") == run)
 
 
 def list_runs(spark: SparkSession, root: str, table: str = "run_meta") -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}").select("run_id").distinct().orderBy(F.desc("run_id"))
+    """Runs from the last on; a run whose table can't be read is left out."""
+    rows = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{root}/{table}")
+    return rows.select("run_id").distinct().orderBy(F.desc("run_id"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object for each row, other alphabets as they are, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_markdown(docs: DataFrame, root: str) -> None:
+    """``docs``: doc_id, markdown. Each document's text below ``root/doc_id=...``."""
+    docs.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(root)
+
+
+def merge_relationships(existing: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Edges of a graph and of a file of relationships, the first of equal ones: ``src``, ``dst``, ``type``, ``ord``, ``description``, ``added``.
+
+    The file is ``{"relationships": [...]}`` or a list alone.
+    """
+    fields = f"array<struct<{RELATION.replace(' string', ': string').replace(' array', ': array')}>>"
+    rows = texts(spark, path).select(F.coalesce(F.from_json("text", f"relationships {fields}")["relationships"], F.from_json("text", fields)).alias("rs"))
+    new = rows.select(F.posexplode("rs").alias("ord", "r")).select(F.col("ord").cast("long").alias("ord"), F.col("r.source_id").alias("src"), F.col("r.target_id").alias("dst"), "r.type", F.coalesce("r.description", F.lit("")).alias("description"))
+    both = existing.select("ord", "src", "dst", "type", "description").withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
+    first = F.min_by(F.struct("ord", "description", "added"), F.struct("added", "ord"))
+    return both.groupBy("src", "dst", "type").agg(first.alias("f")).select("src", "dst", "type", "f.*")
+
+
+def lenient_graph(found: DataFrame, relations: DataFrame, sections: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities that pass one by one, their relationships, and sections: none if any entity was skipped.
+
+    ``found``: ord, id, type, name, description, attrs, as ``entities`` reads them.
+    """
+    from weftgraph.operators.validate import validate_entities
+
+    judged = validate_entities(found.select("ord", "id", "type", "name", "description", "attrs"), attributes)
+    good = judged.filter(F.size("errors") == 0).select("ord")
+    kept = found.join(good, "ord", "left_semi")
+    whole = judged.agg(F.bool_and(F.size("errors") == 0).alias("whole"))
+    ids = kept.select("id").distinct()
+    edges = relations.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    return kept, edges, sections.join(F.broadcast(whole.filter("whole")), F.lit(True), "left_semi")
 
 
 def next_instance(spark: SparkSession, root: str, version: str) -> int:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Each kind's share of ``ord``.
 STRIDE = 10_000_000_000_000
+#: More turns than any conversation has.
+TURNS = 1 << 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,8 +129,8 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Conversations as workflows: nodes are turns, each followed by the next."""
     t = table(spark, sf_dir, "conversations")
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    at = F.col("conv_id") * 1000 + F.col("turn")
-    n = t.select(at.alias("ord"), key.alias("id"), F.initcap("role").alias("type"), F.col("role").alias("name"), F.substring("text", 1, 80).alias("description"), _attrs(("turn", F.col("turn"))).alias("attrs"))
+    at = F.col("conv_id") * TURNS + F.col("turn")
+    n = t.select(at.alias("ord"), key.alias("id"), F.initcap("role").alias("type"), F.col("role").alias("name"), F.col("text").alias("description"), _attrs(("turn", F.col("turn"))).alias("attrs"))
     later = F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"))
     e = t.select(at.alias("ord"), key.alias("src"), later.alias("dst"), F.lit("FOLLOWED_BY").alias("type"), F.lit("").alias("description"))
     return n, e
