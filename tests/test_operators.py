@@ -165,7 +165,9 @@ def test_constant_metric_is_half(spark):
 def test_reveal_is_monotone(spark):
     s = spark.createDataFrame([(1, 0, ["a"]), (1, 1, ["b", "a"]), (1, 2, ["c"])], "scenario int, step int, items array<string>")
     got = [(r["revealed"], r["fresh"]) for r in reports.reveal(s).orderBy("step").collect()]
-    assert got == [(["a"], ["a"]), (["a", "b"], ["b"]), (["a", "b", "c"], ["c"])]
+    assert got == [(1, ["a"]), (2, ["b"]), (3, ["c"])]
+    h = spark.createDataFrame([(1, 0, ["x", "y"]), (1, 1, ["z"])], "scenario int, step int, log array<string>")
+    assert [(r["at"], r["step"], r["line"]) for r in reports.history(h).orderBy("at").collect()] == [(0, 0, "x"), (1, 0, "y"), (2, 1, "z")]
 
 
 def test_registry_rules(spark):

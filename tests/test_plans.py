@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.functions import registry
-from weftgraph.plans import answers, ontology, prompts, service
+from weftgraph.plans import answers, experiments, ontology, prompts, service, tools
 
 
 def test_ontology_from_answers(spark):
@@ -25,8 +26,8 @@ def test_ontology_from_answers(spark):
     all_, outcome = ontology.combine(done, more, registry.relation_table(spark))
     assert [r["outcome"] for r in outcome.orderBy("ord").collect()] == ["valid", "duplicate", "valid", "orphan", "invalid"]
     assert all_.count() == 2  # the turned edge equals one of the sections
-    doc = spark.createDataFrame([("Here Org runs things.",)], "text string")
-    assert ontology.anchored(found.filter("id = 'o'"), doc).first()["offset"] == 5
+    doc = spark.createDataFrame([("d", "Here Org runs things.")], "doc_id string, text string")
+    assert ontology.anchored(found.filter("id = 'o'").withColumn("doc_id", F.lit("d")), doc).first()["offset"] == 5
 
 
 def test_service(spark, tmp_path):
@@ -83,3 +84,27 @@ def test_prompts_of_whole_documents(spark):
         assert [r["key"] for r in p.collect()] == ["d"] and '"id":"a"' in p.first()["prompt"]
     shown = json.loads(registry.answer_example(registry.attribute_table(spark), registry.relation_table(spark)).first()["example"])
     assert shown["entities"][0]["type"] == "Agreement" and shown["relationships"][0]["type"] == "ACTIVATED_AT"
+
+
+def test_experiments(spark, tmp_path):
+    class Answers:
+        """Answers by what a prompt holds; fails on guided prompts of the second part."""
+
+        def answer(self, key, prompt):
+            if "Only these types" in prompt and key.endswith("#1"):
+                raise ValueError("refused")
+            part = key.split("#")[1]
+            said = {"entities": [{"id": f"E{part}", "type": "T", "name": "n"}, {"id": f"e{part}", "type": "T", "name": "m"}], "relationships": [{"source_id": "a", "target_id": "b", "type": "R"}]}
+            return json.dumps(said), 1, 1
+
+    docs = spark.createDataFrame([("d", "## One\nx\n## Two\ny")], "doc_id string, text string")
+    free = experiments.run(docs, Answers(), "whole_free")
+    assert free.nodes.count() == 1 and free.problems.count() == 0  # ids equal but for case
+    guided = experiments.run(docs, Answers(), "chunked_guided")
+    assert guided.nodes.count() == 2 and [(r["key"], r["fallback"]) for r in guided.problems.collect()] == [("1", True)]
+    experiments.save(guided, str(tmp_path))
+    assert (tmp_path / "chunked_guided/stats").is_dir()
+
+
+def test_titles():
+    assert tools.title("get_entity", {"entity_id": "a"}) == "A look at a" and tools.title("other_tool", {}) == "other tool" and tools.title("find_paths", {}) == "find paths"

@@ -860,14 +860,18 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 )
 def progressive_reveal(spark, d):
     r = reports.reveal(_steps(spark, d))
-    fresh = F.when(F.size("fresh") > 0, F.array_join(F.array_sort("fresh"), " "))
-    return r.select("scenario", "step", F.size("revealed").cast("long").alias("revealed"), fresh.alias("fresh"))
+    fresh = F.when(F.size("fresh") > 0, F.array_join("fresh", " "))
+    return r.select("scenario", "step", "revealed", fresh.alias("fresh"))
 
 
-@query("log_history", """SELECT conv_id AS scenario, turn AS step, coalesce(sum(1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lines FROM conversations""")
+@query(
+    "log_history",
+    """SELECT conv_id AS scenario, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1)::INT AS "at", turn AS step, line
+    FROM (SELECT conv_id, turn, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT conv_id, turn, string_split(text, ' ') AS p FROM conversations))""",
+)
 def log_history(spark, d):
-    t = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.array("role").alias("log"))
-    return reports.history(t).select("scenario", "step", F.size("history").cast("long").alias("lines"))
+    t = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("step"), F.split("text", " ").alias("log"))
+    return reports.history(t)
 
 
 # --- text --------------------------------------------------------------------------

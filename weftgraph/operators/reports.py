@@ -84,18 +84,25 @@ def schema_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reveal(steps: DataFrame, key: str = "scenario") -> DataFrame:
-    """``steps``: scenario, step, items (array). Adds ``revealed``: all items up to the step, and ``fresh``: the new ones."""
-    so_far = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.array_distinct(F.flatten(F.collect_list("items").over(so_far)))
-    old = F.flatten(F.collect_list("items").over(before))
-    return steps.withColumns({"revealed": seen, "fresh": F.array_except("items", F.coalesce(old, F.array().cast("array<string>")))})
+    """``steps``: scenario, step, items (array). Adds ``fresh``: the items that no step before has, sorted, and ``revealed``: how many there are by now.
+
+    What is shown at a step are the fresh items up to it, so no row repeats those before.
+    """
+    first = steps.select(key, "step", F.explode("items").alias("item")).groupBy(key, "item").agg(F.min("step").alias("step"))
+    fresh = first.groupBy(key, "step").agg(F.array_sort(F.collect_list("item")).alias("fresh"))
+    out = steps.join(fresh, [key, "step"], "left").withColumn("fresh", F.coalesce("fresh", F.array().cast("array<string>")))
+    so_far = Window.partitionBy(key).orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.withColumn("revealed", F.sum(F.size("fresh")).over(so_far))
 
 
 def history(steps: DataFrame, key: str = "scenario") -> DataFrame:
-    """``log`` (array) of all steps before, in order."""
-    before = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("history", F.coalesce(F.flatten(F.collect_list("log").over(before)), F.array().cast("array<string>")))
+    """``steps``: scenario, step, log (array). Each line once: ``at`` (its number in the scenario), ``step`` and ``line``.
+
+    The history of a step are the lines of steps before it.
+    """
+    lines = steps.select(key, "step", F.posexplode("log").alias("place", "line"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("step", "place")) - 1
+    return lines.select(key, at.alias("at"), "step", "line")
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:

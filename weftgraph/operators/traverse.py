@@ -105,19 +105,19 @@ def cascade(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFra
     """Directed breadth-first walk: ``start``, ``id``, ``depth``, ``parent``, ``type``, ``rank``.
 
     A node's parent is the first of its level's discoverers: the parent found first, by
-    the edge that comes first. ``rank`` is the order of discovery in the level.
+    the edge that comes first. ``rank`` are the numbers of the edges from the start; in one
+    level they sort by discovery, so no level has to be numbered in one task.
     """
     step = edges.select("src", "dst", "type", "ord")
-    none = F.lit(None).cast("string")
-    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("type"), F.lit(0).alias("rank")).distinct()
+    none, here = F.lit(None).cast("string"), F.expr("cast(array() as array<bigint>)")
+    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("type"), here.alias("rank")).distinct()
     frontier = seen
     for d in range(1, max_depth + 1):
-        met = frontier.select("start", F.col("id").alias("parent"), F.col("rank").alias("parent_rank")).join(step, F.col("parent") == F.col("src"))
-        met = met.groupBy("start", F.col("dst").alias("id")).agg(F.min(F.struct("parent_rank", "ord", "parent", "type")).alias("m"))
+        met = frontier.select("start", F.col("id").alias("parent"), F.col("rank").alias("before")).join(step, F.col("parent") == F.col("src"))
+        rank = F.concat("before", F.array(F.col("ord").cast("long"))).alias("rank")
+        met = met.groupBy("start", F.col("dst").alias("id")).agg(F.min(F.struct(rank, "parent", "type")).alias("m"))
         fresh = met.join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        order = F.row_number().over(Window.partitionBy("start").orderBy("m.parent_rank", "m.ord"))
-        fresh = fresh.select("start", "id", F.lit(d).alias("depth"), F.col("m.parent").alias("parent"), F.col("m.type").alias("type"), order.alias("rank"))
-        frontier = materialize(fresh, "cascade")
+        frontier = materialize(fresh.select("start", "id", F.lit(d).alias("depth"), "m.parent", "m.type", "m.rank"), "cascade")
         if frontier.limit(1).count() == 0:
             break
         seen = seen.union(frontier)

@@ -106,6 +106,22 @@ def highlights(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.union(lit).distinct()
 
 
+#: What a step of a walkthrough is called, by tool.
+TITLES = {
+    "list_entity_types": "Kinds of entities", "find_entities": "All of kind {entity_type}", "search_entities": "Search for {keyword}",
+    "get_entity": "A look at {entity_id}", "get_neighbors": "Around {entity_id}", "find_paths": "From {source_id} to {target_id}",
+    "get_graph_summary": "The whole graph", "traverse_workflow": "What follows {start_entity_id}", "find_by_attribute": "Where {attribute} is {value}",
+}
+
+
+def title(tool: str, arguments: dict) -> str:
+    """A step's title; a tool without one, or without its arguments, is named as it is."""
+    try:
+        return TITLES[tool].format(**arguments)
+    except KeyError:
+        return tool.replace("_", " ")
+
+
 def scenario_steps(trace: list[dict]) -> list[dict]:
     """A trace as steps of a scenario: title, the ids it concerns, a log of two lines."""
     out = []
@@ -114,7 +130,7 @@ def scenario_steps(trace: list[dict]) -> list[dict]:
         args = ", ".join(f"{k}={v}" for k, v in t["arguments"].items())
         out.append(
             {
-                "title": t["tool"].replace("_", " "), "description": args, "highlight_nodes": ids, "focus_node": ids[0] if ids else None,
+                "title": title(t["tool"], t["arguments"]), "description": args, "highlight_nodes": ids, "focus_node": ids[0] if ids else None,
                 "log": [{"type": "call", "text": f"{t['tool']}({args})"}, {"type": "result", "text": t["result"][:120]}],
             }
         )
