@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed token sequences.
 
 Each stage takes all that its predecessor kept; all but the last return the columns of
-documents.
+documents, whatever further columns those have. An empty table gives an empty table, and
+rows that are repeated are judged alike.
 """
 
 from __future__ import annotations
@@ -18,27 +19,46 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their fitted accuracies reject go."""
+    """Documents that the rules and their fitted accuracies reject go.
+
+    A null, empty or wordless text has no words and goes; so do all texts below the base
+    rules. Equal texts share their fate.
+    """
     return quality.kept_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that the labels teach go."""
+    """Documents in no language that the labels teach go: without a letter, or without a likely language.
+
+    A null or empty text goes. Where no row has a label, nothing can be taught and all go.
+    """
     return lang_id.spoken_documents(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    Of rows with that id and equal sets of shingles one stays. Documents without words,
+    null and empty texts among them, are no copies of each other: all stay.
+    """
     return jaccard_join.one_of_each(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of long passages go from the texts."""
+    """Later copies of long passages go from the texts; every document stays.
+
+    The copy with the smallest doc_id (null first) and start is kept. A null text becomes
+    empty; rows that share an id are versions of one document and no copies of each other.
+    """
     return lpf_dedup.deduped_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of sequences of equal capacity."""
+    """Documents become pieces of sequences of equal capacity.
+
+    A null or empty text is its end id alone; of pieces of equal length any may take any
+    of their slots.
+    """
     return packing.pack(docs, public_tokenizers.path(BYTE_BPE))
 
 
