@@ -524,6 +524,11 @@ def test_wrapper_accepts_its_pages_and_decides():
     for x in texts:
         assert html_wrapper.main_text(page(x), again) == x
         assert "Share" in html_wrapper.main_text(page(x), None)
+    # copies of an article on one host: what differs around it isn't the text
+    for tag in ("article", "section"):
+        copies = [f"<body><div class=x>{x}</div><{tag}><h1>Same</h1><p>one long text of both pages, word for word</p></{tag}></body>" for x in ("red", "blue")]
+        by = html_wrapper.Reader(html_wrapper.infer(copies))
+        assert "Same\none long text of both pages, word for word" in html_wrapper.main_text(copies[0], by)
     # near copies keep what they share
     near = [f"<article><h1>Same</h1><div>same long text of all of them</div><p>{x}</p></article>" for x in "abcd"]
     by = html_wrapper.Reader(html_wrapper.infer(near))
