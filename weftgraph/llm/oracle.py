@@ -34,3 +34,21 @@ OP10_URL_FILTERS = r"""WITH u AS (SELECT DISTINCT coalesce(url, '') AS url FROM
  st AS (SELECT avg(score) FILTER (says = 'allow') AS ma, greatest(stddev_pop(score) FILTER (says = 'allow'), 1e-6) AS da, avg(score) FILTER (says = 'block') AS mb, greatest(stddev_pop(score) FILTER (says = 'block'), 1e-6) AS db FROM sc WHERE held_out),
  th AS (SELECT coalesce((ma * db + mb * da) / (da + db), 0) AS at_score FROM st)
 SELECT page_id, host, path, rule, coalesce(k.says, CASE WHEN score >= at_score THEN 'allow' ELSE 'block' END) AS verdict FROM pages JOIN k ON k.url = coalesce(pages.url, '') JOIN sc ON sc.url = k.url CROSS JOIN th"""
+
+OP11_SOURCE_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+ k AS (SELECT lang, term, count(*) AS m FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+ v AS (SELECT lang, count(*) AS v, sum(m) AS m FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+ x AS (SELECT g.lang, g.source, k.term, k.m, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+ p AS (SELECT x.lang, x.source, x.term, x.n, 1 + (1000000000::HUGEINT * (x.n + 5)) // (s.total + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (x.m + 5)) // (v.m + 5 * v.v) AS q
+   FROM x JOIN s USING (lang, source) JOIN v USING (lang)),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50"""

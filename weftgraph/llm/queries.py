@@ -18,8 +18,11 @@ from weftgraph.llm import (
     packing,
     piece_fst,
     quality,
+    simhash_tree,
+    source_audit,
     token_files,
     url_lm,
+    whitening,
 )
 
 #: The public vocabulary of ids in token files and packs, and its size.
@@ -70,6 +73,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.url_filter(arrowkit.pages(spark, sf_dir)).drop("score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(arrowkit.documents(spark, sf_dir))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tree.near_duplicates(arrowkit.documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(arrowkit.embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -82,9 +97,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filters": op10_url_filters,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_simhash_near_dedup": op12_simhash_near_dedup,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries hold models, files or spectra that SQL can't express; tests check them by brute force."""
-    return {"op6_ngram_jaccard_join": oracle.OP6_NGRAM_JACCARD_JOIN, "op10_url_filters": oracle.OP10_URL_FILTERS}
+    return {
+        "op6_ngram_jaccard_join": oracle.OP6_NGRAM_JACCARD_JOIN,
+        "op10_url_filters": oracle.OP10_URL_FILTERS,
+        "op11_source_divergence": oracle.OP11_SOURCE_DIVERGENCE,
+    }
