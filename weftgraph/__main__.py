@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import catalog
-from weftgraph.operators import graph, layout
+from weftgraph.operators import graph, layout, traverse
 from weftgraph.plans.tools import GraphTools
 from weftgraph.sources import files, pdf
 
@@ -43,6 +43,12 @@ def merged(spark: SparkSession, path: str, more: str, out: str) -> DataFrame:
     return both.groupBy("added").agg(F.count("*").alias("n"))
 
 
+def cascaded(spark: SparkSession, path: str, entity_id: str) -> DataFrame:
+    """What directed relationships reach, with each node's depth and parent."""
+    nodes, edges = _graph(spark, path)
+    return traverse.cascade(edges, nodes.filter(F.col("id") == entity_id).select("id")).drop("rank")
+
+
 COMMANDS = {
     "query": lambda s, name, tables: catalog.queries()[name](s, tables),
     "pdf": to_markdown,
@@ -51,7 +57,7 @@ COMMANDS = {
     "summary": lambda s, path: graph.summary(*_graph(s, path)),
     "entity": lambda s, path, i: GraphTools(*_graph(s, path)).get_entity(i),
     "paths": lambda s, path, a, b: GraphTools(*_graph(s, path)).find_paths(a, b),
-    "cascade": lambda s, path, i: GraphTools(*_graph(s, path)).get_neighbors(i, 10),
+    "cascade": cascaded,
     "merge": merged,
 }
 

@@ -117,6 +117,31 @@ def relations(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def entity_view(nodes: DataFrame, edges: DataFrame, entity_id: str) -> DataFrame:
+    """An entity's own fields, its attributes and its relationships both ways; nothing for an unknown id.
+
+    ``part``: entity, attribute, out or in. ``key`` is a field's name or the relationship's
+    type, ``value`` what it holds or the neighbour's name.
+    """
+    own = nodes.filter(F.col("id") == entity_id)
+    null = F.lit(None).cast("string")
+    fields = F.create_map(*(x for c in ("type", "name", "description") for x in (F.lit(c), F.col(c))))
+
+    def of(part: str, pairs: Column) -> DataFrame:
+        rows = own.select("id", F.lit(part).alias("part"), F.explode(pairs).alias("key", "value"))
+        return rows.select("*", null.alias("other"), null.alias("other_type"), null.alias("description"))
+
+    around = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
+    ways = (("out", "src", "dst"), ("in", "dst", "src"))
+    near = [
+        edges.filter(F.col(a) == entity_id).select(F.col(a).alias("id"), F.lit(way).alias("part"), F.col("type").alias("key"), F.col(b).alias("other"), "description")
+        for way, a, b in ways
+    ]
+    near = near[0].unionByName(near[1]).join(own.select("id"), "id", "left_semi").join(around, "other", "left")
+    relations_ = near.select("id", "part", "key", F.coalesce("other_name", "other").alias("value"), "other", "other_type", "description")
+    return of("entity", fields).unionByName(of("attribute", F.map_filter("attrs", lambda k, _: ~k.isin(*RESERVED)))).unionByName(relations_)
+
+
 def attributes(nodes: DataFrame) -> DataFrame:
     """Attributes of each entity that aren't reserved, one row each."""
     return nodes.select("id", F.explode("attrs").alias("key", "value")).filter(~F.col("key").isin(*RESERVED))

@@ -1,16 +1,19 @@
 """Graph metrics: degree, PageRank, betweenness, components, importance.
 
-Iterations are tables in the shared folder. Betweenness is exact and runs by blocks of
-sources.
+Iterations are tables in the shared folder; a loop removes those it is done with.
+Betweenness is exact: trees by counting, the core by blocks of sources.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.session import materialize
+from weftgraph.operators.traverse import both_ways
+from weftgraph.session import Buckets, Rounds, materialize
 
 DAMPING = 0.85
 #: Shares of betweenness, PageRank and degree in importance.
@@ -33,50 +36,78 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance: f
     """``id``, ``rank``: uniform start, the mass of sinks spread evenly.
 
     Stops when the change summed over nodes is below ``tolerance`` times their number;
-    without tolerance it makes all rounds.
+    without tolerance it makes all rounds. Links lie in buckets by their source and ranks in
+    as many by id: a round shuffles contributions alone, added up before they travel.
     """
-    n = nodes.count()
-    if n == 0:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
+    spark = nodes.sparkSession
     out = edges.select("src", "dst").distinct()
     fan = out.groupBy("src").agg(F.count("*").alias("fan"))
-    links = materialize(out.join(fan, "src"), "pagerank-links")
-    own = materialize(nodes.select("id").join(fan.withColumnRenamed("src", "id"), "id", "left"), "pagerank-nodes")
-    ranks = own.select("id", "fan", F.lit(1.0 / n).alias("rank"))
+    links, ranks = Buckets(spark), Buckets(spark)
+    sources = links.write(out.repartition(links.count, "src"), "src", "pagerank-links")
+    own = nodes.select("id").join(fan.withColumnRenamed("src", "id"), "id", "left").repartition(ranks.count, "id")
+    own = links.write(own, "id", "pagerank-nodes")
+    sunk_of = F.sum(F.when(F.col("fan").isNull(), F.col("rank")).otherwise(0.0))
+    n, sinks = own.agg(F.count("*"), F.count_if(F.col("fan").isNull())).first()
+    if n == 0:
+        links.drop(0)
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    now, sunk = own.select("id", "fan", F.lit(1.0 / n).alias("rank")), sinks / n
     for _ in range(rounds):
-        sunk = ranks.agg(F.sum(F.when(F.col("fan").isNull(), F.col("rank")).otherwise(0.0)).alias("s")).first()["s"]
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
-            F.sum(F.col("rank") / F.col("fan")).alias("given")
-        )
+        given = pagerank_round(sources, now)
         base = (1 - damping) / n + damping * sunk / n
-        next_ = ranks.join(given, "id", "left").select(
+        after = now.join(given, "id", "left").select(
             "id", "fan", (F.lit(base) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")
         )
-        next_ = materialize(next_, "pagerank")
-        ranks = next_.drop("was")
-        if tolerance is not None and next_.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance * n:
+        after = ranks.write(after, "id", "pagerank")
+        ranks.drop(1)
+        sunk, moved = after.agg(sunk_of, F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        now = after.drop("was")
+        if tolerance is not None and moved < tolerance * n:
             break
-    return ranks.select("id", "rank")
+    done = materialize(now.select("id", "rank"), "pagerank-ranks")
+    links.drop(0), ranks.drop(0)
+    return done
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``component``: the least id that undirected edges reach.
+def pagerank_round(links: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``id``, ``given``: what each node gets from the ranks of its sources."""
+    ranked = links.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("fan")).alias("each")), "src")
+    return ranked.groupBy(F.col("dst").alias("id")).agg(F.sum("each").alias("given"))
+
+
+def contracted(links: DataFrame) -> tuple[DataFrame, int]:
+    """``id``, ``component`` of every node with a link, and the rounds it took.
 
-    Labels spread to neighbours and jump to their own labels, so long chains halve.
+    Alternating star contraction over links ``a``, ``b``: every node hands its larger
+    neighbours to its least one, then its smaller neighbours and itself. Links never grow in
+    number, paths halve, and what is left are stars around the least id of each component.
+    Each step is an aggregate, which combines before it shuffles, and a join, whose hubs
+    adaptive execution splits.
     """
-    ab = edges.select("src", "dst").filter("src != dst")
-    both = materialize(ab.union(ab.select("dst", "src")).toDF("id", "other").distinct(), "component-links")
-    labels = nodes.select("id").distinct().withColumn("component", F.col("id"))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
-        far = labels.select(F.col("id").alias("to"), F.col("component").alias("far"))
-        next_ = materialize(
-            spread.join(far, "to", "left").select("id", F.least("to", F.coalesce("far", "to")).alias("component"), "was"), "components"
+    rounds, larges = Rounds("components"), Rounds("components-large")
+    high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    now = rounds.next(links.select("a", "b").filter("a != b").select(high, low).distinct())
+    for k in count():
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("head")).unionByName(
+            now.select(F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("head"))
         )
-        labels = next_.select("id", "component")
-        if next_.filter("component != was").limit(1).count() == 0:
-            return labels
+        roles = ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("head").alias("head"))
+        if roles.filter("leaf > 1 or (leaf = 1 and head = 1)").limit(1).count() == 0:
+            heads = now.select("v").distinct()
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(heads.select("v", "v")), k
+        both = now.select("u", "v").union(now.select("v", "u")).toDF("n", "other")
+        least = both.groupBy("n").agg(F.min("other").alias("m")).select("n", F.least("n", "m").alias("m"))
+        large = both.filter("other > n").join(least, "n").filter("other != m").select(F.col("other").alias("u"), F.col("m").alias("v"))
+        large = larges.next(large.distinct())
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lows, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows)
+        now = rounds.next(small.distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id``, ``component``: the least id that undirected edges reach."""
+    found, _ = contracted(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 #: Rows of one level that a block of sources may fill: blocks are as many as that takes.
@@ -86,25 +117,67 @@ BLOCK_ROWS = 500_000_000
 def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id``, ``betweenness`` on the undirected view, exact.
 
-    Shortest paths are counted from all sources of a block at once, level by level, and
-    owed back the same way; every step is a join or an aggregate over tables.
+    Trees that hang on the graph are taken off leaf by leaf, and what goes through their nodes
+    follows from the sizes of their branches. Only the core, where every node has two
+    neighbours or more, is walked: shortest paths are counted from all sources of a block at
+    once, level by level, and owed back the same way; a core node weighs as much as hangs on it.
+    Every step is a join or an aggregate. Rounds of peeling are as many as the deepest tree has
+    levels.
     """
-    from weftgraph.operators.traverse import both_ways
-
-    links = materialize(both_ways(edges), "betweenness-links")
     n = nodes.count()
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) if normalized else 0.5
-    blocks = -(-n * n // block_rows) or 1
-    total = None
+    links = materialize(both_ways(edges), "betweenness-links")
+    core, hung = peeled(links)
+    # of each node the nodes in its branches, and their squares: pairs of one branch don't pass it
+    branches = hung.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below"), F.sum(F.col("size") * F.col("size")).alias("squares"))
+    whole = components(nodes, edges)
+    sizes = whole.groupBy("component").agg(F.count("*").alias("whole"))
+    rows = whole.join(sizes, "component").join(branches, "id", "left").join(hung.select("id", F.lit(True).alias("peeled")), "id", "left")
+    below, squares = (F.coalesce(c, F.lit(0)).cast("double") for c in ("below", "squares"))
+    others, rest = F.col("whole") - 1, F.col("whole") - 1 - below
+    # what is left above a peeled node is one branch more; of a core node it is walked
+    through = F.when(F.col("peeled"), others * others - squares - rest * rest).otherwise(below * below - squares + 2 * below * rest)
+    own = materialize(rows.select("id", below.alias("below"), through.alias("through")), "betweenness-trees")
+    inner = core.select(F.col("a").alias("id")).distinct().join(own.select("id", (F.col("below") + 1).alias("weight")), "id")
+    inner = materialize(inner, "betweenness-core")
+    m = inner.count()
+    blocks = -(-m * m // block_rows)
+    total = own.filter("false").select("id", F.col("through").alias("part"))
+    sums = Rounds("betweenness-sums")
     for k in range(blocks):
-        sources = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id").distinct()
-        part = _dependencies(sources, links).groupBy("id").agg(F.sum("part").alias("part"))
-        total = materialize(part if total is None else total.union(part).groupBy("id").agg(F.sum("part").alias("part")), "betweenness-sums")
-    return nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+        sources = inner.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        part = _dependencies(sources, inner, core).groupBy("id").agg(F.sum("part").alias("part"))
+        total = sums.next(total.union(part).groupBy("id").agg(F.sum("part").alias("part")))
+    both = own.join(total, "id", "left").select("id", (F.col("through") + F.coalesce("part", F.lit(0.0))).alias("b"))
+    return nodes.select("id").join(both, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
 
+def peeled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of links (both ways) when leaves are taken off again and again, and the leaves.
 
-def _dependencies(sources: DataFrame, links: DataFrame) -> DataFrame:
-    """``id``, ``part``: dependencies of the sources by joins, forward by level and back."""
+    Leaves: ``id``, ``parent`` and ``size``, the nodes of the branch that hangs on the parent by it.
+    """
+    sizes = links.select(F.col("a").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("size"))
+    left, weights = Rounds("peel-links"), Rounds("peel-sizes")
+    now, sizes, gone = links, weights.next(sizes), None
+    while True:
+        ends = now.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).filter("n = 1").select("a", "b")
+        # of two leaves that hang on each other the smaller one stays
+        twins = ends.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("twin"))
+        ends = ends.join(twins, ["a", "b"], "left").filter("twin is null or a > b").select(F.col("a").alias("id"), F.col("b").alias("parent"))
+        leaves = materialize(ends.join(sizes, "id"), "peel-leaves")
+        if leaves.limit(1).count() == 0:
+            return now, leaves if gone is None else gone
+        gone = leaves if gone is None else gone.unionByName(leaves)
+        off = leaves.select(F.col("id").alias("a"))
+        more = leaves.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("more"))
+        sizes = sizes.join(off.withColumnRenamed("a", "id"), "id", "left_anti").join(more, "id", "left")
+        sizes = weights.next(sizes.select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        now = left.next(now.join(off, "a", "left_anti").join(off.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+
+
+def _dependencies(sources: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``id``, ``part``: dependencies of the sources by joins, forward by level and back; ``weight`` counts nodes."""
     levels = [sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"))]
     while True:
         last = levels[-1]
@@ -116,16 +189,19 @@ def _dependencies(sources: DataFrame, links: DataFrame) -> DataFrame:
         if fresh.limit(1).count() == 0:
             break
         levels.append(fresh)
+    own = sources.select(F.col("id").alias("s"), F.col("weight").alias("of"))
+    weigh = nodes.select(F.col("id").alias("b"), "weight")
     owed = levels[-1].withColumn("owed", F.lit(0.0))
-    out = owed.filter("s != id").select("id", F.col("owed").alias("part"))
+    out = None
     for upper in reversed(levels[:-1]):
-        low = owed.select("s", F.col("id").alias("b"), ((F.lit(1.0) + F.col("owed")) / F.col("paths")).alias("each"))
+        low = owed.select("s", F.col("id").alias("b"), "paths", "owed").join(weigh, "b").select("s", "b", ((F.col("weight") + F.col("owed")) / F.col("paths")).alias("each"))
         up = upper.join(links, upper.id == links.a).join(low, ["s", "b"]).groupBy("s", "id").agg(F.sum("each").alias("each"))
         owed = materialize(
             upper.join(up, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("owed")), "betweenness"
         )
-        out = out.union(owed.filter("s != id").select("id", F.col("owed").alias("part")))
-    return out
+        part = owed.filter("s != id").join(own, "s").select("id", (F.col("of") * F.col("owed")).alias("part"))
+        out = part if out is None else out.union(part)
+    return levels[0].select("id", F.lit(0.0).alias("part")) if out is None else out
 
 
 def min_max(df: DataFrame, *names: str) -> DataFrame:

@@ -43,6 +43,51 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int | None, directed: bool
     return seen
 
 
+#: Levels of a recursive walk at most; deeper walks take the loop of ``k_hop``.
+RECURSIVE_LEVELS = 1_000
+
+
+def walk(edges: DataFrame, starts: DataFrame, depth: int | None, directed: bool = False) -> DataFrame:
+    """As ``k_hop``, in one plan: a recursive common table expression, a level a step.
+
+    Levels hold distinct nodes but know nothing of the levels before, so a node comes back
+    on every way that leads to it again: right for few levels, which is what ``k_hop`` pays a
+    written table each for. A closure (``depth`` None) stops at the first empty level, so it
+    needs a graph without directed cycles. Deep walks, cycles and walks that have to survive
+    lost executors level by level take ``k_hop``.
+    """
+    spark = edges.sparkSession
+    if depth is None and not directed:
+        raise ValueError("a closure of undirected edges never ends: take k_hop")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else both_ways(edges)
+    within = "" if depth is None else f"WHERE hops < {int(depth)}"
+    return spark.sql(
+        f"""WITH RECURSIVE w(start, id, hops) MAX RECURSION LEVEL {RECURSIVE_LEVELS} AS (SELECT DISTINCT id, id, 0 FROM {{starts}}
+          UNION ALL SELECT DISTINCT w.start, s.b, w.hops + 1 FROM w JOIN {{step}} s ON s.a = w.id {within})
+        SELECT start, id, min(hops) AS hops FROM w GROUP BY start, id""",
+        starts=starts,
+        step=step,
+    )
+
+
+def chains(edges: DataFrame, starts: DataFrame, relation: str = "FOLLOWED_BY") -> DataFrame:
+    """As ``workflow_chains``, in one plan, for chains of at most ``RECURSIVE_LEVELS`` steps."""
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    nexts = edges.filter(F.col("type") == relation).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst"))).alias("nexts"))
+    none = "CAST(array() AS ARRAY<STRUCT<ord: BIGINT, dst: STRING>>)"
+    return spark.sql(
+        f"""WITH RECURSIVE w(start, step, id, been, open) MAX RECURSION LEVEL {RECURSIVE_LEVELS} AS (
+          SELECT s.id, 0, s.id, array(s.id), filter(coalesce(n.nexts, {none}), x -> x.dst != s.id) FROM {{starts}} s LEFT JOIN {{nexts}} n ON n.src = s.id
+          UNION ALL SELECT w.start, w.step + 1, w.open[0].dst, array_append(w.been, w.open[0].dst),
+            filter(coalesce(n.nexts, {none}), x -> NOT array_contains(array_append(w.been, w.open[0].dst), x.dst)) FROM w LEFT JOIN {{nexts}} n ON n.src = w.open[0].dst WHERE size(w.open) > 0)
+        SELECT start, step, id, greatest(size(open) - 1, 0) AS branches FROM w""",
+        starts=starts,
+        nexts=nexts,
+    )
+
+
 def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """Edges with both ends in one start's neighbourhood."""
     s = reached.select("start", F.col("id").alias("src"))
@@ -53,30 +98,23 @@ def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 5) -> DataFrame:
     """``source``, ``target``, ``path``: all simple undirected paths of at most ``cutoff`` edges.
 
-    Paths grow from both ends and meet, so hubs are entered half as deep. ``pairs`` with
-    equal ends have none.
+    Each target's distances come first; an arm grows to a node only if the target can still be
+    reached from there with the edges that are left, so no arm is grown in vain but for
+    those that would have to cross themselves. ``pairs`` with equal ends have none.
     """
-    step = both_ways(edges)
+    step = materialize(both_ways(edges), "path-links")
     pairs = pairs.select("source", "target").filter("source != target").distinct()
-
-    def arms(side: str, depth: int) -> list[DataFrame]:
-        grown = [pairs.select(side).distinct().select(F.col(side), F.array(side).alias("arm"))]
-        for _ in range(depth):
-            last = grown[-1]
-            longer = last.join(step, F.element_at("arm", -1) == F.col("a")).filter(~F.array_contains("arm", F.col("b")))
-            grown.append(materialize(longer.select(side, F.array_append("arm", F.col("b")).alias("arm")), "paths"))
-        return grown
-
-    left = arms("source", (cutoff + 1) // 2)
-    right = arms("target", cutoff // 2)
+    away = k_hop(edges, pairs.select(F.col("target").alias("id")).distinct(), cutoff - 1)
+    away = materialize(away.select(F.col("start").alias("target"), F.col("id").alias("b"), "hops"), "path-distances")
+    arms = pairs.select("source", "target", F.array("source").alias("path"))
     found = None
     for n in range(1, cutoff + 1):
-        i, j = (n + 1) // 2, n // 2
-        ls = left[i].join(pairs, "source").select("source", "target", F.col("arm").alias("l"), F.element_at("arm", -1).alias("at"))
-        rs = right[j].select("target", F.col("arm").alias("r"), F.element_at("arm", -1).alias("at"))
-        met = ls.join(rs, ["target", "at"]).select("source", "target", F.concat("l", F.slice(F.reverse("r"), 2, 1000)).alias("path"))
-        met = met.filter(F.size("path") == F.size(F.array_distinct("path")))
+        grown = arms.join(step, F.element_at("path", -1) == F.col("a")).filter(~F.array_contains("path", F.col("b")))
+        grown = grown.join(away, ["target", "b"]).filter(F.col("hops") <= cutoff - n)
+        grown = materialize(grown.select("source", "target", F.array_append("path", F.col("b")).alias("path"), (F.col("hops") == 0).alias("there")), "paths")
+        met = grown.filter("there").drop("there")
         found = met if found is None else found.union(met)
+        arms = grown.filter("not there").drop("there")
     return found
 
 
@@ -85,10 +123,10 @@ def path_steps(paths: DataFrame, edges: DataFrame, first: int = 5) -> DataFrame:
 
     ``found`` counts all paths. Where edges go both ways, the forward one is shown.
     """
-    w = Window.partitionBy("source", "target")
-    text = F.array_join("path", ">")
-    rows = paths.withColumns({"found": F.count("*").over(w), "nth": F.row_number().over(w.orderBy(F.size("path"), text))})
-    rows = rows.filter(F.col("nth") <= first)
+    # counted apart, so that no task holds all paths of a pair to number them
+    found = paths.groupBy("source", "target").agg(F.count("*").alias("found"))
+    nth = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("path"), F.array_join("path", ">")))
+    rows = paths.withColumn("nth", nth).filter(F.col("nth") <= first).join(found, ["source", "target"])
     hop = F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(i.alias("step"), F.get("path", i).alias("a"), F.get("path", i + 1).alias("b"))))
     steps = rows.select("source", "target", "found", "nth", hop.alias("h")).select("source", "target", "found", "nth", "h.*")
     kind = edges.groupBy("src", "dst").agg(F.max_by("type", "ord").alias("type"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import graph, traverse
+from weftgraph.operators.text_index import TextIndex
 
 #: Most turns of a loop, most edges of a path, paths shown.
 MAX_TURNS, MAX_HOPS, PATHS_SHOWN = 15, 5, 5
@@ -23,6 +24,7 @@ class GraphTools:
 
     nodes: DataFrame
     edges: DataFrame
+    index: TextIndex | None = None
 
     def _ids(self, *ids: str) -> DataFrame:
         return self.nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
@@ -34,13 +36,13 @@ class GraphTools:
         return graph.find_entities(self.nodes, entity_type)
 
     def search_entities(self, keyword: str) -> DataFrame:
-        return graph.search(self.nodes, keyword)
+        return graph.search(self.nodes, keyword) if self.index is None else self.index.search(keyword)
 
     def get_entity(self, entity_id: str) -> DataFrame:
-        return graph.relations(self.nodes, self.edges, self._ids(entity_id))
+        return graph.entity_view(self.nodes, self.edges, entity_id)
 
     def get_neighbors(self, entity_id: str, depth: int = 1) -> DataFrame:
-        return traverse.k_hop(self.edges, self._ids(entity_id), depth).join(self.nodes.select("id", "type", "name"), "id")
+        return traverse.walk(self.edges, self._ids(entity_id), depth).join(self.nodes.select("id", "type", "name"), "id")
 
     def find_paths(self, source_id: str, target_id: str, max_hops: int = MAX_HOPS) -> DataFrame:
         pairs = self.nodes.sparkSession.createDataFrame([(source_id, target_id)], "source string, target string")
@@ -66,10 +68,9 @@ class GraphTools:
         return getattr(self, name)(**arguments)
 
 
-def text(rows: DataFrame, limit: int = 50) -> str:
-    """At most ``limit`` rows as lines."""
-    shown = rows.limit(limit).collect()
-    return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in shown) or "nothing found"
+def text(rows: DataFrame) -> str:
+    """All rows as lines, fetched a partition at a time: an answer leaves nothing out."""
+    return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows.toLocalIterator()) or "nothing found"
 
 
 def referenced(calls: list[tuple[str, dict]]) -> list[str]:

@@ -44,5 +44,50 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, whatever its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Rounds:
+    """The tables of a loop that needs its last one only: a new table removes the one before."""
+
+    def __init__(self, tag: str):
+        self.tag, self.path = tag, None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = new_path(spark, self.tag)
+        df.write.option("compression", "zstd").parquet(self.path)
+        if before is not None:
+            remove(spark, before)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+class Buckets:
+    """Tables bucketed by a key, so that joins and aggregates by it need no shuffle.
+
+    There are as many buckets as shuffle partitions: what a shuffle by the key gives fits them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count, self.kept = spark, shuffle_partitions(spark), []
+
+    def write(self, df: DataFrame, key: str, tag: str) -> DataFrame:
+        name = f"weftgraph_{uuid.uuid4().hex}"
+        path = new_path(self.spark, tag)
+        df.write.format("parquet").bucketBy(self.count, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.kept.append((name, path))
+        return self.spark.table(name)
+
+    def drop(self, last: int) -> None:
+        """Remove all but the ``last`` tables."""
+        gone, self.kept = self.kept[: len(self.kept) - last], self.kept[len(self.kept) - last :]
+        for name, path in gone:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
