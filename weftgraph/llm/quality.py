@@ -71,13 +71,15 @@ def powers() -> list[float]:
     return [sum(y == x for _, y, _, _ in RULES) ** -0.5 for _, x, _, _ in RULES]
 
 
-def with_metrics(docs: DataFrame) -> DataFrame:
+def with_metrics(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """``docs`` with the counts of each text in columns ``_quality_*``.
 
-    A three-word window is found again where its hash, sorted with its position in one
-    array of longs, stands beside an equal one. No text leaves its row.
+    Three-word windows that may be found again are those whose hash (``hash_bits`` of it, less
+    what the position needs), sorted with the position in one array of longs, stands beside an
+    equal one. Their words, sorted, then tell which are: hashes never decide. No text leaves
+    its row.
     """
-    c = {k: _OWN + k for k in ("t", "w", "l", "b", "h", "s", "d")}
+    c = {k: _OWN + k for k in ("t", "w", "l", "b", "h", "s", "e", "d")}
     n = {k: _OWN + k for k in (*METRICS, *_MORE)}
     none = "cast(array() as array<bigint>)"
     out = docs.withColumn(c["t"], F.expr("coalesce(text, '')"))
@@ -106,24 +108,29 @@ def with_metrics(docs: DataFrame) -> DataFrame:
             c["b"]: F.length(F.bin(F.size(c["w"]))),
         }
     )
-    w, b, h, s, d = c["w"], c["b"], c["h"], c["s"], c["d"]
+    w, b, h, s, e, d = c["w"], c["b"], c["h"], c["s"], c["e"], c["d"]
+    hashed = f"xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2))"
+    if hash_bits < 64:
+        hashed = f"({hashed} & {(1 << hash_bits) - 1}L)"
     out = out.withColumn(
         h,
         F.expr(
             f"if(size({w}) >= 3, transform(sequence(0, size({w}) - 3), i -> "
-            f"shiftleft(xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2)), {b}) | cast(i as bigint)), {none})"
+            f"shiftleft({hashed}, {b}) | cast(i as bigint)), {none})"
         ),
     )
     out = out.withColumn(s, F.sort_array(h))
     same = "coalesce(shiftrightunsigned(x, {b}) = shiftrightunsigned(get({s}, i {by} 1), {b}), false)"
     twice = " or ".join(same.format(b=b, s=s, by=by) for by in "-+")
     out = out.withColumn(
-        d,
+        e,
         F.expr(
-            f"sort_array(transform(filter({s}, (x, i) -> {twice}), "
-            f"x -> x & (shiftleft(cast(1 as bigint), {b}) - 1)))"
+            f"sort_array(transform(transform(filter({s}, (x, i) -> {twice}), x -> cast(x & (shiftleft(cast(1 as bigint), {b}) - 1) as int)), "
+            f"i -> named_struct('words', concat_ws(' ', get({w}, i), get({w}, i + 1), get({w}, i + 2)), 'at', i)))"
         ),
     )
+    again = " or ".join(f"coalesce(x.words = get({e}, i {by} 1).words, false)" for by in "-+")
+    out = out.withColumn(d, F.expr(f"sort_array(transform(filter({e}, (x, i) -> {again}), x -> cast(x.at as bigint)))"))
     out = out.withColumn(
         n["n_repeat_words"],
         F.expr(

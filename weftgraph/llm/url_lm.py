@@ -90,16 +90,15 @@ def log_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def url_scores(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``key``, ``score``, ``held_out`` and ``says`` of each distinct URL, in the shared folder."""
+    """``url``, ``score``, ``held_out`` and ``says`` of each distinct URL, in the shared folder."""
     url = F.coalesce(F.col("url"), F.lit(""))
     urls = pages.select(url.alias("url")).distinct()
     host, path = parse(F.col("url"))
     _, says = ruled(host, path, rules)
     checksum = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long")
-    urls = urls.select(
-        F.xxhash64("url").alias("key"), "url", says.alias("says"), (checksum % HOLD_OUT == 0).alias("held_out")
-    )
-    urls = materialize(urls, "urls")
+    # numbers stand for URLs while their grams travel; written with them, so no two share one
+    urls = urls.select("url", says.alias("says"), (checksum % HOLD_OUT == 0).alias("held_out"))
+    urls = materialize(urls.withColumn("key", F.monotonically_increasing_id()), "urls")
     grams = _grams(urls)
     train = grams.filter("says is not null and not held_out")
     counts = materialize(
@@ -107,7 +106,7 @@ def url_scores(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     ratios = materialize(log_ratios(grams, counts), "url-ratios")
     scored = grams.join(ratios, "g").groupBy("key").agg(F.avg("ratio").alias("score"))
-    return materialize(urls.drop("url").join(scored, "key"), "url-scores")
+    return materialize(urls.join(scored, "key").drop("key"), "url-scores")
 
 
 def threshold(scores: DataFrame) -> float:
@@ -132,13 +131,11 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     scores = url_scores(pages, rules)
     at = threshold(scores)
     host, path = parse(F.col("url"))
-    out = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    known = F.coalesce(F.col("url"), F.lit(""))
+    out = pages.select("page_id", known.alias("url"), host.alias("host"), path.alias("path"))
     rule, says = ruled(F.col("host"), F.col("path"), rules)
-    out = out.select(
-        "page_id", "host", "path", rule.alias("rule"), says.alias("says"),
-        F.xxhash64(F.coalesce(F.col("url"), F.lit(""))).alias("key"),
-    )
+    out = out.select("page_id", "url", "host", "path", rule.alias("rule"), says.alias("says"))
     method = F.when(F.col("score") >= at, "allow").otherwise("block")
-    return out.join(scores.select("key", "score"), "key", "left").select(
+    return out.join(scores.select("url", "score"), "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "score"
     )
