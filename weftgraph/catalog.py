@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions import registry
 from weftgraph.functions import text as txt
 from weftgraph.operators import graph, metrics, reports, resolve, traverse, validate
-from weftgraph.plans import prompts
+from weftgraph.operators.text_index import TextIndex
+from weftgraph.plans import prompts, table_functions
 from weftgraph.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,10 +48,10 @@ _EDGES = f"""edges AS (
  UNION ALL SELECT {5 * STRIDE} + l_orderkey * 10 + l_linenumber, 'O:' || l_orderkey, 'S:' || l_suppkey, 'FULFILLED_BY', l_linestatus FROM lineitem)"""
 _GRAPH = f"WITH RECURSIVE {_NODES}, {_EDGES}"
 _WHOLE = f"{_GRAPH}, tn AS (SELECT * FROM nodes), te AS (SELECT * FROM edges)"
-#: The part of the graph for all simple paths and betweenness, which no large graph can have.
+#: The part of the graph for betweenness: places and who is there.
 _PLACE = f"""{_GRAPH}, tn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier', 'Customer')),
  te AS (SELECT * FROM edges WHERE type IN ('PART_OF', 'LOCATED_IN')),
- pn AS (SELECT * FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')), pe AS (SELECT * FROM edges WHERE type = 'PART_OF' OR src LIKE 'S:%')"""
+ pn AS (SELECT * FROM tn), pe AS (SELECT * FROM te)"""
 _MENTIONS = """WITH m AS (SELECT event_id AS ord, 'U:' || user_id AS id, event_type AS type, 'user ' || user_id AS name, props AS description,
   strftime(ts, '%Y-%m-%d') AS section, json_extract_string(props, '$.k') AS k,
   CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events)"""
@@ -127,6 +128,28 @@ def autocomplete(spark, d):
     return graph.autocomplete(tables.nodes(spark, d), TYPED)
 
 
+@query("search_indexed", f"{_GRAPH} SELECT id, type, name, description FROM nodes WHERE contains({_HAY}, 'urgent')")
+def search_indexed(spark, d):
+    return TextIndex.build(tables.nodes(spark, d)).search("Urgent")
+
+
+@query("search_short", f"{_GRAPH} SELECT id, type, name, description FROM nodes WHERE contains({_HAY}, ':7')")
+def search_short(spark, d):
+    return TextIndex.build(tables.nodes(spark, d)).search(":7")
+
+
+@query("search_percent", f"{_GRAPH} SELECT id, type, name, description || ' 7%_' AS description FROM nodes WHERE ord % 7 = 0 AND contains(lower(concat_ws(' ', id, name, description || ' 7%_', type)), 'low 7%')")
+def search_percent(spark, d):
+    marked = F.when(F.col("ord") % 7 == 0, F.concat("description", F.lit(" 7%_"))).otherwise(F.col("description"))
+    n = tables.nodes(spark, d).withColumns({"description": marked, "attrs": F.expr("cast(map() as map<string, string>)")})
+    return TextIndex.build(n).search("LOW 7%")
+
+
+@query("autocomplete_indexed", f"{_GRAPH} SELECT id, name FROM nodes WHERE contains(lower(name), '{TYPED}') ORDER BY ord LIMIT 8")
+def autocomplete_indexed(spark, d):
+    return TextIndex.build(tables.nodes(spark, d)).autocomplete(TYPED)
+
+
 @query(
     "entity_detail",
     f"""{_GRAPH}, x AS (SELECT src AS id, 'out' AS direction, type AS relation, dst AS other FROM edges WHERE src IN ('N:3', 'S:5')
@@ -543,6 +566,25 @@ def khop_neighbors(spark, d):
     return traverse.k_hop(tables.edges(spark, d), _ids(spark, "R:0", "S:5"), 2)
 
 
+@query(
+    "walk_neighbors",
+    f"""{_WHOLE}, {_BOTH}, w AS (SELECT id AS start, id, 0 AS hops FROM (VALUES ('R:0'), ('S:5')) AS t(id)
+      UNION SELECT start, b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 2) SELECT start, id, min(hops) AS hops FROM w GROUP BY start, id""",
+)
+def walk_neighbors(spark, d):
+    return traverse.walk(tables.edges(spark, d), _ids(spark, "R:0", "S:5"), 2)
+
+
+@query(
+    "walk_subtrees",
+    f"""{_WHOLE}, w AS (SELECT id AS start, id, 0 AS hops FROM (VALUES ('R:1'), ('N:3')) AS t(id) UNION SELECT start, src, hops + 1 FROM w JOIN te ON dst = id)
+    SELECT start, id, min(hops) AS hops FROM w GROUP BY start, id""",
+)
+def walk_subtrees(spark, d):
+    down = tables.edges(spark, d).select("ord", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return traverse.walk(down, _ids(spark, "R:1", "N:3"), None, directed=True)
+
+
 @query(
     "khop_edges",
     f"""{_WHOLE}, {_BOTH}, w AS (SELECT 'R:0' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 1)
@@ -594,15 +636,35 @@ def workflow_chain(spark, d):
     return traverse.workflow_chains(known, n.filter(F.endswith("id", F.lit("/0"))).select("id"))
 
 
-_PAIRS = "pairs(source, target) AS (VALUES ('S:1', 'S:2'), ('R:0', 'S:3'), ('S:4', 'C:10'))"
-_PATHS = f"""{_PLACE}, {_BOTH}, {_PAIRS}, w AS (SELECT source, target, source AS here, [source] AS path FROM pairs
-  UNION ALL SELECT source, target, b, list_append(path, b) FROM w JOIN both_ways ON a = here WHERE here <> target AND len(path) <= 5 AND NOT list_contains(path, b)),
+# a second turn after every other one is a branch that isn't taken, as it comes later
+@query(
+    "walk_chains",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), w AS (SELECT conv_id, 0 AS turn, 0 AS step FROM (SELECT DISTINCT conv_id FROM t WHERE turn = 0)
+      UNION ALL SELECT w.conv_id, w.turn + 1, step + 1 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn + 1)
+    SELECT w.conv_id || '/0' AS start, step, w.conv_id || '/' || w.turn AS id, (w.turn % 2 = 0 AND w.turn + 2 <= last)::INT AS branches FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn""",
+)
+def walk_chains(spark, d):
+    n, e = tables.turns(spark, d)
+    turn = F.element_at(F.split("src", "/"), -1).cast("int")
+    later = F.concat_ws("/", F.element_at(F.split("src", "/"), 1), (turn + 2).cast("string"))
+    more = e.filter(turn % 2 == 0).select((F.col("ord") + (1 << 60)).alias("ord"), "src", later.alias("dst"), "type", "description")
+    return traverse.chains(graph.known_edges(e.unionByName(more), n), n.filter(F.endswith("id", F.lit("/0"))).select("id"))
+
+
+#: The first and the last customer of three nations; the distances of each target prune what can't arrive.
+_PATHS = f"""{_WHOLE}, {_BOTH}, pairs AS (SELECT 'C:' || min(c_custkey) AS source, 'C:' || max(c_custkey) AS target FROM customer WHERE c_nationkey < 3 GROUP BY c_nationkey HAVING min(c_custkey) < max(c_custkey)),
+  back AS (SELECT DISTINCT target, target AS id, 0 AS hops FROM pairs UNION SELECT target, b, hops + 1 FROM back JOIN both_ways ON a = id WHERE hops < 4),
+  away AS MATERIALIZED (SELECT target, id, min(hops) AS hops FROM back GROUP BY target, id),
+  w AS (SELECT source, target, source AS here, [source] AS path FROM pairs
+  UNION ALL SELECT source, w.target, b, list_append(path, b) FROM w JOIN both_ways ON a = here JOIN away ON away.target = w.target AND away.id = b
+    WHERE here <> w.target AND len(path) + away.hops <= 5 AND NOT list_contains(path, b)),
   paths AS (SELECT source, target, path FROM w WHERE here = target AND len(path) > 1)"""
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([("S:1", "S:2"), ("R:0", "S:3"), ("S:4", "C:10")], "source string, target string")
-    return traverse.simple_paths(tables.trade_edges(spark, d), pairs)
+    c = tables.table(spark, d, "customer").filter("c_nationkey < 3").groupBy("c_nationkey").agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b")).filter("a < b")
+    pairs = c.select(*(F.concat(F.lit("C:"), F.col(x).cast("string")).alias(n) for n, x in (("source", "a"), ("target", "b"))))
+    return traverse.simple_paths(tables.edges(spark, d), pairs)
 
 
 @query("simple_paths", f"{_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM paths")
@@ -620,7 +682,7 @@ _STEPS = f"""{_PATHS}, n AS (SELECT *, count(*) OVER (PARTITION BY source, targe
 
 @query("path_steps", f"{_STEPS} SELECT source, target, found, nth, CAST(step AS INT) AS step, a, b, type, direction FROM st")
 def path_steps(spark, d):
-    return traverse.path_steps(_paths(spark, d), tables.trade_edges(spark, d))
+    return traverse.path_steps(_paths(spark, d), tables.edges(spark, d))
 
 
 @query(
@@ -629,8 +691,7 @@ def path_steps(spark, d):
     UNION SELECT source, target, 'node', unnest([a, b]) FROM st""",
 )
 def path_highlight(spark, d):
-    e = tables.trade_edges(spark, d)
-    return traverse.path_highlight(traverse.path_steps(_paths(spark, d), e))
+    return traverse.path_highlight(traverse.path_steps(_paths(spark, d), tables.edges(spark, d)))
 
 
 _HIDDEN = f"""{_WHOLE}, w AS (SELECT id AS root, id FROM (VALUES ('R:1'), ('N:3')) AS t(id) UNION SELECT root, src FROM w JOIN te ON dst = id)"""
@@ -657,9 +718,91 @@ def neighbor_highlight(spark, d):
     return traverse.neighbour_highlight(tables.edges(spark, d), _ids(spark, "N:3"))
 
 
+# --- tools in SQL ------------------------------------------------------------------
+
+
+def _asked(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    table_functions.register(spark, tables.nodes(spark, d), tables.edges(spark, d))
+    return spark.sql(sql)
+
+
+@query(
+    "sql_tool_lists",
+    f"""{_GRAPH} SELECT 'types' AS tool, type AS a, count(*)::VARCHAR AS b FROM nodes GROUP BY type UNION ALL SELECT 'find', id, name FROM nodes WHERE type = 'Supplier'
+    UNION ALL SELECT 'search', id, type FROM nodes WHERE contains({_HAY}, 'o:12') UNION ALL SELECT 'attribute', id, segment FROM nodes WHERE contains(lower(segment), '{SEGMENT}')
+    UNION ALL SELECT 'summary entity', type, count(*)::VARCHAR FROM nodes GROUP BY ROLLUP (type) UNION ALL SELECT 'summary relationship', type, count(*)::VARCHAR FROM edges GROUP BY ROLLUP (type)""",
+)
+def sql_tool_lists(spark, d):
+    return _asked(
+        spark, d,
+        f"""SELECT 'types' AS tool, type AS a, CAST(n AS STRING) AS b FROM list_entity_types() UNION ALL SELECT 'find', id, name FROM find_entities('supplier')
+        UNION ALL SELECT 'search', id, type FROM search_entities('O:12') UNION ALL SELECT 'attribute', id, value FROM find_by_attribute('segment', '{SEGMENT.upper()}')
+        UNION ALL SELECT concat('summary ', what), type, CAST(n AS STRING) FROM get_graph_summary()""",
+    )
+
+
+@query(
+    "sql_tool_entity",
+    f"""{_GRAPH}, x AS (SELECT src AS id, 'out' AS part, type AS key, dst AS other, description FROM edges WHERE src IN ('S:5', 'O:1') UNION ALL SELECT dst, 'in', type, src, description FROM edges WHERE dst IN ('S:5', 'O:1')),
+    own AS (SELECT * FROM nodes WHERE id IN ('S:5', 'O:1'))
+    SELECT x.id, part, key, coalesce(n.name, other) AS value, other, n.type AS other_type, x.description FROM x JOIN own ON own.id = x.id LEFT JOIN nodes n ON n.id = other
+    UNION ALL SELECT id, 'entity', unnest(['type', 'name', 'description']), unnest([type, name, description]), NULL, NULL, NULL FROM own
+    UNION ALL SELECT id, 'attribute', key, value, NULL, NULL, NULL FROM ({_UNPIVOT}) WHERE id IN (SELECT id FROM own)""",
+)
+def sql_tool_entity(spark, d):
+    return _asked(spark, d, "SELECT * FROM get_entity('S:5') UNION ALL SELECT * FROM get_entity('O:1') UNION ALL SELECT * FROM get_entity('gone')")
+
+
+@query(
+    "sql_tool_neighbors",
+    f"""{_WHOLE}, {_BOTH}, w AS (SELECT 'R:0' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN both_ways ON a = id WHERE hops < 2)
+    SELECT 'R:0' AS start, w.id, min(hops) AS hops, any_value(n.type) AS type, any_value(n.name) AS name FROM w JOIN nodes n ON n.id = w.id GROUP BY w.id""",
+)
+def sql_tool_neighbors(spark, d):
+    return _asked(spark, d, "SELECT * FROM get_neighbors('R:0', 2) UNION ALL SELECT * FROM get_neighbors('gone', 3)")
+
+
+@query(
+    "sql_tool_workflow",
+    """WITH t AS (SELECT *, conv_id || '/' || turn AS id FROM conversations WHERE conv_id IN (SELECT min(conv_id) FROM conversations))
+    SELECT conv_id || '/0' AS start, id, turn::INT AS step, 0 AS branches, upper(role[1]) || role[2:] AS type, role AS name FROM t""",
+)
+def sql_tool_workflow(spark, d):
+    n, e = tables.turns(spark, d)
+    table_functions.register(spark, n, graph.known_edges(e, n), "talk")
+    first = tables.table(spark, d, "conversations").agg(F.min("conv_id")).first()[0]
+    return spark.sql(f"SELECT * FROM traverse_workflow('{first}/0')")
+
+
+_RING = "SELECT n_nationkey::BIGINT AS ord, 'N:' || n_nationkey AS src, 'N:' || (n_nationkey + 1) % (SELECT count(*) FROM nation) AS dst, 'NEXT_TO' AS type, '' AS description FROM nation"
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    """Places and who is there, and nations in a ring."""
+    n = tables.table(spark, d, "nation")
+    beside = F.concat(F.lit("N:"), F.pmod(F.col("n_nationkey") + 1, F.lit(n.count())).cast("string"))
+    ring = n.select(F.col("n_nationkey").cast("long").alias("ord"), F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("src"), beside.alias("dst"), F.lit("NEXT_TO").alias("type"), F.lit("").alias("description"))
+    return tables.trade_edges(spark, d).unionByName(ring)
+
+
+@query(
+    "sql_tool_paths",
+    f"""{_PLACE}, l AS ({_RING} UNION ALL SELECT * FROM te), both_ways AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM l UNION ALL SELECT dst, src FROM l)),
+    w AS (SELECT 'N:0' AS here, ['N:0'] AS path UNION ALL SELECT b, list_append(path, b) FROM w JOIN both_ways ON a = here WHERE here <> 'N:9' AND len(path) <= 5 AND NOT list_contains(path, b)),
+    n AS (SELECT path, count(*) OVER () AS found, row_number() OVER (ORDER BY len(path), array_to_string(path, '>')) AS nth FROM w WHERE here = 'N:9'),
+    h AS (SELECT found, nth, step, path[step + 1] AS a, path[step + 2] AS b FROM (SELECT *, unnest(range(len(path) - 1)) AS step FROM n WHERE nth <= 5)),
+    k AS (SELECT src, dst, arg_max(type, ord) AS type FROM l GROUP BY src, dst)
+    SELECT 'N:0' AS source, 'N:9' AS target, found, nth, step::INT AS step, a, b, coalesce(f.type, r.type) AS type, CASE WHEN f.type IS NOT NULL THEN 'forward' ELSE 'backward' END AS direction
+    FROM h LEFT JOIN k f ON f.src = a AND f.dst = b LEFT JOIN k r ON r.src = b AND r.dst = a""",
+)
+def sql_tool_paths(spark, d):
+    table_functions.register(spark, tables.trade_nodes(spark, d), _rings(spark, d), "ring")
+    return spark.sql("SELECT * FROM find_paths('N:0', 'N:9')")
+
+
 # --- metrics -----------------------------------------------------------------------
 
-_DEGREE = "deg AS (SELECT n.id, count(e.x) AS degree FROM {n} n LEFT JOIN (SELECT src AS x FROM {e} UNION ALL SELECT dst FROM {e}) e ON e.x = n.id GROUP BY n.id)"
+_DEGREE = "deg AS MATERIALIZED (SELECT n.id, count(e.x) AS degree FROM {n} n LEFT JOIN (SELECT src AS x FROM {e} UNION ALL SELECT dst FROM {e}) e ON e.x = n.id GROUP BY n.id)"
 
 
 @query("degree", f"{_GRAPH}, {_DEGREE.format(n='nodes', e='edges')} SELECT * FROM deg")
@@ -682,6 +825,33 @@ def components(spark, d):
     return metrics.components(tables.nodes(spark, d), tables.edges(spark, d))
 
 
+# without orders every region is a tree of its own
+_REGIONS = """home AS (SELECT 'N:' || n_nationkey AS hn, 'R:' || n_regionkey AS hr FROM nation),
+  comp AS (SELECT id, min(id) OVER (PARTITION BY hr) AS component FROM (SELECT id, hr FROM tn JOIN home ON hn = id UNION ALL SELECT id, id FROM tn WHERE type = 'Region'
+    UNION ALL SELECT tn.id, hr FROM tn JOIN te ON te.src = tn.id AND te.type = 'LOCATED_IN' JOIN home ON hn = te.dst))"""
+
+
+@query("components_regions", f"{_PLACE}, {_REGIONS} SELECT id, component FROM comp")
+def components_regions(spark, d):
+    return metrics.components(tables.trade_nodes(spark, d), tables.trade_edges(spark, d))
+
+
+@query(
+    "clusters_regions",
+    f"""{_PLACE}, {_REGIONS}, r AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY ord) AS nth FROM comp JOIN tn USING (id))
+    SELECT component, count(*) AS size, string_agg(name, ', ' ORDER BY nth) FILTER (nth <= 5) AS names FROM r GROUP BY component""",
+)
+def clusters_regions(spark, d):
+    n = tables.trade_nodes(spark, d)
+    return metrics.clusters(n, metrics.components(n, tables.trade_edges(spark, d)))
+
+
+@query("components_talks", "SELECT conv_id || '/' || turn AS id, min(conv_id || '/' || turn) OVER (PARTITION BY conv_id) AS component FROM conversations")
+def components_talks(spark, d):
+    n, e = tables.turns(spark, d)
+    return metrics.components(n, graph.known_edges(e, n))
+
+
 @query(
     "clusters",
     f"""{_WHOLE}, {_COMPONENTS}, r AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY ord) AS nth FROM comp JOIN tn USING (id))
@@ -735,7 +905,7 @@ def pagerank(spark, d):
 
 
 # in a forest every pair of nodes of a tree has one path: a node lies between the pairs of its branches
-_BETWEEN = f"""{_PLACE}, nat AS (SELECT n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation),
+_BETWEEN = f"""{_PLACE}, nat AS (SELECT n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS s FROM nation),
   reg AS (SELECT r, sum(s + 1) AS below, sum((s + 1) * (s + 1)) AS squares FROM nat GROUP BY r), c AS (SELECT count(*)::DOUBLE AS n FROM pn),
   raw AS (SELECT 'R:' || r AS id, (below * below - squares)::DOUBLE AS b FROM reg
     UNION ALL SELECT 'N:' || k, (s * (s - 1) + 2 * s * (below - s))::DOUBLE FROM nat JOIN reg USING (r)),
@@ -744,7 +914,25 @@ _BETWEEN = f"""{_PLACE}, nat AS (SELECT n_nationkey AS k, n_regionkey AS r, (SEL
 
 @query("betweenness", f"{_BETWEEN} SELECT id, round(betweenness, 8) AS betweenness FROM btw")
 def betweenness(spark, d):
-    return metrics.betweenness(tables.place_nodes(spark, d), tables.place_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
+    return metrics.betweenness(tables.trade_nodes(spark, d), tables.trade_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
+
+
+# nations in a ring and regions are the core, walked pair by pair; whoever is in a nation hangs on it
+@query(
+    "betweenness_rings",
+    f"""{_PLACE}, l AS (SELECT src AS a, dst AS b FROM ({_RING} UNION ALL SELECT * FROM te WHERE type = 'PART_OF')), both_ways AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) WHERE a <> b),
+    core AS (SELECT n.id, (SELECT count(*) FROM te WHERE dst = n.id AND type = 'LOCATED_IN')::DOUBLE AS below FROM tn n WHERE type IN ('Region', 'Nation')),
+    r AS (SELECT id AS s, id, 0 AS hops FROM core UNION SELECT s, b, hops + 1 FROM r JOIN both_ways ON a = id WHERE hops < 12), d AS MATERIALIZED (SELECT s, id, min(hops) AS hops FROM r GROUP BY s, id),
+    p AS (SELECT id AS s, id, 0 AS hops FROM core UNION ALL SELECT p.s, b, p.hops + 1 FROM p JOIN both_ways ON a = p.id JOIN d ON d.s = p.s AND d.id = b AND d.hops = p.hops + 1),
+    g AS MATERIALIZED (SELECT p.s, p.id, any_value(p.hops) AS hops, count(*)::DOUBLE AS paths FROM p GROUP BY p.s, p.id),
+    walked AS (SELECT v.id, sum((1 + cs.below) * (1 + ct.below) * sv.paths * vt.paths / st.paths) AS b FROM core v JOIN g sv ON sv.id = v.id JOIN g vt ON vt.s = v.id JOIN g st ON st.s = sv.s AND st.id = vt.id AND st.hops = sv.hops + vt.hops
+      JOIN core cs ON cs.id = sv.s JOIN core ct ON ct.id = vt.id WHERE sv.s <> v.id AND vt.id <> v.id AND sv.s <> vt.id GROUP BY v.id),
+    c AS (SELECT count(*)::DOUBLE AS n FROM tn)
+    SELECT tn.id, round((coalesce(w.b, 0) + coalesce(below * below - below + 2 * below * ((SELECT n FROM c) - 1 - below), 0)) / (((SELECT n FROM c) - 1) * ((SELECT n FROM c) - 2)), 8) AS betweenness
+    FROM tn LEFT JOIN core ON core.id = tn.id LEFT JOIN walked w ON w.id = tn.id""",
+)
+def betweenness_rings(spark, d):
+    return metrics.betweenness(tables.trade_nodes(spark, d), _rings(spark, d)).withColumn("betweenness", F.round("betweenness", 8))
 
 
 def _scaled(of: str, table: str) -> str:
@@ -759,7 +947,7 @@ _IMPORTANCE = f"""{_BETWEEN}, {_rank_sql(12, "pn", "pe")}, {_DEGREE.format(n='pn
 
 @query("importance", f"{_IMPORTANCE} SELECT id, round(b, 4) AS betweenness, round(p, 4) AS pagerank, round(d, 4) AS degree, round(0.40::DOUBLE * b + 0.35::DOUBLE * p + 0.25::DOUBLE * d, 4) AS importance FROM imp")
 def importance(spark, d):
-    return metrics.importance(tables.place_nodes(spark, d), tables.place_edges(spark, d), 12, None)
+    return metrics.importance(tables.trade_nodes(spark, d), tables.trade_edges(spark, d), 12, None)
 
 
 @query(
@@ -786,7 +974,7 @@ def edge_weights(spark, d):
     FROM pn JOIN imp USING (id) JOIN deg USING (id)""",
 )
 def graph_view(spark, d):
-    n, e = tables.place_nodes(spark, d), tables.place_edges(spark, d)
+    n, e = tables.trade_nodes(spark, d), tables.trade_edges(spark, d)
     scores = metrics.importance(n, e, 12, None).select("id", "importance", "betweenness", "pagerank")
     return n.join(metrics.degrees(n, e), "id").join(scores, "id").select("id", "type", "name", "degree", "importance", "betweenness", "pagerank")
 

@@ -72,34 +72,72 @@ def mojibake_patterns(spark, d):
 
 # --- layout --------------------------------------------------------------------------
 
-#: Lines of a page, the sizes of first lines and of others.
+#: Lines of a page.
 _PAGE = 40
-_LINES = f"""l AS (SELECT doc_id::VARCHAR AS doc_id, i // {_PAGE} AS page, i % {_PAGE} AS line, i, trim(x) AS text, CASE WHEN i = 0 THEN 18.0 ELSE 10.0 END AS size
-  FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"""
+#: What a line is made of: its kind follows from its number and its document's, and so does what operators should say of it.
+_KINDS = """lines AS (SELECT doc_id::VARCHAR AS doc_id, unnest(range(len(p) + 1)) AS i, unnest(list_append(p, NULL)) AS x, doc_id AS own, len(p) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+  words AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(coalesce(x, repeat('the end ', 60))), '[^a-z]+', ' ', 'g')), ''), 'nothing') || ' and more words of the line' AS t,
+    CASE WHEN x IS NULL THEN 'body' WHEN i = 0 THEN 'title' WHEN i % 40 = 39 THEN 'number' ELSE ['leader', 'bullet', 'dash', 'capitals', 'bold', 'clause', 'letter', 'body', 'body', 'term'][(i + own) % 10 + 1] END AS kind FROM lines),
+  l AS (SELECT doc_id, i, i // 40 AS page, i % 40 AS line, kind, t, trim(substr(t, 1, 30)) AS short, CASE kind WHEN 'title' THEN 18.0 ELSE 10.0 END AS size,
+    kind IN ('title', 'capitals', 'bold', 'clause') AS is_bold, CASE kind WHEN 'letter' THEN 80.0 ELSE 50.0 END AS x,
+    CASE kind WHEN 'title' THEN trim(substr(t, 1, 30)) WHEN 'number' THEN (i // 40 + 1)::VARCHAR WHEN 'leader' THEN t || ' ...... ' || (i + 1) WHEN 'bullet' THEN '• ' || t WHEN 'dash' THEN '– ' || t
+      WHEN 'capitals' THEN '1.' || upper(trim(substr(t, 1, 30))) WHEN 'bold' THEN trim(substr(t, 1, 30)) WHEN 'clause' THEN '2.' || (i + 1) || ' ' || trim(substr(t, 1, 30)) WHEN 'letter' THEN 'b) ' || t WHEN 'term' THEN 'term: ' || t ELSE t END AS text FROM words)"""
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents as spans: the first word of each stands alone, the first line is large and bold."""
-    rows = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
-    word = F.substring_index(F.trim("t"), " ", 1)
-    rest = F.substring(F.trim("t"), F.length(word) + 1, F.length("t"))
-    parts = rows.select("doc_id", "i", F.posexplode(F.array(word, rest)).alias("span", "text"))
+    """Lines of documents, made into every kind that a page has, as spans.
+
+    A bullet's first word is bold and its text goes on in plain spans; a term is bold up to its colon.
+    """
+    lines = F.split("text", "\n")
+    rows = _docs(spark, d).select("doc_id", F.posexplode(F.concat(lines, F.array(F.lit(None).cast("string")))).alias("i", "x"))
+    letters = F.trim(F.regexp_replace(F.lower(F.coalesce("x", F.repeat(F.lit("the end "), 60))), "[^a-z]+", " "))
+    t = F.concat(F.coalesce(F.nullif(letters, F.lit("")), F.lit("nothing")), F.lit(" and more words of the line"))
+    names = F.array(*map(F.lit, ("leader", "bullet", "dash", "capitals", "bold", "clause", "letter", "body", "body", "term")))
+    kind = F.when(F.col("x").isNull(), "body").when(F.col("i") == 0, "title").when(F.col("i") % _PAGE == _PAGE - 1, "number").otherwise(F.get(names, ((F.col("i") + F.col("doc_id")) % 10).cast("int")))
+    rows = rows.select("doc_id", "i", kind.alias("kind"), t.alias("t"))
+    short, number = F.trim(F.substring("t", 1, 30)), (F.col("i") + 1).cast("string")
+    word = F.substring_index("t", " ", 1)
+    rest = F.substring(F.col("t"), F.length(word) + 1, F.length("t"))
+    plain, bold = F.lit(False), F.lit(True)
+
+    def made(*parts) -> F.Column:
+        """Spans of text, boldness and the gap before them."""
+        return F.array(*(F.struct(x.alias("text"), b.alias("is_bold"), F.lit(gap).alias("gap")) for x, b, gap in parts))
+
+    parts = (
+        F.when(F.col("kind") == "title", made((short, bold, 0.0)))
+        .when(F.col("kind") == "number", made((F.floor(F.col("i") / _PAGE + 1).cast("string"), plain, 0.0)))
+        .when(F.col("kind") == "leader", made((F.concat("t", F.lit(" ...... "), number), plain, 0.0)))
+        .when(F.col("kind") == "bullet", made((F.lit("• "), plain, 0.0), (word, bold, 0.0), (F.lit(" "), bold, 0.0), (F.ltrim(rest), plain, 0.0)))
+        .when(F.col("kind") == "dash", made((F.lit("–"), plain, 0.0), (F.col("t"), plain, 5.0)))
+        .when(F.col("kind") == "capitals", made((F.concat(F.lit("1."), F.upper(short)), bold, 0.0)))
+        .when(F.col("kind") == "bold", made((short, bold, 0.0)))
+        .when(F.col("kind") == "clause", made((F.concat(F.lit("2."), number, F.lit(" "), short), bold, 0.0)))
+        .when(F.col("kind") == "letter", made((F.concat(F.lit("b) "), "t"), plain, 0.0)))
+        .when(F.col("kind") == "term", made((F.lit("term:"), bold, 0.0), (F.concat(F.lit(" "), "t"), plain, 0.0)))
+        .otherwise(made((F.col("t"), plain, 0.0)))
+    )
+    spans = rows.select("doc_id", "i", "kind", F.posexplode(parts).alias("span", "s"))
     line = F.col("i") % _PAGE
-    return parts.select(
-        "doc_id", F.floor(F.col("i") / _PAGE).cast("int").alias("page"), line.cast("int").alias("line"), "span", "text",
-        F.when(F.col("i") == 0, 18.0).otherwise(10.0).alias("font_size"), (F.col("i") == 0).alias("is_bold"), (50.0 + 20.0 * F.col("span")).alias("x0"),
-        (100.0 + 12 * line).alias("y0"), (70.0 + 20.0 * F.col("span")).alias("x1"), (110.0 + 12 * line).alias("y1"), F.lit(800.0).alias("page_height"), F.col("i").alias("ord"),
+    left = F.when(F.col("kind") == "letter", 80.0).otherwise(50.0) + 20.0 * F.col("span") + F.col("s.gap")
+    top = F.when(F.col("kind") == "number", 780.0).otherwise(100.0 + 12 * line)
+    return spans.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.floor(F.col("i") / _PAGE).cast("int").alias("page"), line.cast("int").alias("line"), "span", "s.text",
+        F.when(F.col("kind") == "title", 18.0).otherwise(10.0).alias("font_size"), "s.is_bold", left.alias("x0"), top.alias("y0"), (left - F.col("s.gap") + 20.0).alias("x1"), (top + 10).alias("y1"),
+        F.lit(800.0).alias("page_height"), F.col("i").alias("ord"),
     )
 
 
-@query("layout_lines", f"WITH {_LINES} SELECT doc_id, page::INT AS page, line::INT AS line, text, (CASE WHEN text = '' THEN 0.0 ELSE size END)::DOUBLE AS size, i = 0 AND text <> '' AS is_bold FROM l")
+@query("layout_lines", f"WITH {_KINDS} SELECT doc_id, page::INT AS page, line::INT AS line, text, size::DOUBLE AS size, is_bold, kind = 'term' AS definition FROM l")
 def layout_lines(spark, d):
-    return layout.lines(_spans(spark, d)).select("doc_id", "page", "line", "text", "size", "is_bold")
+    return layout.lines(_spans(spark, d)).select("doc_id", "page", "line", "text", "size", "is_bold", "definition")
 
 
-_KEPT = f"""{_LINES}, pages AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id),
-  often AS (SELECT l.doc_id, text FROM l JOIN pages USING (doc_id) WHERE text <> '' AND length(text) < 120 GROUP BY l.doc_id, text, pages HAVING pages >= 3 AND count(DISTINCT page) >= 0.5 * pages),
-  k AS (SELECT * FROM l WHERE text <> '' AND NOT regexp_matches(text, '^.+?\\.{{4,}}\\s*\\d+\\s*$') AND (doc_id, text) NOT IN (SELECT doc_id, text FROM often))"""
+# lines that half of three pages or more have alike go; numbers and leaders go as what they are
+_KEPT = f"""{_KINDS}, pages AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id),
+  often AS (SELECT l.doc_id, text FROM l JOIN pages USING (doc_id) WHERE length(text) < 120 GROUP BY l.doc_id, text, pages HAVING pages >= 3 AND count(DISTINCT page) >= 0.5 * pages),
+  k AS (SELECT * FROM l WHERE kind NOT IN ('leader', 'number') AND (doc_id, text) NOT IN (SELECT doc_id, text FROM often))"""
 
 
 @query("layout_kept", f"WITH {_KEPT} SELECT doc_id, page::INT AS page, line::INT AS line, text FROM k")
@@ -107,40 +145,48 @@ def layout_kept(spark, d):
     return layout.without_noise(layout.lines(_spans(spark, d))).select("doc_id", "page", "line", "text")
 
 
-@query(
-    "layout_style",
-    f"""WITH {_KEPT}, s AS (SELECT doc_id, size, sum(length(trim(text)) - (contains(text, ' '))::INT) AS n, min(i) AS first FROM k GROUP BY doc_id, size)
-    SELECT doc_id, arg_max(size, struct_pack(a := n, b := -first)) AS body, coalesce((SELECT 51.0 FROM k k2 WHERE k2.doc_id = s.doc_id AND length(text) > 20 LIMIT 1), 50.0) AS margin FROM s GROUP BY doc_id""",
-)
+@query("layout_style", "SELECT doc_id::VARCHAR AS doc_id, 10.0 AS body, 51.0 AS margin FROM documents")
 def layout_style(spark, d):
     spans = _spans(spark, d)
     kept = layout.without_noise(layout.lines(spans))
     return layout.page_style(kept, spans).select("doc_id", F.col("body").cast("decimal(3,1)").alias("body"), F.col("margin").cast("decimal(3,1)").alias("margin"))
 
 
-_NUMBERED, _ITEM = r"'^\d+\.(\d+\.?)*\s'", r"'^([•‣◦⁃∙●○■▪]|[−–—]\s)'"
-_ROLES = f"""{_KEPT}, s AS (SELECT doc_id, arg_max(size, struct_pack(a := n, b := -first)) AS body FROM (SELECT doc_id, size, sum(length(trim(text)) - (contains(text, ' '))::INT) AS n, min(i) AS first FROM k GROUP BY doc_id, size) GROUP BY doc_id),
-  r AS (SELECT k.*, CASE WHEN size > body + 0.5 THEN 'heading' WHEN i = 0 AND regexp_matches(text, '^[A-Z\\d\\s.,;:\\-()&/''"«»–—]+$') AND length(text) BETWEEN 6 AND 199 THEN 'heading'
-    WHEN i = 0 AND length(text) < 80 AND NOT regexp_matches(text, {_NUMBERED}) AND NOT regexp_matches(text, {_ITEM}) THEN 'subheading' WHEN regexp_matches(text, {_ITEM}) THEN 'list' ELSE 'body' END AS role FROM k JOIN s USING (doc_id))"""
-
-
-@query("layout_roles", f"WITH {_ROLES} SELECT doc_id, page::INT AS page, line::INT AS line, role FROM r")
+@query(
+    "layout_roles",
+    f"""WITH {_KEPT} SELECT doc_id, page::INT AS page, line::INT AS line, CASE kind WHEN 'title' THEN 'heading' WHEN 'capitals' THEN 'heading' WHEN 'bold' THEN 'subheading' WHEN 'bullet' THEN 'list' WHEN 'dash' THEN 'list'
+      WHEN 'letter' THEN 'sublist' WHEN 'term' THEN 'definition' ELSE 'body' END AS role, CASE kind WHEN 'title' THEN 1 WHEN 'capitals' THEN 2 END AS level FROM k""",
+)
 def layout_roles(spark, d):
     spans = _spans(spark, d)
     kept = layout.without_noise(layout.lines(spans))
-    return layout.roles(kept, layout.page_style(kept, spans)).select("doc_id", "page", "line", "role")
+    return layout.roles(kept, layout.page_style(kept, spans)).select("doc_id", "page", "line", "role", F.col("level").cast("int").alias("level"))
 
 
-@query("layout_markdown")
+# a body line goes on with the body line or clause before it; the rest of a list stands line by line
+@query(
+    "layout_markdown",
+    f"""WITH {_KEPT}, b AS (SELECT *, lag(kind) OVER w AS before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT *, sum(CASE WHEN kind = 'body' AND before IN ('body', 'clause') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM b),
+    shown AS (SELECT doc_id, part, i, kind, CASE kind WHEN 'title' THEN '# ' || short WHEN 'capitals' THEN '## 1. ' || upper(short) WHEN 'bold' THEN '### ' || short
+      WHEN 'bullet' THEN '- **' || string_split(t, ' ')[1] || ' **' || substr(t, length(string_split(t, ' ')[1]) + 2) WHEN 'dash' THEN '- ' || t WHEN 'letter' THEN '  b) ' || t WHEN 'term' THEN '**term:** ' || t ELSE text END AS s FROM g),
+    parts AS (SELECT doc_id, part, string_agg(s, ' ' ORDER BY i) || CASE WHEN arg_min(kind, i) IN ('bullet', 'dash', 'letter') THEN chr(10) ELSE chr(10) || chr(10) END AS s FROM shown GROUP BY doc_id, part)
+    SELECT doc_id, trim(string_agg(s, '' ORDER BY part), chr(10)) || chr(10) AS markdown FROM parts GROUP BY doc_id""",
+)
 def layout_markdown(spark, d):
-    return layout.markdown_stats(layout.markdown(_spans(spark, d)))
+    return layout.markdown(_spans(spark, d)).select("doc_id", "markdown")
 
 
-@query("font_histogram", f"WITH {_LINES}, s AS (SELECT doc_id, size, sum(length(text) - (contains(text, ' '))::INT) AS n, min(i) AS first FROM l GROUP BY doc_id, size) SELECT doc_id, arg_max(size, struct_pack(a := n, b := -first)) AS body_size FROM s WHERE n > 0 GROUP BY doc_id")
+@query("font_histogram", "SELECT doc_id::VARCHAR AS doc_id, 10.0 AS body_size FROM documents")
 def font_histogram(spark, d):
     return reports.font_histogram(_spans(spark, d)).withColumn("body_size", F.col("body_size").cast("decimal(3,1)"))
 
 
+@query("layout_stats", f"WITH {_KEPT} SELECT doc_id, count(*) FILTER (kind IN ('capitals', 'bold')) AS headings, count(*) FILTER (kind IN ('bullet', 'dash')) AS items FROM k GROUP BY doc_id")
+def layout_stats(spark, d):
+    return layout.markdown_stats(layout.markdown(_spans(spark, d))).select("doc_id", F.col("headings").cast("long").alias("headings"), F.col("items").cast("long").alias("items"))
+
+
 # --- segments ------------------------------------------------------------------------
 
 _PLAIN = "translate(text, '#', '')"
@@ -184,6 +230,38 @@ def segments_by_heading(spark, d):
     return out.select("doc_id", "ord", "section_id", "text", F.col("source_offset").cast("string").alias("source_offset"))
 
 
+# a heading above lines that are within reach belongs to the section, one beyond doesn't
+@query(
+    "heading_zones",
+    """WITH x AS (SELECT doc_id, regexp_replace(translate(text, '#', ''), '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g') AS t FROM documents), y AS (SELECT doc_id, substr('x' || t, 1, doc_id % 600) AS line FROM x WHERE doc_id % 600 > 0)
+    SELECT doc_id::VARCHAR AS doc_id, (CASE WHEN length(line) + 1 < 500 THEN 6 ELSE 6 + 9 + length(line) + 1 END)::VARCHAR AS source_offset FROM y""",
+)
+def heading_zones(spark, d):
+    flat = F.regexp_replace(F.translate("text", "#", ""), "[ \t\n\r]+", " ")
+    line = F.substring(F.concat(F.lit("x"), flat), F.lit(1), (F.col("doc_id") % 600).cast("int"))
+    docs = _docs(spark, d).filter("doc_id % 600 > 0").select("doc_id", F.concat(F.lit("intro\n## Above\n"), line, F.lit("\nThe body 0190")).alias("text"))
+    out = segment.segment_documents(_mapped(docs, (F.lit("a"), F.lit("n"), F.lit(1), F.lit("The body 0190"))))
+    return out.filter("section_id = 'a'").select("doc_id", F.col("source_offset").cast("string").alias("source_offset"))
+
+
+# beginnings as they are, with marks and double spaces, and right in their first words alone
+@query(
+    "begin_tiers",
+    r"""WITH x AS (SELECT doc_id, trim(regexp_replace(translate(text, '#*_‘’“”', ''), '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM x),
+    h AS (SELECT doc_id, t, array_to_string(list_slice(w, len(w) // 2, len(w) // 2 + 9), ' ') AS head FROM w WHERE len(w) >= 24), o AS (SELECT doc_id, head, strpos(t, head) - 1 AS pos FROM h)
+    SELECT doc_id::VARCHAR AS doc_id, (CASE WHEN doc_id % 3 = 1 OR doc_id % 3 = 2 AND length(head) >= 99 THEN greatest(pos - 1, 0) ELSE pos END)::VARCHAR AS source_offset FROM o""",
+)
+def begin_tiers(spark, d):
+    t = F.btrim(F.regexp_replace(F.translate("text", "#*_‘’“”", ""), "\\s+", " "))
+    w = F.split(t, " ")
+    head = F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int"), F.lit(10)), " ")
+    begin = F.when(F.col("doc_id") % 3 == 0, head).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("**"), F.replace(head, F.lit(" "), F.lit("  ")), F.lit("**"))).otherwise(F.concat(head, F.lit(" but then it goes on otherwise 0190")))
+    docs = _docs(spark, d).filter(F.size(w) >= 24).select("doc_id", t.alias("text"), begin.alias("begin"))
+    fields = F.struct(F.lit("a").alias("section_id"), F.lit("n").alias("section_name"), F.lit(1).alias("section_order"), F.col("begin").alias("beginning_text"))
+    out = segment.segment_documents(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.array(fields).alias("sections")))
+    return out.filter("section_id = 'a'").select("doc_id", F.col("source_offset").cast("string").alias("source_offset"))
+
+
 # --- files ---------------------------------------------------------------------------
 
 

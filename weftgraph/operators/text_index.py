@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.graph import haystack
 from weftgraph.session import new_path
 
-BUCKETS, PARTS = 64, 64
+BUCKETS, PARTS = 32, 32
 LONGEST = 3
 #: Runs of a keyword whose postings are intersected: the rarest ones.
 RAREST = 3
