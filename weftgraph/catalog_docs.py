@@ -272,20 +272,28 @@ def _file(spark: SparkSession, rows: DataFrame, name: str) -> str:
     return path
 
 
+def _files(spark: SparkSession, rows: DataFrame) -> str:
+    """Rows of ``bucket`` and ``value``, one a bucket, as a file each."""
+    path = new_path(spark, "files")
+    rows.select("bucket", "value").write.partitionBy("bucket").option("lineSep", "\n").text(path)
+    return path
+
+
 def _as_list(rows: DataFrame, *columns: str):
     return F.to_json(F.array_sort(F.collect_list(F.struct(*columns))))
 
 
-@query("text_scan", "SELECT count(*) AS files, (sum(length(text)) + 1)::BIGINT AS chars FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)")
+@query("text_scan", "SELECT count(*) AS files, sum(n)::BIGINT AS chars FROM (SELECT item_id % 16 AS b, sum(length(text) + 1) AS n FROM benchmark GROUP BY b)")
 def text_scan(spark, d):
-    one = tables.table(spark, d, "benchmark").orderBy("item_id").limit(1).select("text")
-    return files.texts(spark, _file(spark, one, "doc.md") + "/*.txt").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+    rows = tables.table(spark, d, "benchmark").groupBy((F.col("item_id") % 16).alias("bucket")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("value"))
+    return files.texts(spark, _files(spark, rows) + "/*").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("chunk_reader", "SELECT item_id::VARCHAR AS section_id, '' AS header, text, length(text)::INT AS char_count, -1 AS source_offset FROM benchmark")
 def chunk_reader(spark, d):
-    b = tables.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text")
-    return files.chunks(spark, _file(spark, b.agg(_as_list(b, "chunk_id", "text").alias("value")), "chunks.json")).select("section_id", "header", "text", "char_count", "source_offset")
+    b = tables.table(spark, d, "benchmark").select((F.col("item_id") % 16).alias("bucket"), F.col("item_id").cast("string").alias("chunk_id"), "text")
+    path = _files(spark, b.groupBy("bucket").agg(_as_list(b, "chunk_id", "text").alias("value")))
+    return files.chunks(spark, path).select("section_id", "header", "text", "char_count", "source_offset")
 
 
 def _graph_file(spark: SparkSession, d: str) -> str:
@@ -474,11 +482,11 @@ def analysis_prompts(spark, d):
 
 @query("semantic_remaps", f"{_MENTIONS}, {_RESOLVED} SELECT old_id, new_id FROM resolved")
 def semantic_remaps(spark, d):
-    # the answer of a model that names the remaps, in a fence, beside one that is no JSON
+    # answers of a model that name the remaps of a range of users each, in a fence, beside one that is no JSON
     r = _remaps(spark, d)
-    said = r.agg(F.concat(F.lit('```json\n{"remappings": '), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "old_id", "new_id"))), lambda x: F.struct(x["old_id"].alias("old_id"), x["new_id"].alias("new_id")))), F.lit("}\n```")).alias("response"))
-    both = said.withColumn("key", F.lit("a")).unionByName(spark.createDataFrame([("b", "sorry")], "key string, response string"))
-    return resolve.resolved_remaps(tables.mentions(spark, d), answers.remaps(both).drop("key"))
+    said = r.groupBy(F.floor(F.col("ord") / 100).cast("string").alias("key")).agg(F.concat(F.lit('```json\n{"remappings": '), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "old_id", "new_id"))), lambda x: F.struct(x["old_id"].alias("old_id"), x["new_id"].alias("new_id")))), F.lit("}\n```")).alias("response"))
+    both = said.unionByName(spark.createDataFrame([("b", "sorry")], "key string, response string"))
+    return resolve.resolved_remaps(tables.mentions(spark, d), answers.remaps(both).select((F.col("key").cast("long") * 1000 + F.col("ord")).alias("ord"), "old_id", "new_id"))
 
 
 @query(
@@ -515,16 +523,16 @@ def question_rows(spark, d):
 
 @query(
     "cross_section_outcomes",
-    f"""{_GRAPH}, home AS (SELECT id, type, type AS home FROM nodes WHERE type <> 'Customer'), c AS (SELECT src, dst, CASE WHEN src LIKE 'N:%7' THEN 'ODD' ELSE type END AS type FROM edges WHERE type IN ('PART_OF', 'LOCATED_IN')
+    f"""{_GRAPH}, home AS (SELECT id, type, type AS home FROM nodes WHERE type <> 'Customer'), c AS (SELECT src, dst, CASE WHEN src LIKE 'N:%7' THEN 'ODD' ELSE type END AS type FROM edges
       UNION ALL SELECT 'N:1', 'N:2', 'PART_OF'),
     o AS (SELECT c.*, CASE WHEN a.id IS NULL THEN 'missing source' WHEN b.id IS NULL THEN 'missing target' WHEN a.home = b.home THEN 'same section' WHEN c.type = 'ODD' THEN 'invalid' ELSE 'kept' END AS outcome
       FROM c LEFT JOIN home a ON a.id = src LEFT JOIN home b ON b.id = dst) SELECT outcome, count(*) AS n FROM o GROUP BY outcome""",
 )
 def cross_section_outcomes(spark, d):
-    e = tables.edges(spark, d).filter(F.col("type").isin("PART_OF", "LOCATED_IN")).select("src", "dst", F.when(F.col("src").like("N:%7"), "ODD").otherwise(F.col("type")).alias("type"))
+    e = tables.edges(spark, d).select("src", "dst", F.when(F.col("src").like("N:%7"), "ODD").otherwise(F.col("type")).alias("type"))
     e = e.union(spark.createDataFrame([("N:1", "N:2", "PART_OF")], "src string, dst string, type string"))
     items = F.collect_list(F.struct(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "type"))
-    said = e.agg(F.to_json(F.struct(items.alias("relationships"))).alias("response")).withColumn("key", F.lit("a"))
+    said = e.groupBy(F.col("src").alias("key")).agg(F.to_json(F.struct(items.alias("relationships"))).alias("response"))
     known = tables.nodes(spark, d).filter("type != 'Customer'").select("ord", "id", "type", F.col("type").alias("section"))
     return answers.cross_section(said, known, _rules(spark)).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -545,6 +553,30 @@ def replayed_answers(spark, d):
     return provider.replay(t, recorded)
 
 
+class _Counting:
+    """Answers every prompt with its length, but for those of a multiple of seven."""
+
+    def answer(self, key: str, prompt: str) -> tuple[str, int, int]:
+        if len(prompt) % 7 == 0:
+            raise ValueError("seven")
+        return f"asked {len(prompt)}", len(prompt), 1
+
+
+# an earlier run answered even turns and failed at others; this one asks what is missing, and fails at some again
+@query(
+    "resumed_answers",
+    """SELECT 'c' || conv_id || '/' || turn AS key, CASE WHEN turn % 2 = 0 THEN 'before' WHEN length(text) % 7 > 0 THEN 'asked ' || length(text) END AS response,
+    CASE WHEN turn % 2 > 0 AND length(text) % 7 = 0 THEN 'ValueError: seven' END AS error FROM conversations""",
+)
+def resumed_answers(spark, d):
+    t = _turns(spark, d).select(F.col("section_id").alias("key"), F.col("text").alias("prompt"))
+    even = F.regexp_extract("key", "/(\\d+)$", 1).cast("int") % 2 == 0
+    store = provider.AnswerStore(spark, new_path(spark, "answers"))
+    zero = F.lit(0).cast("long")
+    store.add(t.select("key", "prompt", F.when(even, "before").alias("response"), zero.alias("input_tokens"), zero.alias("output_tokens"), F.when(~even, "broke off").alias("error")))
+    return store.ask(t, _Counting(), concurrency=4, wave=2000).select("key", "response", "error")
+
+
 # --- tools ---------------------------------------------------------------------------
 
 

@@ -7,8 +7,10 @@ matching and re-decoding, and only for rows that need it.
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ QUOTES, PLAIN_QUOTES = "‘’“”", "''\"\""
 DASHES, PLAIN_DASHES = "–—", "--"
 #: Fixed values of the fuzzy locator.
 FUZZY_OVER, FUZZY_MARGIN, FUZZY_RATIO = 20, 50, 0.85
+#: Characters of a run that fuzzy matches are looked for by.
+SEED = 3
 
 
 def collapse(c: Column) -> Column:
@@ -52,15 +56,53 @@ def searchable(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, "(?U)\\s+", " "), QUOTES + DASHES, PLAIN_QUOTES + PLAIN_DASHES)
 
 
+def grams_needed(sizes: int) -> int:
+    """Runs of ``SEED`` characters that two texts of ``sizes`` characters together must share to reach FUZZY_RATIO.
+
+    A ratio r means m = r sizes / 2 matched characters. They lie in blocks, and between two
+    blocks at least one of the sizes - 2 m others, so there are at most sizes - 2 m + 1 blocks.
+    A block of n characters has n - SEED + 1 runs. More matches mean fewer blocks, so the
+    least number of runs is that at r = FUZZY_RATIO.
+    """
+    matched = FUZZY_RATIO * sizes / 2
+    return max(0, math.ceil(matched - (SEED - 1) * (sizes * (1 - FUZZY_RATIO) + 1) - 1e-6))
+
+
+def _gram_codes(text: str) -> np.ndarray:
+    """A number for each run of ``SEED`` characters, equal for equal runs."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < SEED:
+        return np.zeros(0, np.uint64)
+    codes = np.zeros(len(points) - SEED + 1, np.uint64)
+    for k in range(SEED):  # 21 bits a character
+        codes = codes << np.uint64(21) | points[k : len(points) - SEED + 1 + k]
+    return codes
+
+
+def windows(text: str, doc: str) -> list[int]:
+    """Starts of the windows of a document that share enough runs with a text to match it."""
+    size, step = len(text) + FUZZY_MARGIN, max(1, len(text) // 4)
+    starts = np.arange(0, max(1, len(doc) - len(text) + 1), step)
+    shared = np.r_[0, np.cumsum(np.isin(_gram_codes(doc), _gram_codes(text)))]
+    ends = np.minimum(starts + size, len(doc))
+    last = len(shared) - 1
+    met = shared[np.clip(ends - SEED + 1, 0, last)] - shared[np.minimum(starts, last)]
+    needed = np.array([grams_needed(len(text) + n) for n in range(size + 1)])
+    return starts[met >= needed[ends - starts]].tolist()
+
+
 def fuzzy_find(text: str, doc: str) -> int:
-    """Start of the first window with the best ratio of at least FUZZY_RATIO; -1 if none."""
+    """Start of the first window with the best ratio of at least FUZZY_RATIO; -1 if none.
+
+    Only windows with enough runs of characters in common are compared; no other can match.
+    """
     if len(text) <= FUZZY_OVER:
         return -1
-    window, step = len(text) + FUZZY_MARGIN, max(1, len(text) // 4)
+    window = len(text) + FUZZY_MARGIN
     matcher = difflib.SequenceMatcher(autojunk=True)
     matcher.set_seq2(text)
     best, at = FUZZY_RATIO, -1
-    for i in range(0, max(1, len(doc) - len(text) + 1), step):
+    for i in windows(text, doc):
         matcher.set_seq1(doc[i : i + window])
         if matcher.real_quick_ratio() >= best and matcher.quick_ratio() >= best and (r := matcher.ratio()) >= best and (r > best or at < 0):
             best, at = r, i
