@@ -42,6 +42,8 @@ SHARPNESS = 4.0
 FOLDS = 5
 UNDETERMINED = "und"
 _BLOCK = 64
+#: Bytes of a packed row that are spread out at once.
+_BYTES = 512
 _PIECE = 1 << 20
 
 
@@ -91,11 +93,25 @@ class Model:
         return names, scores
 
 
-def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    nx, ny = (np.sqrt(np.maximum(z.sum(1, dtype=np.int64), 1)) for z in (x, y))
-    right = y.astype(np.float32).T
-    rows = [x[i : i + _BLOCK].astype(np.float32) @ right for i in range(0, len(x), _BLOCK)]
-    return np.concatenate(rows).astype(np.float64) / nx[:, None] / ny
+def _wide(bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Packed presence rows, unpacked a range of buckets at a time."""
+    for at in range(0, bits.shape[1], _BYTES):
+        yield np.unpackbits(bits[:, at : at + _BYTES], axis=1)
+
+
+def _kernel(bits: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel of all rows with the landmarks, and the root of each row's number of n-grams.
+
+    Buckets go by in ranges, so that neither the rows nor the landmarks are ever spread
+    out whole; counts are whole numbers, exact in any order.
+    """
+    shared, held = np.zeros((len(bits), len(marks))), np.zeros(len(bits), np.int64)
+    for x in _wide(bits):
+        held += x.sum(1, dtype=np.int64)
+        x = x.astype(np.float32)
+        shared += x @ x[marks].T
+    size = np.sqrt(np.maximum(held, 1))
+    return shared / size[:, None] / size[marks], size
 
 
 def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -109,8 +125,7 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     for k in range(len(languages)):
         turn[y == k] = np.arange((y == k).sum())
     marks = np.lexsort((y, turn))[:landmarks]
-    x = np.unpackbits(bits, axis=1)
-    across = _kernel(x, x[marks])
+    across, size = _kernel(bits, marks)
     values, vectors = np.linalg.eigh(across[marks])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -120,9 +135,9 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     zw = z * weight[:, None]
     beta = np.linalg.solve(z.T @ zw + ridge * len(y) * np.eye(z.shape[1]), zw.T @ target)
-    size = np.sqrt(np.maximum(x[marks].sum(1, dtype=np.int64), 1))
-    folded = x[marks].astype(np.float32).T @ ((root @ beta) / size[:, None]).astype(np.float32)
-    return Model(languages, folded.astype(np.float32))
+    shares = ((root @ beta) / size[marks, None]).astype(np.float32)
+    folded = [x.astype(np.float32).T @ shares for x in _wide(bits[marks])]
+    return Model(languages, np.concatenate(folded).astype(np.float32))
 
 
 _BITS = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("bits", pa.binary())])
