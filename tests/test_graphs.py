@@ -232,3 +232,18 @@ def test_answers_of_tools_are_whole(spark):
     n = spark.range(130).select(F.col("id").alias("ord"), F.concat(F.lit("n"), "id").alias("id"), F.lit("T").alias("type"), F.lit("x").alias("name"), F.lit("").alias("description"), F.expr("cast(map() as map<string, string>)").alias("attrs"))
     t = tools.GraphTools(n, edges(spark), TextIndex.build(n, buckets=4, parts=2))
     assert len(tools.text(t.find_entities("t")).splitlines()) == 130 and len(tools.text(t.search_entities("N1")).splitlines()) == 41
+
+
+def test_stage_filter_joins_each_end_once(spark):
+    from weftgraph.functions import registry
+    from weftgraph.operators import validate
+
+    rules = registry.relation_table(spark, {"X": (["T"], ["U"])})
+    n = spark.createDataFrame([(0, "a", "T", "A", "", {}), (1, "b", "U", "B", "", {}), (2, "n", None, "N", "", {})], NODES)
+    rows = [("a", "b"), ("a", "b"), ("b", "a"), ("a", "gone"), ("gone", "b"), ("a", "n"), ("a", "gone"), ("a", "a")]
+    c = edges(spark, *((s, d, "X") for s, d in rows), ("a", "b", "ODD"))
+    old = edges(spark, ("b", "a", "X"))
+    got = {r["ord"]: r["outcome"] for r in validate.stage_filter(c, old, n, rules).collect()}
+    assert got == {0: "valid", 1: "duplicate", 2: "duplicate", 3: "orphan", 4: "orphan", 5: "invalid", 6: "orphan", 7: "invalid", 8: "invalid"}
+    got = {r["ord"]: r["outcome"] for r in validate.stage_filter(c, old.filter("false"), n, rules).collect()}
+    assert got[2] == "valid" and got[1] == "duplicate"
