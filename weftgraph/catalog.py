@@ -1239,6 +1239,39 @@ def serialized_extractions(spark, d):
     return files.serialized(tables.mentions(spark, d))
 
 
+@query(
+    "section_counts",
+    f"""{_MENTION_EDGES}, e AS (SELECT section, count(*) AS n FROM m WHERE type <> 'view' GROUP BY section), r AS (SELECT section, count(*) AS n FROM me WHERE type <> 'CLICK' GROUP BY section)
+    SELECT section, coalesce(e.n, 0) AS entity_count, coalesce(r.n, 0) AS relationship_count FROM e FULL JOIN r USING (section)""",
+)
+def section_counts(spark, d):
+    return files.section_counts(tables.mentions(spark, d).filter("type != 'view'"), tables.mention_edges(spark, d).filter("type != 'CLICK'"))
+
+
+@query("grouped_relationships", f"{_GRAPH} SELECT type, count(*) OVER (PARTITION BY type) AS n, src || '->' || dst AS key FROM edges")
+def grouped_relationships(spark, d):
+    return graph.grouped(tables.edges(spark, d).withColumn("key", F.concat_ws("->", "src", "dst")), "key")
+
+
+@query(
+    "first_warnings",
+    f"""{_WHOLE}, {_KINDS}, {_TURNED}, x AS (SELECT cand.*, a.kind AS s, b.kind AS t FROM cand LEFT JOIN kinds a ON a.id = src LEFT JOIN kinds b ON b.id = dst),
+    w AS (SELECT ord, type, CASE WHEN type = 'ODD' THEN 'unknown relationship type ODD' ELSE concat_ws('; ', CASE WHEN NOT {_FROM.format(t='type', s='s')} THEN 'source type ' || s END, CASE WHEN NOT {_ONTO.format(t='type', d='t')} THEN 'target type ' || t END) END AS warnings
+      FROM x WHERE type = 'ODD' OR NOT {_ALLOW.format(t='type', s='s', d='t')} AND NOT {_ALLOW.format(t='type', s='t', d='s')})
+    SELECT ord, type, warnings, count(*) OVER () AS in_all FROM w WHERE warnings <> '' ORDER BY ord LIMIT 10""",
+)
+def first_warnings(spark, d):
+    return validate.first_warnings(validate.validate_edges(_candidates(spark, d), tables.nodes(spark, d), _rules(spark)))
+
+
+@query("unanchored_first", f"SELECT doc_id AS ord, source AS id FROM documents WHERE doc_id % 3 = 0 AND NOT contains(text, upper({_LASTLINE})) ORDER BY doc_id LIMIT 10")
+def unanchored_first(spark, d):
+    last = F.element_at(F.split("text", "\n"), -1)
+    anchor = F.when(F.col("doc_id") % 3 == 0, F.upper(last)).otherwise(last)
+    rows = tables.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("id"), (F.position(anchor, F.col("text")) - 1).alias("offset"))
+    return reports.unanchored(rows)
+
+
 @query("referenced_entities", f"{_WHOLE} SELECT id, type, name FROM tn WHERE id IN ('N:1', 'S:2', 'R:0')")
 def referenced_entities(spark, d):
     return graph.referenced(tables.nodes(spark, d), _ids(spark, "N:1", "S:2", "R:0", "gone"))

@@ -23,6 +23,11 @@ def anchoring(anchors: DataFrame) -> DataFrame:
     ).withColumn("verbatim_pct", share(F.col("verbatim"), F.col("total"), 1))
 
 
+def unanchored(rows: DataFrame, first: int = 10) -> DataFrame:
+    """The first entities in input order whose text isn't found: an offset below 0."""
+    return rows.filter(F.coalesce("offset", F.lit(-1)) < 0).orderBy("ord").limit(first).select("ord", "id")
+
+
 def coverage(sections: DataFrame, documents: DataFrame) -> DataFrame:
     """Share of each document's characters that its sections hold; a warning below 0.85."""
     held = sections.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))

@@ -137,6 +137,12 @@ def serialized(entities: DataFrame) -> DataFrame:
     )
 
 
+def section_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities and relationships of each section, also where there are none of one kind."""
+    parts = [df.select("section", F.lit(n).alias("e"), F.lit(1 - n).alias("r")) for df, n in ((entities, 1), (edges, 0))]
+    return parts[0].unionByName(parts[1]).groupBy("section").agg(F.sum("e").cast("long").alias("entity_count"), F.sum("r").cast("long").alias("relationship_count"))
+
+
 # --- runs and versions ------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Each kind's share of ``ord``.
 STRIDE = 10_000_000_000_000
@@ -113,16 +114,23 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Events of one range of a day: a task orders one range, not a day.
+RANGE = 1 << 20
+
+
 def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event links its user to the user of the event before it in the same day's section."""
-    from pyspark.sql.window import Window
-
-    m = mentions(spark, sf_dir)
-    before = F.lag("id").over(Window.partitionBy("section").orderBy("ord"))
-    return (
-        m.select("ord", F.col("id").alias("src"), before.alias("dst"), F.upper("type").alias("type"), "section", F.col("name").alias("description"))
-        .filter("dst is not null")
-    )
+    """Each event links its user to the user of the event before it in the same day's section.
+
+    The first event of a range takes the last one of the range before it that has any.
+    """
+    m = mentions(spark, sf_dir).withColumn("range", F.floor(F.col("ord") / RANGE))
+    within = F.lag("id").over(Window.partitionBy("section", "range").orderBy("ord"))
+    lasts = m.groupBy("section", "range").agg(F.max_by("id", "ord").alias("last"))
+    carried = lasts.select("section", "range", F.lag("last").over(Window.partitionBy("section").orderBy("range")).alias("carried"))  # a row a range
+    rows = m.withColumn("before", within).join(carried, ["section", "range"])
+    return rows.select(
+        "ord", F.col("id").alias("src"), F.coalesce("before", "carried").alias("dst"), F.upper("type").alias("type"), "section", F.col("name").alias("description")
+    ).filter("dst is not null")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
