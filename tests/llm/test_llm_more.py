@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_llm import DOCS, WORD, clashing, rows_of
 
-from weftgraph.llm import quality, simhash_tree, source_audit, url_lm, whitening
+from weftgraph.llm import lpf_dedup, quality, simhash_tree, source_audit, url_lm, whitening
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -286,3 +286,40 @@ def test_each_page_comes_out_once(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.net/x", "http://a.net/x", None, "", "http://b.com/" + "y" * 5000, "http://é.org/fr/z"] * 3)], "page_id long, url string")
     got = url_lm.url_filter(pages).collect()
     assert sorted(x["page_id"] for x in got) == list(range(18)) and all(x["verdict"] in ("allow", "block") for x in got)
+
+
+# --- longest previous factors ------------------------------------------------------
+
+
+def shared_start(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_longest_previous_factor(seed):
+    r = random.Random(seed)
+    full = lpf_dedup.LENGTH
+    starts = ["".join(r.choice("ab") for _ in range(r.choice([3, 60, full]))) for _ in range(4)]
+    texts = [(s + "".join(r.choice("ab") for _ in range(2 * full)))[: r.choice([full, full + 8])].encode() for s in r.choices(starts, k=300)]
+    rows = np.array([list(t.ljust(full + 8, b"\0")) for t in texts], np.uint8)
+    position = np.array([r.randrange(200) for _ in texts], np.int32)  # some are equal: neither is earlier
+    order, shared = lpf_dedup.suffix_order(rows)
+    assert [texts[i] for i in order] == sorted(texts)
+    got = lpf_dedup.longest_previous_factor(position[order], np.minimum(shared, full))
+    for i, factor in zip(order, got, strict=True):
+        brute = max((min(shared_start(texts[i], t), full) for t, p in zip(texts, position, strict=True) if p < position[i]), default=0)
+        assert factor <= brute and (factor >= full) == (brute >= full)
+
+
+def test_suffix_order_one_byte_earlier():
+    r = random.Random(5)
+    full = lpf_dedup.LENGTH
+    data = np.array([r.choice(b"ab") for _ in range(900)] * 2 + [r.choice(b"abc") for _ in range(300)], np.uint8)
+    starts = np.arange(40, len(data) - full)
+    tail = lambda s: data[s : s + full].tobytes()
+    order, shared = lpf_dedup.suffix_order(np.stack([data[s : s + full] for s in starts]))
+    for d in range(1, 41):
+        order, shared = lpf_dedup._one_earlier(order, shared, data[starts[order] - d])
+        got = [tail(starts[i] - d) for i in order]
+        assert got == sorted(got)
+        assert list(shared[1:]) == [min(shared_start(a, b), full) for a, b in zip(got, got[1:], strict=False)]

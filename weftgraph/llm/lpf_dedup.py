@@ -11,12 +11,12 @@ How a corpus is cut so that no suffix array ever holds it all:
    that meets a gram often sends two of its anchors to be counted and the others past the
    count, so no gram brings all its anchors to one task.
 2. The strings of one anchor are one window of text around it. Windows with the same gram
-   come together, and the suffixes that start at their anchors are put in suffix order,
-   with the longest common prefixes of neighbours; so are the reversed texts before them.
-   Strings that start ``d`` bytes before the anchor are equal where neighbours share
-   ``LENGTH - d`` bytes after it and ``d`` before: runs in both orders. Within a run
-   ordered by position, the previous smaller position is an earlier match of the longest
-   previous factor, LENGTH at least; only the first of a run has none.
+   come together; of those with the same bytes the earliest is compared. The suffixes that
+   start at the anchors are put in suffix order, with the longest common prefixes of
+   neighbours. Sorting that order by the byte before gives the order of the suffixes one byte
+   earlier, and so on, as far as strings start before their anchors. In each order the
+   previous and the next smaller position give every suffix its longest previous factor
+   (`longest_previous_factor`); a string goes where that is LENGTH or more.
 3. A gram of more than ``HOT`` windows is split, as one group would outgrow a task: its
    strings travel one by one, by the digest of the whole string. Which grams are split is a
    bit filter of fixed size; a gram that it takes by mistake is split as well, by all tasks.
@@ -104,8 +104,8 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-_ANCHORS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("place", pa.int64()), ("salt", pa.int32())])
-ANCHORS = "gram long, doc_id long, tie int, place long, salt int"
+_ANCHORS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("place", pa.int64()), ("salt", pa.int32())])
+ANCHORS = "gram long, doc_id long, tie long, place long, salt int"
 #: Anchors of a gram that a task sends to be counted, and the grams whose others it remembers.
 _COUNTED, _REMEMBERED = 2, 200_000
 
@@ -158,12 +158,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=_ANCHORS)
 
 
-WINDOWS = "gram long, doc_id long, tie int, at long, gap int, count int, window binary"
+WINDOWS = "gram long, doc_id long, tie long, at long, gap int, count int, window binary"
 _WINDOW_SCHEMA = pa.schema(
     [
         ("gram", pa.int64()),
         ("doc_id", pa.int64()),
-        ("tie", pa.int32()),
+        ("tie", pa.int64()),
         ("at", pa.int64()),
         ("gap", pa.int32()),
         ("count", pa.int32()),
@@ -266,19 +266,105 @@ def _cut(shared):
     return run
 
 
-def _matrix(parts: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width)
+def _rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """LENGTH bytes of ``data`` from each start on, zero past each end."""
+    at = starts[:, None] + np.arange(LENGTH)
+    return np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
 
 
 def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each row in byte order, and what each shares with the one before it in that order."""
+    """Rows in byte order, and what each of that order shares with the one before it."""
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
     ranked = rows[order]
     differ = ranked[1:] != ranked[:-1]
     shared = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank, np.r_[0, shared]
+    return order, np.r_[0, shared].astype(np.uint8)
+
+
+def _levels(values: np.ndarray, count: int) -> list[np.ndarray]:
+    """Level k holds the least of the 2 ** k values from each place on."""
+    out = [values]
+    for k in range(count - 1):
+        out.append(np.minimum(out[k][: -(1 << k)], out[k][1 << k :]))
+    return out
+
+
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``values`` from each ``low`` to its ``high``, both included."""
+    level = np.frexp(high - low + 1)[1] - 1
+    out = np.empty(len(low), values.dtype)
+    for k, least in enumerate(_levels(values, int(level.max(initial=0)) + 1)):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(least[low[own]], least[high[own] - (1 << k) + 1])
+    return out
+
+
+def _thinned(order: np.ndarray, shared: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix order and its common prefixes without the suffixes that aren't kept."""
+    at = np.flatnonzero(keep)
+    if len(at) == len(order):
+        return order, shared
+    out = np.zeros(len(at), shared.dtype)
+    if len(at) > 1:
+        out[1:] = np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1)
+    return order[at], out
+
+
+def _beside(shared: np.ndarray, least: int) -> np.ndarray:
+    """Which suffixes share ``least`` bytes with a neighbour."""
+    enough = shared >= least
+    return enough | np.r_[enough[1:], False]
+
+
+def _one_earlier(order: np.ndarray, shared: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start one byte earlier, at ``byte``: sorted by that byte alone.
+
+    Suffixes with the same byte keep their order, and share one more than all between them did.
+    """
+    by = np.argsort(byte, kind="stable")
+    same = np.flatnonzero(byte[by[1:]] == byte[by[:-1]])
+    out = np.zeros(len(by), shared.dtype)
+    out[1 + same] = np.minimum(_least_between(shared, by[same] + 1, by[1 + same]), LENGTH - 1) + 1
+    return order[by], out
+
+
+def _previous_smaller(position: np.ndarray, shared: np.ndarray, levels: int) -> np.ndarray:
+    """What each suffix shares with the last one before it in suffix order whose position is smaller.
+
+    Each goes back by falling powers of two, over suffixes with greater or equal positions. It
+    stops where fewer than LENGTH bytes are shared: what lies behind is no match.
+    """
+    at = np.arange(len(position))
+    positions, common = _levels(position, levels), _levels(shared, levels)
+    for k in reversed(range(levels)):
+        low = at - (1 << k)
+        here = np.maximum(low, 0)
+        back = (low >= 0) & (positions[k][here] >= position) & (common[k][here + 1] >= LENGTH)
+        at = np.where(back, low, at)
+    smaller = (at > 0) & (position[at - 1] < position)
+    return np.where(smaller, shared[at], 0)
+
+
+def longest_previous_factor(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, the length of the longest match that starts earlier, cut at LENGTH.
+
+    Such a match begins at the previous or at the next smaller position. Below LENGTH the
+    value is a lower bound.
+    """
+    size = np.diff(np.r_[np.flatnonzero(shared < LENGTH), len(shared)])
+    levels = int(size.max(initial=1) - 1).bit_length()
+    if not levels:
+        return np.zeros(len(shared), shared.dtype)
+    before = _previous_smaller(position, shared, levels)
+    after = _previous_smaller(position[::-1], np.r_[shared[:1], shared[:0:-1]], levels)[::-1]
+    return np.maximum(before, after)
+
+
+def _first_of_equal(windows: list[bytes], position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbouring windows with the same bytes the one with the least position, and each window's number in that list."""
+    new = np.r_[True, [a != b for a, b in zip(windows, windows[1:], strict=False)]].astype(bool)
+    group = np.cumsum(new) - 1
+    return np.lexsort((position, group))[np.flatnonzero(new)], group
 
 
 def later_strings(
@@ -287,35 +373,41 @@ def later_strings(
     """First and last string of each window that starts earlier in another window; -1 for none.
 
     Strings are numbered within their window by ``gap`` minus their distance to the anchor.
+    Of windows with the same bytes the earliest is compared; it holds all strings of the others.
     """
-    least = gap - count + 1
-    right, common_right = suffix_order(_matrix([w[g:] for w, g in zip(windows, gap, strict=True)], LENGTH))
-    left, common_left = suffix_order(_matrix([w[:g][::-1] for w, g in zip(windows, gap, strict=True)], SPAN))
     anchor = at + gap
     order = np.lexsort((anchor, doc))
     new = np.r_[False, (doc[order][1:] != doc[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
-    position = np.empty(len(order), np.int64)
+    position = np.empty(len(order), np.int32)
     position[order] = np.cumsum(new)
-    first, last = np.full(len(gap), -1), np.full(len(gap), -1)
-    for d in range(int(least.min()), int(gap.max()) + 1):
-        own = np.flatnonzero((least <= d) & (d <= gap))
-        if len(own) < 2:
-            continue
-        run = np.cumsum(common_right < LENGTH - d)[right[own]] << 32 | np.cumsum(common_left < d)[left[own]]
-        by = np.lexsort((position[own], run))
-        run, here = run[by], position[own][by]
-        head = np.r_[True, run[1:] != run[:-1]]
-        # the first of a run is its previous smaller position
-        earlier = np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
-        found = own[by[here > here[earlier]]]
-        k = gap[found] - d
+
+    one, group = _first_of_equal(windows, position)
+    gaps, least, place = gap[one], (gap - count + 1)[one], position[one]
+    ends = np.cumsum([len(windows[i]) for i in one])
+    data = np.frombuffer(b"".join(windows[i] for i in one), np.uint8)
+    anchors = np.r_[0, ends[:-1]] + gaps
+    first, last = np.full(len(one), -1), np.full(len(one), -1)
+    order, shared = suffix_order(_rows(data, anchors, ends))
+    for d in range(SPAN):
+        if d:
+            order, shared = _thinned(order, shared, gaps[order] >= d)
+            order, shared = _one_earlier(order, shared, data[anchors[order] - d])
+        # who shares the gram and all from here to it with nobody has no match further on
+        order, shared = _thinned(order, shared, _beside(shared, GRAM + d))
+        if len(order) < 2:
+            break
+        own, common = _thinned(order, shared, least[order] <= d)
+        own, common = _thinned(own, common, _beside(common, LENGTH))
+        found = own[longest_previous_factor(place[own], common) >= LENGTH]
+        k = gaps[found] - d
         last[found] = np.where(last[found] < 0, k, last[found])
         first[found] = k
-    return first, last
+    later = position > place[group]
+    return np.where(later, 0, first[group]), np.where(later, count - 1, last[group])
 
 
-SPANS = "doc_id long, tie int, start long, stop long"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+SPANS = "doc_id long, tie long, start long, stop long"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +491,7 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(_LEAST))
     shared = docs.groupBy(key.alias("doc_id")).count().filter("count > 1").limit(1).count()
     text = F.coalesce("text", F.lit(""))
-    tie = F.hash(text) if shared else F.lit(0)
+    tie = F.xxhash64(text) if shared else F.lit(0).cast("long")
     return docs.select(*more, key.alias("doc_id"), tie.alias("tie"), text.alias("text"))
 
 
