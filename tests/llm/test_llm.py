@@ -207,6 +207,32 @@ def test_piece_path_is_the_cheapest_that_is_accepted():
         assert fst.path(text) == min(every(text))[1]
 
 
+def test_weights_choose_among_accepted_paths():
+    """With every boundary accepted, many paths are left, and their costs decide."""
+
+    class Free(piece_fst.PieceTransducer):
+        def _accepts(self, left, right):
+            self.pairs.setdefault(left, {})[right] = True
+            return True
+
+    fst = Free(PIECES)
+
+    def every(text):
+        if not text:
+            yield 0.0, []
+        for n in range(1, len(text) + 1):
+            if (piece := text[:n]) in fst.ids:
+                for cost, more in every(text[n:]):
+                    yield cost - fst.scores[piece], [fst.ids[piece], *more]
+
+    for text in ["▁the", "▁reading", "▁onion", "▁tion", "▁éterne", "▁wither"]:
+        paths = list(every(text))
+        got = fst.path(text)
+        cost = -sum(fst.scores[fst.pieces[i]] for i in got)
+        assert len(paths) > 1 and got in [x[1] for x in paths] and cost == min(paths)[0]
+        assert cost < max(paths)[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é.,\n\t'1 \x01Z"), max_size=40))
 def test_chunks_give_whole_text_ids(text):
