@@ -345,3 +345,14 @@ def test_pdf_to_markdown(spark, tmp_path):
     files.write_markdown(md, str(tmp_path / "out"))
     assert layout.markdown_stats(md.withColumn("markdown", F.concat(F.lit("\n"), "markdown"))).first()["headings"] == 1
     assert (tmp_path / "out/doc_id=one").is_dir()
+
+
+def test_beginning_is_where_all_first_words_are():
+    head = " ".join(["ofonntestion"] * 8 + ["atblend", "atblend"])
+    doc = "Start " + "ofonntestion " * 13 + "atblend atblend and so on"
+    at = doc.index(head)
+    for begin in (head + " but otherwise", "**" + head.replace(" ", "  ") + "**"):
+        assert doc.index(head[:100]) < at
+        assert segment.find_begin(segment.Indexed(doc), begin, 0) == at - 1
+    # where the first words are nowhere, the first characters decide
+    assert segment.find_begin(segment.Indexed(doc), "ofonntestion " * 8 + "other words", 0) == 5
