@@ -356,3 +356,9 @@ def test_beginning_is_where_all_first_words_are():
         assert segment.find_begin(segment.Indexed(doc), begin, 0) == at - 1
     # where the first words are nowhere, the first characters decide
     assert segment.find_begin(segment.Indexed(doc), "ofonntestion " * 8 + "other words", 0) == 5
+
+
+def test_markdown_stats_count_a_first_line(spark):
+    texts = ["- a\n- b\n\n### c\n", "## 1. A\n\n- b\n", "# title\n\n## b\n", "### a\n"]
+    got = layout.markdown_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, markdown string")).collect()
+    assert [(r["headings"], r["items"]) for r in sorted(got)] == [(1, 2), (1, 1), (1, 0), (1, 0)]
