@@ -7,6 +7,7 @@ from weftgraph import catalog
 
 TEXTS = ["a title alone that is long", "short\nand a line below that is longer than it", "the first line here is longer\nx", "", "\n \nabc"]
 WANTED = {
+    "font_histogram": ("body_size", [(18.0,), (10.0,), (18.0,), (10.0,)]),
     "layout_style": ("body, margin", [(18.0, 51.0), (10.0, 51.0), (18.0, 51.0), (10.0, 50.0)]),
 }
 
