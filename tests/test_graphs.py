@@ -247,3 +247,13 @@ def test_stage_filter_joins_each_end_once(spark):
     assert got == {0: "valid", 1: "duplicate", 2: "duplicate", 3: "orphan", 4: "orphan", 5: "invalid", 6: "orphan", 7: "invalid", 8: "invalid"}
     got = {r["ord"]: r["outcome"] for r in validate.stage_filter(c, old.filter("false"), n, rules).collect()}
     assert got[2] == "valid" and got[1] == "duplicate"
+
+
+def test_text_index_packs_nodes_that_share_a_run(spark):
+    n = spark.range(600).select(F.col("id").alias("ord"), F.concat(F.lit("n"), "id").alias("id"), F.lit("T").alias("type"), F.lit("Same 😀é name").alias("name"), F.lit(None).cast("string").alias("description"), F.expr("cast(map() as map<string, string>)").alias("attrs"))
+    index = TextIndex.build(n.coalesce(1), buckets=2, parts=2)
+    posted = spark.read.parquet(f"{index.path}/postings")
+    shared = posted.filter("field = 'name' and run = '😀é '")
+    assert 1 <= shared.count() <= 4 and shared.selectExpr("sum(size(ids))").first()[0] == 600
+    for k in ("😀", "😀É n", "n59", "e 😀é name"):
+        assert rows_of(index.search(k)) == rows_of(graph.search(n, k)), k

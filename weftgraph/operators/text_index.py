@@ -7,17 +7,21 @@ keyword's runs, intersects their postings, reads the parts that the hits are in
 prunes the others when it runs) and tests the whole keyword. A keyword of up to three
 characters is a run itself, so short ones cost no scan either; patterns have no meaning.
 
-The index is files alone and can be opened again by its path. Posting lists are rows, so one
-that many nodes share is split over files and tasks. A null text has no runs; an empty
-keyword is in every text that isn't null.
+The index is files alone and can be opened again by its path. A posting row has the nodes of
+one part and block that share a run, so a run that many nodes share is split over rows, files
+and tasks, and what is shuffled are lists instead of a row for each run of each node. A null
+text has no runs; an empty keyword is in every text that isn't null.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import haystack
@@ -29,23 +33,66 @@ LONGEST = 3
 RAREST = 3
 #: What can be searched, and the text of it.
 FIELDS = {"all": haystack, "name": lambda: F.lower("name")}
-
-
-def runs(text: Column) -> Column:
-    """The distinct runs of one to ``LONGEST`` characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-
-    def of(n: int) -> Column:
-        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
-
-    return F.array_distinct(F.concat(*(of(n) for n in range(1, LONGEST + 1))))
+#: A block of postings holds this many nodes or characters at most, but for its last batch.
+BLOCK_NODES, BLOCK_CHARS = 8192, 1 << 20
+#: Bits of a character in the number of a run.
+_BITS = 21
+_POSTED = pa.schema([("run", pa.string()), ("part", pa.int32()), ("ids", pa.list_(pa.string())), ("n", pa.int64()), ("field", pa.string()), ("bucket", pa.int32())])
+_POSTINGS = "run string, part int, ids array<string>, n long, field string, bucket int"
 
 
 def bucket_of(run: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(run.encode()) % buckets
 
 
+def _run_of(code: int) -> str:
+    chars = []
+    while code:
+        chars.append(chr((code & (1 << _BITS) - 1) - 1))
+        code >>= _BITS
+    return "".join(reversed(chars))
+
+
+def postings_of(ids: pa.Array, parts: np.ndarray, texts: list[str | None], field: str, buckets: int) -> pa.RecordBatch:
+    """A row for each part and distinct run of one to ``LONGEST`` characters, with the nodes that have it."""
+    texts = [t or "" for t in texts]
+    # from 1, so that runs of different lengths have different numbers
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    codes, owners, code = [chars], [owner], chars
+    for n in range(1, LONGEST):
+        code = code[:-1] << _BITS | chars[n:]
+        within = owner[n:] == owner[: len(code)]
+        codes.append(code[within])
+        owners.append(owner[n:][within])
+    known, run = np.unique(np.concatenate(codes), return_inverse=True)
+    if not len(known):
+        return pa.RecordBatch.from_pylist([], schema=_POSTED)
+    own = np.concatenate(owners)
+    group, own = np.divmod(np.unique((parts[own] * len(known) + run) * len(texts) + own), len(texts))
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    part, run = np.divmod(group[first], len(known))
+    names = [_run_of(c) for c in known.tolist()]
+    ends = np.append(first, len(group))
+    columns = [
+        pa.array(names, pa.string()).take(pa.array(run)), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(own))),
+        pa.array(np.diff(ends), pa.int64()), pa.array([field] * len(run), pa.string()), pa.array([bucket_of(x, buckets) for x in names], pa.int32()).take(pa.array(run)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_POSTED)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, nodes, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        nodes, size = nodes + b.num_rows, size + b.nbytes
+        if nodes >= BLOCK_NODES or size >= BLOCK_CHARS:
+            yield pa.Table.from_batches(held)
+            held, nodes, size = [], 0, 0
+    if nodes:
+        yield pa.Table.from_batches(held)
+
+
 @dataclass
 class TextIndex:
     """An index below ``path``; ``buckets`` is what it was built with."""
@@ -63,14 +110,20 @@ class TextIndex:
         dealt = nodes.withColumn("_part", part)
         dealt.filter("false").write.parquet(f"{path}/shape")  # the schema, if there is no entry
         dealt.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{path}/entries")
-        held = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), runs(text()).alias("runs")) for f, text in FIELDS.items())))
-        rows = nodes.select("id", part.alias("part"), held.alias("h")).select("id", "part", "h.field", F.explode("h.runs").alias("run")).distinct()
-        rows = rows.withColumn("bucket", (F.crc32("run") % buckets).cast("int"))
-        rows.hint("rebalance", "bucket").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
-        posted = spark.read.schema("id string, part int, run string, field string, bucket int").parquet(f"{path}/postings")
-        counts = posted.groupBy("field", "bucket", "run").agg(F.count("*").alias("n"))
+        built = cls(spark, path, buckets)
+        texts = built.entries.select(F.col("id").cast("string").alias("id"), F.col("_part").alias("part"), *(text().alias(f"text_{f}") for f, text in FIELDS.items()))
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _blocks(batches):
+                ids, parts = block.column("id").combine_chunks().cast(pa.string()), block.column("part").to_numpy().astype(np.int64)
+                for f in FIELDS:
+                    yield postings_of(ids, parts, block.column(f"text_{f}").to_pylist(), f, buckets)
+
+        texts.mapInArrow(post, _POSTINGS).hint("rebalance", "bucket").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
+        posted = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+        counts = posted.groupBy("field", "bucket", "run").agg(F.sum("n").alias("n"))
         counts.hint("rebalance", "bucket").write.partitionBy("field", "bucket").parquet(f"{path}/counts")
-        return cls(spark, path, buckets)
+        return built
 
     @property
     def entries(self) -> DataFrame:
@@ -89,7 +142,7 @@ class TextIndex:
         if len(known) < len(wanted):
             return None
         rarest = sorted(wanted, key=lambda r: (known[r], r))[:RAREST]
-        rows = self._of("postings", "id string, part int", field, rarest)
+        rows = self._of("postings", "part int, ids array<string>", field, rarest).select("run", "part", F.explode("ids").alias("id")).distinct()
         return rows.groupBy("id", "part").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("id", F.col("part").alias("_part"))
 
     def matches(self, keyword: str, field: str = "all") -> DataFrame:
