@@ -119,3 +119,24 @@ def test_wrappers_of_hosts_on_a_table(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html.main_texts(df).collect()}
     assert got == {r[0]: r[3] for r in rows}
+
+
+def test_wrappers_come_from_all_pages(spark):
+    # the one page that lacks the line shows that it isn't constant; eight pages may miss it
+    def page(i, line="A line of all"):
+        return f"<html><body><div><p>{line}</p><p>own words of page {i} {'and more ' * (i % 7 + 3)}</p></div></body></html>"
+
+    rows = [(i, "http://h.org/x", page(i)) for i in range(200)]
+    other = [(i, "http://o.org/x", page(i, "Another line" if i == 1150 else "A line of all")) for i in range(1000, 1200)]
+    pages = spark.createDataFrame(rows + other, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html.main_texts(pages).collect()}
+    assert all(got[i].startswith("own words") for i in range(200))
+    assert all(got[i].startswith("A line of all\nown") or i == 1150 for i in range(1000, 1200)) and got[1150].startswith("Another line\n")
+
+
+def test_packed_wrappers_come_back():
+    texts = ["<div>" * 3000 + "<p>a</p>" + "<p>b</p>" * 4, "<main><h1>x</h1><p>a<p>b</main><div class=ad>\ud800</div>"]
+    for x in texts:
+        own = html.wrapper_of(html.tree(x))
+        again = html.unpacked(html.packed(own))
+        assert html.packed(again) == html.packed(own) and html.expression(again) == html.expression(own)

@@ -11,7 +11,7 @@ The wrapper says what each of its parts is:
 * the main region: the ``article`` or ``main`` with the most text in slots, and the articles
   beside it that aren't mostly links; of a ``main`` that is nearly all articles, these and its
   headings; else the deepest region with nearly all text in slots that isn't a link. Where the
-  sampled pages are copies, so that most of their text is alike, all text counts as if it were
+  pages are copies, so that most of their text is alike, all text counts as if it were
   in slots;
 * constant parts of a region without ``article``: a text that all pages have alike at one
   place, where the pages' own texts differ, goes (headings stay; nothing goes if it is half of
@@ -26,7 +26,9 @@ Every page is then aligned with its host's wrapper from the top, and each block
 its place in the wrapper says. A block that the wrapper doesn't know is judged by the same
 rules on its own; a page without the wrapper's region is read by a wrapper of itself.
 
-A wrapper is fitted on at most ``SAMPLE`` pages of a host; every page is extracted.
+A wrapper is fitted on all pages of its host: tasks align the pages they read, and what they
+have found for a host is aligned once more. Copies that one task reads count once. Whether
+constant parts go is decided by a second reading of all pages of the hosts that have any.
 
 Text of a page: blocks in page order joined by a line feed; character references
 decoded, white space inside a block one space, ends trimmed, empty blocks left out. A
@@ -43,19 +45,19 @@ import html as entities
 import json
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph.llm import arrowkit
 from weftgraph.llm.url_lm import parse as parse_url
 from weftgraph.session import materialize
 
-SAMPLE = 8
+#: Hosts whose wrappers a task holds at once, before it hands them on.
+HELD_HOSTS = 2048
 NEARLY_ALL = 0.9
 #: Pages with texts of their own that a host must show before constant parts go.
 CONSTANT_PAGES = 3
@@ -401,17 +403,29 @@ def wrapper_of(page: Part) -> Part:
 
 def infer(pages: list[str]) -> Part:
     """The wrapper of some pages of one host, judged."""
-    wrapper, *others = [wrapper_of(tree(x)) for x in pages]
-    work = Alignment()
-    for x in others:
-        work.merge(wrapper, x)
-        work.run()
+    wrapper = aligned(wrapper_of(tree(x)) for x in pages)
     judge(wrapper, len(pages) == 1)
-    if len(pages) >= CONSTANT_PAGES:
-        _drop_constants(wrapper, pages)
+    if found := _constants(wrapper):
+        texts = [read(tree(x), Reader(wrapper)) for x in pages]
+        if None not in texts and len(set(texts)) >= CONSTANT_PAGES and 2 * sum(x.mass for x in found) < sum(map(len, texts)):
+            _drop(found)
+    return wrapper
+
+
+def aligned(wrappers: Iterable[Part]) -> Part:
+    """One wrapper of several, each of a page or of some pages."""
+    wrapper, *others = wrappers
+    for x in others:
+        align_into(wrapper, x)
     return wrapper
 
 
+def align_into(wrapper: Part, other: Part) -> None:
+    work = Alignment()
+    work.merge(wrapper, other)
+    work.run()
+
+
 def expression(wrapper: Part) -> str:
     """The wrapper as a regular expression over ``<key>``, ``</>`` and ``#``."""
     out: list[str] = []
@@ -536,24 +550,49 @@ def _mark_articles(region: Part) -> None:
         region.state = "main"
 
 
-def _drop_constants(wrapper: Part, pages: list[str]) -> None:
-    """Texts that all pages have alike go from the region, if the pages' own texts differ and are most of it."""
-    texts = [read(tree(x), Reader(wrapper)) for x in pages]
-    if None in texts or len(set(texts)) < CONSTANT_PAGES:
-        return
-    found = []
+def _constants(wrapper: Part) -> list[Part]:
+    """Texts of the region that all pages have alike; they go if the pages' own texts differ and are most of it."""
+    found: list[Part] = []
+    if wrapper.seen < CONSTANT_PAGES:
+        return found
     # what an article has alike on all pages is its own
     todo = [x for x in below(wrapper) if x.state == "main" and x.tag not in ("article", *_HEADINGS)]
     while todo:
         for x in todo.pop().kids:
             if x.key == "#":
-                if x.text is not None and x.seen == len(pages) and not x.optional and not x.repeated:
+                if x.text is not None and x.seen == wrapper.seen and not x.optional and not x.repeated:
                     found.append(x)
             elif not (x.state or x.optional or x.repeated or x.tag in ("article", *_HEADINGS) or x.key == "+"):
                 todo.append(x)
-    if 2 * sum(x.mass for x in found) < sum(map(len, texts)):
-        for x in found:
-            x.state = "constant"
+    return found
+
+
+def _drop(found: list[Part]) -> None:
+    for x in found:
+        x.state = "constant"
+
+
+_KEPT = ("key", "tag", "words", "text", "mass", "links", "control", "core", "optional", "repeated", "seen", "run")
+
+
+def packed(wrapper: Part) -> str:
+    """A wrapper that isn't judged yet as a list of its nodes, each before its parts."""
+    return json.dumps([[len(x.kids), *(getattr(x, k) for k in _KEPT)] for x in below(wrapper)], separators=(",", ":"))
+
+
+def unpacked(text: str) -> Part:
+    root = Part("")
+    open_ = [[root, 1]]
+    for n, *values in json.loads(text):
+        while not open_[-1][1]:
+            open_.pop()
+        node = Part("")
+        for k, v in zip(_KEPT, values, strict=True):
+            setattr(node, k, v)
+        open_[-1][0].kids.append(node)
+        open_[-1][1] -= 1
+        open_.append([node, n])
+    return root.kids[0]
 
 
 class Reader:
@@ -641,31 +680,75 @@ def main_text(page: str, by: Reader | None) -> str:
 # --- on tables ----------------------------------------------------------------
 
 
-_WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+_PARTIAL = pa.schema([("host", pa.string()), ("page", pa.string()), ("wrapper", pa.string())])
+_JUDGED = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("without", pa.string()), ("constant", pa.float64())])
+
 
+def _align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of a task's pages of each host; ``page`` is the digest of the only one, empty if there are more."""
+    held: dict[str, tuple[Part, set[bytes]]] = {}
 
-def _infer_host(rows: pa.Table) -> pa.Table:
-    pages = [x for x in dict.fromkeys(rows.sort_by("draw").column("html").to_pylist()) if x]
-    if not pages:
-        return _WRAPPERS.empty_table()
-    return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [Reader(infer(pages)).dump()]}, schema=_WRAPPERS)
+    def rows() -> pa.RecordBatch:
+        out = [(h, next(iter(met)).hex() if len(met) == 1 else "", packed(w)) for h, (w, met) in held.items()]
+        return arrowkit.emit({k: [r[i] for r in out] for i, k in enumerate(_PARTIAL.names)}, _PARTIAL)
 
+    for batch in batches:
+        for host, page in zip(arrowkit.strings(batch, "host"), arrowkit.strings(batch, "html"), strict=True):
+            digest = hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if not page or host in held and digest in held[host][1]:
+                continue
+            own = wrapper_of(tree(page))
+            if host in held:
+                align_into(held[host][0], own)
+                held[host][1].add(digest)
+            else:
+                if len(held) >= HELD_HOSTS:
+                    yield rows()
+                    held.clear()
+                held[host] = (own, {digest})
+    if held:
+        yield rows()
+
+
+def _judge_host(rows: pa.Table) -> pa.Table:
+    """A host's wrapper; where constant parts may go also the one ``without`` them, and how long they are on a page."""
+    found = rows.sort_by("wrapper")
+    wrapper = aligned(map(unpacked, found.column("wrapper").to_pylist()))
+    pages = set(found.column("page").to_pylist())
+    judge(wrapper, len(pages) == 1 and pages != {""})
+    out = {"host": [found.column("host")[0].as_py()], "wrapper": [Reader(wrapper).dump()], "without": [None], "constant": [None]}
+    if constants := _constants(wrapper):
+        out["constant"] = [sum(x.mass for x in constants) / wrapper.seen]
+        _drop(constants)
+        out["without"] = [Reader(wrapper).dump()]
+    return pa.table(out, schema=_JUDGED)
+
+
+_READ = pa.schema([("host", pa.string()), ("missing", pa.bool_()), ("text", pa.int64()), ("n", pa.int64())])
+
+
+def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrowkit.sliced(batches, 64):
+        texts = [read(tree(p), load(by)) for p, by in zip(arrowkit.strings(batch, "html"), arrowkit.strings(batch, "wrapper"), strict=True)]
+        rows = {"host": arrowkit.strings(batch, "host"), "missing": [x is None for x in texts], "n": [len(x or "") for x in texts]}
+        yield arrowkit.emit(rows | {"text": [int.from_bytes(bytes.fromhex(_hash(x or "")), "big", signed=True) for x in texts]}, _READ)
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``host`` and ``wrapper`` (what a page is read by) of each host.
 
-    A draw by checksum leaves about twice the sample of each host before pages are
-    ranked, so a host with a third of all pages isn't sorted in one task.
-    """
+def wrappers(pages: DataFrame) -> DataFrame:
+    """``host`` and ``wrapper`` (what a page is read by) of each host, of all its pages."""
     host, _ = parse_url(F.col("url"))
-    draw = F.crc32(F.concat_ws(" ", F.lit("draw"), F.col("page_id").cast("string"), "url"))
-    drawn = pages.select(host.alias("host"), "html", draw.alias("draw"))
-    # once written, the size of a table is known before the pages are dealt
-    counts = materialize(pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    some = drawn.join(counts, "host").filter(F.col("draw") * F.col("n") < F.lit(float(2 * sample + 20)) * 2**32)
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("draw", F.xxhash64("html")))
-    chosen = some.withColumn("rank", rank).filter(F.col("rank") <= sample).select("host", "html", "draw")
-    return chosen.groupBy("host").applyInArrow(_infer_host, "host string, wrapper string")
+    rows = pages.select(host.alias("host"), "html").filter("html != ''")
+    parts = rows.mapInArrow(_align_task, "host string, page string, wrapper string")
+    judged = materialize(parts.groupBy("host").applyInArrow(_judge_host, "host string, wrapper string, without string, constant double"), "judged")
+    open_ = judged.filter("without is not null")
+    if open_.isEmpty():
+        return judged.select("host", "wrapper")
+    own = rows.join(F.broadcast(open_.select("host", "wrapper")), "host").mapInArrow(_read_task, "host string, missing boolean, text long, n long")
+    # pages with the same text count once for each text, but a mean needs all
+    told = own.groupBy("host", "text").agg(F.max("missing").alias("missing"), F.sum("n").alias("n"), F.count("*").alias("pages"))
+    told = told.groupBy("host").agg(F.max("missing").alias("missing"), F.count("*").alias("texts"), (F.sum("n") / F.sum("pages")).alias("mean"))
+    goes = ~F.col("missing") & (F.col("texts") >= CONSTANT_PAGES) & (2 * F.col("constant") < F.col("mean"))
+    return judged.join(told, "host", "left").select("host", F.when(goes, F.col("without")).otherwise(F.col("wrapper")).alias("wrapper"))
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -679,10 +762,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrowkit.emit(rows | {"text": texts, "n_chars": [len(x) for x in texts]}, _TEXTS)
 
 
-def main_texts(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     arrowkit.small_batches(pages.sparkSession)
-    known = materialize(wrappers(pages, sample), "wrappers")
+    known = materialize(wrappers(pages), "wrappers")
     host, _ = parse_url(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     return rows.join(known, "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
