@@ -323,3 +323,17 @@ def test_suffix_order_one_byte_earlier():
         got = [tail(starts[i] - d) for i in order]
         assert got == sorted(got)
         assert list(shared[1:]) == [min(shared_start(a, b), full) for a, b in zip(got, got[1:], strict=False)]
+
+
+def test_chunks_that_recur_outlive_a_full_memory():
+    import public_tokenizers
+
+    from weftgraph.llm.bpe_ids import ChunkEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    small, large = ChunkEncoder(path, max_chunks=40), ChunkEncoder(path)
+    made, make = [], small.known.make
+    small.known.make = lambda chunk: made.append(chunk) or make(chunk)
+    texts = [f"often here {chr(97 + i % 26) * 3}{chr(97 + i // 26)} often, once" for i in range(300)]
+    assert [small.encode([x]) for x in texts] == [large.encode([x]) for x in texts]
+    assert made.count("here") == made.count("often,") == 1 and len(small.known) + len(small.known.older) < 100

@@ -3,8 +3,9 @@
 A byte-level tokenizer starts a new pre-token at a space or line feed that stands
 alone between two characters that are not white space. The chunks between them are
 encoded alone and give the same ids as the whole text. Chunks recur, so each worker
-keeps the ids of the chunks it has met, up to ``max_chunks``. A text with other white
-space is cut only where the rule holds.
+keeps the ids of the chunks it has met. Past ``max_chunks`` those that aren't met again
+before as many others are forgotten. A text with other white space is cut only where the
+rule holds.
 """
 
 from __future__ import annotations
@@ -30,13 +31,20 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class ChunkMemory(dict):
-    """Ids of chunks; ``make`` gives those of a new one."""
+    """Ids of chunks, of an older generation too; ``make`` gives those of a new one."""
 
     def __init__(self, make, max_chars: int):
         self.make, self.max_chars = make, max_chars
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
         if len(chunk) <= self.max_chars:
             self[chunk] = ids
         return ids
@@ -100,7 +108,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes. An empty text has none."""
         if len(self.known) > self.max_chunks:
-            self.known.clear()
+            self.known.age()
         ids = self.known.__getitem__
         return [b"".join(map(ids, self._chunks(x))) for x in texts]
 
