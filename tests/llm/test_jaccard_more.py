@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from test_llm import SF, rows_of
 
 from weftgraph.llm import jaccard_join
@@ -18,17 +19,18 @@ def prefixes(spark, lists, n):
     return spark.createDataFrame(rows, jaccard_join.SETS).repartition(3)
 
 
-def test_chance_meetings_make_no_bag(spark):
+@pytest.mark.parametrize("percent", [80, 90])  # the pipeline's and op6's
+def test_chance_meetings_make_no_bag(spark, percent):
     """Thirty sets that share one prefix shingle each with all others can't link; the two that share theirs may."""
     r = np.random.default_rng(5)
-    length = jaccard_join.prefix_length(400, 90)
+    length = jaccard_join.prefix_length(400, percent)
     own = r.integers(-(1 << 63), 1 << 63, (31, length), dtype=np.int64)
     own[:30, 0] = 12345
     own[30] = own[29]
     own[30, -1] = 7
     sets = prefixes(spark, own.tolist(), 400)
     classes = {bytes(x["class"]): x["doc_id"] for x in sets.collect()}
-    found = jaccard_join.bags(sets, 90).collect()
+    found = jaccard_join.bags(sets, percent).collect()
     assert sorted(classes[bytes(x["class"])] for x in found) == [29, 30]
     assert len({x["bag"] for x in found}) == 1
 
