@@ -22,3 +22,14 @@ def test_begins_with_what_is_left(spark, tmp_path, doc_id, begin):
     sql = [r[0] for r in duck.sql(f"SELECT markdown FROM ({catalog.oracle_sql()['layout_markdown']})").fetchall()]
     assert found == sql
     assert found[0].startswith(begin)
+
+
+def test_no_text_and_dotted_capitals(spark, tmp_path):
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, None), (2, "plain\nwords\nin İstanbul")], "doc_id long, text string").write.parquet(path)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    found = sorted(tuple(r) for r in catalog.queries()["layout_markdown"](spark, str(tmp_path)).collect())
+    sql = duck.sql(f"SELECT doc_id, markdown FROM ({catalog.oracle_sql()['layout_markdown']})").fetchall()
+    assert found == sorted(sql)
+    assert [f[0] for f in found] == ["1", "2"]
